@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A key with at least 1/HEAVY_SHARE of all rows counts as heavy, so there are at most HEAVY_SHARE such keys.
 HEAVY_SHARE = 1000
+#: Tables of one row per key with at most so many rows are broadcast whole.
+SMALL_ROWS = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,14 +30,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Joins rows to a table with one row for each key, whose column `weight` is the key's number of rows.
 
-    Heavy keys are broadcast: at most HEAVY_SHARE keys can each hold 1/HEAVY_SHARE of `total`
+    A table of at most SMALL_ROWS keys is broadcast. Else heavy keys are: at most HEAVY_SHARE keys can each hold 1/HEAVY_SHARE of `total`
     rows. All others are joined by a shuffle in which no key can be hot.
     """
+    if groups.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return rows.join(F.broadcast(groups), key)
     heavy = F.col(weight) * HEAVY_SHARE >= total
     hot, rest = groups.where(heavy), groups.where(~heavy)
     at_hot = rows.join(F.broadcast(hot), key)
-    elsewhere = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, how)
+    elsewhere = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
     return at_hot.unionByName(elsewhere)
