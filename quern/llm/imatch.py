@@ -15,11 +15,12 @@ from pyspark.sql.window import Window
 
 from .workspace import materialize
 
-SPLIT = r"[^\p{L}\p{N}]+"
+SPLIT = r"[^\p{L}\p{N}]"
 SLOTS = 1 << 22
 #: Share of the documents that a lexicon term occurs in.
 BAND = (0.001, 0.2)
-SEEDS = 12
+#: Random subsets of each level; five share a hash, of which each has twelve bits.
+SEEDS = 10
 LEVELS = 6
 #: Documents in a range of ids, and the most ranges.
 RANGE_DOCS = 1000
@@ -27,17 +28,16 @@ MOST_RANGES = 100_000
 
 
 def term_slots(text: Column) -> Column:
-    """The distinct slots of a text's terms, sorted."""
-    terms = F.filter(F.split(F.lower(text), SPLIT), lambda x: x != "")
-    return F.array_sort(F.array_distinct(F.transform(terms, lambda x: F.pmod(F.xxhash64(x), F.lit(SLOTS)).cast("int"))))
+    """The slots of a text's terms, with repeats. What stands between two marks next to each other is a term, too, but far too frequent for a lexicon."""
+    return F.transform(F.split(F.lower(text), SPLIT), lambda x: F.xxhash64(x).bitwiseAND(F.lit(SLOTS - 1)))
 
 
 def lexicon(texts: DataFrame, documents: int, band: tuple[float, float] = BAND) -> Column:
     """A constant array of SLOTS bits, in longs, of the terms in the band. texts has the column `text`."""
-    counts = texts.select(F.explode(term_slots(F.col("text"))).alias("slot")).groupBy("slot").count()
+    counts = texts.select(F.explode(F.array_distinct(term_slots(F.col("text")))).alias("slot")).groupBy("slot").count()
     inside = counts.where((F.col("count") >= band[0] * documents) & (F.col("count") <= band[1] * documents))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot") % 64)
-    words = inside.groupBy(F.floor(F.col("slot") / 64).alias("id")).agg(F.bit_or(one).alias("word"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(63).cast("int"))
+    words = inside.groupBy(F.shiftright("slot", 6).alias("id")).agg(F.bit_or(one).alias("word"))
     bits = [0] * (SLOTS // 64)
     for row in words.collect():  # SLOTS / 64 rows at most
         bits[row["id"]] = row["word"]
@@ -46,31 +46,40 @@ def lexicon(texts: DataFrame, documents: int, band: tuple[float, float] = BAND)
 
 def _in_lexicon(bits: Column):
     def test(slot: Column) -> Column:
-        word = F.element_at(bits, (F.floor(slot / 64) + 1).cast("int"))
-        return F.call_function("shiftright", word, slot % 64).bitwiseAND(F.lit(1).cast("long")) == 1
+        word = F.element_at(bits, (F.shiftright(slot, 6) + 1).cast("int"))
+        return F.call_function("shiftright", word, slot.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
 
     return test
 
 
 def _in_subset(seed: int, level: int):
-    return lambda slot: F.xxhash64(slot, F.lit(seed)).bitwiseAND(F.lit(4**level - 1).cast("long")) == 0
+    """The subset of a level and seed: terms whose bits at the seed's place are zero, two for each level."""
+    mask = (4**level - 1) << (12 * (seed % 5))
+    return lambda term: term.bitwiseAND(F.lit(mask)) == 0
 
 
 def with_fingerprint(rows: DataFrame, text_col: str, bits: Column, out: str) -> DataFrame:
-    """Adds the array `out` of hashes: of all lexicon terms, then of each subset by seed and level; null for a subset that has none of the text's terms."""
-    slots, terms = f"{out}_slots", f"{out}_terms"
-    rows = rows.withColumn(slots, term_slots(F.col(text_col))).withColumn(terms, F.filter(slots, _in_lexicon(bits)))
-    hashed = [F.when(F.size(terms) > 0, F.xxhash64(terms)).otherwise(F.xxhash64(slots, F.lit(1)))]  # a text without lexicon terms goes by all its terms
+    """Adds the array `out` of hashes: of all lexicon terms, then of each subset by level and seed; null for a subset that has none of the text's terms."""
+    terms = f"{out}_terms"
+    rows = rows.withColumn(terms, F.sort_array(F.array_distinct(F.filter(term_slots(F.col(text_col)), _in_lexicon(bits)))))
+    bases = {f"{out}_{n}": _hashed(terms, n) for n in range(-(-SEEDS // 5))}
+    rows = rows.withColumns(bases)
+    every = F.xxhash64(F.sort_array(F.array_distinct(term_slots(F.col(text_col)))), F.lit(1))
+    hashed = [F.when(F.size(terms) > 0, F.xxhash64(terms)).otherwise(every)]  # a text without lexicon terms goes by all its terms
     names = []
     for level in range(1, LEVELS + 1):
         added = {}
         for seed in range(SEEDS):
-            before = terms if level == 1 else f"{out}_{seed}_{level - 1}"
+            before = f"{out}_{seed // 5}" if level == 1 else f"{out}_{seed}_{level - 1}"
             added[f"{out}_{seed}_{level}"] = F.filter(before, _in_subset(seed, level))
         rows = rows.withColumns(added)
         names += added
     hashed += [F.when(F.size(x) > 0, F.xxhash64(x)) for x in names]
-    return rows.withColumn(out, F.array(*hashed)).drop(slots, terms, *names)
+    return rows.withColumn(out, F.array(*hashed)).drop(terms, *bases, *names)
+
+
+def _hashed(terms: str, seed: int) -> Column:
+    return F.transform(terms, lambda x: F.xxhash64(x, F.lit(seed)))
 
 
 def printed(hashes: Column) -> Column:

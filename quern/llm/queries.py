@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, imatch, langid, mixing, simhash, token_files
+from . import bpe, exact_dedup, imatch, langid, line_dedup, mixing, simhash, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints_of_edits(_documents(spark, sf_dir))
 
@@ -34,6 +38,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_rows(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_documents(spark, sf_dir))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
@@ -45,7 +53,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op5_fingerprints, op6_token_files, op8_source_mixing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_bpe, op5_fingerprints, op6_token_files, op7_line_dedup, op8_source_mixing, op10_language_id)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
