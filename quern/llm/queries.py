@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, imatch, langid, line_dedup, mixing, simhash, token_files
+from . import bpe, exact_dedup, imatch, langid, line_dedup, mixing, simhash, token_files, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,13 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_fold(4) != 2)
+    docs = _documents(spark, sf_dir)
+    found = toxicity.score(docs, toxicity.learn(docs, labels))
+    return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     learned = langid.learn_dictionaries(docs.where(_fold(5) != 0))
@@ -53,7 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_bpe, op5_fingerprints, op6_token_files, op7_line_dedup, op8_source_mixing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_bpe, op5_fingerprints, op6_token_files, op7_line_dedup, op8_source_mixing, op9_toxicity, op10_language_id)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
