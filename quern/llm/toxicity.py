@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 
 WINDOW, STRIDE = 64, 48
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 12, 12, 8, 8
-CHAR_BUCKETS = 1 << 14
+CHAR_BUCKETS = 1 << 13
 GRAMS = (3, 4)
-#: Largest vocabulary, and how often a word must occur in the sample.
-VOCABULARY, LEAST_COUNT = 30_000, 3
-#: Documents of each label, and their longest text, that the network is fitted on.
-SAMPLE_DOCS, SAMPLE_CHARS = 1500, 8000
-ROUNDS, BATCH, RATE = 12, 128, 0.01
+#: Largest vocabulary, and in how many documents of the sample a word or a bucket of n-grams must occur to have an embedding of its own.
+VOCABULARY, LEAST_DOCS = 20_000, 4
+#: Documents of label 0 and 1, and their longest text, that the network is fitted on.
+SAMPLE_DOCS, SAMPLE_CHARS = (1600, 600), 5000
+ROUNDS, BATCH, RATE, DECAY, DROPPED = 6, 64, 0.01, 0.02, 0.15
+#: Share of the sample by which scores are set so that THRESHOLD parts the labels best.
+HELD_BACK = 0.2
 #: Words whose inputs are remembered, and windows scored at once.
 REMEMBERED, AT_ONCE = 200_000, 1024
 THRESHOLD = 0.3
@@ -77,9 +79,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """Parameters, forward and backward pass."""
 
-    def __init__(self, vocabulary: dict[bytes, int], seed: int = 7):
+    def __init__(self, vocabulary: dict[bytes, int], known: np.ndarray, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.vocabulary = vocabulary
+        self.known = known  # for each bucket of n-grams itself, or 0 for one that is too rare
 
         def drawn(*shape: int) -> np.ndarray:
             return (rng.standard_normal(shape) / np.sqrt(shape[0] if len(shape) > 1 else 1)).astype(np.float32)
@@ -90,17 +93,20 @@ class Network:
             self.p |= {f"W{way}": drawn(wide, 3 * HIDDEN), f"U{way}": drawn(HIDDEN, 3 * HIDDEN), f"c{way}": np.zeros(3 * HIDDEN, np.float32)}
         self.p |= {"A": drawn(2 * HIDDEN, ATTENTION), "a": np.zeros(ATTENTION, np.float32), "v": drawn(ATTENTION), "o": drawn(2 * HIDDEN) * np.float32(0.3), "k": np.zeros(1, np.float32)}
 
-    def vectors(self, words: list[bytes]) -> tuple[np.ndarray, tuple]:
-        """Input vectors of distinct words."""
-        index = np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words))
+    def vectors(self, index: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Input vectors of words, by their places in the vocabulary and their buckets of n-grams."""
+        if not len(index):
+            return np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
+        chars = np.add.reduceat(self.p["char"][grams], np.cumsum(counts) - counts, axis=0) / counts[:, None].astype(np.float32)
+        return np.concatenate([self.p["word"][index], chars], axis=1).astype(np.float32)
+
+    def looked_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         grams, counts = gram_buckets(words)
-        starts = np.cumsum(counts) - counts
-        chars = np.add.reduceat(self.p["char"][grams], starts, axis=0) / counts[:, None].astype(np.float32) if len(words) else np.zeros((0, CHAR_DIM), np.float32)
-        return np.concatenate([self.p["word"][index], chars], axis=1).astype(np.float32), (index, grams, counts)
+        return np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words)), self.known[grams], counts
 
     def inputs(self, words: list[bytes]) -> np.ndarray:
         """What distinct words put into the gates of both layers."""
-        x, _ = self.vectors(words)
+        x = self.vectors(*self.looked_up(words))
         return np.concatenate([x @ self.p["Wf"] + self.p["cf"], x @ self.p["Wb"] + self.p["cb"]], axis=1)
 
     def _layer(self, gates: np.ndarray, mask: np.ndarray, u: np.ndarray, backwards: bool, keep: bool) -> tuple[np.ndarray, list]:
@@ -145,10 +151,10 @@ class Network:
             d_h = d * z + d_inner @ u.T
         return d_gates, d_u
 
-    def gradients(self, words: list[bytes], ids: np.ndarray, mask: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of the weighted logistic loss; ids are places in words, by window and place."""
+    def gradients(self, index: np.ndarray, grams: np.ndarray, counts: np.ndarray, ids: np.ndarray, mask: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the weighted logistic loss; ids are places in the words looked up, by window and place."""
         p = self.p
-        x, (index, grams, counts) = self.vectors(words)
+        x = self.vectors(index, grams, counts)
         proj = np.concatenate([x @ p["Wf"] + p["cf"], x @ p["Wb"] + p["cb"]], axis=1)
         logits, (left, right, out, look, weight, pooled) = self.forward(proj[ids.T], mask, keep=True)
         d = ((_sigmoid(logits) - labels) * weights / len(labels)).astype(np.float32)
@@ -163,17 +169,24 @@ class Network:
         d_out = d_out + d_look @ p["A"].T
         d_left, g["Uf"] = self._layer_back(d_out[:, :, :HIDDEN], left, mask, p["Uf"])
         d_right, g["Ub"] = self._layer_back(d_out[:, :, HIDDEN:], right, mask, p["Ub"])
-        d_proj = np.zeros_like(proj)
-        np.add.at(d_proj, ids.T, np.concatenate([d_left, d_right], axis=2))
+        d_proj = _summed(np.concatenate([d_left, d_right], axis=2).reshape(-1, 6 * HIDDEN), ids.T.ravel(), len(proj))
         d_f, d_b = d_proj[:, : 3 * HIDDEN], d_proj[:, 3 * HIDDEN :]
         g |= {"Wf": x.T @ d_f, "Wb": x.T @ d_b, "cf": d_f.sum(axis=0), "cb": d_b.sum(axis=0)}
         d_x = d_f @ p["Wf"].T + d_b @ p["Wb"].T
-        g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
-        np.add.at(g["word"], index, d_x[:, :WORD_DIM])
-        np.add.at(g["char"], grams, np.repeat(d_x[:, WORD_DIM:] / counts[:, None], counts, axis=0).astype(np.float32))
+        g["word"] = _summed(d_x[:, :WORD_DIM], index, len(p["word"]))
+        g["char"] = _summed(np.repeat(d_x[:, WORD_DIM:] / counts[:, None].astype(np.float32), counts, axis=0), grams, len(p["char"]))
         return g
 
 
+def _summed(rows: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows by their place."""
+    out = np.zeros((size, rows.shape[1]), np.float32)
+    order = np.argsort(at, kind="stable")
+    place, first = np.unique(at[order], return_index=True)
+    out[place] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 class Scorer:
     """Scores texts, and remembers the inputs of words."""
 
@@ -233,72 +246,119 @@ class Scorer:
         return out
 
 
+def _telling(doc_ids: list[np.ndarray], y: np.ndarray, words: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """A first rank of windows: by their word that most tells documents of label 1 from the others."""
+    counts = np.zeros((2, words))
+    for ids, label in zip(doc_ids, y):
+        counts[int(label), np.unique(ids)] += 1
+    share = y.sum() / len(y)
+    excess = (counts[1] - share * counts.sum(axis=0)) / np.sqrt(counts.sum(axis=0) + 1)
+    return np.array([excess[doc_ids[n][a:b]].max() for n, a, b in spans])
+
+
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Network | float:
-    """A network for these labelled texts, or the share of label 1 if there is but one label."""
-    y = np.array(labels, np.float32)
+    """A network for these labelled texts, or the share of label 1 if there is but one label.
+
+    Part of the sample is held back, and the scores are shifted so that THRESHOLD parts its labels best.
+    """
+    y = np.array(labels)
     if len(y) == 0 or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
+    back = np.zeros(len(y), bool)
+    for label in (0, 1):
+        own = np.random.default_rng(seed).permutation(np.flatnonzero(y == label))
+        back[own[: int(HELD_BACK * len(own))]] = True
+    network = _fitted([x for x, b in zip(texts, back) if not b], y[~back].tolist(), seed)
+    found = Scorer(network).texts([x for x, b in zip(texts, back) if b])
+    logits = np.log(np.clip(found, 1e-7, 1 - 1e-7) / (1 - np.clip(found, 1e-7, 1 - 1e-7)))
+    ranked = np.sort(logits)
+    cuts = (ranked[1:] + ranked[:-1]) / 2
+    if len(cuts) and y[back].min() != y[back].max():
+        errors = np.array([((logits >= c) != (y[back] == 1)).sum() for c in cuts])
+        best = cuts[errors == errors.min()]
+        network.p["k"] += np.float32(np.log(THRESHOLD / (1 - THRESHOLD)) - (0.3 * best.min() + 0.7 * best.max()))
+    return network
+
+
+def _fitted(texts: list[str], labels: list[int], seed: int) -> Network:
+    y = np.array(labels, np.float32)
     split = [words_of(x) for x in texts]
-    counts = Counter(w for x in split for w in x)
-    common = [w for w, n in counts.most_common(VOCABULARY) if n >= LEAST_COUNT]
-    network = Network({w: n for n, w in enumerate(common, 1)}, seed)
+    docs_of = Counter(w for x in split for w in set(x))
+    common = [w for w, n in docs_of.most_common(VOCABULARY) if n >= LEAST_DOCS]
+    words = list(docs_of)
+    place = {w: n for n, w in enumerate(words)}
+    grams, counts = gram_buckets(words)
+    starts = np.cumsum(counts) - counts
+    doc_ids = [np.fromiter(map(place.__getitem__, x), np.int64, len(x)) for x in split]
+    seen = np.zeros(CHAR_BUCKETS, np.int64)
+    for ids in doc_ids:
+        at, _ = _members(np.unique(ids), starts, counts)
+        seen[np.unique(grams[at])] += 1
+    network = Network({w: n for n, w in enumerate(common, 1)}, np.where(seen >= LEAST_DOCS, np.arange(CHAR_BUCKETS), 0), seed)
+    grams = network.known[grams]
+    index = np.fromiter((network.vocabulary.get(w, 0) for w in words), np.int64, len(words))
     rng = np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in network.p.items()}
     second = {k: np.zeros_like(v) for k, v in network.p.items()}
-    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    spans = [windows_of(len(x)) for x in split]
+    weight = np.where(y > 0, 2.0, 1.0)
+    spans = [(n, a, b) for n, x in enumerate(split) for a, b in windows_of(len(x))]
+    owner = np.array([n for n, _, _ in spans])
     step = 0
     for turn in range(ROUNDS):
-        scorer, examples = Scorer(network), []
-        for n, (words, own) in enumerate(zip(split, spans)):
-            if not own:
-                continue
-            if turn == 0:
-                examples.append((n, own[rng.integers(len(own))]))
-                continue
-            ids = scorer.ids(words)
-            best = int(np.argmax(scorer.windows([ids[a:b] for a, b in own]))) if len(own) > 1 else 0
-            examples.append((n, own[best]))
-            if y[n] == 0 and len(own) > 1:
-                examples.append((n, own[rng.integers(len(own))]))
-        rng.shuffle(examples)
+        scorer = Scorer(network)
+        scorer.inputs = network.inputs(words)
+        rank = _telling(doc_ids, y, len(words), spans) if turn == 0 else scorer.windows([doc_ids[n][a:b] for n, a, b in spans])
+        order = np.lexsort((-rank, owner))
+        best = order[np.unique(owner[order], return_index=True)[1]]
+        clean = np.flatnonzero(y[owner] == 0)
+        hard = clean[np.argsort(-rank[clean])[: len(best)]]
+        others = np.concatenate([hard, rng.permutation(clean)[: len(best)]])
+        examples = rng.permutation(np.concatenate([best, others]))
         for i in range(0, len(examples), BATCH):
-            batch = [(n, split[n][a:b]) for n, (a, b) in examples[i : i + BATCH]]
-            distinct = list({w for _, words in batch for w in words})
-            place = {w: k for k, w in enumerate(distinct)}
-            length = max(len(words) for _, words in batch)
+            batch = [spans[k] for k in examples[i : i + BATCH]]
+            length = max(b - a for _, a, b in batch)
             ids, mask = np.zeros((len(batch), length), np.int64), np.zeros((len(batch), length), np.float32)
-            for row, (_, words) in enumerate(batch):
-                ids[row, : len(words)] = [place[w] for w in words]
-                mask[row, : len(words)] = 1
-            owner = [n for n, _ in batch]
+            for row, (n, a, b) in enumerate(batch):
+                ids[row, : b - a] = doc_ids[n][a:b]
+                mask[row, : b - a] = rng.random(b - a) >= DROPPED  # words left out, so that no single one is learned by heart
+            mask[:, 0] = 1
+            some, local = np.unique(ids, return_inverse=True)
+            at, each = _members(some, starts, counts)
+            owners = [n for n, _, _ in batch]
             step += 1
             rate = RATE * (1 - 0.9 * turn / ROUNDS) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for k, g in network.gradients(distinct, ids, mask, y[owner], weight[owner]).items():
+            for k, g in network.gradients(index[some], grams[at], each, local.reshape(ids.shape), mask, y[owners], weight[owners]).items():
                 first[k] += 0.1 * (g - first[k])
                 second[k] += 0.001 * (g * g - second[k])
-                network.p[k] -= (rate * first[k] / (np.sqrt(second[k]) + 1e-7)).astype(np.float32)
+                network.p[k] -= (rate * (first[k] / (np.sqrt(second[k]) + 1e-7) + DECAY * network.p[k])).astype(np.float32)
     return network
 
 
+def _members(groups: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the members of these groups, one group after another, and the groups' sizes."""
+    each = counts[groups]
+    first = np.cumsum(each) - each
+    return np.repeat(starts[groups] - first, each) + np.arange(each.sum()), each
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network | float:
-    """Fits the network on at most SAMPLE_DOCS labelled documents of either label, drawn by a hash of their id."""
+    """Fits the network on at most SAMPLE_DOCS labelled documents of each label, drawn by a hash of their id."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.when(F.col(label_col) > 0, 1).otherwise(0)).alias("label"))
     marked = marked.withColumn("draw", F.xxhash64(F.col("doc_id").cast("string")))
     sizes = {row["label"]: row["count"] for row in marked.groupBy("label").count().collect()}
     drawn = None
     for label, size in sorted(sizes.items()):
-        some = marked.where((F.col("label") == label) & (F.pmod("draw", F.lit(max(1, size // (3 * SAMPLE_DOCS)))) == 0)).orderBy("draw").limit(2 * SAMPLE_DOCS)
+        some = marked.where((F.col("label") == label) & (F.pmod("draw", F.lit(max(1, size // (3 * SAMPLE_DOCS[label])))) == 0)).orderBy("draw").limit(2 * SAMPLE_DOCS[label])
         drawn = some if drawn is None else drawn.unionByName(some)
     if drawn is None:
         return 0.0
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    found = rows.join(F.broadcast(drawn), "doc_id").orderBy("draw", "text").collect()  # 4 x SAMPLE_DOCS texts of SAMPLE_CHARS at most
+    found = rows.join(F.broadcast(drawn), "doc_id").orderBy("draw", "text").collect()  # twice SAMPLE_DOCS texts of SAMPLE_CHARS at most
     taken: Counter = Counter()
     texts, truth = [], []
     for row in found:
         taken[row["label"]] += 1
-        if taken[row["label"]] <= SAMPLE_DOCS:
+        if taken[row["label"]] <= SAMPLE_DOCS[row["label"]]:
             texts.append(row["text"])
             truth.append(row["label"])
     return fit(texts, truth)
