@@ -96,3 +96,17 @@ def predict_languages(docs: DataFrame, dictionaries: dict[str, bytes], id_col: s
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+
+
+def drop_unidentified(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text") -> DataFrame:
+    """The documents whose language is not rejected, with all their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    scorers: list[Scorer] = []
+
+    @F.pandas_udf("boolean")
+    def accepted(texts: pd.Series) -> pd.Series:
+        if not scorers:
+            scorers.append(Scorer(held.value))
+        return texts.map(lambda x: not scorers[0](x)[2]).astype(bool)
+
+    return docs.where(accepted(F.col(text_col)))

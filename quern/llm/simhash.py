@@ -31,42 +31,55 @@ TILE = 1024
 BUCKET = 20_000
 
 
-def fingerprint(text: str | None, words_each: int = SHINGLE_WORDS) -> int:
-    """Unsigned 64-bit SimHash of a text's word shingles; 0 for a text without words."""
+def _second(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles."""
+    x = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """Each bit that is set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for i in range(0, len(bits), 255):
+        counts += bits[i : i + 255].sum(axis=0, dtype=np.uint8)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, words_each: int = SHINGLE_WORDS, second: bool = False) -> tuple[int, int]:
+    """Unsigned 64-bit SimHash of a text's word shingles, and another one of other hashes, or 0 if it is not asked for; 0 for a text without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return 0, 0
     joined = b" ".join(words)
     if len(words) <= words_each:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        found = xxhash.xxh64_intdigest(joined, SEED)
+        return found, int(_second(np.array([found], np.uint64))[0]) if second else 0
     ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
     starts = [0, *[x + 1 for x in ends]]
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[words_each - 1 :])), np.uint64, len(words) - words_each + 1)
-    counts = np.zeros(64, np.int64)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    for i in range(0, len(bits), 255):
-        counts += bits[i : i + 255].sum(axis=0, dtype=np.uint8)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+    return _majority(hashes), _majority(_second(hashes)) if second else 0
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and the fingerprint `fp` as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = SHINGLE_WORDS, second: bool = False) -> DataFrame:
+    """doc_id and the fingerprints `fp` and `fp2` as signed longs; fp2 is 0 if it is not asked for."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = np.fromiter((fingerprint(x, words_each) for x in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": found.view(np.int64)})
+            found = np.array([fingerprint(x, words_each, second) for x in batch["text"]], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": found[:, 0], "fp2": found[:, 1]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, fp long, fp2 long")
 
 
 def block_masks(rows: int, radius: int = RADIUS) -> list[int]:
     """Masks of the bits that agree, one for each choice of blocks; more and narrower choices for more rows."""
 
     def cost(blocks: int) -> float:
-        return comb(blocks, radius) * (300 + rows / 2 ** (64 * (blocks - radius) / blocks))
+        return comb(blocks, radius) * (3000 + rows / 2 ** (64 * (blocks - radius) / blocks))
 
     blocks = min(range(radius + 1, radius + 6), key=cost)
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
@@ -87,11 +100,11 @@ def _joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = up
 
 
-def linked_classes(prints: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> np.ndarray:
-    """For each fingerprint the index of the first one, in order of set bits, that links reach."""
+def linked_classes(prints: np.ndarray, seconds: np.ndarray, radius: int = RADIUS, confirm: int = 64, tile: int = TILE) -> np.ndarray:
+    """For each fingerprint the index of the first one, in order of set bits, that links reach. Second fingerprints must agree but for `confirm` bits."""
     weight = np.bitwise_count(prints)
     order = np.argsort(weight, kind="stable")
-    prints, weight = prints[order], weight[order].astype(np.int64)
+    prints, seconds, weight = prints[order], seconds[order], weight[order].astype(np.int64)
     labels = np.arange(len(prints))
     for i in range(0, len(prints), tile):
         left = prints[i : i + tile]
@@ -100,19 +113,22 @@ def linked_classes(prints: np.ndarray, radius: int = RADIUS, tile: int = TILE) -
                 break
             near = np.bitwise_count(left[:, None] ^ prints[None, j : j + tile]) <= radius
             a, b = np.nonzero(near)
-            if len(a) > len(left) or i != j:
-                labels = _joined(labels, a + i, b + j)
+            a, b = a + i, b + j
+            if confirm < 64:
+                also = np.bitwise_count(seconds[a] ^ seconds[b]) <= confirm
+                a, b = a[also], b[also]
+            labels = _joined(labels, a, b)
     out = np.empty(len(prints), np.int64)
     out[order] = order[labels]
     return out
 
 
-def _forest(radius: int):
+def _forest(radius: int, confirm: int):
     keys = ["mask", "key", "i", "j"]
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
         nodes = rows["doc"].to_numpy()
-        root = linked_classes(rows["fp"].to_numpy().view(np.uint64), radius)
+        root = linked_classes(rows["fp"].to_numpy().view(np.uint64), rows["fp2"].to_numpy().view(np.uint64), radius, confirm)
         own = root != np.arange(len(root))
         return pd.DataFrame({"a": nodes[own], "b": nodes[root[own]]})
 
@@ -132,11 +148,11 @@ def _forest(radius: int):
     return run
 
 
-def near_links(prints: DataFrame, rows: int, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) between documents of the table (fp, doc) of distinct fingerprints, enough to connect all within the radius."""
+def near_links(prints: DataFrame, rows: int, radius: int = RADIUS, confirm: int = 64, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) between documents of the table (fp, fp2, doc) of distinct fingerprints, enough to connect all within the radius."""
     masks = [x - (1 << 64) if x >> 63 else x for x in block_masks(rows, radius)]
-    keyed = prints.select("fp", "doc", F.explode(F.array(*[F.struct(F.lit(n).alias("mask"), F.col("fp").bitwiseAND(F.lit(x)).alias("key")) for n, x in enumerate(masks)])).alias("at"))
-    keyed = materialize(keyed.select("fp", "doc", "at.mask", "at.key"))
+    keyed = prints.select("fp", "fp2", "doc", F.explode(F.array(*[F.struct(F.lit(n).alias("mask"), F.col("fp").bitwiseAND(F.lit(x)).alias("key")) for n, x in enumerate(masks)])).alias("at"))
+    keyed = materialize(keyed.select("fp", "fp2", "doc", "at.mask", "at.key"))
     large = materialize(keyed.groupBy("mask", "key").count().where(F.col("count") > bucket).withColumn("parts", F.ceil(F.col("count") / bucket).cast("int")).drop("count"))
     if large.isEmpty():
         cells = keyed.withColumns({"i": F.lit(0), "j": F.lit(0)})
@@ -146,30 +162,40 @@ def near_links(prints: DataFrame, rows: int, radius: int = RADIUS, bucket: int =
         cells = dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("parts", "part", "other")
     order = ["mask", "key", "i", "j"]
     cells = cells.repartition(*order).sortWithinPartitions(*order)
-    return cells.mapInPandas(_forest(radius), "a long, b long")
+    return cells.mapInPandas(_forest(radius, confirm), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = SHINGLE_WORDS, radius: int = RADIUS, confirm: int = 64) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id.
 
-    Fingerprints link when at most `radius` bits differ; a component is named by the smallest id
+    Fingerprints link when at most `radius` bits differ, and, if confirm is below 64, at most so
+    many bits of second fingerprints, from other hashes of the same shingles; a component is named by the smallest id
     that links reach. Null and empty texts have fingerprint zero and link like any other. A row
     with a null id links nothing and gets the component of its fingerprint, null if it has no other
     document. Repeated rows are kept. An empty table gives an empty result. Whole texts count, and
     other columns are not read.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col, words_each))
-    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies")))
+    rows = materialize(fingerprints(docs, id_col, text_col, words_each, confirm < 64))
+    prints = materialize(rows.groupBy("fp", "fp2").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies")))
     count, total = prints.agg(F.count(F.lit(1)), F.sum("copies")).first()
-    links = near_links(prints.where(F.col("doc").isNotNull()).select("fp", "doc"), count, radius)
+    links = near_links(prints.where(F.col("doc").isNotNull()).select("fp", "fp2", "doc"), count, radius, confirm)
     found = components(links)
-    named = prints.join(found, prints["doc"] == found["node"], "left").select("fp", "copies", F.coalesce("component", "doc").alias("component_id"))
-    joined = join_groups(rows, materialize(named), "fp", "copies", total or 0)
+    named = prints.join(found, prints["doc"] == found["node"], "left").select(F.struct("fp", "fp2").alias("prints"), "copies", F.coalesce("component", "doc").alias("component_id"))
+    joined = join_groups(rows.withColumn("prints", F.struct("fp", "fp2")), materialize(named), "prints", "copies", total or 0)
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents with one, of the smallest id, of each component, with all their columns."""
-    found = near_duplicates(docs, id_col, text_col, **how)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col))
-    return docs.join(kept, id_col, "left_semi")
+#: Ids of documents that go, up to which these are broadcast.
+FEW_DROPPED = 1_000_000
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, radius: int = 10, confirm: int = 14) -> DataFrame:
+    """The documents with one, of the smallest id, of each component, with all their columns.
+
+    The defaults are for texts of which about 0.8 or more of the five-word shingles agree: such
+    texts differ in some ten of 64 bits at most, and second fingerprints keep unlike texts apart. A
+    document with a null id stays.
+    """
+    found = near_duplicates(docs, id_col, text_col, words_each, radius, confirm)
+    dropped = materialize(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)))
+    return docs.join(F.broadcast(dropped) if dropped.count() <= FEW_DROPPED else dropped, id_col, "left_anti")
