@@ -24,8 +24,10 @@ MIN_CHARS = 10
 MIN_EDIT_CHARS = 40
 #: Characters whose substrings are hashed at once.
 CHUNK = 1 << 19
-#: Line ids up to this number are broadcast.
-FEW_LINES = 200_000
+#: Lines whose keys a task sends at once, keys in a bucket on average, buckets at most, and pairs made at once.
+SEND_LINES, BUCKET_KEYS, MOST_BUCKETS, PAIRS_AT_ONCE = 1 << 17, 1 << 20, 1 << 14, 1 << 22
+#: Line ids, and documents with lines that go, up to this number are broadcast.
+FEW_LINES, FEW_DOCS = 200_000, 200_000
 
 _P = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -56,10 +58,8 @@ class _Powers:
     """Powers of the hash's base and of its inverse."""
 
     def __init__(self, size: int):
-        with np.errstate(over="ignore"):
-            self.up = np.cumprod(np.full(size, _P, np.uint64)) * np.uint64(pow(_P, -1, 1 << 64))
-            inverse = np.uint64(pow(_P, -1, 1 << 64))
-            self.down = np.cumprod(np.full(size, inverse, np.uint64)) * np.uint64(_P)
+        self.up = np.cumprod(np.full(size, _P, np.uint64))
+        self.down = np.cumprod(np.full(size, pow(_P, -1, 1 << 64), np.uint64))
 
 
 _powers: list[_Powers] = []
@@ -82,8 +82,11 @@ def _plan(length: int) -> np.ndarray:
     return _plans[length]
 
 
-def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the lines' segments and probes: line number, whether it is a probe, and the key."""
+def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the lines' segments and probes: line number, whether it is a probe, and the key; and the sketch of each line.
+
+    A sketch has the counts, up to sixteen, of characters in sixteen classes.
+    """
     if not _powers:
         _powers.append(_Powers(CHUNK))
     chars = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -97,7 +100,19 @@ def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     plan = np.concatenate(plans)
     start = (np.cumsum(lengths) - lengths)[number] + plan[:, 3]
     found = (sums[start + plan[:, 4]] - sums[start]) * powers.down[start]
-    return number, plan[:, 0].astype(bool), _mixed(found ^ _mixed((plan[:, 1] * (EDITS + 1) + plan[:, 2]).astype(np.uint64)))
+    kinds = (_mixed(chars) & np.uint64(15)).astype(np.int64) + np.repeat(16 * np.arange(len(lines)), lengths)
+    counts = np.bincount(kinds, minlength=16 * len(lines)).reshape(-1, 16).astype(np.uint64) & np.uint64(15)
+    sketch = np.bitwise_or.reduce(counts << np.arange(0, 64, 4, dtype=np.uint64), axis=1)
+    return number, plan[:, 0].astype(bool), _mixed(found ^ _mixed((plan[:, 1] * (EDITS + 1) + plan[:, 2]).astype(np.uint64))), sketch
+
+
+def _may_be_near(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
+    """Whether sketches allow for so few edits: each changes two counts at most."""
+    total = np.zeros(len(a), np.int64)
+    for place in range(0, 64, 4):
+        differ = ((a >> np.uint64(place)) - (b >> np.uint64(place))) & np.uint64(15)
+        total += np.minimum(differ, np.uint64(16) - differ).astype(np.int64)
+    return total <= 2 * edits
 
 
 def edit_distances(left: list[str], right: list[str], edits: int = EDITS) -> np.ndarray:
@@ -133,23 +148,79 @@ def edit_distances(left: list[str], right: list[str], edits: int = EDITS) -> np.
     return np.where(far, edits + 1, score)
 
 
-def _emit_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        held, size = ([], []), 0
-        for line, name in zip(batch["line"], batch["h"]):
-            if held[0] and size + len(line) >= CHUNK:
-                yield _keyed(*held)
-                held, size = ([], []), 0
-            held[0].append(line)
-            held[1].append(name)
-            size += len(line)
-        if held[0]:
-            yield _keyed(*held)
+def _key_rows(bucket_bits: int):
+    """For each bucket of keys, packed: 32 bits of the keys, whose lowest bit tells a probe, and ids and sketches of their lines."""
+
+    def packed(held: list[tuple[list[str], list[int]]]) -> pd.DataFrame:
+        keys, ids, sketches = [], [], []
+        for lines, names in held:
+            number, probe, key, sketch = line_keys(lines)
+            low = np.uint64(32 - bucket_bits)
+            keys.append(((key >> low | np.uint64(1)) ^ np.uint64(1) | probe.astype(np.uint64)) << low)
+            ids.append(np.array(names, np.int64)[number])
+            sketches.append(sketch[number])
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        key, name, sketch = key[order], np.concatenate(ids)[order], np.concatenate(sketches)[order]
+        bucket = (key >> np.uint64(64 - bucket_bits)).astype(np.int64)
+        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        key = (key >> np.uint64(32 - bucket_bits)).astype(np.uint32)
+        rows = zip(bucket[cuts].tolist(), *(np.split(x, cuts[1:]) for x in (key, name, sketch)))
+        return pd.DataFrame([(n, k.tobytes(), v.tobytes(), x.tobytes()) for n, k, v, x in rows], columns=["bucket", "keys", "ids", "sketches"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        held, lines, names, size, count = [], [], [], 0, 0
+        for batch in batches:
+            for line, name in zip(batch["line"], batch["h"]):
+                if name in seen:
+                    continue
+                seen.add(name)
+                if lines and size + len(line) >= CHUNK:
+                    held.append((lines, names))
+                    lines, names, size = [], [], 0
+                lines.append(line)
+                names.append(name)
+                size, count = size + len(line), count + 1
+                if count >= SEND_LINES:
+                    yield packed([*held, (lines, names)])
+                    held, lines, names, size, count = [], [], [], 0, 0
+                    seen.clear()
+        if lines:
+            held.append((lines, names))
+        if held:
+            yield packed(held)
+
+    return run
 
 
-def _keyed(lines: list[str], names: list[int]) -> pd.DataFrame:
-    number, probe, key = line_keys(lines)
-    return pd.DataFrame({"key": key.view(np.int64), "probe": probe, "h": np.array(names, np.int64)[number]})
+def _bucket_pairs(group: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of lines of which one has a segment that the other probes."""
+    keys = np.concatenate([np.frombuffer(x, np.uint32) for x in group["keys"]])
+    ids = np.concatenate([np.frombuffer(x, np.int64) for x in group["ids"]])
+    sketches = np.concatenate([np.frombuffer(x, np.uint64) for x in group["sketches"]])
+    probe = (keys & 1).astype(bool)
+    order = np.lexsort((ids[~probe], keys[~probe]))
+    key, name, sketch = keys[~probe][order], ids[~probe][order], sketches[~probe][order]
+    first = np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])) if len(key) else np.empty(0, bool)
+    key, name, sketch = key[first], name[first], sketch[first]
+    wanted, who, what = keys[probe] & ~np.uint32(1), ids[probe], sketches[probe]
+    low = np.searchsorted(key, wanted)
+    count = np.searchsorted(key, wanted, side="right") - low
+    out = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+    upto = np.cumsum(count)
+    at = 0
+    while at < len(count):  # so many pairs at a time, but each is kept once
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS_AT_ONCE)))
+        own = count[at:end]
+        a = np.repeat(who[at:end], own)
+        place = np.repeat(low[at:end] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        b = name[place]
+        near = (a != b) & _may_be_near(np.repeat(what[at:end], own), sketch[place], EDITS)
+        pairs = pd.DataFrame({"a": np.minimum(a, b)[near], "b": np.maximum(a, b)[near]})
+        out = pd.concat([out, pairs]).drop_duplicates()
+        at = end
+    return out
 
 
 def _verify(edits: int):
@@ -166,22 +237,19 @@ def _verify(edits: int):
     return run
 
 
-def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Pairs (a, b) of ids of different lines within `edits` edits. lines has h and line, of which equal lines have equal h."""
-    keys = materialize(lines.mapInPandas(_emit_keys, "key long, probe boolean, h long").distinct())
-    pairs = _candidates(keys)
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+def near_lines(lines: DataFrame, count: int) -> DataFrame:
+    """Pairs (a, b) of ids of different lines within EDITS edits. lines has about `count` rows with h and line, of which equal lines have equal h."""
+    bucket_bits = 4
+    while 1 << bucket_bits < min(MOST_BUCKETS, count * 15 / BUCKET_KEYS):
+        bucket_bits += 1
+    keys = lines.mapInPandas(_key_rows(bucket_bits), "bucket int, keys binary, ids binary, sketches binary")
+    pairs = materialize(keys.groupBy("bucket").applyInPandas(_bucket_pairs, "a long, b long").distinct())
     wanted = materialize(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct())
     few = wanted.count() <= FEW_LINES
     texts = lines.join(F.broadcast(wanted) if few else wanted, "h").groupBy("h").agg(F.first("line").alias("line"))
     texts = materialize(texts)
     joined = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("a_line")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("b_line")), "b")
-    return joined.select("a", "b", "a_line", "b_line").mapInPandas(_verify(edits), "a long, b long")
-
-
-def _candidates(keys: DataFrame) -> DataFrame:
-    found, probing = keys.where(~F.col("probe")), keys.where("probe")
-    return probing.select("key", F.col("h").alias("a")).join(found.select("key", F.col("h").alias("b")), "key").where(F.col("a") != F.col("b"))
+    return joined.select("a", "b", "a_line", "b_line").mapInPandas(_verify(EDITS), "a long, b long")
 
 
 def _exploded(docs: DataFrame) -> DataFrame:
@@ -190,14 +258,14 @@ def _exploded(docs: DataFrame) -> DataFrame:
     return rows.where(F.length("line") >= MIN_CHARS)
 
 
-def removed_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id and the array `removed` of the places of lines that go, for documents that lose any. docs has doc_id and text."""
     line = _exploded(docs)
     places = materialize(line.select("doc_id", "pos", F.struct(F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2")).alias("key")))
     total = places.count()
     groups = materialize(places.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("times")))
     long = line.where(F.length("line") >= MIN_EDIT_CHARS).select(F.xxhash64("line").alias("h"), "line")
-    pairs = materialize(near_lines(long, edits))
+    pairs = materialize(near_lines(long, total))
     ends = materialize(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct())
     few = ends.count() <= FEW_LINES
     firsts = materialize(groups.select(F.col("key.h").alias("h"), "first").join(F.broadcast(ends) if few else ends, "h"))
@@ -209,10 +277,14 @@ def removed_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("removed"))
 
 
-def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines that go cut from their texts, and the column __removed with their number."""
-    found = removed_lines(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), edits)
-    found = materialize(found).select(F.col("doc_id").alias("__id"), F.col("removed").alias("__gone"))
+    found = removed_lines(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    found = materialize(found)
+    few = found.agg(F.count(F.lit(1)), F.sum(F.size("removed"))).first()
+    if few[0] <= FEW_DOCS and (few[1] or 0) <= 10 * FEW_DOCS:
+        found = F.broadcast(found)
+    found = found.select(F.col("doc_id").alias("__id"), F.col("removed").alias("__gone"))
     lines = F.split(F.col(text_col), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n"))
@@ -220,22 +292,22 @@ def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return joined.withColumn("__removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")).drop("__id", "__gone")
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, kept_sha256.
 
     Lines end at line feeds. A line of at least MIN_CHARS code points goes if an equal line occurs
     earlier, by document id and place, in the input; one of at least MIN_EDIT_CHARS also if a line
-    within `edits` edits of it does. Lines are judged on the input, not on what is left. A null
+    within EDITS edits of it does. Lines are judged on the input, not on what is left. A null
     text counts as empty, with no lines. Rows that repeat an id count as one document, those with a
     null id are kept as they are and count for nothing. An empty table gives an empty result. Long
     lines and texts count whole; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counted = rows.withColumn("n_lines", F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long"))
-    return without_lines(counted, edits=edits).select("doc_id", "n_lines", F.col("__removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+    return without_lines(counted).select("doc_id", "n_lines", F.col("__removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, without the lines that go; a document that loses all its text goes too."""
-    left = without_lines(docs, id_col, text_col, edits)
+    left = without_lines(docs, id_col, text_col)
     return left.where((F.col("__removed") == 0) | (F.trim(F.translate(F.col(text_col), "\n\t\r", "   ")) != "")).drop("__removed")
