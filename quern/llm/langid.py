@@ -46,14 +46,15 @@ def learn_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     samples: dict[str, dict[str, None]] = {}
     for row in drawn.orderBy("lang", "n").collect():  # MAX_LANGUAGES x DOCS_A_LANGUAGE x CHARS_A_DOC characters at most
         samples.setdefault(row["lang"], {})[row["text"]] = None
-    return {lang: "\n".join(texts).lower().encode()[-DICT_BYTES:] for lang, texts in samples.items()}
+    order = [row["lang"] for row in counts.collect()]  # the most frequent first
+    return {lang: "\n".join(samples[lang]).lower().encode()[-DICT_BYTES:] for lang in order if lang in samples}
 
 
 class Scorer:
-    """Compresses lower-cased texts with each language's dictionary."""
+    """Compresses lower-cased texts with each language's dictionary; of equal sizes the first language wins."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.langs = sorted(dictionaries)
+        self.langs = list(dictionaries)
         self.packers = [[self._packer(dictionaries[lang], level) for lang in self.langs] for level in LEVELS]
 
     @staticmethod
@@ -63,8 +64,8 @@ class Scorer:
         return zstandard.ZstdCompressor(dict_data=held, write_checksum=False, write_content_size=False)
 
     def _ranked(self, packers: list[zstandard.ZstdCompressor], pieces: list[bytes]) -> tuple[str, float]:
-        sizes = sorted((sum(len(p.compress(x)) for x in pieces), lang) for p, lang in zip(packers, self.langs))
-        return sizes[0][1], 1.0 if len(sizes) == 1 else 1.0 - sizes[0][0] / sizes[1][0]
+        sizes = sorted((sum(len(p.compress(x)) for x in pieces), n) for n, p in enumerate(packers))
+        return self.langs[sizes[0][1]], 1.0 if len(sizes) == 1 else 1.0 - sizes[0][0] / sizes[1][0]
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score from 0 to 1, and whether the text is rejected."""
@@ -83,7 +84,7 @@ def predict_languages(docs: DataFrame, dictionaries: dict[str, bytes], id_col: s
     """One row per document: doc_id, lang_pred, score, rejected.
 
     A null text or one without letters is `und` with score 0 and rejected, as is every text if no
-    language was learned. Equal sizes go to the first language by name. Very long texts count
+    language was learned. Equal sizes go to the language with more documents. Very long texts count
     whole, piece by piece. Other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)
