@@ -27,9 +27,9 @@ from .workspace import materialize
 SPAN = 50
 GRAM = 16
 #: String beginnings handled at once, and segments after which a task sends what it has.
-PIECE, SEND = 1 << 16, 1 << 21
+PIECE, SEND = 1 << 16, 1 << 20
 #: Anchors in a bucket, on average.
-BUCKET_ANCHORS, MOST_BUCKETS = 1 << 17, 1 << 14
+BUCKET_ANCHORS, MOST_BUCKETS = 1 << 16, 1 << 14
 #: Bits of the filter of repeated anchors: for each of them, and at most.
 BITS_EACH, MAX_BITS, PROBES = 12, 1 << 28, 4
 
@@ -94,7 +94,7 @@ def segments_of(data: np.ndarray, starts: np.ndarray, span: int = SPAN, gram: in
     first = places[new[places]]
     # places inside a document and segment follow one another
     number = np.cumsum(new[places]) - 1
-    return first, np.bincount(number, minlength=len(first)), h[anchor[first]] & ~_ONE
+    return first, np.bincount(number, minlength=len(first)), _mixed(h[anchor[first]] ^ _ODD) & ~_ONE  # mixed once more, as the smallest hashes are all alike in their upper bits
 
 
 def _packed(x: np.ndarray) -> bytes:
