@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Marks before a part of a name, brackets that count as round ones, and general endings of names.
 SEPARATORS = "-－—·(（_"
@@ -48,7 +49,7 @@ def rule_score(a: Column, b: Column) -> Column:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def letter_score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Likeness by matching blocks, for names that no rule decides."""
     for left, right in pairs:

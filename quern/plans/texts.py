@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import text as T
@@ -88,7 +89,7 @@ def dd15_run_candidates(t: Tables) -> DataFrame:
     return _run_candidates(t.benchmark.select(F.col("item_id").alias("id"), T.squash(F.col("text")).alias("body")))
 
 
-@F.pandas_udf("coverage double, longest int")
+@F.pandas_udf(StructType([StructField("coverage", DoubleType()), StructField("longest", IntegerType())]))
 def overlap(left: pd.Series, right: pd.Series) -> pd.DataFrame:
     """Share of the shorter text in matching blocks of MIN_RUN characters or more, and the longest such block."""
     rows = []
