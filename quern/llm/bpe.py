@@ -100,7 +100,7 @@ class BpeEncoder:
         self.special, self.path = automaton["special"], automaton["path"]
         self.divider = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.symbols, self.tokenizer = byte_symbols(), None
-        self.memory = PieceMemory(self._learn, 500_000)
+        self.memory = PieceMemory(self._learn, 200_000)
 
     def word(self, word: bytes) -> list[int]:
         """The token numbers of one pre-split word."""
@@ -179,6 +179,7 @@ def _mapped(docs: DataFrame, tokenizer_path: str, columns: dict[str, str], row,
         coder = encoder(held.value)
         for batch in batches:
             yield pd.DataFrame([(name, *row(coder, value)) for name, value in zip(batch["doc_id"], batch["value"])], columns=["doc_id", *columns])
+        coder.memory.known.clear()  # the worker may serve other tasks next
 
     return docs.mapInPandas(run, schema)
 

@@ -25,7 +25,7 @@ MIN_EDIT_CHARS = 40
 #: Characters whose substrings are hashed at once.
 CHUNK = 1 << 19
 #: Lines whose keys a task sends at once, keys in a bucket on average, buckets at most, and pairs made at once.
-SEND_LINES, BUCKET_KEYS, MOST_BUCKETS, PAIRS_AT_ONCE = 1 << 17, 1 << 20, 1 << 14, 1 << 22
+SEND_LINES, BUCKET_KEYS, MOST_BUCKETS, PAIRS_AT_ONCE = 1 << 15, 1 << 20, 1 << 14, 1 << 20
 #: Line ids, and documents with lines that go, up to this number are broadcast.
 FEW_LINES, FEW_DOCS = 200_000, 200_000
 

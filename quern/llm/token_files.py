@@ -130,6 +130,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, id_col: st
                 starts.append(at)
                 sizes.append(len(found) // encode.ids_type.itemsize)
                 at += sizes[-1]
+        encode.memory.known.clear()  # the worker may serve other tasks next
         if fs is not None:
             writer.close()
             index = pa.table({"doc_id": pa.array(ids, from_pandas=True), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(sizes, pa.int64())})

@@ -26,7 +26,7 @@ GRAMS = (3, 4)
 VOCABULARY, LEAST_DOCS = 20_000, 4
 #: Documents of label 0 and 1, and their longest text, that the network is fitted on.
 SAMPLE_DOCS, SAMPLE_CHARS = (1600, 600), 5000
-ROUNDS, BATCH, RATE, DECAY, DROPPED = 6, 64, 0.01, 0.02, 0.15
+ROUNDS, STEPS, BATCH, RATE, DECAY, DROPPED = 6, 300, 64, 0.01, 0.02, 0.15
 #: Share of the sample by which scores are set so that THRESHOLD parts the labels best.
 HELD_BACK = 0.2
 #: Words whose inputs are remembered, and windows scored at once.
@@ -304,7 +304,8 @@ def _fitted(texts: list[str], labels: list[int], seed: int) -> Network:
     spans = [(n, a, b) for n, x in enumerate(split) for a, b in windows_of(len(x))]
     owner = np.array([n for n, _, _ in spans])
     step = 0
-    for turn in range(ROUNDS):
+    rounds = max(ROUNDS, -(-STEPS * BATCH // max(1, 3 * len(texts))))
+    for turn in range(rounds):
         scorer = Scorer(network)
         scorer.inputs = network.inputs(words)
         rank = _telling(doc_ids, y, len(words), spans) if turn == 0 else scorer.windows([doc_ids[n][a:b] for n, a, b in spans])
@@ -326,7 +327,7 @@ def _fitted(texts: list[str], labels: list[int], seed: int) -> Network:
             at, each = _members(some, starts, counts)
             owners = [n for n, _, _ in batch]
             step += 1
-            rate = RATE * (1 - 0.9 * turn / ROUNDS) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            rate = RATE * (1 - 0.9 * turn / rounds) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, g in network.gradients(index[some], grams[at], each, local.reshape(ids.shape), mask, y[owners], weight[owners]).items():
                 first[k] += 0.1 * (g - first[k])
                 second[k] += 0.001 * (g * g - second[k])
