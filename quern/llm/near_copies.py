@@ -1,0 +1,165 @@
+"""Near copies by Jaccard similarity of word shingles: candidates by MinHash bands, each verified exactly.
+
+Documents of the same shingles are one. The others are dealt into buckets by bands of MinHash
+values, and those that share a bucket are joined to its smallest document; what these links reach
+is a candidate group. A document's shingles are then sent to its group alone, where every pair is
+compared by its exact similarity, in cells of two parts if the group is large.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .components import components
+from .simhash import _joined, shingle_hashes
+from .workspace import join_groups, materialize
+
+SHINGLE_WORDS = 5
+#: Least similarity of near copies, as a fraction so that it is compared in whole numbers.
+LEAST = (4, 5)
+#: A pair at 0.8 shares none of the bands with probability (1 - 0.8^6)^32, which is 6 in 100,000.
+BANDS, BAND_ROWS = 32, 6
+#: Documents in a part of a group, up to FEW_PARTS parts and beyond, and shingles in a part.
+SMALL_PART, FEW_PARTS, PART, PART_SHINGLES = 256, 8, 2048, 1_000_000
+#: Ids up to which these are broadcast.
+FEW_IDS = 1_000_000
+
+_draw = np.random.default_rng(42)
+_TIMES = _draw.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _draw.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
+    return x ^ (x >> np.uint64(32))
+
+
+def shingle_set(text: str | None, words_each: int = SHINGLE_WORDS) -> np.ndarray:
+    """Different hashes of a text's shingles, in order; none for a text without words."""
+    return np.unique(shingle_hashes(text, words_each))
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """A key for each band of the MinHash values of a set that isn't empty."""
+    least = np.full(BANDS * BAND_ROWS, np.uint64((1 << 64) - 1))
+    for i in range(0, len(found), 1024):
+        least = np.minimum(least, (found[i : i + 1024, None] * _TIMES + _PLUS).min(axis=0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        key = _mixed(key ^ _mixed(row))
+    return key
+
+
+def _described(words_each: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text in batch["text"]:
+                found = shingle_set(text, words_each)
+                k1, k2 = (np.bitwise_xor.reduce(_mixed(found + np.uint64(x)), initial=np.uint64(len(found))) for x in (1, 2))
+                rows.append((k1.view(np.int64), k2.view(np.int64), len(found), band_keys(found).view(np.int64) if len(found) else []))
+            yield pd.DataFrame(rows, columns=["k1", "k2", "n", "bands"]).assign(doc_id=batch["doc_id"].to_numpy())
+
+    return run
+
+
+def similar_classes(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the index of the first one that links reach; every pair that may link is compared exactly."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    order = np.argsort(size, kind="stable")
+    size, start = size[order], np.append(0, np.cumsum(size[order]))
+    code = np.unique(np.concatenate([sets[x] for x in order]), return_inverse=True)[1]
+    held = np.zeros(int(code.max()) + 1 if len(code) else 1, bool)
+    labels = np.arange(len(sets))
+    for i in range(len(sets)):
+        end = int(np.searchsorted(size, size[i] * LEAST[1] // LEAST[0], side="right"))  # larger ones are less alike
+        if end <= i + 1 or (labels[i:end] == labels[i]).all():
+            continue
+        held[code[start[i] : start[i + 1]]] = True
+        common = np.add.reduceat(held[code[start[i + 1] : start[end]]], start[i + 1 : end] - start[i + 1], dtype=np.int64)
+        held[code[start[i] : start[i + 1]]] = False
+        near = np.flatnonzero(LEAST[1] * common >= LEAST[0] * (size[i] + size[i + 1 : end] - common)) + i + 1
+        labels = _joined(labels, np.full(len(near), i), near)
+    out = np.empty(len(sets), np.int64)
+    out[order] = order[labels]
+    return out
+
+
+def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    keys = ["component", "i", "j"]
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        nodes = rows["doc"].to_numpy()
+        root = similar_classes([np.frombuffer(x, np.uint64) for x in rows["shingles"]])
+        own = root != np.arange(len(root))
+        return pd.DataFrame({"a": nodes[own], "b": nodes[root[own]]})
+
+    held = None
+    for batch in batches:  # sorted by cell; the last cell may go on in the next batch
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        at = rows[keys].to_numpy()
+        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1), len(rows)]
+        for a, b in zip(cuts, cuts[1:-1]):
+            if b - a > 1:
+                yield links(rows.iloc[a:b])
+        held = rows.iloc[cuts[-2] :]
+    if held is not None and len(held) > 1:
+        yield links(held)
+
+
+def _candidates(groups: DataFrame) -> DataFrame:
+    """node, component of the documents that share a bucket with another one, directly or over others."""
+    keyed = groups.where("n > 0").select("doc", F.explode("bands").alias("key"))
+    buckets = materialize(keyed.groupBy("key").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("count")).where("count > 1"))
+    total = buckets.agg(F.sum("count")).first()[0] or 0
+    return components(join_groups(keyed, buckets, "key", "count", total).select(F.col("doc").alias("a"), F.col("least").alias("b")))
+
+
+def _hashed(words_each: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.drop(columns="text").assign(shingles=[shingle_set(x, words_each).tobytes() for x in batch["text"]]).query("shingles != b''")
+
+    return run
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = SHINGLE_WORDS) -> DataFrame:
+    """doc_id, component_id of the documents that have a near copy; a component is named by the smallest id that links reach.
+
+    Two documents link if their sets of lower-case word shingles have a Jaccard similarity of LEAST
+    or more; texts of fewer words are one shingle, and texts without words are alike. A pair at
+    0.8 is looked at but for 6 in 100,000, a more alike one more surely. Whole texts count.
+    """
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = materialize(texts.mapInPandas(_described(words_each), "doc_id long, k1 long, k2 long, n long, bands array<long>").withColumn("key", F.struct("k1", "k2")).drop("k1", "k2"))
+    groups = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    found = materialize(_candidates(groups))
+    sized = found.join(groups.select(F.col("doc").alias("node"), "n"), "node").groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
+    parts = F.greatest(F.least(F.ceil(F.col("docs") / SMALL_PART), F.lit(FEW_PARTS)), F.ceil(F.col("docs") / PART), F.ceil(F.col("n") / PART_SHINGLES)).cast("int")
+    sized = materialize(sized.select("component", parts.alias("parts"), "docs"))
+    placed = materialize(join_groups(found, sized, "component", "docs", found.count()).select(F.col("node").alias("doc"), "component", "parts"))
+    few = placed.count() <= FEW_IDS
+    sent = texts.withColumnRenamed("doc_id", "doc").join(F.broadcast(placed) if few else placed, "doc")
+    sent = sent.mapInPandas(_hashed(words_each), "doc long, component long, parts int, shingles binary")
+    sent = sent.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    order = ["component", "i", "j"]
+    cells = sent.select("doc", "component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "shingles")
+    cells = cells.repartition(*order).sortWithinPartitions(*order)
+    linked = components(cells.mapInPandas(_verified, "a long, b long"))
+    named = groups.join(linked, groups["doc"] == linked["node"], "left").where((F.col("copies") > 1) | F.col("component").isNotNull())
+    named = materialize(named.select("key", "copies", F.coalesce("component", "doc").alias("component_id")))
+    total = named.agg(F.sum("copies")).first()[0] or 0
+    return join_groups(rows.select("doc_id", "key"), named, "key", "copies", total).select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with one, of the smallest id, of each component, with all their columns. A document with a null id stays."""
+    found = near_copies(docs, id_col, text_col)
+    dropped = materialize(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct())
+    return docs.join(F.broadcast(dropped) if dropped.count() <= FEW_IDS else dropped, id_col, "left_anti").select(docs.columns)

@@ -47,19 +47,26 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprint(text: str | None, words_each: int = SHINGLE_WORDS, second: bool = False) -> tuple[int, int]:
-    """Unsigned 64-bit SimHash of a text's word shingles, and another one of other hashes, or 0 if it is not asked for; 0 for a text without words."""
+def shingle_hashes(text: str | None, words_each: int) -> np.ndarray:
+    """Hashes of a text's word shingles, one for the whole of a shorter text, none for a text without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0, 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= words_each:
-        found = xxhash.xxh64_intdigest(joined, SEED)
-        return found, int(_second(np.array([found], np.uint64))[0]) if second else 0
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
     starts = [0, *[x + 1 for x in ends]]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[words_each - 1 :])), np.uint64, len(words) - words_each + 1)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[words_each - 1 :])), np.uint64, len(words) - words_each + 1)
+
+
+def fingerprint(text: str | None, words_each: int = SHINGLE_WORDS, second: bool = False) -> tuple[int, int]:
+    """Unsigned 64-bit SimHash of a text's word shingles, and another one of other hashes, or 0 if it is not asked for; 0 for a text without words."""
+    hashes = shingle_hashes(text, words_each)
+    if len(hashes) < 2:
+        found = int(hashes[0]) if len(hashes) else 0
+        return found, int(_second(hashes)[0]) if second and len(hashes) else 0
     return _majority(hashes), _majority(_second(hashes)) if second else 0
 
 
@@ -183,19 +190,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = prints.join(found, prints["doc"] == found["node"], "left").select(F.struct("fp", "fp2").alias("prints"), "copies", F.coalesce("component", "doc").alias("component_id"))
     joined = join_groups(rows.withColumn("prints", F.struct("fp", "fp2")), materialize(named), "prints", "copies", total or 0)
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: Ids of documents that go, up to which these are broadcast.
-FEW_DROPPED = 1_000_000
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, radius: int = 10, confirm: int = 14) -> DataFrame:
-    """The documents with one, of the smallest id, of each component, with all their columns.
-
-    The defaults are for texts of which about 0.8 or more of the five-word shingles agree: such
-    texts differ in some ten of 64 bits at most, and second fingerprints keep unlike texts apart. A
-    document with a null id stays.
-    """
-    found = near_duplicates(docs, id_col, text_col, words_each, radius, confirm)
-    dropped = materialize(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)))
-    return docs.join(F.broadcast(dropped) if dropped.count() <= FEW_DROPPED else dropped, id_col, "left_anti")

@@ -354,3 +354,34 @@ def test_pipeline_stages(spark, docs, tmp_path):
             out.write.parquet(f"{tmp_path}/{n}.parquet")
             kept = spark.read.parquet(f"{tmp_path}/{n}.parquet")
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == kept.count() > 0
+
+
+@pytest.mark.parametrize("parts", [None, 3])
+def test_near_copies(spark, tmp_path, parts, monkeypatch):
+    import corpus_pipeline
+
+    if parts:
+        from quern.llm import near_copies
+
+        monkeypatch.setattr(near_copies, "SMALL_PART", parts)
+    rng = random.Random(11)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 150, 300]))]
+        for edits in (0, 0.01, 0.02, 0.025, 0.03, 0.04, 0.06, 0.1):
+            texts.append(" ".join("new" + w if rng.random() < edits else w for w in words))
+    texts += ["", " ", "one two", "One  two", "one three", texts[0].upper()]
+
+    def shingles(text):
+        w = text.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [shingles(x) for x in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    docs = spark.createDataFrame([(None, texts[0]), *enumerate(texts)], "doc_id long, text string")
+    kept = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()]
+    assert kept.count(None) == 1 and sorted(x for x in kept if x is not None) == sorted(set(root))
+    assert len(set(root)) > 20
