@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from .workspace import join_groups, materialize
 
-#: Edits allowed, and code points from which lines take part: in the exact comparison, and in that with edits.
+#: Edits allowed, and code points from which lines take part: in the exact comparison (blank lines never do), and in that with so many edits, or with one.
 EDITS = 2
-MIN_CHARS = 10
+MIN_CHARS = 1
 MIN_EDIT_CHARS = 40
+MIN_ONE_EDIT_CHARS = 20
 #: Characters whose substrings are hashed at once.
 CHUNK = 1 << 19
 #: Lines whose keys a task sends at once, keys in a bucket on average, buckets at most, and pairs made at once.
@@ -33,6 +34,11 @@ _P = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
+def allowed(length: int) -> int:
+    """Edits within which a line goes, by the length of the shorter of two."""
+    return EDITS if length >= MIN_EDIT_CHARS else min(1, EDITS) if length >= MIN_ONE_EDIT_CHARS else 0
+
+
 def segments(length: int, edits: int = EDITS) -> list[tuple[int, int]]:
     """Start and length of the segments of a line."""
     count = edits + 1
@@ -77,8 +83,9 @@ def _plan(length: int) -> np.ndarray:
     if length not in _plans:
         if len(_plans) > 20_000:
             _plans.clear()
-        index = [(0, length, n, a, b) for n, (a, b) in enumerate(segments(length))]
-        _plans[length] = np.array(index + [(1, *x) for x in probes(length)], np.int64)
+        index = [(0, length, n, a, b) for n, (a, b) in enumerate(segments(length, allowed(length)))]
+        found = [x for edits in {allowed(length), allowed(length - EDITS)} - {0} for x in probes(length, edits) if allowed(x[0]) == edits]
+        _plans[length] = np.array(index + [(1, *x) for x in found], np.int64)
     return _plans[length]
 
 
@@ -231,14 +238,15 @@ def _verify(edits: int):
                 step = max(1, (1 << 22) // int(rows["a_line"].map(len).max() + 1))
                 for i in range(0, len(rows), step):
                     part = rows.iloc[i : i + step]
-                    near = edit_distances(part["a_line"].tolist(), part["b_line"].tolist(), edits) <= edits
+                    a, b = part["a_line"].tolist(), part["b_line"].tolist()
+                    near = edit_distances(a, b, edits) <= np.array([allowed(min(len(x), len(y))) for x, y in zip(a, b)])
                     yield part.loc[near, ["a", "b"]]
 
     return run
 
 
 def near_lines(lines: DataFrame, count: int) -> DataFrame:
-    """Pairs (a, b) of ids of different lines within EDITS edits. lines has about `count` rows with h and line, of which equal lines have equal h."""
+    """Pairs (a, b) of ids of different lines within the edits allowed. lines has about `count` rows with h and line, of which equal lines have equal h."""
     bucket_bits = 4
     while 1 << bucket_bits < min(MOST_BUCKETS, count * 15 / BUCKET_KEYS):
         bucket_bits += 1
@@ -255,7 +263,7 @@ def near_lines(lines: DataFrame, count: int) -> DataFrame:
 def _exploded(docs: DataFrame) -> DataFrame:
     """doc_id, pos and line of every line that takes part."""
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.where(F.length("line") >= MIN_CHARS)
+    return rows.where((F.length("line") >= MIN_CHARS) & F.col("line").rlike(r"[^\s]"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -264,7 +272,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     places = materialize(line.select("doc_id", "pos", F.struct(F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2")).alias("key")))
     total = places.count()
     groups = materialize(places.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("times")))
-    long = line.where(F.length("line") >= MIN_EDIT_CHARS).select(F.xxhash64("line").alias("h"), "line")
+    long = line.where(F.length("line") >= MIN_ONE_EDIT_CHARS).select(F.xxhash64("line").alias("h"), "line")
     pairs = materialize(near_lines(long, total))
     ends = materialize(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct())
     few = ends.count() <= FEW_LINES
@@ -295,9 +303,9 @@ def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, kept_sha256.
 
-    Lines end at line feeds. A line of at least MIN_CHARS code points goes if an equal line occurs
-    earlier, by document id and place, in the input; one of at least MIN_EDIT_CHARS also if a line
-    within EDITS edits of it does. Lines are judged on the input, not on what is left. A null
+    Lines end at line feeds. A line that isn't blank goes if an equal line occurs earlier, by
+    document id and place, in the input; also if a line within EDITS edits of it does and both have
+    MIN_EDIT_CHARS code points, or one within one edit and both have MIN_ONE_EDIT_CHARS. Lines are judged on the input, not on what is left. A null
     text counts as empty, with no lines. Rows that repeat an id count as one document, those with a
     null id are kept as they are and count for nothing. An empty table gives an empty result. Long
     lines and texts count whole; other columns are not read.

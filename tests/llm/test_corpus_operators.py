@@ -385,3 +385,21 @@ def test_near_copies(spark, tmp_path, parts, monkeypatch):
     kept = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()]
     assert kept.count(None) == 1 and sorted(x for x in kept if x is not None) == sorted(set(root))
     assert len(set(root)) > 20
+
+
+
+def test_short_lines(spark):
+    line = "a line of some thirty letters."
+    texts = ["Les.\n" + line + "\n \n", "Les.\n" + line.replace("some", "same") + "\n \n", "Le.\n" + line.replace("some", "sane") + "\nfew letters here\n", "few letters hers\nLe."]
+    # either side of the length from which two edits are allowed
+    long = "a line that is of just forty characters."
+    texts += [long, long[:-2], long[:-1] + "!x", long[1:]]
+    assert len(line) == 30 and len(long) == 40
+    found = by_id(line_dedup.line_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    lines, first, gone = [(i, p, x) for i, t in enumerate(texts) for p, x in enumerate(t.split("\n"))], [], [0] * len(texts)
+    for i, _, x in lines:
+        fits = lambda y: 2 if min(len(x), len(y)) >= 40 else 1 if min(len(x), len(y)) >= 20 else 0  # noqa: B023, E731
+        gone[i] += bool(x.strip()) and any(edit_distance(x, y) <= fits(y) for y in first)
+        first.append(x)
+    assert [found[i]["n_removed"] for i in range(len(texts))] == gone
+    assert gone[:4] == [0, 2, 1, 1] and gone[7] == 1
