@@ -26,8 +26,11 @@ PIECE_CHARS = 2048
 #: Compression levels: a fast one, and a thorough one where the fast one's margin is below CLEAR_MARGIN.
 LEVELS = (3, 10)
 CLEAR_MARGIN = 0.05
-#: Texts whose best two languages then differ by a smaller share than this are rejected.
-REJECT_MARGIN = 0.001
+#: Texts whose best two languages then differ by a smaller share, or by fewer bytes, than this are rejected.
+REJECT_MARGIN = 0.015
+REJECT_BYTES = 4
+#: Shorter texts often tie in any language: they are only rejected for letters that no sample has.
+SHORT_BYTES = 64
 #: Margin that counts as certain.
 FULL_MARGIN = 0.08
 
@@ -55,6 +58,7 @@ class Scorer:
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.langs = list(dictionaries)
+        self.letters = set().union(*(_LETTER.findall(x.decode(errors="ignore")) for x in dictionaries.values()))
         self.packers = [[self._packer(dictionaries[lang], level) for lang in self.langs] for level in LEVELS]
 
     @staticmethod
@@ -63,9 +67,12 @@ class Scorer:
         held.precompute_compress(level=level)
         return zstandard.ZstdCompressor(dict_data=held, write_checksum=False, write_content_size=False)
 
-    def _ranked(self, packers: list[zstandard.ZstdCompressor], pieces: list[bytes]) -> tuple[str, float]:
+    def _ranked(self, packers: list[zstandard.ZstdCompressor], pieces: list[bytes]) -> tuple[str, float, bool]:
         sizes = sorted((sum(len(p.compress(x)) for x in pieces), n) for n, p in enumerate(packers))
-        return self.langs[sizes[0][1]], 1.0 if len(sizes) == 1 else 1.0 - sizes[0][0] / sizes[1][0]
+        if len(sizes) == 1:
+            return self.langs[0], 1.0, False
+        margin = 1.0 - sizes[0][0] / sizes[1][0]
+        return self.langs[sizes[0][1]], margin, margin < REJECT_MARGIN or sizes[1][0] - sizes[0][0] < REJECT_BYTES
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score from 0 to 1, and whether the text is rejected."""
@@ -74,17 +81,20 @@ class Scorer:
         text = text.lower()
         pieces = [text[i : i + PIECE_CHARS].encode() for i in range(0, len(text), PIECE_CHARS)]
         for packers in self.packers:
-            lang, margin = self._ranked(packers, pieces)
+            lang, margin, unclear = self._ranked(packers, pieces)
             if margin >= CLEAR_MARGIN:
                 break
-        return lang, min(1.0, margin / FULL_MARGIN), margin < REJECT_MARGIN
+        if len(text.encode()) < SHORT_BYTES:
+            unclear = not self.letters.issuperset(_LETTER.findall(text))
+        return lang, min(1.0, margin / FULL_MARGIN), unclear
 
 
 def predict_languages(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, lang_pred, score, rejected.
 
     A null text or one without letters is `und` with score 0 and rejected, as is every text if no
-    language was learned. Equal sizes go to the language with more documents. Very long texts count
+    language was learned, or one that fits no language clearly better than another; one under
+    SHORT_BYTES only if it has letters that no language's sample has. Equal sizes go to the language with more documents. Very long texts count
     whole, piece by piece. Other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)

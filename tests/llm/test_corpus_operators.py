@@ -387,6 +387,21 @@ def test_near_copies(spark, tmp_path, parts, monkeypatch):
     assert len(set(root)) > 20
 
 
+def test_language_id_rejects_gibberish(spark):
+    rng = random.Random(8)
+    other = "der alte mühle stein mahlt korn bis abend licht fällt über stille felder wo vieh ruht".split()
+    clean = [(i, sentence(rng, 30), "en") if i % 2 else (i, " ".join(rng.choice(other) for _ in range(30)), "de") for i in range(60)]
+
+    def junk(letters, n):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+    gibberish = [(100 + i, junk("abcdefghijklmnopqrstuvwxyz" if i % 2 else "0123456789abcdef", 400), "en") for i in range(40)]
+    short = [(200, "Die.", "de"), (201, "A.", "en")]
+    docs = spark.createDataFrame(clean + gibberish + short + [(202, "北京", "zh")], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in langid.drop_unidentified(docs, langid.learn_dictionaries(docs.where("doc_id < 60"))).collect()}
+    assert kept >= {*range(60), 200, 201} and 202 not in kept
+    assert sum(100 <= x < 200 for x in kept) <= 2
+
 
 def test_short_lines(spark):
     line = "a line of some thirty letters."
