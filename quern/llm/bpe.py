@@ -5,8 +5,10 @@ merges one after another: the gadget of a merge (u, v) -> w gives w the arcs int
 lets w lead to a copy of v's state, and takes the arc v from u's state, which from then on is a
 state of its own. What it accepts in the end are exactly the sequences that the merges produce, and
 every text has one such sequence. States are held as bit rows over classes of arcs that no state
-tells apart. A word is encoded by transitions alone: of the tokens that end at a place, the one
-whose arc leaves the state reached at its beginning is kept. Decoding emits the labels of the arcs.
+tells apart. To encode, arcs are spelt out in bytes and the result made deterministic as far as
+words need it: a configuration holds the arcs under way, each with the state that it left, and the
+arc that has just ended. A word runs forward through the table of configurations, one step a byte,
+and the arcs that ended along its way are its tokens. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import BYTE_PIECES, PieceMemory, is_plain
+from .workspace import small_batches, tidy
+
+#: Configurations, and encoded words, that a Python worker remembers; beyond, it begins anew.
+MOST_CONFIGURATIONS, MOST_WORDS = 1 << 17, 200_000
 
 _compiled: dict[str, dict] = {}
 _encoders: dict[str, BpeEncoder] = {}
@@ -35,6 +42,20 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
+def _classes(columns: np.ndarray) -> np.ndarray:
+    """The first of the equal columns of each column, found by hashes and then compared bit by bit."""
+    rng = np.random.default_rng(1)
+    found = np.zeros(columns.shape[1], np.uint64)
+    for row, odd in zip(columns, rng.integers(0, 1 << 63, len(columns), np.uint64) * np.uint64(2) + np.uint64(1)):
+        mixed = (row ^ (row >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        found += (mixed ^ (mixed >> np.uint64(29))) * odd
+    _, first, group = np.unique(found, return_index=True, return_inverse=True)
+    first = first[group]
+    if not all((row == row[first]).all() for row in columns):
+        raise ValueError("columns that differ have equal hashes")
+    return first
+
+
 def compile_merges(merges: list[tuple[int, int]], bytes_first: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """States, arc classes and the packed table of allowed arcs by state and class.
 
@@ -44,23 +65,22 @@ def compile_merges(merges: list[tuple[int, int]], bytes_first: int = 256) -> tup
     count = bytes_first + len(merges)
     allowed = np.zeros((count // 64 + 1, count), np.uint64)  # bit p of column t: the state after p has arc t
     allowed[: bytes_first // 64, :bytes_first] = ~np.uint64(0)
-    one = np.uint64(1)
+    one, held = np.uint64(1), np.empty(count, np.uint64)
     for w, (u, v) in enumerate(merges, bytes_first):
         group, bit = w >> 6, np.uint64(w & 63)
-        allowed[group, :w] |= ((allowed[v >> 6, :w] >> np.uint64(v & 63)) & one) << bit
+        copied = np.bitwise_and(np.right_shift(allowed[v >> 6, :w], np.uint64(v & 63), out=held[:w]), one, out=held[:w])
+        allowed[group, :w] |= np.left_shift(copied, bit, out=copied)
         allowed[u >> 6, v] &= ~(one << np.uint64(u & 63))
         allowed[: group + 1, w] = allowed[: group + 1, u]
-    classes: dict[bytes, int] = {}
-    arc_class = np.array([classes.setdefault(allowed[:, t].tobytes(), len(classes)) for t in range(count)], np.int32)
-    first = np.unique(arc_class, return_index=True)[1]
-    allowed = allowed[:, first]
+    first, arc_class = np.unique(_classes(allowed), return_inverse=True)
+    allowed = np.ascontiguousarray(allowed[:, first])
     states: dict[bytes, int] = {}
     state = np.empty(count, np.int32)
     for group in range(len(allowed)):
         rows = np.packbits((allowed[group][None, :] >> np.arange(64, dtype=np.uint64)[:, None]).astype(np.uint8) & 1, axis=1, bitorder="little")
         for p in range(64 * group, min(64 * group + 64, count)):
             state[p] = states.setdefault(rows[p - 64 * group].tobytes(), len(states))
-    return state, arc_class, np.frombuffer(b"".join(states), np.uint8).reshape(len(states), -1)
+    return state, arc_class.astype(np.int32), np.frombuffer(b"".join(states), np.uint8).reshape(len(states), -1)
 
 
 def compile_vocabulary(path: str) -> dict:
@@ -81,60 +101,106 @@ def compile_vocabulary(path: str) -> dict:
             "ids": [vocabulary[name] for name in names],
             "state": state,
             "arc_class": arc_class,
-            "table": table,
+            "width": table.shape[1],
+            "table": table.tobytes(),
             "special": {x["content"]: x["id"] for x in spec["added_tokens"]},
         }
     return _compiled[path]
 
 
+class Transitions:
+    """The automaton over bytes, made deterministic as words need it.
+
+    Configuration 0 is the beginning. Another one is the token that has just ended, and the pairs of
+    a node in the tree of labels and the state from which that label is being read.
+    """
+
+    def __init__(self, automaton: dict, most: int = MOST_CONFIGURATIONS):
+        self.table, self.width, self.most = automaton["table"], automaton["width"], most
+        self.state, self.arc_class = automaton["state"].tolist(), automaton["arc_class"].tolist()
+        self.sizes = [len(x) for x in automaton["labels"]]
+        self.child: dict[int, int] = {}
+        self.ends, self.inner = [-1], bytearray(1)
+        for number, label in enumerate(automaton["labels"]):
+            at = 0
+            for b in label:
+                self.inner[at] = 1
+                below = self.child.get(at << 8 | b)
+                if below is None:
+                    below = self.child[at << 8 | b] = len(self.ends)
+                    self.ends.append(-1)
+                    self.inner.append(0)
+                at = below
+            self.ends[at] = number
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[tuple, int] = {}
+        self.reading: list[tuple[int, ...]] = [(0,)]  # node and state in one number; state 0 stands for the beginning, which has all arcs
+        self.ended = [-1]
+        self.next: dict[int, int] = {}
+
+    def _step(self, at: int, byte: int) -> int:
+        token, reading = -1, []
+        for pair in self.reading[at]:
+            node = self.child.get((pair >> 32) << 8 | byte)
+            if node is None:
+                continue
+            left, number = pair & 0xFFFFFFFF, self.ends[node]
+            if number >= 0 and token < 0:
+                arc = self.arc_class[number]
+                if left == 0 or self.table[(left - 1) * self.width + (arc >> 3)] >> (arc & 7) & 1:
+                    token = number
+            if self.inner[node]:
+                reading.append(node << 32 | left)
+        reading.append(self.state[token] + 1)
+        key = (token, *reading)
+        found = self.known.get(key)
+        if found is None:
+            found = self.known[key] = len(self.reading)
+            self.reading.append(tuple(reading))
+            self.ended.append(token)
+        self.next[at << 8 | byte] = found
+        return found
+
+    def tokens(self, word: bytes) -> list[int]:
+        """The token numbers of one pre-split word."""
+        if len(self.reading) > self.most:
+            self.clear()
+        at, following, path = 0, self.next.get, []
+        for byte in word:
+            before, at = at, following(at << 8 | byte)
+            if at is None:
+                at = self._step(before, byte)
+            path.append(at)
+        out, i = [], len(word) - 1
+        while i >= 0:
+            out.append(self.ended[path[i]])
+            i -= self.sizes[out[-1]]
+        return out[::-1]
+
+
 class BpeEncoder:
     """Encodes and decodes with a compiled automaton."""
 
     def __init__(self, automaton: dict):
-        self.rows = [row.tobytes() for row in automaton["table"]]
-        self.state, self.arc_class = automaton["state"].tolist(), automaton["arc_class"].tolist()
+        self.transitions = Transitions(automaton)
         self.ids = automaton["ids"]
-        self.token = {label: n for n, label in enumerate(automaton["labels"])}
-        self.longest = max(map(len, self.token))
+        self.kind = "H" if max(self.ids) < 1 << 16 else "I"
         self.label = dict(zip(self.ids, automaton["labels"])) | {n: x.encode() for x, n in automaton["special"].items()}
+        self.digits = {n: b"%d" % n for n in self.label}
         self.special, self.path = automaton["special"], automaton["path"]
         self.divider = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.symbols, self.tokenizer = byte_symbols(), None
-        self.memory = PieceMemory(self._learn, 200_000)
+        self.memory = PieceMemory(self._learn, MOST_WORDS)
 
     def word(self, word: bytes) -> list[int]:
         """The token numbers of one pre-split word."""
-        whole = self.token.get(word)
-        if whole is not None:
-            return [whole]
-        token, rows, state, arc_class, longest = self.token, self.rows, self.state, self.arc_class, self.longest
-        ends = [-1] * (len(word) + 1)  # the token that the sequence of each beginning of the word ends with
-        row_at: list = [None] * (len(word) + 1)
-        for i in range(1, len(word) + 1):
-            for j in range(i - longest if i > longest else 0, i):
-                t = token.get(word[j:i])
-                if t is not None:
-                    row, arc = row_at[j], arc_class[t]
-                    if row is None or row[arc >> 3] >> (arc & 7) & 1:
-                        ends[i], row_at[i] = t, rows[state[t]]
-                        break
-        out, i = [], len(word)
-        while i:
-            out.append(ends[i])
-            i -= len(self._label_of(ends[i]))
-        return out[::-1]
-
-    def _label_of(self, number: int) -> bytes:
-        return self.label[self.ids[number]]
+        return self.transitions.tokens(word)
 
-    def _learn(self, pieces: list[str]) -> Iterator[tuple[bytes, int, bytes]]:
+    def _learn(self, pieces: list[str]) -> Iterator[bytes]:
         for piece in pieces:
-            ids = [self.ids[n] for n in self.word(piece.encode())]
-            yield ",".join(map(str, ids)).encode(), len(ids), self.emitted(ids)
-
-    def emitted(self, ids: list[int]) -> bytes:
-        """Decodes: the labels of the arcs, one after another."""
-        return b"".join(map(self.label.__getitem__, ids))
+            yield array(self.kind, [self.ids[n] for n in self.transitions.tokens(piece.encode())]).tobytes()
 
     def _split(self, text: str) -> list[str]:
         if is_plain(text):
@@ -146,24 +212,28 @@ class BpeEncoder:
             self.tokenizer = Tokenizer.from_file(self.path)
         return [bytes(map(self.symbols.__getitem__, x)).decode() for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
-    def pieces(self, text: str) -> list[tuple[bytes, int, bytes]]:
-        """For each pre-split word its ids as text, their number, and the bytes that they decode to."""
-        if not any(x in text for x in self.special):
-            return self.memory(self._split(text)) if text else []
-        out = []
-        for n, part in enumerate(self.divider.split(text)):
+    def encode(self, text: str) -> list[int]:
+        """The ids of a text."""
+        found = []
+        for n, part in enumerate(self.divider.split(text) if any(x in text for x in self.special) else [text]):
             if n % 2:
-                out.append((b"%d" % self.special[part], 1, part.encode()))
+                found.append(array(self.kind, [self.special[part]]).tobytes())
             elif part:
-                out += self.memory(self._split(part))
-        return out
+                found += self.memory(self._split(part))
+        return array(self.kind, b"".join(found)).tolist()
 
-    def encode(self, text: str) -> list[int]:
-        return [int(n) for x in self.pieces(text) for n in x[0].split(b",")]
+    def emitted(self, ids: list[int]) -> bytes:
+        """Decodes: the labels of the arcs, one after another."""
+        return b"".join(map(self.label.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
         return self.emitted(ids).decode(errors="replace")
 
+    def forget(self) -> None:
+        """Drops the words of a task, as the worker may serve others next; the table of configurations stays, within its bound."""
+        self.memory.clear()
+        self.tokenizer = None
+
 
 def encoder(automaton: dict) -> BpeEncoder:
     """The encoder of this Python worker."""
@@ -173,36 +243,51 @@ def encoder(automaton: dict) -> BpeEncoder:
 
 
 def _mapped(docs: DataFrame, tokenizer_path: str, columns: dict[str, str], row, schema: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(compile_vocabulary(tokenizer_path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoder(held.value)
+        last, found = None, None
         for batch in batches:
-            yield pd.DataFrame([(name, *row(coder, value)) for name, value in zip(batch["doc_id"], batch["value"])], columns=["doc_id", *columns])
-        coder.memory.known.clear()  # the worker may serve other tasks next
+            rows = []
+            for name, value in zip(batch["doc_id"], batch["value"]):
+                if not isinstance(value, str) or value != last:  # copies follow one another in a mix, and are encoded once
+                    last, found = value, row(coder, value)
+                rows.append((name, *found))
+            yield pd.DataFrame(rows, columns=["doc_id", *columns])
+        coder.forget()
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInPandas(tidy(run), schema)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the array `ids` of each text. A null text counts as empty and has no ids; special tokens' strings become their ids."""
+    """doc_id and the array `ids` of each text, whole, however long.
+
+    A null or empty text has no ids; special tokens' strings become their ids. Repeated rows and
+    null document ids are kept, an empty table gives an empty result, and other columns are not read.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("value"))
     return _mapped(rows, tokenizer_path, {"ids": "array<int>"}, lambda coder, text: (coder.encode(text),), f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id and the `text` of the array `ids`; null ids count as none, bytes that aren't UTF-8 become replacement characters."""
+    """doc_id and the `text` of the array `ids`.
+
+    Null ids count as none and give an empty text; bytes that aren't UTF-8 become replacement
+    characters. Repeated rows and null document ids are kept, an empty table gives an empty result,
+    and other columns are not read.
+    """
     kind = encoded.schema["doc_id"].dataType.simpleString()
     rows = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("value"))
     return _mapped(rows, tokenizer_path, {"text": "string"}, lambda coder, ids: (coder.decode(ids.tolist()),), f"doc_id {kind}, text string")
 
 
 def _digests(coder: BpeEncoder, text: str) -> tuple[int, str, str]:
-    found = coder.pieces(text)
-    ids = hashlib.sha256(b",".join([x[0] for x in found])).hexdigest()
-    decoded = b"".join([x[2] for x in found]).decode(errors="replace")
-    return sum([x[1] for x in found]), ids, hashlib.sha256(decoded.encode()).hexdigest()
+    ids = coder.encode(text)
+    printed = b",".join(map(coder.digits.__getitem__, ids))
+    return len(ids), hashlib.sha256(printed).hexdigest(), hashlib.sha256(coder.decode(ids).encode()).hexdigest()
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

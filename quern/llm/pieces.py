@@ -22,17 +22,26 @@ def is_plain(text: str) -> bool:
 
 
 class PieceMemory:
-    """What each piece became, for a bounded number of pieces."""
+    """What each piece became, for a bounded number of pieces: those met since the last turn, and those of the turn before."""
 
-    def __init__(self, learn: Callable[[list[str]], Iterable], most: int = 700_000):
-        self.learn, self.most, self.known = learn, most, {}
+    def __init__(self, learn: Callable[[list[str]], Iterable], most: int = 200_000):
+        self.learn, self.most, self.known, self.before = learn, most // 2, {}, {}
 
     def __call__(self, pieces: list[str]) -> list:
         try:
             return list(map(self.known.__getitem__, pieces))
         except KeyError:
             if len(self.known) > self.most:
-                self.known.clear()
-            new = list(set(pieces).difference(self.known))
-            self.known.update(zip(new, self.learn(new)))
-            return list(map(self.known.__getitem__, pieces))
+                self.known, self.before = {}, self.known
+            known, before, new = self.known, self.before, []
+            for piece in set(pieces).difference(known):
+                found = before.get(piece)
+                if found is None:
+                    new.append(piece)
+                else:
+                    known[piece] = found
+            known.update(zip(new, self.learn(new)))
+            return list(map(known.__getitem__, pieces))
+
+    def clear(self) -> None:
+        self.known, self.before = {}, {}

@@ -47,7 +47,7 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.ids_type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memory = PieceMemory(self._learn)
+        self.memory = PieceMemory(self._learn, 700_000)
 
     def _learn(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.ids_type).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -130,7 +130,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, id_col: st
                 starts.append(at)
                 sizes.append(len(found) // encode.ids_type.itemsize)
                 at += sizes[-1]
-        encode.memory.known.clear()  # the worker may serve other tasks next
+        encode.memory.clear()  # the worker may serve other tasks next
         if fs is not None:
             writer.close()
             index = pa.table({"doc_id": pa.array(ids, from_pandas=True), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(sizes, pa.int64())})

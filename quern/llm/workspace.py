@@ -1,10 +1,15 @@
-"""Shared storage for intermediate tables, and joins that stay even under hot keys."""
+"""Shared storage for intermediate tables, joins that stay even under hot keys, and bounds on what Python workers hold."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +17,52 @@ from pyspark.sql import functions as F
 HEAVY_SHARE = 1000
 #: Tables of one row per key with at most so many rows are broadcast whole.
 SMALL_ROWS = 10_000
+#: Rows and bytes that one Arrow batch to a Python worker holds at most, so that a batch of long texts stays small.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds this session's Arrow batches by BATCH_ROWS and BATCH_BYTES; smaller settings stay."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    size = int(size.rstrip("b")) if size.rstrip("b").lstrip("-").isdigit() else -1
+    if size <= 0 or size > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
+def give_back() -> None:
+    """Returns what this Python worker has freed to the system, as it may wait beside others for its next task."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def tidy(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A function of batches that gives memory back when it ends."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one machine, and so share its folders."""
+    return spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder in spark.checkpoint.dir, which all executors share; one for this session where it is unset."""
+    """A new folder in spark.checkpoint.dir, which all executors share. Where it is unset, a local session gets one of its own; a cluster must set it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/quern-{uuid.uuid4().hex}"
