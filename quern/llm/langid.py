@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .workspace import small_batches, tidy
+
 UNKNOWN = "und"
 #: Largest number of languages, documents a language and characters a document that dictionaries are made from.
 MAX_LANGUAGES = 200
@@ -97,6 +99,7 @@ def predict_languages(docs: DataFrame, dictionaries: dict[str, bytes], id_col: s
     SHORT_BYTES only if it has letters that no language's sample has. Equal sizes go to the language with more documents. Very long texts count
     whole, piece by piece. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,11 +109,12 @@ def predict_languages(docs: DataFrame, dictionaries: dict[str, bytes], id_col: s
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "rejected": [x[2] for x in found]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(tidy(run), f"doc_id {kind}, lang_pred string, score double, rejected boolean")
 
 
 def drop_unidentified(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text") -> DataFrame:
     """The documents whose language is not rejected, with all their columns."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)
     scorers: list[Scorer] = []
 

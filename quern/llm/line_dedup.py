@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import join_groups, materialize
+from .workspace import join_groups, materialize, small_batches, tidy
 
 #: Edits allowed, and code points from which lines take part: in the exact comparison (blank lines never do), and in that with so many edits, or with one.
 EDITS = 2
@@ -247,17 +247,18 @@ def _verify(edits: int):
 
 def near_lines(lines: DataFrame, count: int) -> DataFrame:
     """Pairs (a, b) of ids of different lines within the edits allowed. lines has about `count` rows with h and line, of which equal lines have equal h."""
+    small_batches(lines.sparkSession)
     bucket_bits = 4
     while 1 << bucket_bits < min(MOST_BUCKETS, count * 15 / BUCKET_KEYS):
         bucket_bits += 1
-    keys = lines.mapInPandas(_key_rows(bucket_bits), "bucket int, keys binary, ids binary, sketches binary")
+    keys = lines.mapInPandas(tidy(_key_rows(bucket_bits)), "bucket int, keys binary, ids binary, sketches binary")
     pairs = materialize(keys.groupBy("bucket").applyInPandas(_bucket_pairs, "a long, b long").distinct())
     wanted = materialize(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct())
     few = wanted.count() <= FEW_LINES
     texts = lines.join(F.broadcast(wanted) if few else wanted, "h").groupBy("h").agg(F.first("line").alias("line"))
     texts = materialize(texts)
     joined = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("a_line")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("b_line")), "b")
-    return joined.select("a", "b", "a_line", "b_line").mapInPandas(_verify(EDITS), "a long, b long")
+    return joined.select("a", "b", "a_line", "b_line").mapInPandas(tidy(_verify(EDITS)), "a long, b long")
 
 
 def _exploded(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import materialize
+from .workspace import materialize, small_batches, tidy
 
 SPAN = 50
 GRAM = 16
@@ -442,15 +442,16 @@ def _united(span: int):
 def removed_runs(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """id, digest and the removed runs, pairs of beginning and end as bytes, of each document that loses any. docs has id, digest and text, none null."""
     spark = docs.sparkSession
+    small_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bucket_bits = 4
     while 1 << bucket_bits < min(MOST_BUCKETS, size // 16 / BUCKET_ANCHORS):
         bucket_bits += 1
-    anchors = docs.mapInPandas(_anchor_rows(bucket_bits, span, gram), "bucket int, anchors binary")
+    anchors = docs.mapInPandas(tidy(_anchor_rows(bucket_bits, span, gram)), "bucket int, anchors binary")
     filters = materialize(anchors.groupBy("bucket").applyInPandas(_repeated(MAX_BITS >> bucket_bits), "bucket int, filter binary"))
     parts = {row["bucket"]: bytes(row["filter"]) for row in filters.collect()}  # MAX_BITS bits at most
     held = spark.sparkContext.broadcast(RepeatFilter(parts, bucket_bits))
-    segments = materialize(docs.mapInPandas(_segment_rows(held, bucket_bits, span, gram), _SEGMENTS))
+    segments = materialize(docs.mapInPandas(tidy(_segment_rows(held, bucket_bits, span, gram)), _SEGMENTS))
     solved = segments.where("bucket >= 0").select("unit", "bucket", "sizes", "least", "data").groupBy("bucket").applyInPandas(_solved(span), "unit string, bucket int, bits binary")
     places = segments.select("unit", "bucket", "sizes", "least", "places").join(solved, ["unit", "bucket"], "left")
     return places.groupBy("unit").applyInPandas(_united(span), "id long, digest long, runs binary").groupBy("id", "digest").agg(F.first("runs").alias("runs"))
@@ -492,7 +493,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
     kind = docs.schema[id_col].dataType.simpleString()
     joined = rows.join(found, ["id", "digest"], "left")
-    cut = joined.where(F.col("runs").isNotNull()).select("doc_id", "n_bytes", "text", "runs").mapInPandas(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    cut = joined.where(F.col("runs").isNotNull()).select("doc_id", "n_bytes", "text", "runs").mapInPandas(tidy(_cut), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
     whole = joined.where(F.col("runs").isNull()).select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"))
     return cut.unionByName(whole)
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .pieces import WORD_PIECES, PieceMemory, is_plain
-from .workspace import materialize, shared_dir
+from .workspace import materialize, shared_dir, small_batches, tidy
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 128
@@ -139,7 +139,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, id_col: st
             yield pd.DataFrame({"part": [part], "ids_file": [files[0]], "index_file": [files[1]], "documents": [len(ids)], "tokens": [at]})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return materialize(rows.mapInPandas(run, _MANIFEST))
+    small_batches(docs.sparkSession)
+    return materialize(rows.mapInPandas(tidy(run), _MANIFEST))
 
 
 def _slices(file: pa.ipc.RecordBatchFileReader) -> Iterator[np.ndarray]:
@@ -177,7 +178,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, out: str, id_type
     upto = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))  # one row per file
     placed = materialize(manifest.withColumn("first", upto - F.col("tokens")))
     files = placed.count()
-    return placed.repartition(max(1, files), "part").mapInPandas(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(max(1, files), "part").mapInPandas(tidy(run), f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_rows(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workspace import small_batches, tidy
+
 WINDOW, STRIDE = 64, 48
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 12, 12, 8, 8
 CHAR_BUCKETS = 1 << 13
@@ -373,6 +375,7 @@ def score(docs: DataFrame, network: Network | float, id_col: str = "doc_id", tex
     every score is the share of label 1. predicted is 1 from THRESHOLD. Repeated rows are kept, an
     empty table gives an empty result, and other columns are not read.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -382,4 +385,4 @@ def score(docs: DataFrame, network: Network | float, id_col: str = "doc_id", tex
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": found, "predicted": (found >= THRESHOLD).astype(np.int32)})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, score double, predicted int")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(tidy(run), f"doc_id {kind}, score double, predicted int")

@@ -112,7 +112,7 @@ def slow_fingerprint(text):
 
 @pytest.mark.parametrize("bucket", [simhash.BUCKET, 3])
 def test_simhash(docs, empty, bucket, monkeypatch):
-    monkeypatch.setattr(simhash.near_links, "__defaults__", (*simhash.near_links.__defaults__[:-1], bucket))
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
     prints = {i: slow_fingerprint(t) for i, t, *_ in ROWS}
     label = {i: i for i in prints}
     for _ in range(len(label)):
@@ -129,7 +129,7 @@ def test_near_tiles():
     rng = np.random.default_rng(1)
     prints = rng.integers(0, 1 << 60, 300).astype(np.uint64)
     prints[150:] = prints[:150] ^ (np.uint64(1) << rng.integers(0, 60, 150).astype(np.uint64))
-    label = simhash.linked_classes(prints, prints, 4, tile=16)
+    label = simhash.linked_classes(prints, 4, tile=16)
     near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4
     for a, b in zip(*np.nonzero(near)):
         assert label[a] == label[b]
@@ -362,9 +362,9 @@ def test_near_copies(spark, tmp_path, parts, monkeypatch):
     import corpus_pipeline
 
     if parts:
-        from quern.llm import near_copies
-
-        monkeypatch.setattr(near_copies, "SMALL_PART", parts)
+        monkeypatch.setattr(simhash, "SMALL_PART", parts)
+        monkeypatch.setattr(simhash, "BUCKET", 5)
+        monkeypatch.setattr(simhash, "FEW", 2)
     rng = random.Random(11)
     texts = []
     for _ in range(12):
