@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, langid, line_dedup, mixing, near_copies
+from quern.llm import bpe, langid, line_dedup, mixing, simhash
 from quern.llm.workspace import materialize
 
 
@@ -26,7 +26,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays whose five-word shingles agree to 0.8 or more, over others of the group or directly."""
-    return near_copies.drop_near_copies(docs)
+    return simhash.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
