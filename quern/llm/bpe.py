@@ -16,12 +16,14 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import pickle
 import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +31,9 @@ from .pieces import BYTE_PIECES, PieceMemory, is_plain
 from .workspace import small_batches, tidy
 
 #: Configurations, and encoded words, that a Python worker remembers; beyond, it begins anew.
-MOST_CONFIGURATIONS, MOST_WORDS = 1 << 17, 200_000
+MOST_CONFIGURATIONS, MOST_WORDS = 1 << 17, 150_000
 
 _compiled: dict[str, dict] = {}
-_encoders: dict[str, BpeEncoder] = {}
 
 
 def byte_symbols() -> dict[str, int]:
@@ -135,14 +136,14 @@ class Transitions:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[tuple, int] = {}
-        self.reading: list[tuple[int, ...]] = [(0,)]  # node and state in one number; state 0 stands for the beginning, which has all arcs
+        self.known: dict[bytes, int] = {}
+        self.reading: list[bytes] = [array("Q", [0]).tobytes()]  # node and state in one number, after the token; state 0 stands for the beginning, which has all arcs
         self.ended = [-1]
         self.next: dict[int, int] = {}
 
     def _step(self, at: int, byte: int) -> int:
-        token, reading = -1, []
-        for pair in self.reading[at]:
+        token, reading = -1, [0]
+        for pair in array("Q", self.reading[at])[1 if at else 0 :]:
             node = self.child.get((pair >> 32) << 8 | byte)
             if node is None:
                 continue
@@ -154,11 +155,12 @@ class Transitions:
             if self.inner[node]:
                 reading.append(node << 32 | left)
         reading.append(self.state[token] + 1)
-        key = (token, *reading)
+        reading[0] = token
+        key = array("Q", reading).tobytes()
         found = self.known.get(key)
         if found is None:
             found = self.known[key] = len(self.reading)
-            self.reading.append(tuple(reading))
+            self.reading.append(key)
             self.ended.append(token)
         self.next[at << 8 | byte] = found
         return found
@@ -229,25 +231,13 @@ class BpeEncoder:
     def decode(self, ids: list[int]) -> str:
         return self.emitted(ids).decode(errors="replace")
 
-    def forget(self) -> None:
-        """Drops the words of a task, as the worker may serve others next; the table of configurations stays, within its bound."""
-        self.memory.clear()
-        self.tokenizer = None
-
-
-def encoder(automaton: dict) -> BpeEncoder:
-    """The encoder of this Python worker."""
-    if automaton["path"] not in _encoders:
-        _encoders[automaton["path"]] = BpeEncoder(automaton)
-    return _encoders[automaton["path"]]
-
 
 def _mapped(docs: DataFrame, tokenizer_path: str, columns: dict[str, str], row, schema: str) -> DataFrame:
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(compile_vocabulary(tokenizer_path))
+    held = docs.sparkSession.sparkContext.broadcast(zstandard.compress(pickle.dumps(compile_vocabulary(tokenizer_path)), 3))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = encoder(held.value)
+        coder = BpeEncoder(pickle.loads(zstandard.decompress(held.value)))  # ends with the task, as the worker may wait beside others for its next one
         last, found = None, None
         for batch in batches:
             rows = []
@@ -256,7 +246,6 @@ def _mapped(docs: DataFrame, tokenizer_path: str, columns: dict[str, str], row,
                     last, found = value, row(coder, value)
                 rows.append((name, *found))
             yield pd.DataFrame(rows, columns=["doc_id", *columns])
-        coder.forget()
 
     return docs.mapInPandas(tidy(run), schema)
 

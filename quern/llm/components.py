@@ -15,12 +15,12 @@ def _state(edges: DataFrame) -> tuple:
 def _with_least(edges: DataFrame) -> DataFrame:
     """Adds the smallest neighbour of a."""
     least = materialize(edges.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("degree")))
-    total = least.agg(F.sum("degree")).first()[0] or 0
-    return join_groups(edges, least, "a", "degree", total)
+    total, nodes = least.agg(F.sum("degree"), F.count(F.lit(1))).first()
+    return join_groups(edges, least, "a", "degree", total or 0, nodes)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     found = _with_least(both).where(F.col("b") > F.col("a"))
     return found.select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
 

@@ -75,13 +75,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int, keys: int | None = None) -> DataFrame:
     """Joins rows to a table with one row for each key, whose column `weight` is the key's number of rows.
 
-    A table of at most SMALL_ROWS keys is broadcast. Else heavy keys are: at most HEAVY_SHARE keys can each hold 1/HEAVY_SHARE of `total`
+    A table of at most SMALL_ROWS keys is broadcast; `keys` is their number, if it is known. Else heavy keys are: at most HEAVY_SHARE keys can each hold 1/HEAVY_SHARE of `total`
     rows. All others are joined by a shuffle in which no key can be hot.
     """
-    if groups.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+    if (groups.limit(SMALL_ROWS + 1).count() if keys is None else keys) <= SMALL_ROWS:
         return rows.join(F.broadcast(groups), key)
     heavy = F.col(weight) * HEAVY_SHARE >= total
     hot, rest = groups.where(heavy), groups.where(~heavy)
