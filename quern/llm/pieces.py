@@ -27,21 +27,25 @@ class PieceMemory:
     def __init__(self, learn: Callable[[list[str]], Iterable], most: int = 200_000):
         self.learn, self.most, self.known, self.before = learn, most // 2, {}, {}
 
+    def learn_all(self, pieces: Iterable[str]) -> None:
+        """Learns what isn't known of these pieces, all at once."""
+        if len(self.known) > self.most:
+            self.known, self.before = {}, self.known
+        known, before, new = self.known, self.before, []
+        for piece in set(pieces).difference(known):
+            found = before.get(piece)
+            if found is None:
+                new.append(piece)
+            else:
+                known[piece] = found
+        known.update(zip(new, self.learn(new)))
+
     def __call__(self, pieces: list[str]) -> list:
         try:
             return list(map(self.known.__getitem__, pieces))
         except KeyError:
-            if len(self.known) > self.most:
-                self.known, self.before = {}, self.known
-            known, before, new = self.known, self.before, []
-            for piece in set(pieces).difference(known):
-                found = before.get(piece)
-                if found is None:
-                    new.append(piece)
-                else:
-                    known[piece] = found
-            known.update(zip(new, self.learn(new)))
-            return list(map(known.__getitem__, pieces))
+            self.learn_all(pieces)
+            return list(map(self.known.__getitem__, pieces))
 
     def clear(self) -> None:
         self.known, self.before = {}, {}

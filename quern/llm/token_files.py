@@ -13,7 +13,9 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,8 @@ from .workspace import materialize, shared_dir, small_batches, tidy
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 128
+#: Documents whose new words are encoded together.
+TOGETHER = 64
 END_ID = 2
 
 _MANIFEST = "part int, ids_file string, index_file string, documents long, tokens long"
@@ -47,16 +51,17 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.ids_type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memory = PieceMemory(self._learn, 700_000)
+        self.memory = PieceMemory(self._learn, 400_000)
 
     def _learn(self, words: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.ids_type).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        kind = "H" if self.ids_type.itemsize == 2 else "I"
+        return [array(kind, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> bytes:
-        """The ids of a text, little-endian."""
-        if not is_plain(text) or any(x in text for x in self.special):
-            return self._learn([text])[0]
-        return b"".join(self.memory(WORD_PIECES.findall(text.lower())))
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, little-endian; words that are new to the texts go through the library together."""
+        words = [None if not is_plain(x) or any(y in x for y in self.special) else WORD_PIECES.findall(x.lower()) for x in texts]
+        self.memory.learn_all(chain.from_iterable(x for x in words if x is not None))
+        return [self._learn([text])[0] if own is None else b"".join(self.memory(own)) for text, own in zip(texts, words)]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -123,13 +128,14 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, id_col: st
                 fs.create_dir(folder, recursive=True)
                 files = [f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.{x}.arrow" for x in ("ids", "index")]
                 writer = SequenceWriter(fs.open_output_stream(files[0]), encode.ids_type, length)
-            for name, text in zip(batch["doc_id"], batch["text"]):
-                found = encode(text or "") + end
-                writer.write(found)
-                ids.append(name)
-                starts.append(at)
-                sizes.append(len(found) // encode.ids_type.itemsize)
-                at += sizes[-1]
+            for i in range(0, len(batch), TOGETHER):
+                some = batch.iloc[i : i + TOGETHER]
+                for name, found in zip(some["doc_id"], encode.many([x or "" for x in some["text"]])):
+                    writer.write(found + end)
+                    ids.append(name)
+                    starts.append(at)
+                    sizes.append(len(found + end) // encode.ids_type.itemsize)
+                    at += sizes[-1]
         encode.memory.clear()  # the worker may serve other tasks next
         if fs is not None:
             writer.close()
