@@ -22,9 +22,8 @@ BAND = (0.001, 0.2)
 #: Random subsets of each level; five share a hash, of which each has twelve bits.
 SEEDS = 10
 LEVELS = 6
-#: Documents in a range of ids, and the most ranges.
-RANGE_DOCS = 1000
-MOST_RANGES = 100_000
+#: Documents in a range of ids, about, and how often ranges with many more are cut again.
+RANGE_DOCS, LEVELS_OF_RANGES = 1000, 4
 
 
 def term_slots(text: Column) -> Column:
@@ -95,23 +94,52 @@ def likeness(a: Column, b: Column) -> Column:
     return total(lambda x: x["a"] == x["b"]) / total(lambda x: x["a"].isNotNull() | x["b"].isNotNull())
 
 
+def _position(id_col: Column, kind: str) -> Column:
+    """A number in the order of ids: the id itself, or the beginning of a string's bytes. Different ids may have equal ones."""
+    if kind == "string":
+        return F.conv(F.substring(F.rpad(F.hex(F.encode(id_col, "utf-8")), 14, "0"), 1, 14), 16, 10).cast("double")
+    return id_col.cast("double")
+
+
+def _ranges(docs: DataFrame) -> DataFrame:
+    """Adds `range`, which follows the order of doc_id, with RANGE_DOCS documents or a few times more in each, as far as ids differ.
+
+    All ids are cut into ranges of equal width; what holds too many is cut again between its own ends, so
+    that ids may crowd anywhere. Null ids are a range of their own.
+    """
+    ids = docs.select(_position(F.col("doc_id"), docs.schema["doc_id"].dataType.simpleString()).alias("at"))
+    columns: list[str] = []
+    rows = docs.withColumn("at", _position(F.col("doc_id"), docs.schema["doc_id"].dataType.simpleString()))
+    for level in range(LEVELS_OF_RANGES):
+        spans = ids.groupBy(*columns).agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count(F.lit(1)).alias("n"))
+        spans = materialize(spans.where((F.col("n") > (4 * RANGE_DOCS if columns else 0)) & (F.col("high") > F.col("low"))))
+        if columns and spans.isEmpty():
+            break
+        parts = F.ceil(F.col("n") / RANGE_DOCS)
+        cut = spans.select(*columns, "low", ((F.col("high") - F.col("low")) / parts).alias("width"))  # at most one row for RANGE_DOCS documents
+        name = f"range{level}"
+        place = F.coalesce(F.floor((F.col("at") - F.col("low")) / F.col("width")), F.lit(-1)).cast("long").alias(name)
+        joined = [x.join(F.broadcast(cut), columns, "left") if columns else x.join(F.broadcast(cut)) if not spans.isEmpty() else x.withColumns({"low": F.lit(0.0), "width": F.lit(1.0)}) for x in (ids, rows)]
+        ids = joined[0].select(*columns, "at", place)
+        rows = joined[1].select(*[x for x in rows.columns], place)
+        columns.append(name)
+    return rows.withColumn("range", F.struct(*columns)).drop("at", *columns)
+
+
 def with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
     """Puts each document of (doc_id, text) into a range of ids, with a guest at each range's end: the document that follows its last one in descending order.
 
-    Ranges are of equal width, at most MOST_RANGES of them. The second value is the window in which
-    lead() gives the next document.
+    The second value is the window in which lead() gives the next document.
     """
-    low, high, count = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    low, high = low or 0, high or 0
-    ranges = max(1, min(MOST_RANGES, -(-count // RANGE_DOCS)))
-    width = max(1, -(-(high - low + 1) // ranges))
-    rows = docs.withColumn("range", F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)).cast("long"))
-    tops = rows.groupBy("range").agg(F.max("doc_id").alias("doc_id"))
-    below = tops.select("doc_id", F.lead("range").over(Window.orderBy("range")).alias("to"), F.min("range").over(Window.partitionBy()).alias("first"))
-    below = materialize(below.select("doc_id", F.coalesce("to", "first").alias("to")))
-    guests = rows.join(F.broadcast(below), rows["doc_id"].eqNullSafe(below["doc_id"])).select(rows["doc_id"], "text", F.col("to").alias("range"), F.lit(True).alias("guest"))
-    window = Window.partitionBy("range").orderBy("guest", F.desc("doc_id"), "digest")
-    return rows.withColumn("guest", F.lit(False)).unionByName(guests).withColumn("digest", F.xxhash64("text")), window
+    rows = _ranges(docs).withColumn("digest", F.xxhash64("text"))
+    order = [F.desc_nulls_last("doc_id"), "digest"]
+    firsts = rows.select("range", "doc_id", "digest").withColumn("n", F.row_number().over(Window.partitionBy("range").orderBy(*order))).where("n = 1").drop("n")
+    below = firsts.select("doc_id", "digest", F.lead("range").over(Window.orderBy("range")).alias("to"), F.min("range").over(Window.partitionBy()).alias("first"))  # a row for each range
+    below = materialize(below.select(F.col("doc_id").alias("id"), F.col("digest").alias("d"), F.coalesce("to", "first").alias("to")))
+    guests = rows.join(F.broadcast(below), rows["doc_id"].eqNullSafe(below["id"]) & (rows["digest"] == below["d"])).dropDuplicates(["to"])
+    guests = guests.select("doc_id", "text", F.col("to").alias("range"), "digest", F.lit(True).alias("guest"))
+    window = Window.partitionBy("range").orderBy("guest", *order)
+    return rows.select("doc_id", "text", "range", "digest", F.lit(False).alias("guest")).unionByName(guests), window
 
 
 def fingerprints_of_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
@@ -120,8 +148,8 @@ def fingerprints_of_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The edited text is the text with its last third replaced by the beginning of the next document
     in descending order of id; the first follows the last, and a sole document itself. A null text
     counts as empty; empty texts have equal fingerprints. Null ids come last, and documents with
-    the same id follow one another by the hash of their text. An empty table gives an empty result.
-    Other columns are not read.
+    the same id follow one another by the hash of their text. Ids may be of any whole-number type or strings,
+    which follow one another by their bytes. An empty table gives an empty result. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bits = lexicon(rows, rows.count(), band)
