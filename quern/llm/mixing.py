@@ -21,10 +21,9 @@ WEIGHTS = (3.0, 1.0, 2.0)
 #: Words in the mix for each word of the input, and the most copies of a source.
 SHARE = 1.5
 MOST_COPIES = 2
-BINS = 1024
+#: Bins of a source's ranks: at least so many, and one for each so many documents.
+LEAST_BINS, BIN_DOCS = 1024, 10_000
 SEED = 20
-#: Inclusion probabilities stay this far from 0 and 1.
-EDGE = 1e-6
 
 
 def word_count(text: Column) -> Column:
@@ -59,12 +58,33 @@ def _level(sources: DataFrame, total: float) -> float:
         level = raised
 
 
+def _with_chances(sizes: DataFrame, targets: DataFrame, docs: int) -> DataFrame:
+    """Adds to targets `scale`, by which a document's weight is its chance: documents whose chance would be 1 or more are certain, and the others share what is then missing.
+
+    A source's certain documents are its smallest ones, so each round raises their largest size, and ends when it no longer grows.
+    """
+    missing = F.col("missing").cast("double")
+    found = targets.withColumn("scale", F.when(missing > 0, missing / F.greatest(F.col("weighted"), F.lit(1e-9))).otherwise(0.0))
+    while True:
+        found = materialize(found)
+        rows = join_groups(sizes.where("size > 0"), found.where("missing > 0").select("source_key", "source_docs", "scale", "missing"), "source_key", "source_docs", docs)
+        certain = F.col("scale") * _weight(F.col("size")) >= 1
+        again = rows.groupBy("source_key").agg(
+            F.sum(F.when(certain, F.col("size")).otherwise(0)).alias("certain_words"), F.sum(F.when(certain, 0.0).otherwise(_weight(F.col("size")) * F.col("size"))).alias("rest")
+        )
+        raised = (missing - F.col("certain_words")) / F.col("rest")
+        moved = found.join(again, "source_key", "left").withColumn("raised", F.when((F.col("rest") > 0) & (raised > F.col("scale") * (1 + 1e-9)), raised))
+        if moved.where("raised IS NOT NULL").isEmpty():
+            return found
+        found = moved.withColumn("scale", F.coalesce("raised", "scale")).drop("raised", "certain_words", "rest")
+
+
 def _place(rows: DataFrame) -> DataFrame:
-    """Adds the rank of a document in its source's sample, from 0 to 1."""
-    chance = F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), F.col("missing") * _weight(F.col("size")) / F.greatest(F.col("weighted"), F.lit(1e-9))))
+    """Adds the rank of a document in its source's sample: below 0 if it is certain, else from 0 to 1."""
+    chance = F.col("scale") * _weight(F.col("size"))
     draw = _draw(F.col("doc_id"))
     odds = (draw / (1 - draw)) / (chance / (1 - chance))
-    return rows.withColumn("place", odds / (1 + odds))
+    return rows.withColumn("place", F.when(chance >= 1, draw - 2).when(chance > 0, odds / (1 + odds)).otherwise(1.0))
 
 
 def plan_mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most_copies: int = MOST_COPIES) -> DataFrame:
@@ -88,10 +108,12 @@ def plan_mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: floa
         .withColumn("missing", F.greatest(F.lit(0), missing).cast("long"))
         .drop("weight", "most")
     )
+    targets = _with_chances(sizes, targets, docs or 0)
     placed = _place(join_groups(sizes, targets, "source_key", "source_docs", docs or 0)).where((F.col("missing") > 0) & (F.col("size") > 0))
-    placed = placed.withColumn("bin", F.floor(F.col("place") * BINS).cast("int"))
+    bins = F.greatest(F.lit(LEAST_BINS), F.ceil(F.col("source_docs") / BIN_DOCS))
+    placed = placed.withColumn("bin", F.floor(F.col("place") * bins).cast("long"))
     bins = placed.groupBy("source_key", "source_docs", "missing", "bin").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("source_key").orderBy("bin"))  # BINS rows a source
+    upto = F.sum("words").over(Window.partitionBy("source_key").orderBy("bin"))  # a row for each bin of a source
     ends = bins.withColumn("before", upto - F.col("words")).where((F.col("before") < F.col("missing")) & (F.col("before") + F.col("words") >= F.col("missing")))
     ends = materialize(ends.select("source_key", F.col("source_docs").alias("end_docs"), F.col("bin").alias("end_bin"), "before"))
     inside = join_groups(placed, ends, "source_key", "end_docs", docs or 0).where(F.col("bin") == F.col("end_bin"))
@@ -125,7 +147,10 @@ def take(sizes: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix itself, with the columns of docs: every whole copy is a row, and the document at which a source's sample ends is in if half of it or more is."""
+    """The mix itself, with the columns of docs, by the rules of mix(): every whole copy is a row, and the document at which a source's sample ends is in if half of it or more is.
+
+    A text without words comes in as many whole copies as its source's others. A null source is one of its own. An empty table stays empty.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), _source_key(F.col(source_col)).alias("source_key"), F.struct(*docs.columns).alias("row"))
     plan = plan_mix(materialize(rows.drop("row")), **how)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.col("copies")).cast("int")
