@@ -16,14 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .workspace import small_batches, tidy
+from .workspace import materialize, small_batches, tidy
 
 UNKNOWN = "und"
-#: Largest number of languages, documents a language and characters a document that dictionaries are made from.
-MAX_LANGUAGES = 200
-DOCS_A_LANGUAGE = 256
+#: Bytes of sample text of a language, and of all languages together, which share them if there are many; characters of a document in a sample.
+DICT_BYTES, ALL_BYTES = 112 << 10, 32 << 20
 CHARS_A_DOC = 1024
-DICT_BYTES = 112 << 10
 PIECE_CHARS = 2048
 #: Compression levels: a fast one, and a thorough one where the fast one's margin is below CLEAR_MARGIN.
 LEVELS = (3, 10)
@@ -40,19 +38,28 @@ _LETTER = regex.compile(r"\p{L}")
 
 
 def learn_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Sample text of each language, at most DICT_BYTES each, from a bounded sample of the labelled documents."""
+    """Sample text of every language, from a bounded sample of the labelled documents, the language with most documents first.
+
+    A language has DICT_BYTES of it, or its share of ALL_BYTES if languages are many. Documents are drawn by
+    a hash of their id, and of a longer one CHARS_A_DOC characters from a place that the hash draws, too.
+    Null languages and blank texts teach nothing; an empty table gives no language.
+    """
+    draw, n = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.length(text_col)
+    start = F.pmod(draw, F.greatest(n - CHARS_A_DOC + 1, F.lit(1))).cast("int") + 1
     rows = docs.where(F.col(lang_col).isNotNull() & (F.length(F.trim(F.col(text_col))) > 0)).select(
-        F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, CHARS_A_DOC).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("draw")
+        F.col(lang_col).alias("lang"), F.lower(F.substring(F.col(text_col), start, F.lit(CHARS_A_DOC))).alias("text"), draw.alias("draw")
     )
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    every = counts.select("lang", F.greatest(F.lit(1), F.floor(F.col("count") / (4 * DOCS_A_LANGUAGE))).alias("every"))
-    thin = rows.join(F.broadcast(every), "lang").where(F.pmod("draw", "every") == 0)
-    drawn = thin.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).where(F.col("n") <= DOCS_A_LANGUAGE)
-    samples: dict[str, dict[str, None]] = {}
-    for row in drawn.orderBy("lang", "n").collect():  # MAX_LANGUAGES x DOCS_A_LANGUAGE x CHARS_A_DOC characters at most
-        samples.setdefault(row["lang"], {})[row["text"]] = None
-    order = [row["lang"] for row in counts.collect()]  # the most frequent first
-    return {lang: "\n".join(samples[lang]).lower().encode()[-DICT_BYTES:] for lang in order if lang in samples}
+    counts = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.avg(F.octet_length("text")).alias("size")))
+    each = min(DICT_BYTES, ALL_BYTES // max(1, counts.count()))
+    every = counts.select("lang", F.greatest(F.lit(1), F.floor(F.col("count") * F.col("size") / (4 * each))).alias("every"))
+    thin = rows.join(F.broadcast(every), "lang").where(F.pmod("draw", "every") == 0).groupBy("lang", "text").agg(F.min("draw").alias("draw"))
+    upto = F.sum(F.octet_length("text") + 1).over(Window.partitionBy("lang").orderBy("draw", "text").rowsBetween(Window.unboundedPreceding, 0))  # about four samples
+    drawn = thin.withColumn("upto", upto - F.octet_length("text")).where(F.col("upto") <= each).orderBy("lang", "draw", "text")
+    samples: dict[str, list[str]] = {}
+    for row in drawn.collect():  # ALL_BYTES, and a text for each language
+        samples.setdefault(row["lang"], []).append(row["text"])
+    order = [row["lang"] for row in counts.orderBy(F.desc("count"), "lang").select("lang").collect()]
+    return {lang: "\n".join(samples[lang]).encode()[-each:] for lang in order if lang in samples}
 
 
 class Scorer:
@@ -97,7 +104,8 @@ def predict_languages(docs: DataFrame, dictionaries: dict[str, bytes], id_col: s
     A null text or one without letters is `und` with score 0 and rejected, as is every text if no
     language was learned, or one that fits no language clearly better than another; one under
     SHORT_BYTES only if it has letters that no language's sample has. Equal sizes go to the language with more documents. Very long texts count
-    whole, piece by piece. Other columns are not read.
+    whole, piece by piece. Repeated rows and null ids are kept, an empty table gives an empty result,
+    and other columns are not read.
     """
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)
@@ -113,7 +121,11 @@ def predict_languages(docs: DataFrame, dictionaries: dict[str, bytes], id_col: s
 
 
 def drop_unidentified(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text") -> DataFrame:
-    """The documents whose language is not rejected, with all their columns."""
+    """The documents whose language is not rejected, with all their columns, by the rules of predict_languages().
+
+    Null texts and those without letters go; short ones stay unless no sample has their letters. Repeated
+    rows are judged alike, null ids don't matter, and an empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)
     scorers: list[Scorer] = []
