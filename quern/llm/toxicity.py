@@ -26,8 +26,8 @@ CHAR_BUCKETS = 1 << 13
 GRAMS = (3, 4)
 #: Largest vocabulary, and in how many documents of the sample a word or a bucket of n-grams must occur to have an embedding of its own.
 VOCABULARY, LEAST_DOCS = 20_000, 4
-#: Documents of label 0 and 1, and their longest text, that the network is fitted on.
-SAMPLE_DOCS, SAMPLE_CHARS = (1600, 600), 20_000
+#: Documents of label 0 and 1 that the network is fitted on, and characters of a longer one, from a place drawn at random.
+SAMPLE_DOCS, SAMPLE_CHARS = (1600, 600), (20_000, 100_000)
 ROUNDS, STEPS, BATCH, RATE, DECAY, DROPPED = 6, 300, 64, 0.01, 0.02, 0.15
 #: Share of the sample by which scores are set so that THRESHOLD parts the labels best.
 HELD_BACK = 0.2
@@ -355,8 +355,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         drawn = some if drawn is None else drawn.unionByName(some)
     if drawn is None:
         return 0.0
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    found = rows.join(F.broadcast(drawn), "doc_id").orderBy("draw", "text").collect()  # twice SAMPLE_DOCS texts of SAMPLE_CHARS at most
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "doc_id")
+    most = F.when(F.col("label") > 0, SAMPLE_CHARS[1]).otherwise(SAMPLE_CHARS[0])
+    start = F.pmod("draw", F.greatest(F.length("text") - most + 1, F.lit(1))).cast("int") + 1
+    found = rows.withColumn("text", F.substring(F.col("text"), start, most)).orderBy("draw", "text").collect()  # twice SAMPLE_DOCS texts of SAMPLE_CHARS at most
     taken: Counter = Counter()
     texts, truth = [], []
     for row in found:
