@@ -40,7 +40,7 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids by the tokenizers library, which sees each distinct word of a task once."""
+    """Ids by the tokenizers library, which sees a word once as long as it is remembered; the worker's next task finds it known."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -136,7 +136,6 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, id_col: st
                     starts.append(at)
                     sizes.append(len(found + end) // encode.ids_type.itemsize)
                     at += sizes[-1]
-        encode.memory.clear()  # the worker may serve other tasks next
         if fs is not None:
             writer.close()
             index = pa.table({"doc_id": pa.array(ids, from_pandas=True), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(sizes, pa.int64())})
