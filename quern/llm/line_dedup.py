@@ -4,7 +4,9 @@ A line goes if an equal line, or one within a few edits, occurs earlier in the c
 a line is cut into one segment more than edits are allowed, so that lines within the threshold
 share a segment; each line's segments are indexed by length, place and content, and each line
 probes the lengths at or below its own with those substrings that a match must have. Candidates
-are verified by banded bit-parallel edit distance, many pairs side by side.
+are verified by banded bit-parallel edit distance, many pairs side by side. A key that very many lines
+have is dealt out over cells of index and probe lines; a cell has the lines themselves, and ends its
+search for a line with the first one that decides that it goes.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ MIN_ONE_EDIT_CHARS = 20
 CHUNK = 1 << 19
 #: Lines whose keys a task sends at once, keys in a bucket on average, buckets at most, and pairs made at once.
 SEND_LINES, BUCKET_KEYS, MOST_BUCKETS, PAIRS_AT_ONCE = 1 << 15, 1 << 20, 1 << 14, 1 << 20
+#: A key counts as hot from so many lines, if HOT_HERE or more of one sending have it, but at most MOST_HOT keys do; and lines on each side of a cell.
+HOT_LINES, HOT_HERE, MOST_HOT, CELL_LINES = 4096, 8, 50_000, 4096
 #: Line ids, and documents with lines that go, up to this number are broadcast.
 FEW_LINES, FEW_DOCS = 200_000, 200_000
 
@@ -155,13 +159,59 @@ def edit_distances(left: list[str], right: list[str], edits: int = EDITS) -> np.
     return np.where(far, edits + 1, score)
 
 
-def _key_rows(bucket_bits: int):
-    """For each bucket of keys, packed: 32 bits of the keys, whose lowest bit tells a probe, and ids and sketches of their lines."""
+def _sendings(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple[list[str], list[int]]]]:
+    """The different lines of a task with their names, SEND_LINES of them at a time, in lists of CHUNK characters about."""
+    seen: set[int] = set()
+    held, lines, names, size, count = [], [], [], 0, 0
+    for batch in batches:
+        for line, name in zip(batch["line"], batch["h"]):
+            if name in seen:
+                continue
+            seen.add(name)
+            if lines and size + len(line) >= CHUNK:
+                held.append((lines, names))
+                lines, names, size = [], [], 0
+            lines.append(line)
+            names.append(name)
+            size, count = size + len(line), count + 1
+            if count >= SEND_LINES:
+                yield [*held, (lines, names)]
+                held, lines, names, size, count = [], [], [], 0, 0
+                seen.clear()
+    if lines:
+        held.append((lines, names))
+    if held:
+        yield held
+
+
+def _counted_keys(least: int):
+    """Keys that so many lines of one sending have, and how many do."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for held in _sendings(batches):
+            key, count = np.unique(np.concatenate([line_keys(lines)[2] for lines, _ in held]), return_counts=True)
+            often = count >= least
+            yield pd.DataFrame({"key": key[often].view(np.int64), "count": count[often]})
+
+    return tidy(run)
+
+
+def _is_hot(key: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Whether keys are among the sorted ones in hot."""
+    if not len(hot):
+        return np.zeros(len(key), bool)
+    return hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+
+
+def _key_rows(bucket_bits: int, hot: np.ndarray):
+    """For each bucket of keys that aren't hot, packed: 32 bits of the keys, whose lowest bit tells a probe, and ids and sketches of their lines."""
 
     def packed(held: list[tuple[list[str], list[int]]]) -> pd.DataFrame:
         keys, ids, sketches = [], [], []
         for lines, names in held:
             number, probe, key, sketch = line_keys(lines)
+            cool = ~_is_hot(key, hot)
+            number, probe, key = number[cool], probe[cool], key[cool]
             low = np.uint64(32 - bucket_bits)
             keys.append(((key >> low | np.uint64(1)) ^ np.uint64(1) | probe.astype(np.uint64)) << low)
             ids.append(np.array(names, np.int64)[number])
@@ -170,35 +220,73 @@ def _key_rows(bucket_bits: int):
         order = np.argsort(key)
         key, name, sketch = key[order], np.concatenate(ids)[order], np.concatenate(sketches)[order]
         bucket = (key >> np.uint64(64 - bucket_bits)).astype(np.int64)
-        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(key) else np.empty(0, np.int64)
         key = (key >> np.uint64(32 - bucket_bits)).astype(np.uint32)
         rows = zip(bucket[cuts].tolist(), *(np.split(x, cuts[1:]) for x in (key, name, sketch)))
         return pd.DataFrame([(n, k.tobytes(), v.tobytes(), x.tobytes()) for n, k, v, x in rows], columns=["bucket", "keys", "ids", "sketches"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        held, lines, names, size, count = [], [], [], 0, 0
-        for batch in batches:
-            for line, name in zip(batch["line"], batch["h"]):
-                if name in seen:
-                    continue
-                seen.add(name)
-                if lines and size + len(line) >= CHUNK:
-                    held.append((lines, names))
-                    lines, names, size = [], [], 0
-                lines.append(line)
-                names.append(name)
-                size, count = size + len(line), count + 1
-                if count >= SEND_LINES:
-                    yield packed([*held, (lines, names)])
-                    held, lines, names, size, count = [], [], [], 0, 0
-                    seen.clear()
-        if lines:
-            held.append((lines, names))
-        if held:
+        for held in _sendings(batches):
             yield packed(held)
 
-    return run
+    return tidy(run)
+
+
+def _hot_rows(hot: np.ndarray):
+    """The lines that have hot keys, once for each of these and each side."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for held in _sendings(batches):
+            for lines, names in held:
+                number, probe, key, sketch = line_keys(lines)
+                at = np.flatnonzero(_is_hot(key, hot))
+                rows = pd.DataFrame({"key": key[at].view(np.int64), "probe": probe[at], "h": np.array(names, np.int64)[number[at]], "sketch": sketch[number[at]].view(np.int64), "line": [lines[n] for n in number[at]]})
+                yield rows.drop_duplicates(["key", "probe", "h"])
+
+    return tidy(run)
+
+
+def _cell_links(group: pd.DataFrame) -> pd.DataFrame:
+    """For lines of a cell that go by an earlier line of its other side, one such line each."""
+    group = group.drop_duplicates(["probe", "h"])
+    index, probe = group[~group["probe"]], group[group["probe"]]
+    lines = [*index["line"], *probe["line"]]
+    names, others = (np.concatenate([index[x].to_numpy(), probe[x].to_numpy()]) for x in ("h", "h2"))
+    first = pd.concat([index, probe])[["doc", "pos"]].apply(tuple, axis=1).tolist() if len(group) else []
+    rank = np.empty(len(lines), np.int64)
+    rank[sorted(range(len(lines)), key=first.__getitem__)] = np.arange(len(lines))
+    sketch, sizes = index["sketch"].to_numpy().view(np.uint64), np.fromiter(map(len, lines), np.int64, len(lines))
+    by = np.full(len(lines), -1)  # the line by which a line goes
+
+    for start in range(0, len(probe), 256):
+        own = np.arange(len(index) + start, min(len(index) + start + 256, len(lines)))
+        asked = probe["sketch"].to_numpy()[start : start + 256].view(np.uint64)
+        p, x = np.nonzero(_may_be_near(np.repeat(asked, len(index)), np.tile(sketch, len(own)), EDITS).reshape(len(own), len(index)))
+        p = own[p]
+        differ = names[p] != names[x]
+        p, x = p[differ], x[differ]
+        later, earlier = np.where(rank[p] > rank[x], p, x), np.where(rank[p] > rank[x], x, p)
+        step = 1
+        while True:  # one candidate of each line, then two more, then four
+            left = by[later] < 0
+            later, earlier = later[left], earlier[left]
+            if not len(later):
+                break
+            order = np.argsort(later, kind="stable")
+            later, earlier = later[order], earlier[order]
+            begin = np.flatnonzero(np.append(True, later[1:] != later[:-1]))
+            turn = np.arange(len(later)) - np.repeat(begin, np.diff(np.append(begin, len(later))))
+            now = np.flatnonzero(turn < step)
+            for i in range(0, len(now), 4096):
+                some = now[i : i + 4096]
+                found = edit_distances([lines[k] for k in later[some]], [lines[k] for k in earlier[some]], EDITS)
+                fits = np.array([allowed(n) for n in np.minimum(sizes[later[some]], sizes[earlier[some]])])
+                near = some[found <= fits]
+                by[later[near]] = earlier[near]
+            keep = turn >= step
+            later, earlier, step = later[keep], earlier[keep], 2 * step
+    gone = np.flatnonzero(by >= 0)
+    return pd.DataFrame({"a": names[gone], "a2": others[gone], "b": names[by[gone]], "b2": others[by[gone]]})
 
 
 def _bucket_pairs(group: pd.DataFrame) -> pd.DataFrame:
@@ -240,25 +328,48 @@ def _verify(edits: int):
                     part = rows.iloc[i : i + step]
                     a, b = part["a_line"].tolist(), part["b_line"].tolist()
                     near = edit_distances(a, b, edits) <= np.array([allowed(min(len(x), len(y))) for x, y in zip(a, b)])
-                    yield part.loc[near, ["a", "b"]]
+                    yield part.loc[near, ["a", "a2", "b", "b2"]]
+
+    return tidy(run)
+
+
+_LINK = "a long, a2 long, b long, b2 long"
+
+
+def _hot_links(lines: DataFrame, hot: dict[int, int], firsts: DataFrame) -> DataFrame:
+    """Links of lines with hot keys, whose numbers of lines hot gives."""
+    spark = lines.sparkSession
+    keys = np.sort(np.array(list(hot), np.int64).view(np.uint64))
+    parts = spark.createDataFrame([(k, -(-n // CELL_LINES)) for k, n in hot.items()], "key long, parts int")  # MOST_HOT rows at most
+    rows = lines.mapInPandas(_hot_rows(keys), "key long, probe boolean, h long, sketch long, line string")
+    rows = rows.withColumn("h2", F.xxhash64("line", F.lit(1))).dropDuplicates(["key", "probe", "h", "h2"])
+    rows = rows.join(firsts, ["h", "h2"]).join(F.broadcast(parts), "key").withColumn("part", F.pmod(F.xxhash64("h", "h2"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    cells = rows.withColumn("other", other).withColumns({"i": F.when(F.col("probe"), F.col("other")).otherwise(F.col("part")), "j": F.when(F.col("probe"), F.col("part")).otherwise(F.col("other"))})
+    return cells.select("key", "i", "j", "probe", "h", "h2", "sketch", "line", "doc", "pos").groupBy("key", "i", "j").applyInPandas(_cell_links, _LINK)
 
-    return run
 
+def near_lines(lines: DataFrame, count: int, firsts: DataFrame) -> DataFrame:
+    """Links (a, a2, b, b2) between different lines within the edits allowed, by both hashes of each; enough to tell of every line whether an earlier one is near.
 
-def near_lines(lines: DataFrame, count: int) -> DataFrame:
-    """Pairs (a, b) of ids of different lines within the edits allowed. lines has about `count` rows with h and line, of which equal lines have equal h."""
+    lines has about `count` rows with h and line, firsts h, h2, doc and pos of the first place of each.
+    """
     small_batches(lines.sparkSession)
     bucket_bits = 4
     while 1 << bucket_bits < min(MOST_BUCKETS, count * 15 / BUCKET_KEYS):
         bucket_bits += 1
-    keys = lines.mapInPandas(tidy(_key_rows(bucket_bits)), "bucket int, keys binary, ids binary, sketches binary")
+    least = max(HOT_LINES, count * 15 // MOST_HOT)
+    often = lines.mapInPandas(_counted_keys(HOT_HERE), "key long, count long").groupBy("key").agg(F.sum("count").alias("count")).where(F.col("count") >= least)
+    hot = {row["key"]: row["count"] for row in often.orderBy(F.desc("count"), "key").limit(MOST_HOT).collect()}
+    keys = lines.mapInPandas(_key_rows(bucket_bits, np.sort(np.array(list(hot), np.int64).view(np.uint64))), "bucket int, keys binary, ids binary, sketches binary")
     pairs = materialize(keys.groupBy("bucket").applyInPandas(_bucket_pairs, "a long, b long").distinct())
     wanted = materialize(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct())
     few = wanted.count() <= FEW_LINES
     texts = lines.join(F.broadcast(wanted) if few else wanted, "h").groupBy("h").agg(F.first("line").alias("line"))
-    texts = materialize(texts)
-    joined = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("a_line")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("b_line")), "b")
-    return joined.select("a", "b", "a_line", "b_line").mapInPandas(tidy(_verify(EDITS)), "a long, b long")
+    texts = materialize(texts.withColumn("h2", F.xxhash64("line", F.lit(1))))
+    sides = [texts.select(F.col("h").alias(x), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"{x}_line")) for x in "ab"]
+    found = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "a2", "b", "b2", "a_line", "b_line").mapInPandas(_verify(EDITS), _LINK)
+    return found.unionByName(_hot_links(lines, hot, firsts)) if hot else found
 
 
 def _exploded(docs: DataFrame) -> DataFrame:
@@ -274,31 +385,40 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     total = places.count()
     groups = materialize(places.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("times")))
     long = line.where(F.length("line") >= MIN_ONE_EDIT_CHARS).select(F.xxhash64("line").alias("h"), "line")
-    pairs = materialize(near_lines(long, total))
-    ends = materialize(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct())
+    pairs = materialize(near_lines(long, total, groups.select("key.h", "key.h2", F.col("first.doc_id").alias("doc"), F.col("first.pos").alias("pos"))))
+    a, b = F.struct(F.col("a").alias("h"), F.col("a2").alias("h2")), F.struct(F.col("b").alias("h"), F.col("b2").alias("h2"))
+    ends = materialize(pairs.select(a.alias("key")).union(pairs.select(b.alias("key"))).distinct())
     few = ends.count() <= FEW_LINES
-    firsts = materialize(groups.select(F.col("key.h").alias("h"), "first").join(F.broadcast(ends) if few else ends, "h"))
-    sides = pairs.join(firsts.select(F.col("h").alias("a"), F.col("first").alias("a_first")), "a").join(firsts.select(F.col("h").alias("b"), F.col("first").alias("b_first")), "b")
-    later = materialize(sides.select(F.when(F.col("a_first") > F.col("b_first"), F.col("a")).otherwise(F.col("b")).alias("h")).distinct().withColumn("near", F.lit(True)))
-    marked = groups.withColumn("h", F.col("key.h")).join(F.broadcast(later) if few else later, "h", "left").drop("h")
+    firsts = materialize(groups.select("key", "first").join(F.broadcast(ends) if few else ends, "key"))
+    sides = pairs.select(a.alias("a_key"), b.alias("b_key")).join(firsts.select(F.col("key").alias("a_key"), F.col("first").alias("a_first")), "a_key").join(firsts.select(F.col("key").alias("b_key"), F.col("first").alias("b_first")), "b_key")
+    later = materialize(sides.select(F.when(F.col("a_first") > F.col("b_first"), F.col("a_key")).otherwise(F.col("b_key")).alias("key")).distinct().withColumn("near", F.lit(True)))
+    marked = groups.join(F.broadcast(later) if few else later, "key", "left")
     doubtful = materialize(marked.where((F.col("times") > 1) | F.col("near")))
     gone = join_groups(places, doubtful, "key", "times", total).where(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "pos") != F.col("first")))
     return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("removed"))
 
 
-def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the lines that go cut from their texts, and the column __removed with their number."""
-    found = removed_lines(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    found = materialize(found)
+def _unused(docs: DataFrame, name: str) -> str:
+    """The name, lengthened until no column has it."""
+    taken = {x.lower() for x in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "removed_lines") -> DataFrame:
+    """docs with the lines that go cut from their texts, and count_col, which docs must not have, with their number."""
+    found = materialize(removed_lines(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
     few = found.agg(F.count(F.lit(1)), F.sum(F.size("removed"))).first()
     if few[0] <= FEW_DOCS and (few[1] or 0) <= 10 * FEW_DOCS:
         found = F.broadcast(found)
-    found = found.select(F.col("doc_id").alias("__id"), F.col("removed").alias("__gone"))
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n"))
-    joined = docs.join(found, docs[id_col] == found["__id"], "left").withColumn(text_col, text)
-    return joined.withColumn("__removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")).drop("__id", "__gone")
+    key, cut = _unused(docs, "cut_id"), _unused(docs, "cut_places")
+    found = found.select(F.col("doc_id").alias(key), F.col("removed").alias(cut))
+    lines, gone = F.split(F.col(text_col), "\n"), F.col(cut)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    text = F.when(gone.isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n"))
+    joined = docs.join(found, docs[id_col] == found[key], "left").withColumn(text_col, text)
+    return joined.withColumn(count_col, F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long")).drop(key, cut)
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,10 +433,14 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counted = rows.withColumn("n_lines", F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long"))
-    return without_lines(counted).select("doc_id", "n_lines", F.col("__removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+    return without_lines(counted, count_col="n_removed").select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, without the lines that go; a document that loses all its text goes too."""
-    left = without_lines(docs, id_col, text_col)
-    return left.where((F.col("__removed") == 0) | (F.trim(F.translate(F.col(text_col), "\n\t\r", "   ")) != "")).drop("__removed")
+    """The documents, with all their columns, without the lines that go by the rules of line_report(); a document that loses all its text goes too.
+
+    Documents that lose no line stay as they are, null and blank texts included. An empty table stays empty.
+    """
+    count = _unused(docs, "removed_lines")
+    left = without_lines(docs, id_col, text_col, count)
+    return left.where((F.col(count) == 0) | (F.trim(F.translate(F.col(text_col), "\n\t\r", "   ")) != "")).drop(count)

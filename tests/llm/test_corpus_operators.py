@@ -226,7 +226,14 @@ def test_edit_distance():
         assert [min(edit_distance(a, b), edits + 1) for a, b in pairs] == np.minimum(found, edits + 1).tolist()
 
 
-def test_line_dedup(docs, empty):
+@pytest.mark.parametrize("hot", [False, True])
+def test_line_dedup(docs, empty, hot, monkeypatch):
+    if hot:  # every key goes by cells, of few lines
+        for name, value in (("HOT_LINES", 2), ("HOT_HERE", 2), ("MOST_HOT", 1 << 30), ("CELL_LINES", 2)):
+            monkeypatch.setattr(line_dedup, name, value)
+        links = line_dedup._hot_links
+        monkeypatch.setattr(line_dedup, "_hot_links", lambda *x: used.append(1) or links(*x))
+    used = []
     first = {}
     for i, t, *_ in ROWS:
         for p, line in enumerate((t or "").split("\n")):
@@ -242,6 +249,7 @@ def test_line_dedup(docs, empty):
         row = found[i]
         assert (row["n_lines"], row["n_removed"]) == (len(lines) if t else 0, len(lines) - len(kept))
         assert row["kept_sha256"] == hashlib.sha256("\n".join(kept).encode()).hexdigest()
+    assert bool(used) == hot
     assert line_dedup.line_report(empty).count() == 0
 
 
