@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,13 @@ def metres(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     return 2 * EARTH_METRES * F.asin(F.sqrt(half))
 
 
+def metres_between(lat1: float, lng1: float, lat2: float, lng2: float) -> float:
+    """The same for two points in Python."""
+    a, b = math.radians(lat1), math.radians(lat2)
+    half = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(lng2 - lng1) / 2) ** 2
+    return 2 * EARTH_METRES * math.asin(math.sqrt(half))
+
+
 def leg_mode(distance: Column) -> Column:
     return F.when(distance <= WALK_METRES, "walk").when(distance <= METRO_METRES, "metro").otherwise("taxi")
 

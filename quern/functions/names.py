@@ -17,9 +17,11 @@ ENDINGS = ("风景区", "博物院", "博物馆", "公园", "景区", "遗址",
 EXACT_BONUS, CONTAINS_BONUS = 0.20, 0.12
 #: Type codes by what a place is to a traveller, and names of places that are no destination.
 NO_DESTINATION_NAMES = "乘车点|上车点|售票处|检票处|停车场|卫生间|厕所"
-NO_DESTINATION_CODES = ("15", "07", "20", "12", "13", "16", "17", "18", "06")
+NO_DESTINATION_CODES = ("15", "07", "20", "12", "13", "16", "17", "18")
 DESTINATION_CODES = ("11", "14", "08")
-STREET_CODE, PLACE_CODE = "061001", "19"
+STREET_CODE, SHOP_CODE, PLACE_CODE = "061001", "06", "19"
+#: Places to eat, by code and by name of type, and marks that no shop's name has.
+FOOD_CODE, FOOD_TYPE, NO_SHOP_MARKS = "05", "餐饮", "[与、＋+/]"
 
 
 def _stem(name: Column) -> Column:
@@ -77,7 +79,7 @@ def place_kind(code: Column, kind: Column, name: Column) -> Column:
     by_code = (
         F.when(_starts(code, (PLACE_CODE,)), "place_name")
         .when(code == STREET_CODE, "destination")
-        .when(_starts(code, NO_DESTINATION_CODES), "irrelevant")
+        .when(_starts(code, (*NO_DESTINATION_CODES, SHOP_CODE)), "irrelevant")
         .when(_starts(code, DESTINATION_CODES), "destination")
         .otherwise("irrelevant")
     )
@@ -87,3 +89,13 @@ def place_kind(code: Column, kind: Column, name: Column) -> Column:
         .otherwise("irrelevant")
     )
     return F.when(F.coalesce(name, F.lit("")).rlike(NO_DESTINATION_NAMES), "irrelevant").when(code != "", by_code).otherwise(by_kind)
+
+
+def is_food(code: Column, kind: Column) -> Column:
+    """Whether a place is one to eat at."""
+    code, kind = F.trim(F.coalesce(code, F.lit(""))), F.trim(F.coalesce(kind, F.lit("")))
+    return F.when(code != "", code.startswith(FOOD_CODE)).otherwise(kind.startswith(FOOD_TYPE))
+
+
+def looks_like_a_shop(name: Column) -> Column:
+    return ~name.rlike(NO_SHOP_MARKS)

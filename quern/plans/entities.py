@@ -6,50 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ordering import numbered
 from .registry import Tables, query
 
-#: Score from which a match counts, least score of a sole entity, and least lead over the second.
-MATCH, SOLE, LEAD = 0.80, 0.40, 0.08
 TODAY = "1996-06-01"
 
 
-@query(
-    """WITH m AS (SELECT c_custkey AS mention, s_suppkey AS cand, s_nationkey AS root, ((c_custkey * 7 + s_suppkey * 13) % 100) / 100.0::DOUBLE AS score FROM customer JOIN supplier ON c_nationkey = s_nationkey)
-SELECT mention, root, count(*) AS members, max(score) AS best, arg_max(cand, (score, -cand)) AS matched FROM m GROUP BY 1, 2"""
-)
-def al08_consolidate(t: Tables) -> DataFrame:
-    rows = _candidates(t)
-    return rows.groupBy("mention", "root").agg(F.count(F.lit(1)).alias("members"), F.max("score").alias("best"), F.max_by("cand", F.struct("score", -F.col("cand"))).alias("matched"))
-
-
-def _candidates(t: Tables) -> DataFrame:
-    rows = t.customer.select(F.col("c_custkey").alias("mention"), F.col("c_nationkey").alias("root")).join(t.supplier.select(F.col("s_suppkey").alias("cand"), F.col("s_nationkey").alias("root")), "root")
-    return rows.withColumn("score", ((F.col("mention") * 7 + F.col("cand") * 13) % 100) / F.lit(100.0))
-
-
-@query(
-    """WITH m AS (SELECT c_custkey AS mention, c_nationkey, s_suppkey AS cand, ((c_custkey * 7 + s_suppkey * 13) % 100) / 100.0::DOUBLE AS score FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey AND s_suppkey % 3 > 0),
-r AS (SELECT mention, max(CASE WHEN c_nationkey = 7 THEN 1 ELSE 0 END) AS no_city, count(cand) AS n, list_sort(list(score) FILTER (cand IS NOT NULL), 'DESC') AS s FROM m GROUP BY 1)
-SELECT mention, CASE WHEN no_city = 1 THEN 'unresolved' WHEN n = 0 THEN 'no_candidate' WHEN s[1] < 0.80::DOUBLE THEN CASE WHEN n = 1 AND s[1] >= 0.40::DOUBLE THEN 'aligned' ELSE 'no_candidate' END
- WHEN n > 1 AND s[1] - s[2] < 0.08::DOUBLE THEN 'ambiguous' ELSE 'aligned' END AS outcome FROM r"""
-)
-def al10_outcome(t: Tables) -> DataFrame:
-    found = _candidates(t).where("cand % 3 > 0").groupBy("mention").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"), F.sort_array(F.collect_list("score"), asc=False).alias("s"))
-    rows = t.customer.select(F.col("c_custkey").alias("mention"), "c_nationkey").join(found, "mention", "left")
-    sole = F.when((F.col("n") == 1) & (F.col("best") >= SOLE), "aligned").otherwise("no_candidate")
-    outcome = (
-        F.when(F.col("c_nationkey") == 7, "unresolved").when(F.col("n").isNull(), "no_candidate").when(F.col("best") < MATCH, sole)
-        .when((F.col("n") > 1) & (F.col("s")[0] - F.get("s", F.lit(1)) < LEAD), "ambiguous").otherwise("aligned")
-    )
-    return rows.select("mention", outcome.alias("outcome"))
-
-
-@query("SELECT l_orderkey, l_returnflag, list_sort(list(l_partkey)) AS parts FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1, 2")
-def al15_parked_claims(t: Tables) -> DataFrame:
-    handled = t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return t.lineitem.join(handled, "l_orderkey", "left_anti").groupBy("l_orderkey", "l_returnflag").agg(F.sort_array(F.collect_list("l_partkey")).alias("parts"))
-
-
 @query("SELECT 'claim' AS kind, c_name AS name, n_name AS parent FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < -950 UNION ALL SELECT 'task', s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal < 0")
 def al20_attached_below(t: Tables) -> DataFrame:
     claims = t.customer.where("c_acctbal < -950").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.lit("claim").alias("kind"), F.col("c_name").alias("name"), F.col("n_name").alias("parent"))
@@ -105,9 +67,9 @@ def or07_station_rank(t: Tables) -> DataFrame:
     return rows.select("city", "station", F.row_number().over(Window.partitionBy("city").orderBy(longer, rank, "station")).alias("place"))
 
 
-@query("SELECT event_id, to_json({'event_id': event_id, 'kind': event_type, 'user': user_id}) AS payload FROM events WHERE event_id < 500")
+@query("SELECT event_id, to_json({'event_id': event_id, 'kind': event_type, 'user': user_id}) AS payload FROM events")
 def pj02_row_as_json(t: Tables) -> DataFrame:
-    return t.events.where("event_id < 500").select("event_id", F.to_json(F.struct("event_id", F.col("event_type").alias("kind"), F.col("user_id").alias("user"))).alias("payload"))
+    return t.events.select("event_id", F.to_json(F.struct("event_id", F.col("event_type").alias("kind"), F.col("user_id").alias("user"))).alias("payload"))
 
 
 @query("SELECT user_id, event_id, event_type, coalesce(CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END, event_id * 1.0::DOUBLE) AS value FROM events")
@@ -148,21 +110,23 @@ def tr02_date_gaps(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH r AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderdate::DATE - (o_orderkey % 30)::INT END AS release FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW'),
+    f"""WITH r AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderdate::DATE - (o_orderkey % 30)::INT END AS release, CASE o_orderkey % 3 WHEN 0 THEN '20:00' WHEN 1 THEN '' END AS at_time FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW'),
 d AS (SELECT *, date_diff('day', DATE '{TODAY}', release) AS days FROM r)
-SELECT o_orderkey, CASE WHEN days IS NULL THEN '必须提前线上预约——官方未公布放票口径，出行前以官方渠道为准' WHEN days < 0 THEN '放票日已过 ' || abs(days) || ' 天，立刻确认是否还有票' WHEN days = 0 THEN '今天 放票' ELSE days || ' 天后放票' END AS headline, row_number() OVER (ORDER BY days NULLS LAST, o_orderkey) AS place FROM d JOIN customer ON o_custkey = c_custkey ORDER BY place LIMIT 200"""
+SELECT o_orderkey, CASE WHEN days IS NULL THEN '必须提前线上预约——官方未公布放票口径，出行前以官方渠道为准' WHEN days < 0 THEN '放票日已过 ' || abs(days) || ' 天，立刻确认是否还有票' WHEN days = 0 THEN '今天' || CASE WHEN at_time <> '' THEN ' ' || at_time ELSE '' END || ' 放票' WHEN coalesce(at_time, '') = '' THEN days || ' 天后可以开始预约' ELSE days || ' 天后放票' END AS headline, row_number() OVER (ORDER BY days NULLS LAST, o_orderkey) AS place FROM d JOIN customer ON o_custkey = c_custkey"""
 )
 def ru02_alerts(t: Tables) -> DataFrame:
     release = F.when(F.col("o_orderkey") % 11 != 0, F.date_sub(F.to_date("o_orderdate"), (F.col("o_orderkey") % 30).cast("int")))
     rows = t.orders.where("o_orderstatus = 'F' AND o_orderpriority <> '5-LOW'").withColumn("days", F.datediff(release, F.lit(TODAY).cast("date")))
-    rows = rows.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).orderBy(F.asc_nulls_last("days"), "o_orderkey").limit(200)
+    rows = rows.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     days = F.col("days").cast("string")
+    time = F.when(F.col("o_orderkey") % 3 == 0, "20:00").otherwise("")
+    timed = time != ""
     headline = (
         F.when(F.col("days").isNull(), "必须提前线上预约——官方未公布放票口径，出行前以官方渠道为准")
         .when(F.col("days") < 0, F.concat(F.lit("放票日已过 "), F.abs("days").cast("string"), F.lit(" 天，立刻确认是否还有票")))
-        .when(F.col("days") == 0, "今天 放票").otherwise(F.concat(days, F.lit(" 天后放票")))
+        .when(F.col("days") == 0, F.concat(F.lit("今天"), F.when(timed, F.concat(F.lit(" "), time)).otherwise(""), F.lit(" 放票"))).when(~timed, F.concat(days, F.lit(" 天后可以开始预约"))).otherwise(F.concat(days, F.lit(" 天后放票")))
     )
-    return rows.select("o_orderkey", headline.alias("headline"), F.row_number().over(Window.orderBy(F.asc_nulls_last("days"), "o_orderkey")).cast("long").alias("place"))  # 200 rows
+    return numbered(rows.select("o_orderkey", headline.alias("headline"), "days"), [F.asc_nulls_last("days"), F.col("o_orderkey")]).select("o_orderkey", "headline", "place")
 
 
 @query(

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.merge import delete_below, upsert
+from ..operators.ordering import numbered
 from .registry import Tables, query
 
 #: Independent sources from which a claim counts as sure.
@@ -212,7 +214,7 @@ def ag13_sets(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY (c_acctbal < 0), c_name, c_custkey) AS place FROM customer")
 def or02_flag_first(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", F.row_number().over(Window.orderBy(F.col("c_acctbal") < 0, "c_name", "c_custkey")).cast("long").alias("place"))
+    return numbered(t.customer.select("c_custkey", "c_name", "c_acctbal"), [F.col("c_acctbal") < 0, F.col("c_name"), F.col("c_custkey")]).select("c_custkey", "place")
 
 
 @query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_quantity END NULLS LAST, l_linenumber) AS place FROM lineitem")
@@ -222,10 +224,10 @@ def or03_nulls_last(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("place"))
 
 
-@query("SELECT o_custkey, o_orderpriority, o_orderkey, place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= 2")
+@query("SELECT o_custkey, o_orderpriority, o_orderkey, place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= 8")
 def or06_top_of_each_kind(t: Tables) -> DataFrame:
     w = Window.partitionBy("o_custkey", "o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return t.orders.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 2").select("o_custkey", "o_orderpriority", "o_orderkey", "place")
+    return t.orders.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 8").select("o_custkey", "o_orderpriority", "o_orderkey", "place")
 
 
 @query("WITH u AS (SELECT c_nationkey AS k, 1 AS rank, 'customer' AS origin FROM customer WHERE c_acctbal > 9900 UNION ALL SELECT s_nationkey, 2, 'supplier' FROM supplier UNION ALL SELECT n_nationkey, 3, 'none' FROM nation) SELECT k, arg_min(origin, rank) AS origin FROM u GROUP BY 1")
@@ -257,10 +259,9 @@ def so04_merge_counts(t: Tables) -> DataFrame:
 
 @query("WITH new AS (SELECT * FROM customer WHERE c_custkey % 7 = 0), old AS (SELECT * FROM customer WHERE c_custkey % 2 = 0) SELECT coalesce(new.c_custkey, old.c_custkey) AS c_custkey, CASE WHEN new.c_custkey IS NOT NULL THEN upper(new.c_name) ELSE old.c_name END AS c_name, new.c_custkey IS NOT NULL AS written FROM new FULL JOIN old ON new.c_custkey = old.c_custkey")
 def snk02_upsert_overwrite(t: Tables) -> DataFrame:
-    new = t.customer.where("c_custkey % 7 = 0").select("c_custkey", F.upper("c_name").alias("new_name"), F.lit(True).alias("new"))
+    new = t.customer.where("c_custkey % 7 = 0").select("c_custkey", F.upper("c_name").alias("c_name"))
     old = t.customer.where("c_custkey % 2 = 0").select("c_custkey", "c_name")
-    joined = new.join(old, "c_custkey", "full")
-    return joined.select("c_custkey", F.when(F.col("new"), F.col("new_name")).otherwise(F.col("c_name")).alias("c_name"), F.coalesce("new", F.lit(False)).alias("written"))
+    return upsert(old.withColumn("written", F.lit(False)), new.withColumn("written", F.lit(True)), "c_custkey", ("c_name", "written"))
 
 
 @query("WITH new AS (SELECT c_custkey, c_name, nullif(c_mktsegment, 'BUILDING') AS seg FROM customer WHERE c_custkey % 3 = 0), old AS (SELECT c_custkey, lower(c_name) AS c_name, c_mktsegment AS seg FROM customer WHERE c_custkey % 2 = 0) SELECT coalesce(new.c_custkey, old.c_custkey) AS c_custkey, coalesce(new.c_name, old.c_name) AS c_name, coalesce(new.seg, old.seg) AS seg FROM new FULL JOIN old ON new.c_custkey = old.c_custkey")
@@ -273,7 +274,7 @@ def snk03_upsert_fill(t: Tables) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 5))")
 def snk04_delete_cascade(t: Tables) -> DataFrame:
     gone = t.orders.join(t.customer.where("c_nationkey = 5").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").select(F.col("o_orderkey").alias("l_orderkey"))
-    return t.lineitem.select("l_orderkey", "l_linenumber").join(gone, "l_orderkey", "left_anti")
+    return delete_below(t.lineitem.select("l_orderkey", "l_linenumber"), gone, "l_orderkey")
 
 
 @query("SELECT o_orderkey, 'no_lines' AS code FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT o_orderkey, 'no_customer' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT l_orderkey, 'bad_discount' FROM lineitem WHERE l_discount < 0 OR l_discount > 1 UNION ALL SELECT o_orderkey, 'not_unique' FROM orders GROUP BY 1 HAVING count(*) > 1")
@@ -312,13 +313,13 @@ def kb08_merge_claims(t: Tables) -> DataFrame:
     return evidence.join(groups, "l_suppkey", "left").groupBy("kept").agg(F.count(F.lit(1)).alias("evidence"), independent_sources(F.col("g"), F.col("l_suppkey")).alias("sources"))
 
 
-@query("SELECT o_orderkey, o_custkey, n_lines, o_totalprice FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n_lines FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE o_custkey <= 100 ORDER BY n_lines DESC NULLS LAST, o_orderdate DESC, o_orderkey LIMIT 200")
+@query("SELECT o_orderkey, o_custkey, n_lines, o_totalprice FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n_lines FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey ORDER BY n_lines DESC NULLS LAST, o_orderdate DESC, o_orderkey LIMIT 200")
 def kb09_list_claims(t: Tables) -> DataFrame:
     counts = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n_lines"))
-    rows = t.orders.where("o_custkey <= 100").join(counts, "o_orderkey", "left")
+    rows = t.orders.join(counts, "o_orderkey", "left")
     return rows.orderBy(F.desc_nulls_last("n_lines"), F.desc("o_orderdate"), "o_orderkey").limit(200).select("o_orderkey", "o_custkey", "n_lines", "o_totalprice")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_suppkey, s_name, l_shipdate::DATE::VARCHAR AS shipped FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey <= 200")
+@query("SELECT l_orderkey, l_linenumber, l_suppkey, s_name, l_shipdate::DATE::VARCHAR AS shipped FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")
 def kb10_evidence_of_claims(t: Tables) -> DataFrame:
-    return t.lineitem.where("l_orderkey <= 200").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "l_linenumber", "l_suppkey", "s_name", F.to_date("l_shipdate").cast("string").alias("shipped"))
+    return t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "l_linenumber", "l_suppkey", "s_name", F.to_date("l_shipdate").cast("string").alias("shipped"))

@@ -11,7 +11,6 @@ from pyspark.sql.window import Window
 
 from ..functions import dates as D
 from ..functions import geo as G
-from ..functions import names as N
 from .registry import Tables, query
 
 TODAY = "1996-06-01"
@@ -249,35 +248,6 @@ def al19_merge_duplicates(t: Tables) -> DataFrame:
     return t.lineitem.join(moved, "l_partkey").groupBy("kept").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("l_suppkey").alias("suppliers"))
 
 
-def _names(t: Tables) -> DataFrame:
-    """A fixed table of mentions and candidates, beside pairs of part names."""
-    rows = [
-        ("钟楼", "钟楼", "110000", ""), ("午门", "故宫博物院-午门", "110200", ""), ("故宫", "故宫博物院", "110201", ""), ("景山", "景山公园", "110101", ""), ("大唐不夜城", "大唐不夜城(地铁站)", "150500", ""), ("回民街", "回民街", "061001", ""),
-        ("兵马俑", "秦始皇兵马俑博物馆", "140100", ""), ("陕历博", "陕西历史博物馆", "140100", ""), ("钟楼（西安）", "钟楼(西安)", "", "风景名胜;钟楼"), ("", "某地", "", ""), ("兵马俑", "兵马俑直通车乘车点", "110000", ""), ("东大街", "东大街", "190301", ""),
-    ]
-    return t.spark.createDataFrame(rows, "mention string, candidate string, code string, kind string")
-
-
-@query(
-    """SELECT * FROM (VALUES ('钟楼','钟楼',1.0::DOUBLE,0.2::DOUBLE,'destination'),('午门','故宫博物院-午门',0.9,0.2,'destination'),('故宫','故宫博物院',0.95,0.0,'destination'),('景山','景山公园',0.95,0.0,'destination'),('大唐不夜城','大唐不夜城(地铁站)',0.9,0.12,'irrelevant'),('回民街','回民街',1.0,0.2,'destination'),
-('兵马俑','秦始皇兵马俑博物馆',0.9,0.12,'destination'),('陕历博','陕西历史博物馆',NULL,0.0,'destination'),('钟楼（西安）','钟楼(西安)',1.0,0.0,'destination'),('','某地',0.0,0.0,'irrelevant'),('兵马俑','兵马俑直通车乘车点',0.9,0.12,'irrelevant'),('东大街','东大街',1.0,0.2,'place_name')) v(mention, candidate, score, bonus, place_kind)"""
-)
-def al01_name_rules(t: Tables) -> DataFrame:
-    a, b = F.col("mention"), F.col("candidate")
-    return _names(t).select(a, b, N.rule_score(a, b).alias("score"), N.rank_bonus(a, b).alias("bonus"), N.place_kind(F.col("code"), F.col("kind"), b).alias("place_kind"))
-
-
-@query()
-def al03_scored_candidates(t: Tables) -> DataFrame:
-    """Candidates of each mention by score and bonus; where no rule decides, by the letters."""
-    a, b = F.col("mention"), F.col("candidate")
-    rows = _names(t).withColumn("rule", N.rule_score(a, b))
-    known = rows.where("rule IS NOT NULL").withColumn("score", F.col("rule"))
-    rest = rows.where("rule IS NULL").withColumn("score", N.letter_score(a, b))
-    rows = known.unionByName(rest).withColumn("rank", F.col("score") + N.rank_bonus(a, b))
-    return rows.select("mention", "candidate", "score", "rank", F.row_number().over(Window.partitionBy("mention").orderBy(F.desc("rank"), "candidate")).alias("place"))
-
-
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey <> b.p_partkey AND a.p_brand = b.p_brand AND a.p_size = b.p_size AND contains(a.p_name, split_part(b.p_name, ' ', 1))")
 def jn16_contained_names(t: Tables) -> DataFrame:
     a = t.part.select(F.col("p_partkey").alias("a"), "p_brand", "p_size", F.col("p_name").alias("a_name"))

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.runs import COPY_SHARE, DECISIVE_RUN, MIN_RUN
+from ..operators import quotes, reposts
+from ..storage import saved
 from .registry import Tables, query
 
-#: Characters in a run that counts as copied, and the share of the shorter text that makes a copy.
-MIN_RUN, COPY_SHARE = 12, 0.60
-
 _SQUASH = r"regexp_replace({}, '[\s\p{{Z}}\x1c-\x1f\x85]', '', 'g')"
 _BODY = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '\r\n?', '\n', 'g'), '[ \t\x0b\f\x1c-\x1f\x85\p{{Z}}]+(\n|$)', '\1', 'g'), '\n{{3,}}', E'\n\n', 'g'), '^\n+|\n+$', '', 'g')"
 
@@ -38,120 +34,188 @@ def dd04_exact_copies(t: Tables) -> DataFrame:
     return rows.join(firsts, "h").select("doc_id", "original", (F.col("doc_id") > F.col("original")).alias("copy"))
 
 
-@query("SELECT doc_id, length(regexp_replace(text, '[0-9 ]', '', 'g')) AS key_chars FROM documents")
-def dd11_key_without_marks(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.length(T.without(F.col("text"), "0123456789 ")).cast("long").alias("key_chars"))
+_MARKS = "' ' || chr(9) || chr(13) || chr(10) || '　，。、；：！？“”‘’（）《》〈〉【】…—～·,.;:!?\"''()[]<>-'"
+_KEYS = f"SELECT DISTINCT doc_id AS doc, translate(lang || '|' || line, {_MARKS}, '') AS key FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''"
+
+
+def _conclusions(t: Tables) -> DataFrame:
+    """doc and key of the conclusions of a document: its lines, each with its subject, without marks."""
+    lines = t.documents.select(F.col("doc_id").alias("doc"), "lang", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
+    return lines.select("doc", T.without(F.concat("lang", F.lit("|"), "line"), T.LOOSE).alias("key")).distinct()
+
+
+@query(f"SELECT doc, key, length(key) AS key_chars FROM ({_KEYS})")
+def dd11_conclusion_keys(t: Tables) -> DataFrame:
+    return _conclusions(t).select("doc", "key", F.length("key").cast("long").alias("key_chars"))
+
+
+@query(f"SELECT doc, count(*) AS n_keys, sha256(string_agg(key, chr(10) ORDER BY key)) AS profile FROM ({_KEYS}) GROUP BY 1")
+def dd12_conclusion_profiles(t: Tables) -> DataFrame:
+    profile = F.sha2(F.array_join(F.sort_array(F.collect_set("key")), "\n"), 256)
+    return _conclusions(t).groupBy("doc").agg(F.count(F.lit(1)).alias("n_keys"), profile.alias("profile"))
 
 
 @query(
-    """WITH k AS (SELECT DISTINCT o_custkey AS doc, l_partkey AS key FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
-n AS (SELECT doc, count(*) AS n FROM k GROUP BY 1), p AS (SELECT a.doc, b.doc AS other, count(*) AS shared FROM k a JOIN k b ON a.key = b.key AND a.doc <> b.doc GROUP BY 1, 2),
-r AS (SELECT p.doc, other, shared / n AS share FROM p JOIN n ON p.doc = n.doc WHERE n >= 4)
-SELECT doc, other, round(share, 4) AS share FROM r WHERE share >= 0.05 QUALIFY row_number() OVER (PARTITION BY doc ORDER BY other) = 1"""
+    f"""WITH k AS ({_KEYS}), n AS (SELECT doc, count(*) AS n FROM k GROUP BY 1 HAVING count(*) >= 4), p AS (SELECT a.doc, b.doc AS other, count(*) AS shared FROM k a JOIN k b ON a.key = b.key AND a.doc <> b.doc GROUP BY 1, 2)
+SELECT p.doc, other, round_even(shared / n, 4) AS share FROM p JOIN n ON p.doc = n.doc WHERE shared * 10 >= n * 8 QUALIFY row_number() OVER (PARTITION BY p.doc ORDER BY other) = 1"""
 )
 def dd13_first_match_by_keys(t: Tables) -> DataFrame:
-    keys = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("doc"), F.col("l_partkey").alias("key")).distinct()
-    sizes = keys.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
-    shared = keys.join(keys.withColumnRenamed("doc", "other"), "key").where("doc <> other").groupBy("doc", "other").agg(F.count(F.lit(1)).alias("shared"))
-    share = shared.join(sizes, "doc").withColumn("share", F.col("shared") / F.col("n")).where("share >= 0.05")
-    return share.groupBy("doc").agg(F.min("other").alias("other"), F.round(F.min_by("share", "other"), 4).alias("share"))
+    return reposts.first_matches(_conclusions(t))
 
 
-def _grams(body: F.Column, size: int) -> F.Column:
-    return F.transform(F.sequence(F.lit(1), F.length(body) - (size - 1)), lambda i: F.substring(body, i, F.lit(size)))
+@query()
+def dd13_conclusion_groups(t: Tables) -> DataFrame:
+    """Each document with its group: matches join it in the direction of the first match, from document to document."""
+    found = saved(reposts.first_matches(_conclusions(t)))
+    links = found.select(F.greatest("doc", "other").alias("id"), F.least("doc", "other").alias("parent"))
+    parents = links.groupBy("id").agg(F.min("parent").alias("parent"))
+    groups = reposts.roots_of(parents).withColumnRenamed("root", "group_id")
+    groups = groups.unionByName(groups.select(F.col("group_id").alias("id"), "group_id").distinct())
+    return groups.join(found.withColumnRenamed("doc", "id"), "id", "left").select(F.col("id").alias("doc"), "group_id", "share")
 
 
-@query(
-    """WITH d AS (SELECT item_id AS id, lower(text) AS x FROM benchmark), g AS (SELECT DISTINCT id, substr(x, i, 4) AS g FROM d, unnest(range(1, length(x) - 2)) AS u(i)),
-n AS (SELECT id, count(*) AS n FROM g GROUP BY 1), s AS (SELECT a.id, b.id AS other, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
-SELECT s.id, other, round(shared / (n1.n + n2.n - shared), 6) AS jaccard, round(shared / least(n1.n, n2.n), 6) AS containment FROM s JOIN n n1 ON n1.id = s.id JOIN n n2 ON n2.id = other WHERE shared >= 20"""
-)
-def dd14_gram_jaccard(t: Tables) -> DataFrame:
-    body = F.lower("text")
-    grams = t.benchmark.where(F.length("text") >= 4).select(F.col("item_id").alias("id"), F.explode(F.array_distinct(_grams(body, 4))).alias("g"))
-    sizes = grams.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    pairs = grams.join(grams.withColumnRenamed("id", "other"), "g").where("id < other").groupBy("id", "other").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 20")
-    joined = pairs.join(sizes, "id").join(sizes.select(F.col("id").alias("other"), F.col("n").alias("m")), "other")
-    return joined.select("id", "other", F.round(F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")), 6).alias("jaccard"), F.round(F.col("shared") / F.least("n", "m"), 6).alias("containment"))
+def _items(t: Tables) -> DataFrame:
+    """id and body, without white space, of the documents that aren't copies of earlier ones."""
+    return saved(reposts.copies(t.documents).where("id = original").select("id", "body"))
+
 
+def _pairs_sql(rest: str) -> str:
+    """SQL over x (id, body, n), p (id, n, pos, g), k (id, other): documents that aren't copies, their grams, and pairs with a shared gram, of which id is the shorter or later."""
+    return f"""WITH d AS (SELECT doc_id AS id, {_SQUASH.format("coalesce(text, '')")} AS body FROM documents), x AS (SELECT min(id) AS id, body, length(body) AS n FROM d GROUP BY body),
+p AS (SELECT id, n, i - 1 AS pos, hash(substr(body, i, 12)) AS g FROM x, unnest(range(1, n - 10)) AS u(i)), s AS (SELECT * FROM p WHERE g IN (SELECT g FROM p GROUP BY g HAVING min(id) <> max(id))),
+c AS (SELECT DISTINCT id, n, g FROM s), k AS (SELECT DISTINCT a.id, b.id AS other FROM c a JOIN c b ON a.g = b.g AND (a.n < b.n OR (a.n = b.n AND a.id > b.id))),
+m AS (SELECT k.id, k.other, s.n, s.pos, s.pos - lag(s.pos) OVER (PARTITION BY k.id, k.other ORDER BY s.pos) AS step FROM k JOIN s ON s.id = k.id JOIN c ON c.id = k.other AND c.g = s.g),
+b AS (SELECT id, other, sum(least(12, coalesce(step, 12))) / any_value(n) AS bound FROM m GROUP BY 1, 2) {rest}"""
 
-def _run_candidates(items: DataFrame) -> DataFrame:
-    """Pairs (id, other) of texts that share a run of MIN_RUN characters; items has id and body. Lossless, as a longer run holds one."""
-    grams = items.where(F.length("body") >= MIN_RUN).select("id", F.explode(F.array_distinct(F.transform(_grams(F.col("body"), MIN_RUN), lambda g: F.xxhash64(g)))).alias("g"))
-    return grams.join(grams.withColumnRenamed("id", "other"), "g").where("id < other").select("id", "other").distinct()
+
+@query(_pairs_sql("SELECT id, other, round(bound, 6) AS bound FROM b WHERE bound >= 0.60::DOUBLE"))
+def dd16_cover_bound(t: Tables) -> DataFrame:
+    """Pairs whose shared grams may cover enough for a repost."""
+    items = _items(t)
+    found = reposts.cover_bound(reposts.run_candidates(items), items).where(F.col("bound") >= COPY_SHARE)
+    return found.select("id", "other", F.round("bound", 6).alias("bound"))
+
+
+@query(_pairs_sql("SELECT b.id, b.other FROM b JOIN x ON x.id = b.id WHERE bound >= 0.60::DOUBLE"))
+def dd15_run_candidates(t: Tables) -> DataFrame:
+    """Candidate pairs: a run of MIN_RUN characters in common, and cover enough for a repost."""
+    items = _items(t)
+    return reposts.cover_bound(saved(reposts.run_candidates(items)), items).where(F.col("bound") >= COPY_SHARE).select("id", "other")
 
 
 @query(
-    f"""WITH d AS (SELECT item_id AS id, {_SQUASH.format('text')} AS x FROM benchmark), g AS (SELECT DISTINCT id, substr(x, i, 12) AS g FROM d, unnest(range(1, length(x) - 10)) AS u(i))
-SELECT DISTINCT a.id, b.id AS other FROM g a JOIN g b ON a.g = b.g AND a.id < b.id"""
+    _pairs_sql(
+        """, q AS (SELECT id, other FROM b WHERE bound >= 0.60::DOUBLE), l AS (SELECT id, n, ch, count(*) AS k FROM (SELECT id, n, unnest(string_split(body, '')) AS ch FROM x WHERE id IN (SELECT id FROM q UNION SELECT other FROM q)) WHERE ch <> '' GROUP BY 1, 2, 3)
+SELECT q.id, q.other, sum(least(a.k, o.k))::BIGINT AS letters, sum(least(a.k, o.k)) >= 0.6 * any_value(a.n) AS may_be_repost FROM q JOIN l a ON a.id = q.id JOIN l o ON o.id = q.other AND o.ch = a.ch GROUP BY 1, 2"""
+    )
 )
-def dd15_run_candidates(t: Tables) -> DataFrame:
-    return _run_candidates(t.benchmark.select(F.col("item_id").alias("id"), T.squash(F.col("text")).alias("body")))
+def dd07_letter_bag_bound(t: Tables) -> DataFrame:
+    items = _items(t)
+    pairs = saved(reposts.cover_bound(reposts.run_candidates(items), items).where(F.col("bound") >= COPY_SHARE).select("id", "other"))
+    found = reposts.letter_bound(pairs, items).join(items.select("id", F.length("body").alias("n")), "id")
+    return found.select("id", "other", "letters", (F.col("letters") >= 0.6 * F.col("n")).alias("may_be_repost"))
+
+
+@query()
+def dd05_overlap(t: Tables) -> DataFrame:
+    """Coverage and longest run of pairs that may be reposts, and both decisions by them: a repost on import, and a duplicate."""
+    found = reposts.overlaps(_items(t))
+    repost = F.col("coverage") >= COPY_SHARE
+    return found.select("id", "other", F.bround("coverage", 4).alias("coverage"), "longest", repost.alias("repost"), (repost | (F.col("longest") >= DECISIVE_RUN)).alias("duplicate"))
 
 
-@F.pandas_udf(StructType([StructField("coverage", DoubleType()), StructField("longest", IntegerType())]))
-def overlap(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    """Share of the shorter text in matching blocks of MIN_RUN characters or more, and the longest such block."""
-    rows = []
-    for a, b in zip(left, right):
-        a, b = (b, a) if len(a) > len(b) else (a, b)
-        runs = [m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size >= MIN_RUN]
-        rows.append((round(sum(runs) / len(a), 4) if a else 0.0, max(runs, default=0)))
-    return pd.DataFrame(rows, columns=["coverage", "longest"])
+@query()
+def dd08_best_originals(t: Tables) -> DataFrame:
+    return reposts.best_originals(reposts.overlaps(_items(t))).select("id", "original", F.bround("coverage", 4).alias("coverage"))
 
 
 @query()
-def dd05_overlap_of_candidates(t: Tables) -> DataFrame:
-    items = t.benchmark.select(F.col("item_id").alias("id"), T.squash(F.col("text")).alias("body"))
-    pairs = _run_candidates(items).join(items, "id").join(items.select(F.col("id").alias("other"), F.col("body").alias("other_body")), "other")
-    found = pairs.withColumn("o", overlap("body", "other_body"))
-    return found.select("id", "other", "o.coverage", "o.longest", (F.col("o.coverage") >= COPY_SHARE).alias("copy"))
+def dd10_repost_groups(t: Tables) -> DataFrame:
+    """The state in which each document is imported, its original, and its group."""
+    return reposts.repost_groups(t.documents)
 
 
 @query(
-    f"""WITH c AS (SELECT item_id AS id, length({_SQUASH.format('text')}) AS n, {_SQUASH.format('text')} AS x FROM benchmark),
-b AS (SELECT id, n, ch, count(*) AS k FROM c, unnest(string_split(x, '')) AS u(ch) WHERE ch <> '' GROUP BY 1, 2, 3)
-SELECT a.id, b.id AS other, sum(least(a.k, b.k))::BIGINT AS shared FROM b a JOIN b ON a.ch = b.ch AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING sum(least(a.k, b.k)) >= 0.6 * least(a.n, b.n)"""
+    _pairs_sql(
+        """, q AS (SELECT id, other FROM b WHERE bound >= 0.60::DOUBLE), g AS (SELECT DISTINCT id, substr(body, i, 4) AS g FROM x, unnest(range(1, n - 2)) AS u(i) WHERE id IN (SELECT id FROM q UNION SELECT other FROM q)),
+z AS (SELECT id, count(*) AS n FROM g GROUP BY 1), y AS (SELECT q.id, q.other, count(*) AS shared FROM q JOIN g a ON a.id = q.id JOIN g o ON o.id = q.other AND o.g = a.g GROUP BY 1, 2)
+SELECT y.id, other, round(shared / (a.n + o.n - shared), 6) AS jaccard, round(shared / least(a.n, o.n), 6) AS containment FROM y JOIN z a ON a.id = y.id JOIN z o ON o.id = y.other"""
+    )
 )
-def dd07_letter_bag_bound(t: Tables) -> DataFrame:
-    body = T.squash(F.col("text"))
-    bags = t.benchmark.select(F.col("item_id").alias("id"), F.length(body).alias("n"), F.explode(F.filter(F.split(body, ""), lambda x: x != "")).alias("ch")).groupBy("id", "n", "ch").agg(F.count(F.lit(1)).alias("k"))
-    other = bags.select(F.col("id").alias("other"), F.col("n").alias("m"), "ch", F.col("k").alias("l"))
-    pairs = bags.join(other, "ch").where("id < other").groupBy("id", "other", "n", "m").agg(F.sum(F.least("k", "l")).alias("shared"))
-    return pairs.where(F.col("shared") >= 0.6 * F.least("n", "m")).select("id", "other", "shared")
+def dd14_gram_jaccard(t: Tables) -> DataFrame:
+    """Likeness by grams of four characters of the candidate pairs."""
+    items = _items(t)
+    pairs = saved(reposts.cover_bound(reposts.run_candidates(items), items).where(F.col("bound") >= COPY_SHARE).select("id", "other"))
+    grams = saved(reposts.gram_places(items, 4).select("id", "g").distinct())
+    sizes = grams.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    shared = pairs.join(grams, "id").join(grams.select(F.col("id").alias("other"), "g"), ["other", "g"]).groupBy("id", "other").agg(F.count(F.lit(1)).alias("shared"))
+    joined = shared.join(sizes, "id").join(sizes.select(F.col("id").alias("other"), F.col("n").alias("m")), "other")
+    return joined.select("id", "other", F.round(F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")), 6).alias("jaccard"), F.round(F.col("shared") / F.least("n", "m"), 6).alias("containment"))
 
 
-@query("SELECT doc_id, strpos(text, 'idiot') - 1 AS at, CASE WHEN length(text) > 80 THEN left(text, 80) || '…' ELSE text END AS snippet FROM documents WHERE contains(text, 'idiot') ORDER BY doc_id DESC LIMIT 50")
+@query(
+    """WITH f AS (SELECT doc_id, source, text, greatest(strpos(text, 'idiot') - 1, 0) AS "at" FROM documents WHERE contains(text, 'idiot') OR contains(source, 'idiot') ORDER BY doc_id DESC LIMIT 50)
+SELECT doc_id, "at", CASE WHEN "at" > 40 THEN '…' ELSE '' END || substr(text, greatest(0, "at" - 40) + 1, least(length(text), "at" + 40) - greatest(0, "at" - 40)) || CASE WHEN "at" + 40 < length(text) THEN '…' ELSE '' END AS snippet FROM f"""
+)
 def fl03_documents_containing(t: Tables, phrase: str = "idiot", limit: int = 50) -> DataFrame:
-    found = t.documents.where(F.col("text").contains(phrase)).orderBy(F.desc("doc_id")).limit(limit)
-    snippet = F.when(F.length("text") > 80, F.concat(F.substring("text", 1, 80), F.lit("…"))).otherwise(F.col("text"))
-    return found.select("doc_id", (F.instr("text", phrase) - 1).cast("long").alias("at"), snippet.alias("snippet"))
+    """The newest documents with the phrase in their text or source, with its place and the text around it."""
+    found = t.documents.where(F.col("text").contains(phrase) | F.col("source").contains(phrase)).orderBy(F.desc("doc_id")).limit(limit)
+    found = found.withColumn("at", F.greatest(F.lit(0), F.instr("text", phrase) - 1))
+    return found.select("doc_id", F.col("at").cast("long").alias("at"), T.snippet(F.col("text"), F.col("at")).alias("snippet"))
 
 
 @query("SELECT item_id, min(doc_id) AS doc_id, count(*) AS documents FROM benchmark b JOIN documents d ON contains(d.text, trim(b.text)) GROUP BY 1")
 def fl04_benchmark_in_documents(t: Tables) -> DataFrame:
-    """Few passages are broadcast; many are found by a key, their first characters, that a document that holds them has, too."""
-    size, few = 24, 1000
-    items = t.benchmark.select("item_id", F.trim("text").alias("quote")).where(F.length("quote") >= size)
-    if items.count() <= few:
-        found = t.documents.select("doc_id", "text").join(F.broadcast(items), F.col("text").contains(F.col("quote")))
-        return found.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("documents"))
-    keyed = items.withColumn("key", F.xxhash64(F.substring("quote", 1, size)))
-    grams = t.documents.where(F.length("text") >= size).select("doc_id", F.explode(F.array_distinct(F.transform(_grams(F.col("text"), size), lambda g: F.xxhash64(g)))).alias("key"))
-    pairs = grams.join(keyed, "key").select("doc_id", "item_id", "quote").distinct()
-    found = pairs.join(t.documents.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("quote")))
-    return found.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("documents"))
+    items = t.benchmark.select(F.col("item_id").alias("quote_id"), F.trim("text").alias("form"))
+    found = quotes.holders(items, t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("body")))
+    return found.groupBy(F.col("quote_id").alias("item_id")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("documents"))
+
+
+_LOOSE_OF = f"translate({{}}, {_MARKS}, '')"
 
 
 @query(
-    """WITH p AS (SELECT item_id, doc_id, trim(b.text) AS q, d.text AS body FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40)
-SELECT item_id, doc_id, CASE WHEN length(q) < 6 THEN 'too_short' WHEN contains(body, q) THEN 'exact'
- WHEN translate(q, ' ' || chr(9) || chr(13) || chr(10) || '　，。、；：！？“”‘’（）《》〈〉【】…—～·,.;:!?"''()[]<>-', '') <> '' AND contains(translate(body, ' ' || chr(9) || chr(13) || chr(10) || '　，。、；：！？“”‘’（）《》〈〉【】…—～·,.;:!?"''()[]<>-', ''), translate(q, ' ' || chr(9) || chr(13) || chr(10) || '　，。、；：！？“”‘’（）《》〈〉【】…—～·,.;:!?"''()[]<>-', '')) THEN 'loose' ELSE 'missing' END AS verdict FROM p"""
+    f"""WITH q AS (SELECT item_id, trim(text) AS q, {_LOOSE_OF.format("trim(text)")} AS lq FROM benchmark), d AS (SELECT doc_id, text AS body, {_LOOSE_OF.format("text")} AS lb FROM documents),
+f AS (SELECT item_id, doc_id, q, lq, body, lb, CASE WHEN contains(body, q) THEN 'exact' ELSE 'loose' END AS verdict FROM q JOIN d ON length(q) >= 6 AND (contains(body, q) OR (lq <> '' AND contains(lb, lq)))),
+p AS (SELECT *, CASE WHEN verdict = 'loose' THEN list_filter(range(1, length(body) + 1), lambda i: NOT contains({_MARKS}, substr(body, i, 1))) END AS kept FROM f)
+SELECT item_id, doc_id, verdict, CASE WHEN verdict = 'exact' THEN strpos(body, q) - 1 ELSE kept[strpos(lb, lq)] - 1 END AS char_start, CASE WHEN verdict = 'exact' THEN strpos(body, q) - 1 + length(q) ELSE kept[strpos(lb, lq) + length(lq) - 1] END AS char_end FROM p
+UNION ALL SELECT item_id, NULL, CASE WHEN length(q) < 6 THEN 'too_short' ELSE 'missing' END, -1, -1 FROM q WHERE item_id NOT IN (SELECT item_id FROM f)"""
 )
-def ql01_quote_verdicts(t: Tables) -> DataFrame:
-    items = t.benchmark.select("item_id", F.col("text").alias("quote"), (F.col("item_id") % 40).alias("k"))
-    rows = t.documents.select("doc_id", "text", (F.col("doc_id") % 40).alias("k")).join(items, "k")
-    return rows.select("item_id", "doc_id", T.quote_verdict(F.col("quote"), F.col("text")).alias("verdict"))
+def ql01_quote_places(t: Tables) -> DataFrame:
+    """Where each passage stands in the documents, exactly or but for marks; passages that none holds have one row."""
+    found = quotes.quote_places(t.benchmark.select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")), t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("body")))
+    return found.select(F.col("quote_id").alias("item_id"), "doc_id", "verdict", F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"))
+
+
+_CLAIMS = """SELECT doc_id, i, quote, body FROM (SELECT doc_id, body, i, CASE i WHEN 0 THEN substr(body, 4, 40) WHEN 1 THEN translate(substr(body, 10, 30), ' ', '') WHEN 2 THEN substr(body, 1, 5) WHEN 3 THEN 'not in ' || doc_id ELSE ' ' || substr(body, 2, 20) || ' ' END AS quote FROM b, range(5) AS u(i))"""
+
+
+def _claims(t: Tables) -> DataFrame:
+    """Five claims on each document, whose quotes are of it, of it without blanks, too short, of nowhere, and of it between blanks."""
+    body = T.normal_body(F.col("text"))
+    rows = t.documents.select("doc_id", body.alias("body"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"))
+    quote = (
+        F.when(F.col("i") == 0, F.substring("body", 4, 40)).when(F.col("i") == 1, F.translate(F.substring("body", 10, 30), " ", "")).when(F.col("i") == 2, F.substring("body", 1, 5))
+        .when(F.col("i") == 3, F.concat(F.lit("not in "), F.col("doc_id"))).otherwise(F.concat(F.lit(" "), F.substring("body", 2, 20), F.lit(" ")))
+    )
+    return rows.select("doc_id", F.col("i").cast("long").alias("i"), quote.alias("quote"))
+
+
+_BODIES = f"b AS (SELECT doc_id, {_BODY.format('text')} AS body FROM documents)".replace("'\\n'", "chr(10)").replace("E'\\n\\n'", "chr(10) || chr(10)")
+_STRIP = "regexp_replace(quote, '^[\\s\\p{Z}\\x1c-\\x1f\\x85]+|[\\s\\p{Z}\\x1c-\\x1f\\x85]+$', '', 'g')"
+_CHECKED = f"""WITH {_BODIES}, c AS (SELECT *, {_STRIP} AS q FROM ({_CLAIMS})), l AS (SELECT *, {_LOOSE_OF.format('q')} AS lq, {_LOOSE_OF.format('body')} AS lb FROM c),
+v AS (SELECT doc_id, i, quote, CASE WHEN length(q) < 6 THEN 'too_short' WHEN contains(body, q) THEN 'exact' WHEN lq <> '' AND contains(lb, lq) THEN 'loose' ELSE 'missing' END AS verdict FROM l)"""
+
+
+@query(_CHECKED + " SELECT doc_id, count(*) AS candidates, count_if(verdict IN ('exact', 'loose'))::BIGINT AS accepted, count_if(verdict = 'loose')::BIGINT AS loose, count_if(verdict NOT IN ('exact', 'loose'))::BIGINT AS dropped, round(count_if(verdict NOT IN ('exact', 'loose')) / count(*), 6) AS drop_ratio FROM v GROUP BY 1")
+def ql02_verified_claims(t: Tables) -> DataFrame:
+    return quotes.verification_counts(quotes.verified(_claims(t), t.documents))
+
+
+@query(_CHECKED + " SELECT doc_id, i, quote, verdict FROM v WHERE verdict IN ('exact', 'loose')")
+def ql04_gold_quotes(t: Tables) -> DataFrame:
+    """Labels whose quote stands in their document, exactly or loosely; others are turned away."""
+    return quotes.verified(_claims(t), t.documents).where("accepted").select("doc_id", "i", "quote", "verdict")
 
 
 @query("SELECT doc_id, n_name, (length(u) - length(replace(u, w, ''))) // length(w) AS n FROM (SELECT doc_id, upper(text) AS u, n_name, left(n_name, 3) AS w FROM documents, nation) WHERE contains(u, w) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY (length(u) - length(replace(u, w, ''))) // length(w) DESC, n_name) = 1")
@@ -162,45 +226,76 @@ def ql05_most_named_place(t: Tables) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max_by("n_name", F.struct("n", F.transform(F.split("n_name", ""), lambda c: -F.ascii(c)))).alias("n_name"), F.max("n").alias("n"))
 
 
-@query()
+_VISIBLE = "html"
+for _name in T.HIDDEN_BLOCKS.split("|"):
+    _VISIBLE = f"regexp_replace({_VISIBLE}, '(?is)<{_name}\\b.*?</{_name}>', '', 'g')"
+_VISIBLE = f"regexp_replace(regexp_replace(regexp_replace({_VISIBLE}, '(?i)<br\\s*/?>', chr(10), 'g'), '(?i)</(p|div|li|tr|h[1-6]|section|article|blockquote|br)\\s*>', chr(10), 'g'), '<[^>]+>', '', 'g')"
+for _name, _char in T.ENTITIES:
+    _VISIBLE = f"replace({_VISIBLE}, '{_name}', '{_char.replace(chr(39), chr(39) * 2)}')"
+_VISIBLE = _BODY.format(_VISIBLE).replace("'\\n'", "chr(10)").replace("E'\\n\\n'", "chr(10) || chr(10)")
+
+
+@query(f"SELECT page_id, length(x) AS n_chars, sha256(x) AS text_sha256 FROM (SELECT page_id, {_VISIBLE} AS x FROM pages)")
 def ql06_visible_text(t: Tables) -> DataFrame:
     body = T.html_to_text(F.col("html"))
-    return t.pages.select("page_id", F.length(body).alias("n_chars"), F.sha2(body, 256).alias("text_sha256"))
+    return t.pages.select("page_id", F.length(body).cast("long").alias("n_chars"), F.sha2(body, 256).alias("text_sha256"))
 
 
-@query("SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, CASE WHEN regexp_matches(regexp_extract(url, '^https?://([^/:?#]+)', 1), '(^|\\.)example\\.com$') THEN 'example' ELSE 'manual' END AS site FROM pages")
+_HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1))"
+_SITE = " ".join(f"WHEN host = '{domain}' OR ends_with(host, '.{domain}') THEN '{site}'" for domain, site in T.SITES)
+
+
+@query(f"SELECT page_id, CASE {_SITE} ELSE 'manual' END AS site FROM (SELECT page_id, {_HOST} AS host FROM (SELECT page_id, replace(url, '.example.com', CASE page_id % 4 WHEN 0 THEN '.zhihu.com' WHEN 1 THEN '.qyer.com' ELSE '.example.com' END) AS url FROM pages))")
 def fl11_site_of_page(t: Tables) -> DataFrame:
-    host = F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)
-    return t.pages.select("page_id", host.alias("host"), F.when((host == "example.com") | host.endswith(".example.com"), "example").otherwise("manual").alias("site"))
+    """The site of each page; half of the example hosts stand for known ones."""
+    host = F.when(F.col("page_id") % 4 == 0, ".zhihu.com").when(F.col("page_id") % 4 == 1, ".qyer.com").otherwise(".example.com")
+    return t.pages.select("page_id", T.site_of(F.replace("url", F.lit(".example.com"), host)).alias("site"))
+
 
+_EXTERNAL = " || ".join("regexp_extract_all(html, '(?i)" + x.replace("'", "''") + "', 1)" for x in T.LOADED)
 
-@query("SELECT page_id, len(regexp_extract_all(html, '(?i)(?:src|href)\\s*=\\s*[\"'']?((?:https?:)?//[^\\s\"''>]+)', 1)) AS n_external FROM pages")
+
+@query(f"SELECT page_id, len(list_filter({_EXTERNAL}, lambda x: starts_with(x, 'http://') OR starts_with(x, 'https://') OR starts_with(x, '//'))) AS n_external FROM pages")
 def snk06_external_resources(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.size(F.regexp_extract_all("html", F.lit(r"""(?i)(?:src|href)\s*=\s*["']?((?:https?:)?//[^\s"'>]+)"""), F.lit(1))).cast("long").alias("n_external"))
+    return t.pages.select("page_id", F.size(T.external_resources(F.col("html"))).cast("long").alias("n_external"))
+
+
+_CACHE_KEY = "sha256('v1' || chr(0) || coalesce(lang, '') || chr(0) || coalesce(source, '') || chr(0) || coalesce(text, ''))"
+
+
+def _cache_key() -> F.Column:
+    """Version, model, title and body, parted by zero bytes."""
+    return F.sha2(F.concat_ws("\0", F.lit("v1"), *[F.coalesce(x, F.lit("")) for x in ("lang", "source", "text")]), 256)
 
 
 @query(
-    """WITH c AS (SELECT sha256(lang || chr(31) || source || chr(31) || text) AS key, doc_id FROM documents)
-SELECT key, min(doc_id) AS doc_id FROM c WHERE key NOT IN (SELECT sha256(lang || chr(31) || source || chr(31) || text) FROM documents WHERE doc_id % 3 = 0) GROUP BY 1"""
+    f"""WITH c AS (SELECT {_CACHE_KEY} AS key, min(doc_id) AS doc_id FROM documents GROUP BY 1), h AS (SELECT {_CACHE_KEY} AS key, max(doc_id) AS doc_id FROM documents JOIN labels USING (doc_id) GROUP BY 1)
+SELECT c.key, coalesce(h.doc_id, c.doc_id) AS doc_id, h.key IS NOT NULL AS hit FROM c LEFT JOIN h USING (key)"""
 )
-def src20_cache_misses(t: Tables) -> DataFrame:
-    key = F.sha2(F.concat_ws("\x1f", "lang", "source", "text"), 256)
-    rows = t.documents.select(key.alias("key"), "doc_id")
-    held = t.documents.where("doc_id % 3 = 0").select(key.alias("key"))
-    return rows.join(held, "key", "left_anti").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+def src20_result_cache(t: Tables) -> DataFrame:
+    """Results by key after a run: those in the cache, where of rows with one key the last stands, and the misses that were added."""
+    asked = t.documents.groupBy(_cache_key().alias("key")).agg(F.min("doc_id").alias("own"))
+    cache = t.documents.join(t.labels, "doc_id").groupBy(_cache_key().alias("key")).agg(F.max("doc_id").alias("held"))
+    return asked.join(cache, "key", "left").select("key", F.coalesce("held", "own").alias("doc_id"), F.col("held").isNotNull().alias("hit"))
+
+
+_SPANS = """SELECT conv_id, turn, span_id, CASE span_id WHEN 0 THEN -3 WHEN 1 THEN n // 3 WHEN 2 THEN n // 2 ELSE n - 2 END AS a, CASE span_id WHEN 0 THEN n // 2 WHEN 1 THEN 2 * n // 3 WHEN 2 THEN n // 2 ELSE n + 9 END AS b FROM (SELECT conv_id, turn, length(text) AS n FROM conversations), range(4) AS u(span_id)"""
 
 
 @query(
-    """WITH b AS (SELECT conv_id, turn, text, [0, length(text) // 3, length(text) // 2, length(text)] AS cuts FROM conversations), s AS (
-SELECT conv_id, turn, text, list_sort(list_distinct(cuts)) AS c FROM b)
-SELECT conv_id, turn, i - 1 AS part, substr(text, (c[i] + 1)::BIGINT, (c[i + 1] - c[i])::BIGINT) AS piece FROM s, unnest(range(1, len(c))) AS u(i)"""
+    f"""WITH s AS ({_SPANS}), t AS (SELECT conv_id, turn, text, length(text) AS n FROM conversations), i AS (SELECT s.conv_id, s.turn, span_id, least(greatest(a, 0), n) AS a, least(greatest(b, 0), n) AS b FROM s JOIN t ON s.conv_id = t.conv_id AND s.turn = t.turn),
+o AS (SELECT * FROM i WHERE a < b), c AS (SELECT conv_id, turn, list_sort(list_distinct(list(p))) AS c FROM (SELECT conv_id, turn, a AS p FROM o UNION ALL SELECT conv_id, turn, b FROM o UNION ALL SELECT conv_id, turn, 0 FROM t UNION ALL SELECT conv_id, turn, n FROM t) GROUP BY 1, 2),
+p AS (SELECT conv_id, turn, k - 1 AS part, c[k] AS x, c[k + 1] AS y FROM c, unnest(range(1, len(c))) AS u(k))
+SELECT p.conv_id, p.turn, part, substr(text, x::BIGINT + 1, (y - x)::BIGINT) AS piece, coalesce((SELECT list_sort(list(span_id)) FROM o WHERE o.conv_id = p.conv_id AND o.turn = p.turn AND o.a <= x AND o.b >= y), []) AS covering FROM p JOIN t ON t.conv_id = p.conv_id AND t.turn = p.turn"""
 )
 def ql07_cut_at_spans(t: Tables) -> DataFrame:
-    n = F.length("text")
-    cuts = F.array_sort(F.array_distinct(F.array(F.lit(0), F.floor(n / 3).cast("int"), F.floor(n / 2).cast("int"), n)))
-    rows = t.conversations.select("conv_id", "turn", "text", cuts.alias("c")).where(F.size("c") > 1)
-    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.size("c") - 2)))
-    return rows.select("conv_id", "turn", F.col("part").cast("long").alias("part"), F.substring(F.col("text"), F.col("c")[F.col("part")] + 1, F.col("c")[F.col("part") + 1] - F.col("c")[F.col("part")]).alias("piece"))
+    n, k = F.col("n"), F.col("span_id")
+    spans = t.conversations.select("conv_id", "turn", F.length("text").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("span_id"))
+    half = F.floor(n / 2)
+    a = F.when(k == 0, -3).when(k == 1, F.floor(n / 3)).when(k == 2, half).otherwise(n - 2)
+    b = F.when(k == 0, half).when(k == 1, F.floor(2 * n / 3)).when(k == 2, half).otherwise(n + 9)
+    spans = spans.select("conv_id", "turn", k.cast("long").alias("span_id"), a.cast("int").alias("char_start"), b.cast("int").alias("char_end"))
+    return quotes.segments(t.conversations, spans, ["conv_id", "turn"], "text").withColumn("part", F.col("part").cast("long"))
 
 
 @query("SELECT conv_id, turn, lead(role) OVER w AS next_role, length(text) AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")

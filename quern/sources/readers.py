@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 #: Endings of files that hold documents.
-ENDINGS = "{md,markdown,txt,html,htm}"
+ENDINGS = r"(?i)\.(md|markdown|txt|html|htm)$"
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """path, body and content_sha256 of each text, Markdown or HTML file below a folder; files without text are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{ENDINGS}").load(folder)
-    raw = F.decode("content", "UTF-8")
+    """path, title, body and content_sha256 of each text, Markdown or HTML file below a folder, in the order of paths; files without text are left out, bytes that aren't UTF-8 are replaced."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.col("path").rlike(ENDINGS))
+    raw = F.make_valid_utf8(F.col("content").cast("string"))
     body = F.when(F.lower("path").rlike(r"\.html?$"), T.html_to_text(raw)).otherwise(T.normal_body(raw))
-    return files.select("path", body.alias("body")).where("body <> ''").withColumn("content_sha256", T.fingerprint(F.col("body")))
+    title = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    return files.select("path", title.alias("title"), body.alias("body")).where("body <> ''").withColumn("content_sha256", T.fingerprint(F.col("body"))).orderBy("path")
