@@ -144,14 +144,6 @@ def ru17_validation(t: Tables) -> DataFrame:
     return rows.select("event_id", F.explode(found).alias("f")).select("event_id", "f.code", "f.severity")
 
 
-@query("SELECT a.s_suppkey AS gold, b.c_custkey AS guess, a.s_nationkey = b.c_nationkey AS same_poi, CASE WHEN a.s_suppkey % 2 <> b.c_custkey % 2 THEN 'polarity' WHEN a.s_nationkey <> b.c_nationkey THEN 'subject' ELSE 'hit' END AS verdict FROM supplier a JOIN customer b ON a.s_suppkey % 50 = b.c_custkey % 50")
-def ev03_compare(t: Tables) -> DataFrame:
-    a = t.supplier.select(F.col("s_suppkey").alias("gold"), "s_nationkey", (F.col("s_suppkey") % 50).alias("k"))
-    b = t.customer.select(F.col("c_custkey").alias("guess"), "c_nationkey", (F.col("c_custkey") % 50).alias("k"))
-    verdict = F.when(F.col("gold") % 2 != F.col("guess") % 2, "polarity").when(F.col("s_nationkey") != F.col("c_nationkey"), "subject").otherwise("hit")
-    return a.join(b, "k").select("gold", "guess", (F.col("s_nationkey") == F.col("c_nationkey")).alias("same_poi"), verdict.alias("verdict"))
-
-
 @query("SELECT user_id, arg_max(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), (ts, event_id)) AS k FROM events GROUP BY 1")
 def ev07_latest_payload(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg(F.max_by("props", F.struct("ts", "event_id")).alias("p")).select("user_id", F.from_json("p", "k bigint")["k"].alias("k"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -266,28 +263,6 @@ def ev06_micro_metrics(t: Tables) -> DataFrame:
     return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("judged"), ratio(both, real).alias("recall"), ratio(both, said).alias("precision"))
 
 
-@query()
-def ev04_greedy_pairs(t: Tables) -> DataFrame:
-    """One-to-one pairs within each order: for each line in turn, the first unused later line of the same supplier group."""
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 3).alias("k")).repartition("l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber")
-    return rows.mapInPandas(_pairs, "l_orderkey long, a int, b int")
-
-
-def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted, so a line waits, by its kind, for the next unused one of its order."""
-    order, waiting = None, {}
-    for batch in batches:
-        out = []
-        for key, line, kind in zip(batch["l_orderkey"], batch["l_linenumber"], batch["k"]):
-            if key != order:
-                order, waiting = key, {}
-            if kind in waiting:
-                out.append((key, waiting.pop(kind), line))
-            else:
-                waiting[kind] = line
-        yield pd.DataFrame(out, columns=["l_orderkey", "a", "b"])
-
-
 @query("SELECT d.doc_id, coalesce(n, 0) AS n_labels, n IS NOT NULL AS gold FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1) l ON l.doc_id = d.doc_id")
 def ev09_worklist(t: Tables) -> DataFrame:
     labels = t.labels.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
