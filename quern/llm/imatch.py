@@ -107,23 +107,21 @@ def _ranges(docs: DataFrame) -> DataFrame:
     All ids are cut into ranges of equal width; what holds too many is cut again between its own ends, so
     that ids may crowd anywhere. Null ids are a range of their own.
     """
-    ids = docs.select(_position(F.col("doc_id"), docs.schema["doc_id"].dataType.simpleString()).alias("at"))
-    columns: list[str] = []
-    rows = docs.withColumn("at", _position(F.col("doc_id"), docs.schema["doc_id"].dataType.simpleString()))
-    for level in range(LEVELS_OF_RANGES):
-        spans = ids.groupBy(*columns).agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count(F.lit(1)).alias("n"))
-        spans = materialize(spans.where((F.col("n") > (4 * RANGE_DOCS if columns else 0)) & (F.col("high") > F.col("low"))))
-        if columns and spans.isEmpty():
+    at = _position(F.col("doc_id"), docs.schema["doc_id"].dataType.simpleString())
+    low, high, count = docs.agg(F.min(at), F.max(at), F.count(F.lit(1))).first()
+    width = max((high - low) / -(-count // RANGE_DOCS), 1e-300) if count and low is not None and high > low else 1.0
+    place = F.coalesce(F.floor((F.col("at") - (low or 0.0)) / width), F.lit(-1)).cast("long")
+    rows, columns = docs.withColumn("at", at).withColumn("range0", place), ["range0"]
+    for level in range(1, LEVELS_OF_RANGES):
+        spans = rows.groupBy(*columns).agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count(F.lit(1)).alias("n"))
+        spans = materialize(spans.where((F.col("n") > 4 * RANGE_DOCS) & (F.col("high") > F.col("low"))))
+        if spans.isEmpty():
             break
-        parts = F.ceil(F.col("n") / RANGE_DOCS)
-        cut = spans.select(*columns, "low", ((F.col("high") - F.col("low")) / parts).alias("width"))  # at most one row for RANGE_DOCS documents
-        name = f"range{level}"
-        place = F.coalesce(F.floor((F.col("at") - F.col("low")) / F.col("width")), F.lit(-1)).cast("long").alias(name)
-        joined = [x.join(F.broadcast(cut), columns, "left") if columns else x.join(F.broadcast(cut)) if not spans.isEmpty() else x.withColumns({"low": F.lit(0.0), "width": F.lit(1.0)}) for x in (ids, rows)]
-        ids = joined[0].select(*columns, "at", place)
-        rows = joined[1].select(*[x for x in rows.columns], place)
-        columns.append(name)
-    return rows.withColumn("range", F.struct(*columns)).drop("at", *columns)
+        cut = spans.select(*columns, "low", ((F.col("high") - F.col("low")) / F.ceil(F.col("n") / RANGE_DOCS)).alias("width"))  # a row for 4 x RANGE_DOCS documents at most
+        place = F.coalesce(F.floor((F.col("at") - F.col("low")) / F.col("width")), F.lit(-1)).cast("long")
+        rows = rows.join(F.broadcast(cut), columns, "left").withColumn(f"range{level}", place).drop("low", "width")
+        columns.append(f"range{level}")
+    return rows.withColumn("range", F.struct(*columns) if len(columns) > 1 else F.col("range0")).drop("at", *columns)
 
 
 def with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
@@ -136,7 +134,7 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
     firsts = rows.select("range", "doc_id", "digest").withColumn("n", F.row_number().over(Window.partitionBy("range").orderBy(*order))).where("n = 1").drop("n")
     below = firsts.select("doc_id", "digest", F.lead("range").over(Window.orderBy("range")).alias("to"), F.min("range").over(Window.partitionBy()).alias("first"))  # a row for each range
     below = materialize(below.select(F.col("doc_id").alias("id"), F.col("digest").alias("d"), F.coalesce("to", "first").alias("to")))
-    guests = rows.join(F.broadcast(below), rows["doc_id"].eqNullSafe(below["id"]) & (rows["digest"] == below["d"])).dropDuplicates(["to"])
+    guests = rows.join(F.broadcast(below), rows["doc_id"].eqNullSafe(below["id"]) & (rows["digest"] == below["d"]))  # repeated rows make a guest each, which does no harm
     guests = guests.select("doc_id", "text", F.col("to").alias("range"), "digest", F.lit(True).alias("guest"))
     window = Window.partitionBy("range").orderBy("guest", *order)
     return rows.select("doc_id", "text", "range", "digest", F.lit(False).alias("guest")).unionByName(guests), window

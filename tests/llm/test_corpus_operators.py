@@ -189,6 +189,19 @@ def test_fingerprints_across_ranges(spark, monkeypatch):
         assert found[i]["edited_sha256"] == hashlib.sha256((own[: len(own) - third] + rows[n - 1][1][:third]).encode()).hexdigest()
 
 
+def test_fingerprints_of_crowded_ids_and_strings(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "RANGE_DOCS", 2)
+    names = [*range(-40, 40), 1 << 62, -(1 << 63), (1 << 63) - 1]
+    for kind, ids in (("long", sorted(names)), ("string", sorted(map(str, names)))):
+        rows = [(i, f"text number {n} of this table") for n, i in enumerate(ids)]
+        found = imatch.fingerprints_of_edits(spark.createDataFrame([*rows, (None, "last"), (None, "last")], f"doc_id {kind}, text string"), band=(0, 1)).collect()
+        assert len(found) == len(rows) + 2
+        edited = {r["doc_id"]: r["edited_sha256"] for r in found}
+        for n, (i, own) in enumerate(rows):
+            third, after = len(own) // 3, rows[n - 1][1] if n else "last"
+            assert edited[i] == hashlib.sha256((own[: len(own) - third] + after[:third]).encode()).hexdigest()
+
+
 def test_token_files(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer, start = Tokenizer.from_file(path), 0
