@@ -49,14 +49,3 @@ def rail_fare(km: Column, kind: Column) -> Column:
     """Estimated fare, to half a yuan."""
     rate = F.when(kind == "high_speed", RATES["high_speed"]).when(kind == "bullet", RATES["bullet"]).otherwise(RATES["conventional"])
     return F.when(km <= 0, LEAST_FARE).otherwise(F.bround(F.greatest(km * rate, F.lit(LEAST_FARE)) * 2) / 2)
-
-
-def transfer_mode(minutes: Column, available: Column, km: Column, unknown: Column) -> Column:
-    """coach, rail or air, by distance where trains aren't known yet."""
-    return (
-        F.when(km <= 60, "coach")
-        .when(unknown, F.when(km <= 1200, "rail").otherwise("air"))
-        .when(~available | minutes.isNull(), "air")
-        .when(minutes < 360, "rail")
-        .otherwise("air")
-    )

@@ -65,30 +65,6 @@ def ru01_release_and_urgency(t: Tables) -> DataFrame:
     return rows.select("o_orderkey", F.col("release").cast("string").alias("release"), "days", D.urgency(F.col("days")).alias("urgency"))
 
 
-@query(
-    """WITH r AS (SELECT p_partkey AS id, p_partkey % 3 > 0 AS required, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE (p_size * 3)::INT END AS advance, p_partkey % 4 > 0 AS channel,
- CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '25:00' WHEN 2 THEN '8:00' ELSE '08:30' END AS time, p_partkey % 2 = 0 AS reviewed, p_partkey % 7 > 0 AS evidence FROM part)
-SELECT id, unnest(list_filter([
- CASE WHEN required AND advance IS NULL THEN 'no_advance_days' END, CASE WHEN required AND advance > 90 THEN 'implausible_advance_days' END, CASE WHEN required AND NOT channel THEN 'no_channel' END,
- CASE WHEN NOT required AND advance IS NOT NULL THEN 'advance_days_without_required' END, CASE WHEN time IS NOT NULL AND NOT regexp_full_match(time, '([01]\\d|2[0-3]):[0-5]\\d') THEN 'bad_release_time' END,
- CASE WHEN reviewed AND NOT evidence THEN 'reviewed_without_evidence' END], lambda x: x IS NOT NULL)) AS code FROM r"""
-)
-def ru05_rule_findings(t: Tables) -> DataFrame:
-    k = F.col("p_partkey")
-    required, channel, reviewed, evidence = k % 3 > 0, k % 4 > 0, k % 2 == 0, k % 7 > 0
-    advance = F.when(k % 5 != 0, (F.col("p_size") * 3).cast("int"))
-    time = F.when(k % 6 == 0, F.lit(None).cast("string")).when(k % 6 == 1, "25:00").when(k % 6 == 2, "8:00").otherwise("08:30")
-    codes = {
-        "no_advance_days": required & advance.isNull(),
-        "implausible_advance_days": required & (advance > 90),
-        "no_channel": required & ~channel,
-        "advance_days_without_required": ~required & advance.isNotNull(),
-        "bad_release_time": time.isNotNull() & D.minutes_of_day(time).isNull(),
-        "reviewed_without_evidence": reviewed & ~evidence,
-    }
-    return t.part.select(k.alias("id"), F.explode(F.array_compact(F.array(*[F.when(when, code) for code, when in codes.items()]))).alias("code"))
-
-
 @query("SELECT o_orderkey, (isodow(o_orderdate::DATE) - 1) IN (0, 2) OR o_orderdate::DATE BETWEEN DATE '1995-01-20' AND DATE '1995-02-05' AS closed FROM orders")
 def ru12_closed_days(t: Tables) -> DataFrame:
     day = F.to_date("o_orderdate")
@@ -96,15 +72,6 @@ def ru12_closed_days(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", (F.weekday(day).isin(0, 2) | F.exists(ranges, lambda r: day.between(r["a"], r["b"]))).alias("closed"))
 
 
-@query(
-    """WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderkey % 500)::INT END AS minutes, (o_orderkey % 3000)::DOUBLE AS km, o_orderkey % 4 = 0 AS unknown, o_orderkey % 6 > 0 AS available FROM orders)
-SELECT o_orderkey, CASE WHEN km <= 60 THEN 'coach' WHEN unknown THEN CASE WHEN km <= 1200 THEN 'rail' ELSE 'air' END WHEN NOT available OR minutes IS NULL THEN 'air' WHEN minutes < 360 THEN 'rail' ELSE 'air' END AS mode FROM x"""
-)
-def ru13_transfer_mode(t: Tables) -> DataFrame:
-    k = F.col("o_orderkey")
-    return t.orders.select(k, G.transfer_mode(F.when(k % 5 != 0, (k % 500).cast("int")), k % 6 > 0, (k % 3000).cast("double"), k % 4 == 0).alias("mode"))
-
-
 @query(
     """WITH x AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'G1' WHEN 1 THEN 'd22' WHEN 2 THEN 'K9' ELSE 'C7' END AS no, (p_partkey % 900)::DOUBLE AS km FROM part),
 c AS (SELECT *, CASE WHEN upper(left(no, 1)) IN ('G', 'C') THEN 'high_speed' WHEN upper(left(no, 1)) = 'D' THEN 'bullet' ELSE 'conventional' END AS class FROM x)
@@ -156,12 +123,6 @@ def ge10_odd_coordinates(t: Tables) -> DataFrame:
     return rows.where(~possible | off).select("c_custkey", F.when(~possible, "coord_impossible").otherwise("coord_off_city").alias("code"))
 
 
-@query("SELECT event_id, printf('%.5f,%.5f', lat, lng) || '|' || event_type AS key FROM (SELECT event_id, event_type, 30 + (event_id * 37 % 1000) / 100.0::DOUBLE AS lat, 100 + (event_id * 91 % 1000) / 100.0::DOUBLE AS lng FROM events)")
-def ge03_leg_fingerprint(t: Tables) -> DataFrame:
-    k = F.col("event_id")
-    return t.events.select(k, F.concat(F.format_string("%.5f,%.5f", _lat(k), _lng(k)), F.lit("|"), F.col("event_type")).alias("key"))
-
-
 @query(
     """WITH s AS (SELECT o_custkey AS trip, o_orderkey AS stay, (1 + o_orderkey % 4)::INT AS days, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq FROM orders),
 r AS (SELECT *, sum(days) OVER (PARTITION BY trip ORDER BY seq) - days AS before FROM s)
