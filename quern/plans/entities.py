@@ -155,30 +155,3 @@ def fn_minutes_in_words(t: Tables) -> DataFrame:
     hours, rest = F.floor(m / 60).cast("string"), (m % 60).cast("string")
     said = F.when(m < 60, F.concat(m.cast("string"), F.lit(" 分"))).when(m % 60 == 0, F.concat(hours, F.lit(" 小时"))).otherwise(F.concat(hours, F.lit(" 小时 "), rest, F.lit(" 分")))
     return t.orders.select("o_orderkey", m.alias("minutes"), said.alias("said"))
-
-
-@query("SELECT * FROM (VALUES ('B1', '钟楼', '110000', 34.26::DOUBLE, 108.94::DOUBLE, 4.8::DOUBLE), ('B2', '鼓楼', NULL, 34.27, 108.93, NULL)) v(id, name, code, lat, lng, rating)")
-def src11_poi_response(t: Tables) -> DataFrame:
-    raw = [
-        '{"id":"B1","name":"钟楼","typecode":"110000","location":"108.94,34.26","biz_ext":{"rating":"4.8"}}',
-        '{"id":"B2","name":"鼓楼","typecode":[],"location":"108.93,34.27","biz_ext":[]}',
-        '{"id":"","name":"none","location":"1,2"}',
-        '{"id":"B4","name":"nowhere","location":[]}',
-    ]
-    text = lambda path: F.when(~F.get_json_object("raw", path).startswith("["), F.get_json_object("raw", path))
-    place = F.split(text("$.location"), ",")
-    rows = t.spark.createDataFrame([(x,) for x in raw], "raw string").select(
-        text("$.id").alias("id"), text("$.name").alias("name"), text("$.typecode").alias("code"), F.get(place, F.lit(1)).try_cast("double").alias("lat"), F.get(place, F.lit(0)).try_cast("double").alias("lng"), text("$.biz_ext.rating").try_cast("double").alias("rating"),
-    )
-    return rows.where("id <> '' AND lat IS NOT NULL AND lng IS NOT NULL")
-
-
-@query("SELECT 'G1' AS number, '09:00' AS departs, '13:30' AS arrives, 270 AS minutes, true AS seats")
-def src14_ticket_rows(t: Tables) -> DataFrame:
-    fields = [""] * 58
-    for at, value in {3: "G1", 6: "BJP", 7: "XAY", 8: "09:00", 9: "13:30", 10: "04:30", 30: "有", 31: "无", 32: "5"}.items():
-        fields[at] = value
-    rows = t.spark.createDataFrame([("|".join(fields),), ("too|short",)], "raw string").select(F.split("raw", r"\|").alias("f")).where("size(f) >= 33")
-    took = F.split(F.col("f")[10], ":")
-    seats = F.exists(F.slice("f", 27, 7), lambda x: (x != "") & (x != "无"))
-    return rows.select(F.col("f")[3].alias("number"), F.col("f")[8].alias("departs"), F.col("f")[9].alias("arrives"), (took[0].cast("int") * 60 + took[1].cast("int")).alias("minutes"), seats.alias("seats"))

@@ -234,20 +234,3 @@ def ev09_worklist(t: Tables) -> DataFrame:
 def src22_json_column(t: Tables) -> DataFrame:
     k = F.from_json("props", "k bigint")["k"]
     return t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("k"))
-
-
-@query("SELECT 'BJP' AS code, '北京北' AS name, 'VAP' AS abbr UNION ALL SELECT 'BJD', '北京东', 'BOP'")
-def src13_station_file(t: Tables) -> DataFrame:
-    raw = "@BJP|北京北|VAP|beijingbei|bjb|0@BJD|北京东|BOP|beijingdong|bjd|1@bad|@"
-    rows = t.spark.createDataFrame([(raw,)], "raw string").select(F.explode(F.split("raw", "@")).alias("r")).select(F.split("r", r"\|").alias("f")).where("size(f) >= 3 AND f[1] <> ''")
-    return rows.select(F.col("f")[0].alias("code"), F.col("f")[1].alias("name"), F.col("f")[2].alias("abbr"))
-
-
-@query("SELECT * FROM (VALUES ('2026-01-01', 61, 8.5::DOUBLE, 80), ('2026-01-02', 0, NULL, 5)) v(day, code, high, rain)")
-def src16_daily_weather(t: Tables) -> DataFrame:
-    raw = '{"daily":{"time":["2026-01-01","2026-01-02"],"weather_code":[61,0],"temperature_2m_max":[8.5],"precipitation_probability_max":[80,5]}}'
-    kind = "daily struct<time:array<string>,weather_code:array<int>,temperature_2m_max:array<double>,precipitation_probability_max:array<int>>"
-    d = t.spark.createDataFrame([(raw,)], "raw string").select(F.from_json("raw", kind)["daily"].alias("d"))
-    zipped = F.arrays_zip("d.time", "d.weather_code", "d.temperature_2m_max", "d.precipitation_probability_max")
-    rows = d.select(F.explode(zipped).alias("z"))
-    return rows.select(F.col("z.time").alias("day"), F.col("z.weather_code").alias("code"), F.col("z.temperature_2m_max").alias("high"), F.col("z.precipitation_probability_max").alias("rain"))
