@@ -97,18 +97,6 @@ def tr07_list_trips(t: Tables) -> DataFrame:
     return rows.orderBy(F.desc("newest"), "o_custkey").limit(100).select("o_custkey", "stays", "days", "places")
 
 
-@query("SELECT user_id, ts::DATE::VARCHAR AS day, list_sort(list(event_id)) AS items FROM events GROUP BY 1, 2")
-def tr06_trip_tree(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.sort_array(F.collect_list("event_id")).alias("items"))
-
-
-@query("WITH d AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events), g AS (SELECT user_id, day, lag(day) OVER (PARTITION BY user_id ORDER BY day) AS before FROM d) SELECT user_id, day::VARCHAR AS day, (day - before)::BIGINT AS gap FROM g WHERE day - before > 1")
-def tr02_date_gaps(t: Tables) -> DataFrame:
-    days = t.events.select("user_id", F.to_date("ts").alias("day")).distinct()
-    gap = F.datediff("day", F.lag("day").over(Window.partitionBy("user_id").orderBy("day"))).cast("long")
-    return days.withColumn("gap", gap).where("gap > 1").select("user_id", F.col("day").cast("string").alias("day"), "gap")
-
-
 @query(
     f"""WITH r AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderdate::DATE - (o_orderkey % 30)::INT END AS release, CASE o_orderkey % 3 WHEN 0 THEN '20:00' WHEN 1 THEN '' END AS at_time FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW'),
 d AS (SELECT *, date_diff('day', DATE '{TODAY}', release) AS days FROM r)
@@ -129,21 +117,6 @@ def ru02_alerts(t: Tables) -> DataFrame:
     return numbered(rows.select("o_orderkey", headline.alias("headline"), "days"), [F.asc_nulls_last("days"), F.col("o_orderkey")]).select("o_orderkey", "headline", "place")
 
 
-@query(
-    """WITH e AS (SELECT user_id, event_id, event_type, value, ts, lead(ts) OVER (PARTITION BY user_id, ts::DATE ORDER BY event_id) AS nxt FROM events)
-SELECT event_id, 'time_out_of_order' AS code, 'warn' AS severity FROM e WHERE nxt < ts UNION ALL SELECT event_id, 'leg_missing', 'error' FROM e WHERE event_type = 'click' AND nxt IS NULL UNION ALL SELECT event_id, 'walk_too_far', 'warn' FROM e WHERE value > 95"""
-)
-def ru17_validation(t: Tables) -> DataFrame:
-    rows = t.events.withColumn("nxt", F.lead("ts").over(Window.partitionBy("user_id", F.to_date("ts")).orderBy("event_id")))
-    checks = {
-        ("time_out_of_order", "warn"): F.col("nxt") < F.col("ts"),
-        ("leg_missing", "error"): (F.col("event_type") == "click") & F.col("nxt").isNull(),
-        ("walk_too_far", "warn"): F.col("value") > 95,
-    }
-    found = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(code).alias("code"), F.lit(level).alias("severity"))) for (code, level), when in checks.items()]))
-    return rows.select("event_id", F.explode(found).alias("f")).select("event_id", "f.code", "f.severity")
-
-
 @query("SELECT user_id, arg_max(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), (ts, event_id)) AS k FROM events GROUP BY 1")
 def ev07_latest_payload(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg(F.max_by("props", F.struct("ts", "event_id")).alias("p")).select("user_id", F.from_json("p", "k bigint")["k"].alias("k"))
