@@ -2,9 +2,9 @@
 
 Texts are compared without white space. A repost shares runs of MIN_RUN characters with an earlier
 document that cover COPY_SHARE of the shorter of the two. Then at least one in twelve of the covered
-places begins a gram of MIN_RUN characters that both have, so a document may leave out its most
-frequent grams, one fewer than it must share, and still meets every document that it could be a
-repost of, or that could be one of it.
+places begins a gram of MIN_RUN characters that both have, so that a number of places must be shared.
+A document leaves out half as many, those of its most frequent grams, and must share the other half
+among the rest; that loses no pair.
 """
 
 from __future__ import annotations
@@ -39,12 +39,13 @@ def run_candidates(items: DataFrame) -> DataFrame:
     heat = places.groupBy("g").agg(F.count(F.lit(1)).alias("heat"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("g", "heat")
     shared = saved(places.join(heat, "g"))
     must = F.ceil(F.col("n") * round(COPY_SHARE * 100) / (100 * MIN_RUN))
+    rest = F.ceil(must / 2)
     hottest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("heat"), "pos"))  # a document's own grams
     held = F.count(F.lit(1)).over(Window.partitionBy("id"))
-    probe = shared.withColumns({"place": hottest, "held": held}).where((F.col("place") >= must) & (F.col("held") >= must)).select("id", "n", "g").distinct()
+    probe = shared.withColumns({"place": hottest, "held": held}).where((F.col("held") >= must) & (F.col("place") > must - rest)).select("id", "n", "g")
     index = shared.select(F.col("id").alias("other"), F.col("n").alias("m"), "g").distinct()
     later = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("id") > F.col("other")))
-    return probe.join(index, "g").where(later).select("id", "other").distinct()
+    return probe.join(index, "g").where(later).groupBy("id", "other", "n").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= rest).select("id", "other")
 
 
 def cover_bound(pairs: DataFrame, items: DataFrame) -> DataFrame:
