@@ -30,7 +30,8 @@ CHUNK = 1 << 19
 #: Lines whose keys a task sends at once, keys in a bucket on average, buckets at most, and pairs made at once.
 SEND_LINES, BUCKET_KEYS, MOST_BUCKETS, PAIRS_AT_ONCE = 1 << 15, 1 << 20, 1 << 14, 1 << 20
 #: A key counts as hot from so many lines, if HOT_HERE or more of one sending have it, but at most MOST_HOT keys do; and lines on each side of a cell.
-HOT_LINES, HOT_HERE, MOST_HOT, CELL_LINES = 4096, 8, 50_000, 4096
+#: One document in HOT_SHARE, by a hash of its id, tells which keys are hot. That decides how lines meet, not which do.
+HOT_LINES, HOT_HERE, MOST_HOT, CELL_LINES, HOT_SHARE = 4096, 8, 50_000, 4096, 8
 #: Line ids, and documents with lines that go, up to this number are broadcast.
 FEW_LINES, FEW_DOCS = 200_000, 200_000
 
@@ -349,17 +350,18 @@ def _hot_links(lines: DataFrame, hot: dict[int, int], firsts: DataFrame) -> Data
     return cells.select("key", "i", "j", "probe", "h", "h2", "sketch", "line", "doc", "pos").groupBy("key", "i", "j").applyInPandas(_cell_links, _LINK)
 
 
-def near_lines(lines: DataFrame, count: int, firsts: DataFrame) -> DataFrame:
+def near_lines(lines: DataFrame, count: int, firsts: DataFrame, some: DataFrame, share: int) -> DataFrame:
     """Links (a, a2, b, b2) between different lines within the edits allowed, by both hashes of each; enough to tell of every line whether an earlier one is near.
 
-    lines has about `count` rows with h and line, firsts h, h2, doc and pos of the first place of each.
+    lines has about `count` rows with h and line, firsts h, h2, doc and pos of the first place of each; some
+    are the lines of one document in `share`.
     """
     small_batches(lines.sparkSession)
     bucket_bits = 4
     while 1 << bucket_bits < min(MOST_BUCKETS, count * 15 / BUCKET_KEYS):
         bucket_bits += 1
     least = max(HOT_LINES, count * 15 // MOST_HOT)
-    often = lines.mapInPandas(_counted_keys(HOT_HERE), "key long, count long").groupBy("key").agg(F.sum("count").alias("count")).where(F.col("count") >= least)
+    often = some.mapInPandas(_counted_keys(HOT_HERE), "key long, count long").groupBy("key").agg((F.sum("count") * share).alias("count")).where(F.col("count") >= least)
     hot = {row["key"]: row["count"] for row in often.orderBy(F.desc("count"), "key").limit(MOST_HOT).collect()}
     keys = lines.mapInPandas(_key_rows(bucket_bits, np.sort(np.array(list(hot), np.int64).view(np.uint64))), "bucket int, keys binary, ids binary, sketches binary")
     pairs = materialize(keys.groupBy("bucket").applyInPandas(_bucket_pairs, "a long, b long").distinct())
@@ -385,7 +387,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     total = places.count()
     groups = materialize(places.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("times")))
     long = line.where(F.length("line") >= MIN_ONE_EDIT_CHARS).select(F.xxhash64("line").alias("h"), "line")
-    pairs = materialize(near_lines(long, total, groups.select("key.h", "key.h2", F.col("first.doc_id").alias("doc"), F.col("first.pos").alias("pos"))))
+    some = _exploded(docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(HOT_SHARE)) == 0)).where(F.length("line") >= MIN_ONE_EDIT_CHARS).select(F.xxhash64("line").alias("h"), "line")
+    pairs = materialize(near_lines(long, total, groups.select("key.h", "key.h2", F.col("first.doc_id").alias("doc"), F.col("first.pos").alias("pos")), some, HOT_SHARE))
     a, b = F.struct(F.col("a").alias("h"), F.col("a2").alias("h2")), F.struct(F.col("b").alias("h"), F.col("b2").alias("h2"))
     ends = materialize(pairs.select(a.alias("key")).union(pairs.select(b.alias("key"))).distinct())
     few = ends.count() <= FEW_LINES
@@ -414,9 +417,9 @@ def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         found = F.broadcast(found)
     key, cut = _unused(docs, "cut_id"), _unused(docs, "cut_places")
     found = found.select(F.col("doc_id").alias(key), F.col("removed").alias(cut))
-    lines, gone = F.split(F.col(text_col), "\n"), F.col(cut)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    text = F.when(gone.isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n"))
+    gone = F.col(cut)
+    kept = F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains(gone, i))  # the text is split once
+    text = F.when(gone.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     joined = docs.join(found, docs[id_col] == found[key], "left").withColumn(text_col, text)
     return joined.withColumn(count_col, F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long")).drop(key, cut)
 

@@ -242,7 +242,7 @@ def test_edit_distance():
 @pytest.mark.parametrize("hot", [False, True])
 def test_line_dedup(docs, empty, hot, monkeypatch):
     if hot:  # every key goes by cells, of few lines
-        for name, value in (("HOT_LINES", 2), ("HOT_HERE", 2), ("MOST_HOT", 1 << 30), ("CELL_LINES", 2)):
+        for name, value in (("HOT_LINES", 2), ("HOT_HERE", 2), ("MOST_HOT", 1 << 30), ("CELL_LINES", 2), ("HOT_SHARE", 1)):
             monkeypatch.setattr(line_dedup, name, value)
         links = line_dedup._hot_links
         monkeypatch.setattr(line_dedup, "_hot_links", lambda *x: used.append(1) or links(*x))
