@@ -15,7 +15,7 @@ from quern.operators.merge import upsert
 from quern.plans import rules
 from quern.plans.registry import ORACLE_SQL, QUERIES
 from quern.functions.runs import overlap, overlap_of
-from quern.operators import alignment, ordering, quotes, reposts
+from quern.operators import alignment, booking, evaluation, legs, ordering, quotes, reposts
 from quern.sources.readers import read_documents
 from quern.streaming.ingest import import_new
 
@@ -171,3 +171,86 @@ def test_reader_and_stream(spark, tmp_path):
         stream = spark.readStream.schema("doc_id long, text string").parquet(str(arriving))
         import_new(stream, store, str(tmp_path / "checkpoint")).awaitTermination()
     assert sorted(r["doc_id"] for r in spark.read.parquet(store).collect()) == [1, 3, 5]
+
+
+def test_evaluation_by_brute_force(spark):
+    rng = random.Random(6)
+    kind = "doc_id long, seq long, subject string, polarity string, poi_id string, quote string, text string, char_start long, char_end long"
+
+    def rows(n):
+        out = []
+        for seq in range(n):
+            start = rng.choice([None, rng.randint(0, 30)])
+            quote = rng.choice(["", "queues are long at noon", "queues are short at night", "tickets online"])
+            out.append((rng.randint(0, 6), seq, rng.choice(["gate", "gate", "old gate", ""]), rng.choice("ab"), rng.choice([None, "", "P1", "P2"]), quote, quote[:12], start, None if start is None else start + 8))
+        return out
+
+    predictions, golds = rows(40), rows(40)
+
+    def verdict(p, g):
+        if p[3] != g[3]:
+            return "polarity", None
+        alike = bool(g[2]) and (p[2] == g[2] or (len(p[2]) >= 3 and (p[2] in g[2] or g[2] in p[2])))
+        if not (p[4] and p[4] == g[4]) and not alike:
+            return "subject", None
+        near = None not in (p[7], g[7]) and p[7] < g[8] and g[7] < p[8]
+        if not near and not any(x and blocks(x, g[5], 5)[0] >= 0.5 for x in (p[5], p[6])):
+            return "fact", None
+        return "hit", (p[4] == g[4]) if g[4] else None
+
+    want, lost = set(), {}
+    for doc in range(7):
+        own, labels = ([x for x in y if x[0] == doc] for y in (predictions, golds))
+        used = set()
+        for g in labels:
+            hit = next((p for p in own if p[1] not in used and verdict(p, g)[0] == "hit"), None)
+            if hit:
+                used.add(hit[1])
+                want.add((doc, hit[1], g[1], verdict(hit, g)[1]))
+        for p in own:
+            if p[1] not in used:
+                reasons = [verdict(p, g)[0] for g in labels]
+                lost[doc, p[1]] = "no_gold" if not reasons else "duplicate" if "hit" in reasons else reasons[0]
+    a, b = spark.createDataFrame(predictions, kind), spark.createDataFrame(golds, kind)
+    found = evaluation.compared(a, b).cache()
+    pairs = evaluation.paired(found).cache()
+    assert {tuple(r) for r in pairs.collect()} == want and want
+    assert {(r["doc_id"], r["p"]): r["reason"] for r in evaluation.spurious(a, found, pairs).collect()} == lost
+    report = evaluation.metrics(evaluation.document_scores(a, b)).first()
+    assert (report["hits"], report["recall"]) == (len(want), round(len(want) / 40, 6)) and not report["ready"]
+    empty = evaluation.metrics(evaluation.document_scores(a, b.limit(0))).first()
+    assert (empty["documents"], empty["recall"], empty["precision"]) == (0, None, None)
+
+
+def test_legs_hold_until_a_place_moves(spark):
+    kind = "trip long, day string, item_id long, seq long, start_time string, title string, kind string, poi_id string, lat double, lng double, leg_mode string, leg_key string, address string"
+    rows = [(1, "d", i, i, None, "x", "poi", "P1" if i == 2 else None, 30 + i / 100, 100.0, None, None, None) for i in range(3)] + [(1, "d", 9, 9, None, "x", "meal", None, None, None, None, None, "here")]
+    items = spark.createDataFrame(rows, kind)
+    poi = spark.createDataFrame([("P1", 30.5, 100.5)], "poi_id string, lat double, lng double")
+    pending = legs.pending_legs(items, poi)
+    routes = pending.select("key", F.lit("drive").alias("how"), F.lit(900).alias("distance_m"), F.lit(20).alias("seconds"))
+    done = legs.with_legs(items, legs.planned_legs(pending, routes)).cache()
+    assert {r["item_id"]: r["leg_minutes"] for r in done.collect()} == {0: 1, 1: 1, 2: None, 9: None}
+    assert legs.pending_legs(done, poi).count() == 0
+    moved = poi.withColumn("lat", F.lit(31.0))
+    assert [r["item_id"] for r in legs.pending_legs(done, moved).collect()] == [1]
+    chosen = spark.createDataFrame([(9, 1.0, 2.0, "there"), (0, 5.0, 5.0, "no")], "item_id long, lat double, lng double, address string")
+    got = {r["item_id"]: (r["lat"], r["address"]) for r in legs.with_meals(items, chosen).collect()}
+    assert got[9] == (1.0, "here") and got[0] == (30.0, None)
+
+
+def test_seed_with_an_error_is_not_taken_in(spark):
+    from quern.sources.feeds import checked_rules
+
+    good = '{"poi_id":"P1","booking_required":true,"advance_days":3}'
+    assert checked_rules(spark.createDataFrame([(good,)], "raw string")).count() == 1
+    with pytest.raises(ValueError, match="negative_days"):
+        checked_rules(spark.createDataFrame([(good,), (good.replace("3", "-3"),)], "raw string"))
+
+
+def test_review_is_refused_while_an_error_stands(spark):
+    kind = "poi_id string, required boolean, status string, advance_days int, release_time string, channels array<string>, real_name boolean, evidence_url string, reviewed_at date"
+    rules = spark.createDataFrame([("a", True, "draft", None, None, ["web"], True, "u", None), ("b", True, "draft", None, None, [], True, "u", None), ("c", False, "reviewed", None, None, [], None, "u", None), ("d", True, "draft", 1, "25:00", ["web"], True, "u", None)], kind)
+    asked = spark.createDataFrame([("a", False), ("b", False), ("c", True), ("d", False)], "poi_id string, revoke boolean")
+    found = {r["poi_id"]: (r["status"], r["accepted"]) for r in booking.reviewed(rules, asked, F.lit("2026-01-01").cast("date")).collect()}
+    assert found == {"a": ("reviewed", True), "b": ("draft", False), "c": ("draft", True), "d": ("draft", False)}
