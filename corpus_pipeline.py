@@ -47,7 +47,7 @@ STAGES = [
     ("bpe", encode_and_decode),
 ]
 
-#: SQL can state neither the languages nor the lines within a few edits, so the stages are tested against brute force.
+#: SQL can state neither the languages nor the lines within a few edits. The near-duplicate stage, and the operators of the line, mixing and encoding stages, are tested against brute force.
 ORACLE_SQL = None
 
 
