@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..functions.runs import COPY_SHARE, DECISIVE_RUN, MIN_RUN
+from ..functions.runs import COPY_SHARE, DECISIVE_RUN
 from ..operators import quotes, reposts
 from ..storage import saved
 from .registry import Tables, query
