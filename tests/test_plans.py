@@ -228,7 +228,7 @@ def test_legs_hold_until_a_place_moves(spark):
     items = spark.createDataFrame(rows, kind)
     poi = spark.createDataFrame([("P1", 30.5, 100.5)], "poi_id string, lat double, lng double")
     pending = legs.pending_legs(items, poi)
-    routes = pending.select("key", F.lit("drive").alias("how"), F.lit(900).alias("distance_m"), F.lit(20).alias("seconds"))
+    routes = pending.select("key", F.when(F.col("metres") <= 1500, "walk").otherwise("drive").alias("how"), F.lit(900).alias("distance_m"), F.lit(20).alias("seconds"))
     done = legs.with_legs(items, legs.planned_legs(pending, routes)).cache()
     assert {r["item_id"]: r["leg_minutes"] for r in done.collect()} == {0: 1, 1: 1, 2: None, 9: None}
     assert legs.pending_legs(done, poi).count() == 0
