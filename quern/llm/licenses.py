@@ -89,8 +89,9 @@ def license_spans(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS, likenes
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("digest"), words_of(F.col(text_col)).alias("words"))
     known = license_texts(docs, texts)
     probe = F.broadcast(_gram_rows(known.where(F.col("size") >= GRAM), ["text_no", "label", "size"], "at"))  # as many rows as the license texts have words
-    same = [F.col(f"place_w{n + 1}") == F.col(f"at_w{n + 1}") for n in range(GRAM)]
-    found = _gram_rows(rows, ["doc_id", "digest"], "place").join(probe, "hash").where(same[0] & same[1] & same[2])
+    # the words are compared behind the join, so that its key is the hash, one number
+    same = F.forall(F.array(*[F.array(f"place_w{n + 1}", f"at_w{n + 1}") for n in range(GRAM)]), lambda x: x[0] == x[1])
+    found = _gram_rows(rows, ["doc_id", "digest"], "place").join(probe, "hash").where(same)
     keys = ["doc_id", "digest", "text_no", "label", "size"]
     votes = found.groupBy(*keys, (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("places"))  # no more than the license text's places
     order = Window.partitionBy("doc_id", "digest", "text_no").orderBy("diagonal")
