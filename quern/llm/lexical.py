@@ -72,11 +72,13 @@ def pack(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def unpack(data: bytes) -> np.ndarray:
     """The numbers that pack() made these bytes of."""
+    if not data:
+        return np.empty(0, np.int64)
     byte = np.frombuffer(data, np.uint8)
     last = np.flatnonzero(byte < 128)
     first = np.append(0, last[:-1] + 1)
     place = np.arange(len(byte)) - np.repeat(first, last - first + 1)
-    return np.add.reduceat((byte & 127).astype(np.int64) << (7 * place), first) if len(byte) else np.empty(0, np.int64)
+    return np.add.reduceat((byte & 127).astype(np.int64) << (7 * place), first)
 
 
 class _Shard:

@@ -162,13 +162,14 @@ def edit_distances(left: list[str], right: list[str], edits: int = EDITS) -> np.
 
 def _sendings(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple[list[str], list[int]]]]:
     """The different lines of a task with their names, SEND_LINES of them at a time, in lists of CHUNK characters about."""
-    seen: set[int] = set()
+    seen: set[tuple[int, int]] = set()  # names may meet by chance; with this process's own hash they don't
     held, lines, names, size, count = [], [], [], 0, 0
     for batch in batches:
         for line, name in zip(batch["line"], batch["h"]):
-            if name in seen:
+            same = name, hash(line)
+            if same in seen:
                 continue
-            seen.add(name)
+            seen.add(same)
             if lines and size + len(line) >= CHUNK:
                 held.append((lines, names))
                 lines, names, size = [], [], 0
@@ -242,18 +243,18 @@ def _hot_rows(hot: np.ndarray):
                 number, probe, key, sketch = line_keys(lines)
                 at = np.flatnonzero(_is_hot(key, hot))
                 rows = pd.DataFrame({"key": key[at].view(np.int64), "probe": probe[at], "h": np.array(names, np.int64)[number[at]], "sketch": sketch[number[at]].view(np.int64), "line": [lines[n] for n in number[at]]})
-                yield rows.drop_duplicates(["key", "probe", "h"])
+                yield rows.drop_duplicates(["key", "probe", "line"])
 
     return tidy(run)
 
 
 def _cell_links(group: pd.DataFrame) -> pd.DataFrame:
     """For lines of a cell that go by an earlier line of its other side, one such line each."""
-    group = group.drop_duplicates(["probe", "h"])
+    group = group.drop_duplicates(["probe", "h", "h2"])
     index, probe = group[~group["probe"]], group[group["probe"]]
     lines = [*index["line"], *probe["line"]]
     names, others = (np.concatenate([index[x].to_numpy(), probe[x].to_numpy()]) for x in ("h", "h2"))
-    first = pd.concat([index, probe])[["doc", "pos"]].apply(tuple, axis=1).tolist() if len(group) else []
+    first = pd.concat([index, probe])[["doc", "digest", "pos"]].apply(tuple, axis=1).tolist() if len(group) else []
     rank = np.empty(len(lines), np.int64)
     rank[sorted(range(len(lines)), key=first.__getitem__)] = np.arange(len(lines))
     sketch, sizes = index["sketch"].to_numpy().view(np.uint64), np.fromiter(map(len, lines), np.int64, len(lines))
@@ -264,7 +265,7 @@ def _cell_links(group: pd.DataFrame) -> pd.DataFrame:
         asked = probe["sketch"].to_numpy()[start : start + 256].view(np.uint64)
         p, x = np.nonzero(_may_be_near(np.repeat(asked, len(index)), np.tile(sketch, len(own)), EDITS).reshape(len(own), len(index)))
         p = own[p]
-        differ = names[p] != names[x]
+        differ = (names[p] != names[x]) | (others[p] != others[x])
         p, x = p[differ], x[differ]
         later, earlier = np.where(rank[p] > rank[x], p, x), np.where(rank[p] > rank[x], x, p)
         step = 1
@@ -347,13 +348,13 @@ def _hot_links(lines: DataFrame, hot: dict[int, int], firsts: DataFrame) -> Data
     rows = rows.join(firsts, ["h", "h2"]).join(F.broadcast(parts), "key").withColumn("part", F.pmod(F.xxhash64("h", "h2"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     cells = rows.withColumn("other", other).withColumns({"i": F.when(F.col("probe"), F.col("other")).otherwise(F.col("part")), "j": F.when(F.col("probe"), F.col("part")).otherwise(F.col("other"))})
-    return cells.select("key", "i", "j", "probe", "h", "h2", "sketch", "line", "doc", "pos").groupBy("key", "i", "j").applyInPandas(_cell_links, _LINK)
+    return cells.select("key", "i", "j", "probe", "h", "h2", "sketch", "line", "doc", "digest", "pos").groupBy("key", "i", "j").applyInPandas(_cell_links, _LINK)
 
 
 def near_lines(lines: DataFrame, count: int, firsts: DataFrame, some: DataFrame, share: int) -> DataFrame:
     """Links (a, a2, b, b2) between different lines within the edits allowed, by both hashes of each; enough to tell of every line whether an earlier one is near.
 
-    lines has about `count` rows with h and line, firsts h, h2, doc and pos of the first place of each; some
+    lines has about `count` rows with h and line, firsts h, h2, doc, digest and pos of the first place of each; some
     are the lines of one document in `share`.
     """
     small_batches(lines.sparkSession)
@@ -367,28 +368,28 @@ def near_lines(lines: DataFrame, count: int, firsts: DataFrame, some: DataFrame,
     pairs = materialize(keys.groupBy("bucket").applyInPandas(_bucket_pairs, "a long, b long").distinct())
     wanted = materialize(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct())
     few = wanted.count() <= FEW_LINES
-    texts = lines.join(F.broadcast(wanted) if few else wanted, "h").groupBy("h").agg(F.first("line").alias("line"))
-    texts = materialize(texts.withColumn("h2", F.xxhash64("line", F.lit(1))))
+    texts = lines.join(F.broadcast(wanted) if few else wanted, "h").withColumn("h2", F.xxhash64("line", F.lit(1))).groupBy("h", "h2").agg(F.first("line").alias("line"))
+    texts = materialize(texts)
     sides = [texts.select(F.col("h").alias(x), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"{x}_line")) for x in "ab"]
     found = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "a2", "b", "b2", "a_line", "b_line").mapInPandas(_verify(EDITS), _LINK)
     return found.unionByName(_hot_links(lines, hot, firsts)) if hot else found
 
 
 def _exploded(docs: DataFrame) -> DataFrame:
-    """doc_id, pos and line of every line that takes part."""
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """doc_id, digest, pos and line of every line that takes part."""
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return rows.where((F.length("line") >= MIN_CHARS) & F.col("line").rlike(r"[^\s]"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id and the array `removed` of the places of lines that go, for documents that lose any. docs has doc_id and text."""
+    """doc_id, digest and the array `removed` of the places of lines that go, for documents that lose any. docs has doc_id and text; rows that repeat an id are told apart by the text's hash."""
     line = _exploded(docs)
-    places = materialize(line.select("doc_id", "pos", F.struct(F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2")).alias("key")))
+    places = materialize(line.select("doc_id", "digest", "pos", F.struct(F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2")).alias("key")))
     total = places.count()
-    groups = materialize(places.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("times")))
+    groups = materialize(places.groupBy("key").agg(F.min(F.struct("doc_id", "digest", "pos")).alias("first"), F.count(F.lit(1)).alias("times")))
     long = line.where(F.length("line") >= MIN_ONE_EDIT_CHARS).select(F.xxhash64("line").alias("h"), "line")
     some = _exploded(docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(HOT_SHARE)) == 0)).where(F.length("line") >= MIN_ONE_EDIT_CHARS).select(F.xxhash64("line").alias("h"), "line")
-    pairs = materialize(near_lines(long, total, groups.select("key.h", "key.h2", F.col("first.doc_id").alias("doc"), F.col("first.pos").alias("pos")), some, HOT_SHARE))
+    pairs = materialize(near_lines(long, total, groups.select("key.h", "key.h2", F.col("first.doc_id").alias("doc"), F.col("first.digest").alias("digest"), F.col("first.pos").alias("pos")), some, HOT_SHARE))
     a, b = F.struct(F.col("a").alias("h"), F.col("a2").alias("h2")), F.struct(F.col("b").alias("h"), F.col("b2").alias("h2"))
     ends = materialize(pairs.select(a.alias("key")).union(pairs.select(b.alias("key"))).distinct())
     few = ends.count() <= FEW_LINES
@@ -397,8 +398,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     later = materialize(sides.select(F.when(F.col("a_first") > F.col("b_first"), F.col("a_key")).otherwise(F.col("b_key")).alias("key")).distinct().withColumn("near", F.lit(True)))
     marked = groups.join(F.broadcast(later) if few else later, "key", "left")
     doubtful = materialize(marked.where((F.col("times") > 1) | F.col("near")))
-    gone = join_groups(places, doubtful, "key", "times", total).where(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "pos") != F.col("first")))
-    return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("removed"))
+    gone = join_groups(places, doubtful, "key", "times", total).where(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "digest", "pos") != F.col("first")))
+    return gone.groupBy("doc_id", "digest").agg(F.collect_set("pos").alias("removed"))
 
 
 def _unused(docs: DataFrame, name: str) -> str:
@@ -415,13 +416,13 @@ def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     few = found.agg(F.count(F.lit(1)), F.sum(F.size("removed"))).first()
     if few[0] <= FEW_DOCS and (few[1] or 0) <= 10 * FEW_DOCS:
         found = F.broadcast(found)
-    key, cut = _unused(docs, "cut_id"), _unused(docs, "cut_places")
-    found = found.select(F.col("doc_id").alias(key), F.col("removed").alias(cut))
+    key, mark, cut = (_unused(docs, x) for x in ("cut_id", "cut_digest", "cut_places"))
+    found = found.select(F.col("doc_id").alias(key), F.col("digest").alias(mark), F.col("removed").alias(cut))
     gone = F.col(cut)
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains(gone, i))  # the text is split once
     text = F.when(gone.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    joined = docs.join(found, docs[id_col] == found[key], "left").withColumn(text_col, text)
-    return joined.withColumn(count_col, F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long")).drop(key, cut)
+    joined = docs.join(found, (docs[id_col] == found[key]) & (F.xxhash64(docs[text_col]) == found[mark]), "left").withColumn(text_col, text)
+    return joined.withColumn(count_col, F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long")).drop(key, mark, cut)
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -430,7 +431,8 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Lines end at line feeds. A line that isn't blank goes if an equal line occurs earlier, by
     document id and place, in the input; also if a line within EDITS edits of it does and both have
     MIN_EDIT_CHARS code points, or one within one edit and both have MIN_ONE_EDIT_CHARS. Lines are judged on the input, not on what is left. A null
-    text counts as empty, with no lines. Rows that repeat an id count as one document, those with a
+    text counts as empty, with no lines. Rows that repeat an id with another text are documents of their own, which follow
+    one another by the hash of their texts; rows that repeat both are one document. Those with a
     null id are kept as they are and count for nothing. An empty table gives an empty result. Long
     lines and texts count whole; other columns are not read.
     """

@@ -266,6 +266,14 @@ def test_line_dedup(docs, empty, hot, monkeypatch):
     assert line_dedup.line_report(empty).count() == 0
 
 
+def test_lines_of_repeated_ids(spark):
+    twice, own = "a line that comes twice in here", "something nobody else ever said at all"
+    rows = [(1, twice), (2, twice), (2, own), (3, f"{own}\nlast"), (4, "x\nx"), (4, "x\nx"), (4, "y"), (None, twice)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, line_dedup.drop_repeated_lines(docs).collect()), key=str) == sorted([(1, twice), (2, own), (3, "last"), (4, "x"), (4, "x"), (4, "y"), (None, twice)], key=str)
+    assert sorted(r["n_removed"] for r in line_dedup.line_report(docs).collect()) == [0, 0, 0, 0, 1, 1, 1, 1]
+
+
 def test_mixing(docs, empty):
     found = mixing.mix(docs)
     rows = by_id(found)
