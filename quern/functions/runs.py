@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import functools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 #: Characters in a run that counts as copied, the share of the shorter text that makes a copy, and the run that decides alone.
 MIN_RUN, COPY_SHARE, DECISIVE_RUN = 12, 0.60, 40
 #: The same for two quotes of one fact.
 FACT_RUN, FACT_SHARE = 5, 0.50
+#: Characters in a gram by whose sets texts are compared.
+SHORT_GRAM = 4
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -27,6 +31,14 @@ def _grams(text: str, size: int) -> np.ndarray:
     return found
 
 
+def gram_hashes(text: str, size: int) -> np.ndarray:
+    """A hash of each run of so many characters, even in all its bits."""
+    x = _grams(text, size)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
+    return x ^ (x >> np.uint64(32))
+
+
 def common_runs(a: str, b: str, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Beginning in a, beginning in b and length of every common run that can't be made longer, of `least` characters at least."""
     left, right = _grams(a, least), _grams(b, least)
@@ -68,6 +80,42 @@ def overlap_of(a: str | None, b: str | None, least: int = MIN_RUN) -> tuple[floa
     return (sum(sizes) / len(a) if a else 0.0), max(sizes, default=0)
 
 
+@functools.lru_cache(maxsize=64)
+def _known_grams(text: str) -> np.ndarray:
+    return np.unique(_grams(text, MIN_RUN))
+
+
+def cover_bound(a: str, b: str) -> float:
+    """Share of a inside grams of MIN_RUN characters that b has, too."""
+    own, known = _grams(a, MIN_RUN), _known_grams(b)
+    if not len(own) or not len(known):
+        return 0.0
+    at = np.flatnonzero(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own)
+    return float(np.minimum(np.diff(at, append=at[-1] + MIN_RUN), MIN_RUN).sum() / len(a)) if len(at) else 0.0
+
+
+def measure(a: str | None, b: str | None, least: float = COPY_SHARE) -> tuple[float, float | None, int | None, int | None, float | None, float | None]:
+    """Of a, the shorter text, and b: cover_bound(), coverage and longest run, characters that both have, and Jaccard likeness and containment of grams of SHORT_GRAM; only the first if it is under `least`."""
+    a, b = a or "", b or ""
+    bound = cover_bound(a, b)
+    if bound < least:
+        return bound, None, None, None, None, None
+    x, y = np.unique(_grams(a, SHORT_GRAM)), np.unique(_grams(b, SHORT_GRAM))
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return bound, *overlap_of(a, b), (Counter(a) & Counter(b)).total(), shared / max(1, len(x) + len(y) - shared), shared / max(1, min(len(x), len(y)))
+
+
+_MEASURES = StructType([StructField("bound", DoubleType()), StructField("coverage", DoubleType()), StructField("longest", IntegerType()), StructField("letters", LongType()), StructField("jaccard", DoubleType()), StructField("containment", DoubleType())])
+
+
+@F.pandas_udf(_MEASURES)
+def measures(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """measure() of two text columns."""
+    for left, right in parts:
+        found = pd.DataFrame([measure(a, b) for a, b in zip(left, right)], columns=_MEASURES.names)
+        yield found.astype({"longest": "Int32", "letters": "Int64"})
+
+
 def overlap(least: int = MIN_RUN):
     """A function of two text columns that gives coverage and longest."""
 

@@ -2,9 +2,9 @@
 
 Texts are compared without white space. A repost shares runs of MIN_RUN characters with an earlier
 document that cover COPY_SHARE of the shorter of the two. Then at least one in twelve of the covered
-places begins a gram of MIN_RUN characters that both have, so that a number of places must be shared.
-A document leaves out half as many, those of its most frequent grams, and must share the other half
-among the rest; that loses no pair.
+places begins a gram of MIN_RUN characters that both have, so that a number of places must be shared;
+pairs that share so many are found by an index of all grams. A common run of DECISIVE_RUN characters,
+which decides alone for a duplicate, has a gram that both texts choose as an anchor.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..functions.runs import COPY_SHARE, MIN_RUN, overlap
+from ..functions.runs import COPY_SHARE, DECISIVE_RUN, MIN_RUN, measures
 from ..storage import saved
+from .grams import anchored_pairs, bucket_bits, packed, sharing_pairs
 
 #: Conclusions that a document needs to be compared, and the share of them that another one must have.
 LEAST_KEYS, KEY_SHARE = 4, 0.80
@@ -28,53 +29,45 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return keyed.join(keyed.groupBy("key").agg(F.min("id").alias("original")), "key").drop("key")
 
 
-def gram_places(items: DataFrame, size: int = MIN_RUN) -> DataFrame:
-    """id, n, pos and g: every place of a body at which a gram begins, with the gram's hash. items has id and body."""
-    return items.select("id", F.length("body").alias("n"), F.posexplode(T.gram_hashes(F.col("body"), size)).alias("pos", "g"))
+def sized(items: DataFrame) -> DataFrame:
+    """id, n and new of items (id, body), all new."""
+    return items.select("id", F.length("body").cast("long").alias("n"), F.lit(True).alias("new"))
 
 
-def run_candidates(items: DataFrame) -> DataFrame:
-    """Pairs (id, other) that may be reposts: id is the shorter text, or the later of two of one length. items has id and body, all bodies different."""
-    places = gram_places(items)
-    heat = places.groupBy("g").agg(F.count(F.lit(1)).alias("heat"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("g", "heat")
-    shared = saved(places.join(heat, "g"))
-    must = F.ceil(F.col("n") * round(COPY_SHARE * 100) / (100 * MIN_RUN))
-    rest = F.ceil(must / 2)
-    hottest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("heat"), "pos"))  # a document's own grams
-    held = F.count(F.lit(1)).over(Window.partitionBy("id"))
-    probe = shared.withColumns({"place": hottest, "held": held}).where((F.col("held") >= must) & (F.col("place") > must - rest)).select("id", "n", "g")
-    index = shared.select(F.col("id").alias("other"), F.col("n").alias("m"), "g").distinct()
-    later = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("id") > F.col("other")))
-    return probe.join(index, "g").where(later).groupBy("id", "other", "n").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= rest).select("id", "other")
+def cover_candidates(items: DataFrame) -> DataFrame:
+    """Pairs (id, other) whose grams of MIN_RUN characters in common may cover COPY_SHARE of id: the shorter text, or the later of two of one length. items has id, a whole number, and body, all bodies different."""
+    return sharing_pairs(packed(items, MIN_RUN, bucket_bits(items)), sized(items), round(COPY_SHARE * 100), MIN_RUN)
 
 
-def cover_bound(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """Adds bound: the share of id's body inside grams that other's body has, too. No coverage by matching runs is larger."""
-    places = gram_places(items)
-    known = places.select(F.col("id").alias("other"), "g").distinct()
-    met = pairs.join(places, "id").join(known, ["other", "g"])
-    upto = F.lag("pos").over(Window.partitionBy("id", "other").orderBy("pos"))
-    met = met.withColumn("new", F.least(F.lit(MIN_RUN), F.coalesce(F.col("pos") - upto, F.lit(MIN_RUN))))
-    return met.groupBy("id", "other").agg((F.sum("new") / F.first("n")).alias("bound"))
+def decisive_runs(items: DataFrame) -> DataFrame:
+    """Pairs (id, other), the shorter or later first, that have a run of DECISIVE_RUN characters in common, however little of them it covers."""
+    sizes = items.select("id", F.length("body").alias("n"))
+    rows = anchored_pairs(items, MIN_RUN, DECISIVE_RUN).join(sizes, "id").join(sizes.select(F.col("id").alias("other"), F.col("n").alias("m")), "other")
+    longer = F.col("n") > F.col("m")
+    return rows.select(F.when(longer, F.col("other")).otherwise(F.col("id")).alias("id"), F.when(longer, F.col("id")).otherwise(F.col("other")).alias("other"))
 
 
-def letter_bound(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """Adds letters: how many characters of id's body other's body has, too, each as often as both do; another bound of what runs can cover."""
-    letters = items.select("id", F.explode(F.split("body", "")).alias("c")).where("c <> ''").groupBy("id", "c").agg(F.count(F.lit(1)).alias("k"))
-    other = letters.select(F.col("id").alias("other"), "c", F.col("k").alias("l"))
-    return pairs.join(letters, "id").join(other, ["other", "c"]).groupBy("id", "other").agg(F.sum(F.least("k", "l")).alias("letters"))
+def measured(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """The pairs (id, other) with n, m (their characters), bound, coverage, longest, letters, jaccard and containment of their bodies, null but for the first if the bound rules a repost out; see measure()."""
+    both = pairs.join(items, "id").join(items.select(F.col("id").alias("other"), F.col("body").alias("other_body")), "other")
+    rows = both.select("id", "other", F.length("body").alias("n"), F.length("other_body").alias("m"), measures("body", "other_body").alias("o"))
+    return rows.select("id", "other", "n", "m", "o.*")
 
 
-def overlaps(items: DataFrame) -> DataFrame:
-    """id, other, bound, coverage and longest of every pair of which the one may be a repost of the other."""
-    pairs = saved(run_candidates(items))
-    close = saved(cover_bound(pairs, items).where(F.col("bound") >= COPY_SHARE))
-    both = close.join(items, "id").join(items.select(F.col("id").alias("other"), F.col("body").alias("other_body")), "other")
-    return both.withColumn("o", overlap()("body", "other_body")).select("id", "other", "bound", "o.coverage", "o.longest")
+def covered_pairs(items: DataFrame) -> DataFrame:
+    """The measured pairs whose bound allows for a repost. No coverage by matching runs is larger than the bound."""
+    return measured(cover_candidates(items), items).where(F.col("bound") >= COPY_SHARE)
+
+
+def duplicates(items: DataFrame) -> DataFrame:
+    """id, other, by_cover, by_run: pairs of one source, by coverage, by a decisive run, or by both."""
+    cover = covered_pairs(items).where(F.col("coverage") >= COPY_SHARE).select("id", "other", F.lit(True).alias("by_cover"))
+    joined = cover.join(decisive_runs(items).withColumn("by_run", F.lit(True)), ["id", "other"], "full")
+    return joined.select("id", "other", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("by_cover", "by_run")])
 
 
 def best_originals(found: DataFrame) -> DataFrame:
-    """id, original, coverage: for each document the earlier one that overlaps() covers most, of equals the first."""
+    """id, original, coverage: for each document the earlier one of the pairs that covers most, of equals the first."""
     pairs = found.where(F.col("coverage") >= COPY_SHARE).select(F.greatest("id", "other").alias("id"), F.least("id", "other").alias("original"), "coverage")
     return pairs.groupBy("id").agg(F.min_by("original", F.struct(-F.col("coverage"), "original")).alias("original"), F.max("coverage").alias("coverage"))
 
@@ -101,7 +94,7 @@ def repost_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = saved(copies(docs, id_col, text_col))
     items = rows.where("id = original").select("id", "body")
-    best = saved(best_originals(overlaps(items)))
+    best = saved(best_originals(covered_pairs(items)))
     groups = roots_of(best.select("id", F.col("original").alias("parent"))).withColumnRenamed("root", "group_id")
     groups = groups.unionByName(groups.select(F.col("group_id").alias("id"), "group_id").distinct())
     first = rows.join(groups.select(F.col("id").alias("original"), "group_id"), "original", "left").select("id", F.col("original").alias("first"), "group_id")
@@ -129,3 +122,28 @@ def first_matches(keys: DataFrame) -> DataFrame:
     counted = pairs.join(shared.select("doc", "key"), "doc").join(shared.select(F.col("doc").alias("other"), "key"), ["other", "key"]).groupBy("doc", "n", "other").agg(F.count(F.lit(1)).alias("shared"))
     enough = counted.where(F.col("shared") >= must)
     return enough.groupBy("doc").agg(F.min("other").alias("other"), F.bround(F.min_by(F.col("shared") / F.col("n"), "other"), 4).alias("share"))
+
+
+def conclusion_groups(matches: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """id, group_id, share: the groups that documents come to, each joining in the order of ids the group that its first match has at that time.
+
+    matches are those of first_matches(), known (id, group_id) documents that had a group before; they join no other.
+    A first match without a group gets one, named by it. If its own turn comes later, it leaves that group for that of its own first match, as
+    its turn decides; who joined it before stays. share is null for those that were only joined.
+    """
+    own = matches.select(F.col("doc").alias("id"), "other", "share")
+    if known is not None:
+        own = own.join(known.select("id"), "id", "left_anti")
+    own = saved(own)
+    turn = own.select(F.col("id").alias("other"), F.lit(True).alias("has_turn"))
+    rows = own.join(turn, "other", "left")
+    # who has had its turn leads on to where it went; else the group is the other's own
+    leads = F.coalesce("has_turn", F.lit(False)) & (F.col("other") < F.col("id"))
+    rows = rows.withColumns({"up": F.when(leads, F.col("other")).otherwise(F.col("id")), "ends": F.when(~leads, F.col("other"))})
+    found = roots_of(rows.select("id", F.col("up").alias("parent"))).join(rows.select(F.col("id").alias("root"), "ends"), "root").select("id", F.col("ends").alias("group"))
+    joined = found.select(F.col("group").alias("id")).distinct().join(own.select("id"), "id", "left_anti").select("id", F.col("id").alias("group"))
+    every = found.unionByName(joined)
+    if known is not None:
+        every = every.join(known.select(F.col("id").alias("group"), F.col("group_id").alias("held")), "group", "left").select("id", F.coalesce("held", "group").alias("group"))
+        every = every.join(known.select("id"), "id", "left_anti").unionByName(known.select("id", F.col("group_id").alias("group")))
+    return every.join(own.select("id", "share"), "id", "left").select("id", F.col("group").alias("group_id"), "share")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..functions.runs import COPY_SHARE, DECISIVE_RUN
+from ..functions.runs import COPY_SHARE
 from ..operators import quotes, reposts
 from ..storage import saved
 from .registry import Tables, query
@@ -63,15 +63,16 @@ def dd13_first_match_by_keys(t: Tables) -> DataFrame:
     return reposts.first_matches(_conclusions(t))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE k AS ({_KEYS}), n AS (SELECT doc, count(*) AS n FROM k GROUP BY 1 HAVING count(*) >= 4), p AS (SELECT a.doc, b.doc AS other, count(*) AS shared FROM k a JOIN k b ON a.key = b.key AND a.doc <> b.doc GROUP BY 1, 2),
+f AS (SELECT p.doc, other, round_even(shared / n.n, 4) AS share FROM p JOIN n ON p.doc = n.doc JOIN n m ON m.doc = p.other WHERE shared * 10 >= n.n * 8 QUALIFY row_number() OVER (PARTITION BY p.doc ORDER BY other) = 1),
+s AS (SELECT doc, other, other < doc AND other IN (SELECT doc FROM f) AS leads FROM f), c AS (SELECT doc, other, leads FROM s UNION ALL SELECT c.doc, s.other, s.leads FROM c JOIN s ON s.doc = c.other WHERE c.leads),
+g AS (SELECT doc, other AS group_id FROM c WHERE NOT leads)
+SELECT g.doc, group_id, share FROM g JOIN f ON f.doc = g.doc UNION ALL SELECT DISTINCT group_id, group_id, NULL FROM g WHERE group_id NOT IN (SELECT doc FROM f)"""
+)
 def dd13_conclusion_groups(t: Tables) -> DataFrame:
-    """Each document with its group: matches join it in the direction of the first match, from document to document."""
-    found = saved(reposts.first_matches(_conclusions(t)))
-    links = found.select(F.greatest("doc", "other").alias("id"), F.least("doc", "other").alias("parent"))
-    parents = links.groupBy("id").agg(F.min("parent").alias("parent"))
-    groups = reposts.roots_of(parents).withColumnRenamed("root", "group_id")
-    groups = groups.unionByName(groups.select(F.col("group_id").alias("id"), "group_id").distinct())
-    return groups.join(found.withColumnRenamed("doc", "id"), "id", "left").select(F.col("id").alias("doc"), "group_id", "share")
+    """Each document that matches another one, or is matched, with the group it comes to in the order of ids."""
+    return reposts.conclusion_groups(reposts.first_matches(_conclusions(t))).withColumnRenamed("id", "doc")
 
 
 def _items(t: Tables) -> DataFrame:
@@ -91,16 +92,13 @@ b AS (SELECT id, other, sum(least(12, coalesce(step, 12))) / any_value(n) AS bou
 @query(_pairs_sql("SELECT id, other, round(bound, 6) AS bound FROM b WHERE bound >= 0.60::DOUBLE"))
 def dd16_cover_bound(t: Tables) -> DataFrame:
     """Pairs whose shared grams may cover enough for a repost."""
-    items = _items(t)
-    found = reposts.cover_bound(reposts.run_candidates(items), items).where(F.col("bound") >= COPY_SHARE)
-    return found.select("id", "other", F.round("bound", 6).alias("bound"))
+    return reposts.covered_pairs(_items(t)).select("id", "other", F.round("bound", 6).alias("bound"))
 
 
 @query(_pairs_sql("SELECT b.id, b.other FROM b JOIN x ON x.id = b.id WHERE bound >= 0.60::DOUBLE"))
 def dd15_run_candidates(t: Tables) -> DataFrame:
     """Candidate pairs: a run of MIN_RUN characters in common, and cover enough for a repost."""
-    items = _items(t)
-    return reposts.cover_bound(saved(reposts.run_candidates(items)), items).where(F.col("bound") >= COPY_SHARE).select("id", "other")
+    return reposts.covered_pairs(_items(t)).select("id", "other")
 
 
 @query(
@@ -110,23 +108,35 @@ SELECT q.id, q.other, sum(least(a.k, o.k))::BIGINT AS letters, sum(least(a.k, o.
     )
 )
 def dd07_letter_bag_bound(t: Tables) -> DataFrame:
-    items = _items(t)
-    pairs = saved(reposts.cover_bound(reposts.run_candidates(items), items).where(F.col("bound") >= COPY_SHARE).select("id", "other"))
-    found = reposts.letter_bound(pairs, items).join(items.select("id", F.length("body").alias("n")), "id")
-    return found.select("id", "other", "letters", (F.col("letters") >= 0.6 * F.col("n")).alias("may_be_repost"))
+    return reposts.covered_pairs(_items(t)).select("id", "other", "letters", (F.col("letters") >= 0.6 * F.col("n")).alias("may_be_repost"))
 
 
 @query()
 def dd05_overlap(t: Tables) -> DataFrame:
-    """Coverage and longest run of pairs that may be reposts, and both decisions by them: a repost on import, and a duplicate."""
-    found = reposts.overlaps(_items(t))
-    repost = F.col("coverage") >= COPY_SHARE
-    return found.select("id", "other", F.bround("coverage", 4).alias("coverage"), "longest", repost.alias("repost"), (repost | (F.col("longest") >= DECISIVE_RUN)).alias("duplicate"))
+    """Coverage and longest run of pairs whose bound allows for a repost, and whether they are one."""
+    found = reposts.covered_pairs(_items(t))
+    return found.select("id", "other", F.bround("coverage", 4).alias("coverage"), "longest", (F.col("coverage") >= COPY_SHARE).alias("repost"))
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id AS id, {_SQUASH.format("coalesce(text, '')")} AS body FROM documents), x AS (SELECT min(id) AS id, body, length(body) AS n FROM d GROUP BY body),
+p AS (SELECT DISTINCT id, n, substr(body, i, 40) AS g FROM x, unnest(range(1, n - 38)) AS u(i)), s AS (SELECT * FROM p WHERE g IN (SELECT g FROM p GROUP BY g HAVING count(*) > 1))
+SELECT DISTINCT a.id, b.id AS other FROM s a JOIN s b ON a.g = b.g AND (a.n < b.n OR (a.n = b.n AND a.id > b.id))"""
+)
+def dd06_decisive_runs(t: Tables) -> DataFrame:
+    """Pairs with a run of DECISIVE_RUN characters in common."""
+    return reposts.decisive_runs(_items(t))
+
+
+@query()
+def dd06_duplicates(t: Tables) -> DataFrame:
+    """Pairs of one source, and by which of the two rules."""
+    return reposts.duplicates(_items(t))
 
 
 @query()
 def dd08_best_originals(t: Tables) -> DataFrame:
-    return reposts.best_originals(reposts.overlaps(_items(t))).select("id", "original", F.bround("coverage", 4).alias("coverage"))
+    return reposts.best_originals(reposts.covered_pairs(_items(t))).select("id", "original", F.bround("coverage", 4).alias("coverage"))
 
 
 @query()
@@ -144,13 +154,7 @@ SELECT y.id, other, round(shared / (a.n + o.n - shared), 6) AS jaccard, round(sh
 )
 def dd14_gram_jaccard(t: Tables) -> DataFrame:
     """Likeness by grams of four characters of the candidate pairs."""
-    items = _items(t)
-    pairs = saved(reposts.cover_bound(reposts.run_candidates(items), items).where(F.col("bound") >= COPY_SHARE).select("id", "other"))
-    grams = saved(reposts.gram_places(items, 4).select("id", "g").distinct())
-    sizes = grams.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    shared = pairs.join(grams, "id").join(grams.select(F.col("id").alias("other"), "g"), ["other", "g"]).groupBy("id", "other").agg(F.count(F.lit(1)).alias("shared"))
-    joined = shared.join(sizes, "id").join(sizes.select(F.col("id").alias("other"), F.col("n").alias("m")), "other")
-    return joined.select("id", "other", F.round(F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")), 6).alias("jaccard"), F.round(F.col("shared") / F.least("n", "m"), 6).alias("containment"))
+    return reposts.covered_pairs(_items(t)).select("id", "other", F.round("jaccard", 6).alias("jaccard"), F.round("containment", 6).alias("containment"))
 
 
 @query(

@@ -24,3 +24,17 @@ def saved(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows and bytes that one Arrow batch to a Python worker holds at most, so that a batch of long texts stays small.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds this session's Arrow batches, until it ends, by BATCH_ROWS and BATCH_BYTES; smaller settings stay."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")
+    if not size.lstrip("-").isdigit() or not 0 < int(size) <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
