@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from . import text as T
+
 #: Marks before a part of a name, brackets that count as round ones, and general endings of names.
 SEPARATORS = "-－—·(（_"
 BRACKETS = ("（）〔〕【】", "()()()")
@@ -24,7 +26,8 @@ STREET_CODE, SHOP_CODE, PLACE_CODE = "061001", "06", "19"
 FOOD_CODE, FOOD_TYPE, NO_SHOP_MARKS = "05", "餐饮", "[与、＋+/]"
 
 
-def _stem(name: Column) -> Column:
+def stem(name: Column) -> Column:
+    """The name without a general ending."""
     out = F.when(F.lit(False), name)
     for ending in ENDINGS:
         out = out.when((F.length(name) > len(ending) + 1) & name.endswith(ending), F.left(name, F.length(name) - len(ending)))
@@ -40,12 +43,12 @@ def after_separator(part: Column, name: Column) -> Column:
 
 def rule_score(a: Column, b: Column) -> Column:
     """Likeness that the rules decide, null where only the letters can tell."""
-    left, right = F.trim(a), F.trim(b)
+    left, right = T.strip(a), T.strip(b)
     return (
         F.when((left == "") | (right == ""), 0.0)
         .when(left == right, 1.0)
         .when(F.translate(left, *BRACKETS) == F.translate(right, *BRACKETS), 1.0)
-        .when(_stem(left) == _stem(right), 0.95)
+        .when(stem(left) == stem(right), 0.95)
         .when((right.contains(left) | left.contains(right)) & (F.least(F.length(left), F.length(right)) >= 3), 0.90)
         .when(after_separator(left, right) | after_separator(right, left), 0.90)
     )
@@ -59,7 +62,7 @@ def letter_score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
 
 
 def rank_bonus(mention: Column, name: Column) -> Column:
-    left, right = F.trim(mention), F.trim(name)
+    left, right = T.strip(mention), T.strip(name)
     return (
         F.when((left == "") | (right == ""), 0.0)
         .when((left == right) | after_separator(left, right), EXACT_BONUS)
@@ -75,7 +78,7 @@ def _starts(code: Column, codes: tuple[str, ...]) -> Column:
 
 def place_kind(code: Column, kind: Column, name: Column) -> Column:
     """destination, place_name or irrelevant."""
-    code, kind = F.trim(F.coalesce(code, F.lit(""))), F.trim(F.coalesce(kind, F.lit("")))
+    code, kind = T.strip(F.coalesce(code, F.lit(""))), T.strip(F.coalesce(kind, F.lit("")))
     by_code = (
         F.when(_starts(code, (PLACE_CODE,)), "place_name")
         .when(code == STREET_CODE, "destination")
@@ -93,7 +96,7 @@ def place_kind(code: Column, kind: Column, name: Column) -> Column:
 
 def is_food(code: Column, kind: Column) -> Column:
     """Whether a place is one to eat at."""
-    code, kind = F.trim(F.coalesce(code, F.lit(""))), F.trim(F.coalesce(kind, F.lit("")))
+    code, kind = T.strip(F.coalesce(code, F.lit(""))), T.strip(F.coalesce(kind, F.lit("")))
     return F.when(code != "", code.startswith(FOOD_CODE)).otherwise(kind.startswith(FOOD_TYPE))
 
 

@@ -38,7 +38,7 @@ def leg_key(lat: Column, lng: Column, to_lat: Column, to_lng: Column, to_item: C
 
 def pending_legs(items: DataFrame, poi: DataFrame) -> DataFrame:
     """trip, day, item_id, to_item, key, metres of each two items that follow one another, have coordinates, and no leg that still holds."""
-    w = Window.partitionBy("day").orderBy(*item_order())
+    w = Window.partitionBy("trip", "day").orderBy(*item_order())
     ahead = {f"to_{c}": F.lead(c).over(w) for c in ("item_id", "lat", "lng")}
     rows = located(items, poi).withColumns(ahead).where("to_item_id IS NOT NULL AND lat IS NOT NULL AND lng IS NOT NULL AND to_lat IS NOT NULL AND to_lng IS NOT NULL")
     rows = rows.withColumn("key", leg_key(F.col("lat"), F.col("lng"), F.col("to_lat"), F.col("to_lng"), F.col("to_item_id")))
@@ -60,11 +60,11 @@ def with_legs(items: DataFrame, planned: DataFrame) -> DataFrame:
 
 
 def pending_meals(items: DataFrame, poi: DataFrame) -> DataFrame:
-    """trip, day, item_id, title, anchors: meals without coordinates, with the places of their day that have some, in order."""
+    """trip, day, item_id, title, anchors: meals without coordinates, with the places of their trip's day that have some, in order."""
     rows = located(items, poi)
-    there = rows.where("kind = 'poi' AND lat IS NOT NULL AND lng IS NOT NULL").groupBy("day").agg(F.array_sort(F.collect_list(F.struct("seq", "item_id", "lat", "lng"))).alias("anchors"))
+    there = rows.where("kind = 'poi' AND lat IS NOT NULL AND lng IS NOT NULL").groupBy("trip", "day").agg(F.array_sort(F.collect_list(F.struct("seq", "item_id", "lat", "lng"))).alias("anchors"))
     meals = rows.where("kind = 'meal' AND lat IS NULL").select("trip", "day", "item_id", "title")
-    return meals.join(there, "day", "left").withColumn("anchors", F.coalesce("anchors", F.array().cast(there.schema["anchors"].dataType)))
+    return meals.join(there, ["trip", "day"], "left").withColumn("anchors", F.coalesce("anchors", F.array().cast(there.schema["anchors"].dataType)))
 
 
 def meal_scores(meals: DataFrame, found: DataFrame) -> DataFrame:

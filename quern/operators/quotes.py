@@ -1,38 +1,74 @@
 """Finds quotes in documents, and checks extracted claims by their quotes.
 
-A quote is found by a gram of its own: the one with the smallest hash among those whose hash falls to
-one in SAMPLE. A document that holds the quote holds that gram, so documents send only such grams. Quotes
-too short to have one are found by all grams of their own length.
+A quote is found by a gram of its own, taken where a hash decides, so that a document that holds the quote
+sends that gram, too, though it sends few: of the longest size of gram of which the quote has a
+sampled one, the smallest. A quote that has none at all is found by all grams of its own length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..storage import saved
+from ..functions.runs import gram_hashes
+from ..storage import saved, small_batches
 
 #: Characters in a gram, and grams for each that is sent.
-GRAM, SAMPLE = 12, 16
+SAMPLED = ((12, 16), (6, 4))
+
+
+def _sample(text: str, size: int, of: int) -> np.ndarray:
+    grams = gram_hashes(text, size)
+    return np.unique(grams[grams % np.uint64(of) == 0])
+
+
+def _quote_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The size and hash by which each quote is looked for."""
+    for batch in batches:
+        sizes, keys = [], []
+        for form in batch.column(1).to_pylist():
+            found = next(((size, x[0]) for size, of in SAMPLED for x in [_sample(form, size, of)] if len(x)), None)
+            size, key = found or (len(form), gram_hashes(form, len(form))[0])
+            sizes.append(size)
+            keys.append(int(np.uint64(key).astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64())], names=["quote_id", "size", "key"])
+
+
+def _document_keys(sampled: list[tuple[int, int]], whole: list[int]):
+    """The sizes and hashes by which a document may be found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, body in enumerate(batch.column(1).to_pylist()):
+                found = [(size, _sample(body, size, of)) for size, of in sampled] + [(size, np.unique(gram_hashes(body, size))) for size in whole]
+                keys = np.concatenate([np.empty(0, np.uint64), *[x for _, x in found]])
+                sizes = np.repeat(np.array([n for n, _ in found], np.int32), [len(x) for _, x in found])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(keys), row))), pa.array(sizes), pa.array(keys.view(np.int64))], names=["doc_id", "size", "key"])
+
+    return run
 
 
-def _sampled(grams: Column) -> Column:
-    return F.filter(grams, lambda g: F.pmod(g, F.lit(SAMPLE)) == 0)
+def candidates(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (quote_id, doc_id), among which are all of a quote and a document that contains it. quotes has quote_id and form, docs doc_id and body, in one form; null and empty ones are nowhere."""
+    small_batches(docs.sparkSession)
+    kinds = (x.schema[c].dataType.simpleString() for x, c in ((quotes, "quote_id"), (docs, "doc_id")))
+    quote_kind, doc_kind = kinds
+    keyed = saved(quotes.where("form <> ''").select("quote_id", "form").mapInArrow(_quote_keys, f"quote_id {quote_kind}, size int, key long"))
+    used = {row["size"] for row in keyed.select("size").distinct().collect()}  # the sampled sizes, and lengths of quotes without a sampled gram, which are short
+    sampled = [x for x in SAMPLED if x[0] in used]
+    whole = sorted(used - {size for size, _ in SAMPLED})
+    sent = docs.where("body <> ''").select("doc_id", "body").mapInArrow(_document_keys(sampled, whole), f"doc_id {doc_kind}, size int, key long")
+    return sent.join(keyed, ["size", "key"]).select("quote_id", "doc_id").distinct()
 
 
 def holders(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (quote_id, doc_id) of quotes and documents that contain them. quotes has quote_id and form, docs doc_id and body, in one form; empty ones are nowhere."""
-    keyed = saved(quotes.where("form <> ''").withColumn("key", F.array_min(_sampled(T.gram_hashes(F.col("form"), GRAM)))))
-    long = keyed.where("key IS NOT NULL")
-    sent = docs.select("doc_id", F.explode(F.array_distinct(_sampled(T.gram_hashes(F.col("body"), GRAM)))).alias("key"))
-    pairs = sent.join(long.select("quote_id", "key"), "key").select("quote_id", "doc_id")
-    short = keyed.where("key IS NULL").withColumn("size", F.length("form"))
-    for row in short.select("size").distinct().collect():  # at most one for each length a quote without a sampled gram has
-        size = row["size"]
-        own = short.where(F.col("size") == size).select("quote_id", T.gram_hashes(F.col("form"), size)[0].alias("key"))
-        pairs = pairs.unionByName(docs.select("doc_id", F.explode(F.array_distinct(T.gram_hashes(F.col("body"), size))).alias("key")).join(own, "key").select("quote_id", "doc_id"))
-    both = pairs.distinct().join(quotes.select("quote_id", "form"), "quote_id").join(docs, "doc_id")
+    """Pairs (quote_id, doc_id) of quotes (quote_id, form) and documents (doc_id, body) that contain them."""
+    both = candidates(quotes, docs).join(quotes.select("quote_id", "form"), "quote_id").join(docs.select("doc_id", "body"), "doc_id")
     return both.where(F.col("body").contains(F.col("form"))).select("quote_id", "doc_id")
 
 
@@ -41,7 +77,7 @@ def located(rows: DataFrame, quote: str, body: str) -> DataFrame:
 
     A loose match leaves white space and punctuation out of account; its range is that of the text as it stands.
     """
-    text = F.trim(F.col(quote))
+    text = T.strip(F.col(quote))
     loose, plain = T.without(text, T.LOOSE), T.without(F.col(body), T.LOOSE)
     verdict = T.quote_verdict(F.col(quote), F.col(body))
     counted = F.transform(T.characters(F.col(body)), lambda c, i: F.struct(c.alias("c"), (i + 1).alias("i")))
@@ -57,14 +93,18 @@ def quote_places(quotes: DataFrame, docs: DataFrame) -> DataFrame:
 
     quotes has quote_id and quote, docs doc_id and body. A quote of fewer than MIN_QUOTE_CHARS characters is too short.
     """
-    asked = quotes.where(F.length(F.trim("quote")) >= T.MIN_QUOTE_CHARS)
-    loose = asked.select("quote_id", T.without(F.trim("quote"), T.LOOSE).alias("form"))
+    asked = quotes.where(F.length(T.strip(F.col("quote"))) >= T.MIN_QUOTE_CHARS)
+    form = T.without(T.strip(F.col("quote")), T.LOOSE)
+    loose = asked.select("quote_id", form.alias("form"))
     plain = docs.select("doc_id", T.without(F.col("body"), T.LOOSE).alias("body"))
-    marks = asked.where(T.without(F.trim("quote"), T.LOOSE) == "").select("quote_id", F.trim("quote").alias("form"))  # nothing but marks: exact or missing
-    pairs = holders(loose, plain).unionByName(holders(marks, docs.select("doc_id", "body")))
-    found = saved(located(pairs.join(quotes, "quote_id").join(docs, "doc_id"), "quote", "body").select("quote_id", "doc_id", "verdict", "char_start", "char_end"))
+    marks = asked.where(form == "").select("quote_id", T.strip(F.col("quote")).alias("form"))  # nothing but marks: exact or missing
+    pairs = candidates(loose, plain)
+    if not marks.isEmpty():
+        pairs = pairs.unionByName(candidates(marks, docs))
+    placed = located(pairs.join(quotes, "quote_id").join(docs, "doc_id"), "quote", "body").where(usable(F.col("verdict")))
+    found = saved(placed.select("quote_id", "doc_id", "verdict", "char_start", "char_end"))
     rest = quotes.join(found.select("quote_id").distinct(), "quote_id", "left_anti")
-    none = F.when(F.length(F.trim("quote")) < T.MIN_QUOTE_CHARS, "too_short").otherwise("missing")
+    none = F.when(F.length(T.strip(F.col("quote"))) < T.MIN_QUOTE_CHARS, "too_short").otherwise("missing")
     return found.unionByName(rest.select("quote_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), none.alias("verdict"), F.lit(-1).alias("char_start"), F.lit(-1).alias("char_end")))
 
 

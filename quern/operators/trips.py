@@ -124,4 +124,5 @@ def trip_problems(trips: DataFrame, days: DataFrame, items: DataFrame, bookings:
     }
     found = found.unionByName(_codes(rows.withColumn("place", place), ["trip", "place"], checks))
     booked = {("booking_without_channel", "error"): F.coalesce(F.size("channels"), F.lit(0)) <= 0, ("booking_without_date", "error"): c("visit_date").isNull()}
-    return found.unionByName(_codes(bookings.withColumn("place", c("name")), ["trip", "place"], booked))
+    dated_trips = spans.where(c("first").isNotNull()).select("trip")  # of a trip without days nothing else is said
+    return found.unionByName(_codes(bookings.join(dated_trips, "trip", "left_semi").withColumn("place", c("name")), ["trip", "place"], booked))

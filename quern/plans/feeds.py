@@ -22,7 +22,7 @@ def _shown(*parts: Column | str) -> Column:
 
 
 @query(
-    """SELECT 'B' || p_partkey AS poi_id, CASE WHEN p_partkey % 9 = 0 THEN 'B' || p_partkey ELSE p_name END AS name, CASE WHEN p_partkey % 3 > 0 THEN '110000' END AS typecode, (30 + p_size / 100.0)::DOUBLE AS lat, (100 + p_partkey % 50 / 100.0)::DOUBLE AS lng, CASE WHEN p_partkey % 4 > 0 THEN p_size / 10.0::DOUBLE END AS rating,
+    """SELECT 'B' || p_partkey AS poi_id, CASE WHEN p_partkey % 9 = 0 THEN 'B' || p_partkey WHEN p_partkey % 13 = 0 THEN '[closed] ' || p_name ELSE p_name END AS name, CASE WHEN p_partkey % 3 > 0 THEN '110000' END AS typecode, (30 + p_size / 100.0)::DOUBLE AS lat, (100 + p_partkey % 50 / 100.0)::DOUBLE AS lng, CASE WHEN p_partkey % 4 > 0 THEN p_size / 10.0::DOUBLE END AS rating,
  CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'late' ELSE 'early' END AS open_time, CASE WHEN p_partkey % 5 > 0 THEN 'u' || p_partkey END AS photo_url, p_brand || p_type AS address, CASE WHEN p_partkey % 6 = 0 THEN 'B0' END AS parent_id FROM part WHERE p_partkey % 7 > 0 AND p_partkey % 11 > 0"""
 )
 def src11_poi_response(t: Tables) -> DataFrame:
@@ -31,7 +31,7 @@ def src11_poi_response(t: Tables) -> DataFrame:
     code = F.when(k % 3 == 0, "[]").otherwise('"110000"')
     place = F.when(k % 7 == 0, "[]").otherwise(_shown('"', 100 + k % 50 / 100.0, ",", 30 + F.col("p_size") / 100.0, '"'))
     biz = F.when(k % 4 == 0, "[]").otherwise(_shown('{"rating":"', F.col("p_size") / 10.0, '","opentime":"early"', F.when(k % 4 == 1, ',"opentime2":"late"').otherwise(',"opentime2":[]'), "}"))
-    name, photos = F.when(k % 9 == 0, "").otherwise(F.col("p_name")), F.when(k % 5 == 0, "[]").otherwise(_shown('[{"url":"u', k, '"}]'))
+    name, photos = F.when(k % 9 == 0, "").when(k % 13 == 0, F.concat(F.lit("[closed] "), "p_name")).otherwise(F.col("p_name")), F.when(k % 5 == 0, "[]").otherwise(_shown('[{"url":"u', k, '"}]'))
     parent = F.when(k % 6 == 0, '"B0"').otherwise("[]")
     raw = _shown('{"id":"', id_, '","name":"', name, '","typecode":', code, ',"address":["', F.col("p_brand"), '","', F.col("p_type"), '"],"parent":', parent, ',"location":', place, ',"biz_ext":', biz, ',"photos":', photos, "}")
     return S.places(t.part.select(raw.alias("raw"))).select("poi_id", "name", "typecode", "lat", "lng", "rating", "open_time", "photo_url", "address", "parent_id")
@@ -94,12 +94,12 @@ def src16_daily_weather(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""SELECT s_suppkey AS city, (DATE '{TODAY}' + i::INT)::VARCHAR AS day, CASE WHEN s_suppkey % 3 = 0 THEN '天气未知' ELSE '小雨' END AS text, CASE WHEN i % 2 = 0 THEN '晴' END AS night, s_suppkey % 3 > 0 AS bad, i::DOUBLE AS low FROM supplier, range(4) AS u(i) WHERE i <> 2"""
+    f"""SELECT s_suppkey AS city, (DATE '{TODAY}' + i::INT)::VARCHAR AS day, CASE s_suppkey % 7 WHEN 0 THEN '天气未知' WHEN 1 THEN '小雨' WHEN 2 THEN '浮尘' WHEN 3 THEN '沙尘暴' WHEN 4 THEN '扬沙' WHEN 5 THEN '冰雹' ELSE '冰针' END AS text, CASE WHEN i % 2 = 0 THEN '晴' END AS night, s_suppkey % 7 IN (1, 3, 5) AS bad, i::DOUBLE AS low FROM supplier, range(4) AS u(i) WHERE i <> 2"""
 )
 def src17_other_weather(t: Tables) -> DataFrame:
     k = F.col("s_suppkey")
     day = lambda i: F.concat(
-        F.lit('{"date":"'), F.when(i == 2, "soon").otherwise(F.date_add(_today(), i).cast("string")), F.lit('","day_weather":"'), F.when(k % 3 == 0, "").otherwise("小雨"), F.lit('","night_weather":"'), F.when(i % 2 == 0, "晴").otherwise(""), F.lit('","night_temp":"'), i.cast("string"), F.lit('"}')
+        F.lit('{"date":"'), F.when(i == 2, "soon").otherwise(F.date_add(_today(), i).cast("string")), F.lit('","day_weather":"'), F.element_at(F.array(*map(F.lit, ("", "小雨", "浮尘", "沙尘暴", "扬沙", "冰雹", "冰针"))), (k % 7 + 1).cast("int")), F.lit('","night_weather":"'), F.when(i % 2 == 0, "晴").otherwise(""), F.lit('","night_temp":"'), i.cast("string"), F.lit('"}')
     )
     raw = F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), day), ","), F.lit("]"))
     found = S.day_and_night_weather(t.supplier.select(k.alias("city"), raw.alias("raw")))

@@ -127,10 +127,10 @@ def ru16_transfers(t: Tables) -> DataFrame:
 
 _HALF = "2 * 6371000.0 * asin(sqrt(pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2)))"
 _ITEMS = """o AS (SELECT p_partkey AS poi_id, 30 + (p_partkey * 37 % 1000) / 100000.0::DOUBLE AS lat, 100 + (p_partkey * 91 % 1000) / 100000.0::DOUBLE AS lng FROM part WHERE p_partkey % 4 > 0),
-i AS (SELECT e.user_id AS trip, e.user_id || ' ' || ts::DATE AS day, e.event_id AS item_id, e.event_id AS seq, CASE e.event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '25:99' ELSE strftime(ts, '%H:%M') END AS start, 'hall ' || (e.event_id % 20) AS title, CASE WHEN event_type = 'purchase' THEN 'meal' ELSE 'poi' END AS kind,
+i AS (SELECT e.user_id AS trip, ts::DATE::VARCHAR AS day, e.event_id AS item_id, e.event_id AS seq, CASE e.event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '25:99' ELSE strftime(ts, '%H:%M') END AS start, 'hall ' || (e.event_id % 20) AS title, CASE WHEN event_type = 'purchase' THEN 'meal' ELSE 'poi' END AS kind,
  coalesce(o.lat, CASE WHEN e.event_id % 3 > 0 THEN 30 + (e.event_id % 1000) / 100000.0::DOUBLE END) AS lat, coalesce(o.lng, CASE WHEN e.event_id % 3 > 0 THEN 100 + (e.event_id % 1000) / 100000.0::DOUBLE END) AS lng FROM events e LEFT JOIN o ON o.poi_id = CASE WHEN event_type <> 'purchase' THEN e.event_id % 50 END),
 m AS (SELECT *, CASE WHEN regexp_full_match(start, '([01]\\d|2[0-3]):[0-5]\\d') THEN left(start, 2)::INT * 60 + right(start, 2)::INT END AS minute FROM i),
-l AS (SELECT *, lead(item_id) OVER w AS to_item, lead(lat) OVER w AS to_lat, lead(lng) OVER w AS to_lng FROM m WINDOW w AS (PARTITION BY day ORDER BY minute IS NULL, minute, seq, item_id)),
+l AS (SELECT *, lead(item_id) OVER w AS to_item, lead(lat) OVER w AS to_lat, lead(lng) OVER w AS to_lng FROM m WINDOW w AS (PARTITION BY trip, day ORDER BY minute IS NULL, minute, seq, item_id)),
 g AS (SELECT trip, day, item_id, to_item, printf('%.5f,%.5f->%.5f,%.5f|%s', lat, lng, to_lat, to_lng, to_item::VARCHAR) AS key, """ + _HALF.format("lat", "lng", "to_lat", "to_lng") + """ AS metres FROM l WHERE to_item IS NOT NULL AND lat IS NOT NULL AND lng IS NOT NULL AND to_lat IS NOT NULL AND to_lng IS NOT NULL)"""
 
 
@@ -143,7 +143,7 @@ def _items(t: Tables) -> DataFrame:
     e, meal = F.col("event_id"), F.col("event_type") == "purchase"
     start = F.when(e % 5 == 1, "25:99").when(e % 5 > 1, F.date_format("ts", "HH:mm"))
     return t.events.select(
-        F.col("user_id").alias("trip"), F.concat(F.col("user_id").cast("string"), F.lit(" "), F.to_date("ts").cast("string")).alias("day"), e.alias("item_id"), e.alias("seq"), start.alias("start_time"), F.concat(F.lit("hall "), (e % 20).cast("string")).alias("title"),
+        F.col("user_id").alias("trip"), F.to_date("ts").cast("string").alias("day"), e.alias("item_id"), e.alias("seq"), start.alias("start_time"), F.concat(F.lit("hall "), (e % 20).cast("string")).alias("title"),
         F.when(meal, "meal").otherwise("poi").alias("kind"), F.when(~meal, e % 50).alias("poi_id"), F.when(e % 3 > 0, 30 + (e % 1000) / 100000.0).alias("lat"), F.when(e % 3 > 0, 100 + (e % 1000) / 100000.0).alias("lng"),
         F.when(e % 7 == 0, "walk").alias("leg_mode"), F.when(e % 7 == 0, "worn out").alias("leg_key"), F.lit(None).cast("string").alias("address"),
     )
@@ -171,7 +171,7 @@ def ge05_applied_legs(t: Tables) -> DataFrame:
     return L.with_legs(_items(t), L.planned_legs(pending, routes)).select("item_id", "leg_mode", "leg_distance_m", "leg_minutes")
 
 
-@query(f"WITH {_ITEMS}, a AS (SELECT day, list(item_id ORDER BY seq) AS anchors FROM i WHERE kind = 'poi' AND lat IS NOT NULL AND lng IS NOT NULL GROUP BY 1) SELECT item_id, title, coalesce(anchors, []) AS anchors FROM i LEFT JOIN a USING (day) WHERE kind = 'meal' AND lat IS NULL")
+@query(f"WITH {_ITEMS}, a AS (SELECT trip, day, list(item_id ORDER BY seq) AS anchors FROM i WHERE kind = 'poi' AND lat IS NOT NULL AND lng IS NOT NULL GROUP BY 1, 2) SELECT item_id, title, coalesce(anchors, []) AS anchors FROM i LEFT JOIN a USING (trip, day) WHERE kind = 'meal' AND lat IS NULL")
 def ge06_pending_meals(t: Tables) -> DataFrame:
     return L.pending_meals(_items(t), _poi(t)).select("item_id", "title", F.transform("anchors", lambda a: a["item_id"]).alias("anchors"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import alignment as A
+from ..operators import merging, naming
 from ..storage import saved
 from .registry import Tables, query
 
@@ -14,9 +15,9 @@ poi AS (SELECT k, b, v, poi_id, CASE v WHEN 1 THEN hall || '-' || p_type WHEN 2
  CASE p_size % 5 WHEN 0 THEN '110000' WHEN 1 THEN '140100' WHEN 2 THEN '150500' WHEN 3 THEN '190301' ELSE '061001' END AS typecode, CASE p_size % 5 WHEN 2 THEN 'irrelevant' WHEN 3 THEN 'place_name' ELSE 'destination' END AS kind,
  CASE WHEN k % 11 = 0 THEN NULL WHEN k % 13 = 0 THEN '990101' ELSE '61' || (b % 90 + 10) || '01' END AS adcode, 30 + (b * 37 % 1000) / 100.0::DOUBLE + v * 0.0005::DOUBLE AS lat, 100 + (b * 91 % 1000) / 100.0::DOUBLE AS lng,
  CASE v WHEN 1 THEN 'P' || (k - 1) WHEN 2 THEN 'P' || (k - 1) WHEN 3 THEN 'P' || (k - 3) WHEN 5 THEN 'X' || b END AS parent_id FROM p),
-m AS (SELECT c_custkey AS mention_id, CASE WHEN c_custkey % 2 = 0 THEN 'hall ' || c_custkey ELSE ' hall ' || c_custkey || ' ' END AS mention, CASE WHEN c_nationkey = 7 THEN NULL ELSE '61' || (c_custkey % 90 + 10) || '00' END AS city FROM customer)"""
+m AS (SELECT c_custkey AS mention_id, CASE c_custkey % 4 WHEN 1 THEN ' hall ' || c_custkey || ' ' WHEN 3 THEN chr(9) || 'hall ' || c_custkey || chr(12288) ELSE 'hall ' || c_custkey END AS mention, CASE WHEN c_nationkey = 7 THEN NULL ELSE '61' || (c_custkey % 90 + 10) || '00' END AS city FROM customer)"""
 
-_SCORED = f"""{_PLACES}, c AS (SELECT mention_id, trim(mention) AS l, city, v * 5 % 7 AS pos, v, b, poi_id, name AS r, kind, adcode, lat, lng FROM m JOIN poi ON b = mention_id AND v < 7),
+_SCORED = f"""{_PLACES}, c AS (SELECT mention_id, trim(mention, ' ' || chr(9) || chr(12288)) AS l, city, v * 5 % 7 AS pos, v, b, poi_id, name AS r, kind, adcode, lat, lng FROM m JOIN poi ON b = mention_id AND v < 7),
 s0 AS (SELECT *, CASE WHEN l = r THEN 1.0 WHEN regexp_replace(r, '公园$', '') = l THEN 0.95 ELSE 0.90 END::DOUBLE AS score, CASE WHEN l = r OR regexp_matches(r, '[-－—·(（_]' || l || '([-－—·(（_]|$)') THEN 'exact' ELSE 'contains' END AS note,
  CASE WHEN city IS NOT NULL AND coalesce(left(adcode, 4) <> left(city, 4), true) THEN 'other_city' WHEN kind = 'irrelevant' THEN 'not_a_destination' END AS reject FROM c),
 s1 AS (SELECT *, round(score + CASE note WHEN 'exact' THEN 0.20::DOUBLE ELSE 0.12::DOUBLE END, 4) AS plain, max(CASE WHEN reject IS NULL AND note = 'exact' THEN 1 ELSE 0 END) OVER (PARTITION BY mention_id) AS exact FROM s0),
@@ -58,7 +59,7 @@ def _mentions(t: Tables) -> DataFrame:
     c = F.col("c_custkey")
     hall = F.concat(F.lit("hall "), c.cast("string"))
     city = F.when(F.col("c_nationkey") != 7, F.concat(F.lit("61"), (c % 90 + 10).cast("string"), F.lit("00")))
-    return t.customer.select(c.alias("mention_id"), F.when(c % 2 == 0, hall).otherwise(F.concat(F.lit(" "), hall, F.lit(" "))).alias("mention"), city.alias("city"))
+    return t.customer.select(c.alias("mention_id"), F.when(c % 4 == 1, F.concat(F.lit(" "), hall, F.lit(" "))).when(c % 4 == 3, F.concat(F.lit("\t"), hall, F.lit("\u3000"))).otherwise(hall).alias("mention"), city.alias("city"))
 
 
 def _candidates(t: Tables) -> DataFrame:
@@ -168,3 +169,103 @@ def al17_realigned(t: Tables) -> DataFrame:
     plan = A.align(_mentions(t), _candidates(t), _poi(t)).where("outcome = 'aligned'").select(F.col("mention_id").cast("long").alias("subject"), F.col("resolved_id").alias("new_id"))
     refs = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("subject"), hall("o_custkey").alias("poi_id"))
     return A.realigned(refs, plan.withColumn("old_id", hall("subject"))).select("id", "subject", "poi_id", "moved")
+
+
+@query(
+    f"""WITH {_PLACES}, n AS (SELECT 'P' || l_partkey AS poi_id, count(*) AS claims FROM lineitem GROUP BY 1)
+SELECT x.poi_id, y.poi_id AS sibling, coalesce(n.claims, 0) AS claims FROM poi x JOIN poi y ON x.poi_id <> y.poi_id AND (contains(x.name, y.name) OR contains(y.name, x.name)) LEFT JOIN n ON n.poi_id = y.poi_id"""
+)
+def jn16_contained_names(t: Tables) -> DataFrame:
+    """Other places whose names contain a place's name or are contained in it, with their claims."""
+    claims = t.lineitem.groupBy(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("other")).agg(F.count(F.lit(1)).alias("claims"))
+    found = naming.containing_each_other(_poi(t).select(F.col("poi_id").alias("id"), "name")).join(claims, "other", "left")
+    return found.select(F.col("id").alias("poi_id"), F.col("other").alias("sibling"), F.coalesce("claims", F.lit(0)).alias("claims"))
+
+
+_ALIKE = rf"""{_PLACES}, a AS (SELECT mention_id, city, trim(mention, ' ' || chr(9) || chr(12288)) AS l FROM m), c AS (SELECT mention_id, city, l, v, b, poi_id, name AS r, kind, adcode, lat, lng FROM a, poi),
+z AS (SELECT *, CASE WHEN l = r OR translate(l, '（）〔〕【】', '()()()') = translate(r, '（）〔〕【】', '()()()') THEN 1.0 WHEN regexp_replace(r, '公园$', '') = l THEN 0.95 WHEN contains(r, l) OR contains(l, r) THEN 0.90 END::DOUBLE AS score FROM c),
+y AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, poi_id) AS place FROM z WHERE score IS NOT NULL QUALIFY place <= 3)"""
+
+
+@query(f"WITH {_ALIKE} SELECT mention_id, place::INT AS place, poi_id, score FROM y")
+def al13_most_alike(t: Tables) -> DataFrame:
+    """The places most like each mention, of all there are. Each has some that rules decide; names that only the letters tell apart are held against brute force by a test."""
+    found = naming.most_alike(_mentions(t), _poi(t).select(F.col("poi_id").alias("place_id"), "name"), 3)
+    return found.select("mention_id", F.col("rank").alias("place"), F.col("place_id").alias("poi_id"), "score")
+
+
+#: Columns that refer to places in the tables made below.
+_CATALOGUE = {"claim": ["poi_id", "from_id", "to_id"], "item": ["poi_id"], "rule": ["poi_id"], "poi": ["parent_id"]}
+_MERGE = """k AS (SELECT count(*) AS parts FROM part), poi AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'B' ELSE 'X' END || p_partkey AS poi_id, p_name || ' ' || p_type || ' ' || (p_size % 10) AS name, CASE WHEN p_partkey % 3 = 0 THEN '110000' END AS typecode, CASE WHEN p_size > 25 THEN p_brand END AS address, CASE WHEN p_retailprice > 1000 THEN p_retailprice END AS rating,
+ CASE WHEN p_partkey % 5 = 0 THEN CASE WHEN p_partkey * 7 % parts % 2 = 0 THEN 'B' ELSE 'X' END || (p_partkey * 7 % parts) END AS parent_id FROM part, k),
+id AS (SELECT poi_id, substr(poi_id, 2)::BIGINT AS n FROM poi), claim AS (SELECT l_orderkey, l_linenumber, a.poi_id, b.poi_id AS from_id, c.poi_id AS to_id FROM lineitem, k, id a, id b, id c WHERE a.n = l_partkey AND b.n = l_partkey * 3 % parts + 1 AND c.n = l_suppkey),
+item AS (SELECT event_id, poi_id FROM events, k, id WHERE n = event_id % parts + 1), rule AS (SELECT o_orderkey, poi_id FROM orders, k, id WHERE n = o_custkey % parts + 1),
+r AS (SELECT poi_id, 'claim.poi_id' AS reference FROM claim UNION ALL SELECT from_id, 'claim.from_id' FROM claim UNION ALL SELECT to_id, 'claim.to_id' FROM claim UNION ALL SELECT poi_id, 'item.poi_id' FROM item UNION ALL SELECT poi_id, 'rule.poi_id' FROM rule UNION ALL SELECT parent_id, 'poi.parent_id' FROM poi WHERE parent_id IS NOT NULL),
+n AS (SELECT poi_id, count(*) AS refs FROM r GROUP BY 1), g AS (SELECT name, poi_id, coalesce(refs, 0) AS refs, count(*) OVER (PARTITION BY name) AS k, first_value(poi_id) OVER (PARTITION BY name ORDER BY typecode IS NULL, left(poi_id, 1) <> 'B', coalesce(refs, 0) DESC, poi_id) AS kept FROM poi LEFT JOIN n USING (poi_id)),
+mv AS (SELECT poi_id AS old_id, kept AS new_id FROM g WHERE k > 1 AND poi_id <> kept)"""
+
+
+def _to_merge(t: Tables) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Places, several of a name, and claims, items and rules that refer to them."""
+    parts = t.part.count()
+    id_ = lambda n: F.concat(F.when(n % 2 == 0, "B").otherwise("X"), n.cast("string"))
+    k = F.col("p_partkey")
+    poi = t.part.select(
+        id_(k).alias("poi_id"), F.concat_ws(" ", "p_name", "p_type", F.col("p_size") % 10).alias("name"), F.when(k % 3 == 0, "110000").alias("typecode"), F.when(F.col("p_size") > 25, F.col("p_brand")).alias("address"),
+        F.when(F.col("p_retailprice") > 1000, F.col("p_retailprice")).alias("rating"), F.when(k % 5 == 0, id_(k * 7 % parts)).alias("parent_id"),
+    )
+    known = poi.select(F.col("poi_id").alias("known"))
+    claim = t.lineitem.select("l_orderkey", "l_linenumber", id_(F.col("l_partkey")).alias("poi_id"), id_(F.col("l_partkey") * 3 % parts + 1).alias("from_id"), id_(F.col("l_suppkey")).alias("to_id"))
+    claim = claim.join(known, F.col("poi_id") == F.col("known"), "left_semi").join(known, F.col("to_id") == F.col("known"), "left_semi")
+    item = t.events.select("event_id", id_(F.col("event_id") % parts + 1).alias("poi_id"))
+    rule = t.orders.select("o_orderkey", id_(F.col("o_custkey") % parts + 1).alias("poi_id"))
+    return poi, {"claim": claim, "item": item, "rule": rule}
+
+
+@query(f"WITH {_MERGE} SELECT poi_id, reference, count(*) AS n FROM r GROUP BY 1, 2")
+def al18_reference_counts(t: Tables) -> DataFrame:
+    poi, tables = _to_merge(t)
+    return merging.reference_counts({**tables, "poi": poi}, _CATALOGUE)
+
+
+@query(f"WITH {_MERGE} SELECT name, poi_id, refs AS references, kept AS survivor_id FROM g WHERE k > 1".replace("AS references", 'AS "references"'))
+def al18_survivors(t: Tables) -> DataFrame:
+    """Places of one name, and which of them stays."""
+    poi, tables = _to_merge(t)
+    return merging.duplicates(poi, merging.reference_counts({**tables, "poi": poi}, _CATALOGUE))
+
+
+def _merged(t: Tables) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    poi, tables = _to_merge(t)
+    empty = {c: F.lit(None).cast("string") for c in merging.FILLED if c not in poi.columns}
+    return merging.merge_all(poi.withColumns(empty), tables, _CATALOGUE)
+
+
+@query(
+    f"""WITH {_MERGE}, gift AS (SELECT new_id, first(address ORDER BY old_id) FILTER (address IS NOT NULL) AS address, first(typecode ORDER BY old_id) FILTER (typecode IS NOT NULL) AS typecode, first(rating ORDER BY old_id) FILTER (rating IS NOT NULL) AS rating FROM mv JOIN poi ON poi_id = old_id GROUP BY 1)
+SELECT p.poi_id, name, coalesce(p.typecode, gift.typecode) AS typecode, coalesce(p.address, gift.address) AS address, coalesce(p.rating, gift.rating) AS rating, nullif(coalesce(m.new_id, parent_id), p.poi_id) AS parent_id FROM poi p LEFT JOIN mv m ON m.old_id = parent_id LEFT JOIN gift ON gift.new_id = p.poi_id WHERE p.poi_id NOT IN (SELECT old_id FROM mv)"""
+)
+def al19_merged_places(t: Tables) -> DataFrame:
+    """The places after the merge."""
+    return _merged(t)[0].select("poi_id", "name", "typecode", "address", "rating", "parent_id")
+
+
+@query(f"WITH {_MERGE} SELECT l_orderkey, l_linenumber, coalesce(a.new_id, poi_id) AS poi_id, coalesce(b.new_id, from_id) AS from_id, coalesce(c.new_id, to_id) AS to_id FROM claim LEFT JOIN mv a ON a.old_id = poi_id LEFT JOIN mv b ON b.old_id = from_id LEFT JOIN mv c ON c.old_id = to_id")
+def al19_merged_claims(t: Tables) -> DataFrame:
+    """The claims after the merge, with all three columns led to the places that stay."""
+    return _merged(t)[1]["claim"]
+
+
+@query(f"WITH {_MERGE} SELECT event_id, coalesce(new_id, poi_id) AS poi_id FROM item LEFT JOIN mv ON old_id = poi_id")
+def al19_merged_items(t: Tables) -> DataFrame:
+    return _merged(t)[1]["item"]
+
+
+@query(f"WITH {_MERGE} SELECT o_orderkey, coalesce(new_id, poi_id) AS poi_id FROM rule LEFT JOIN mv ON old_id = poi_id")
+def al19_merged_rules(t: Tables) -> DataFrame:
+    return _merged(t)[1]["rule"]
+
+
+@query(f"WITH {_MERGE} SELECT reference, count(*)::BIGINT AS rows FROM r JOIN mv ON old_id = poi_id GROUP BY 1 UNION ALL SELECT 'merged', count(*) FROM mv".replace("AS rows", 'AS "rows"'))
+def al19_merge_report(t: Tables) -> DataFrame:
+    return _merged(t)[2]

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import dates as D
 from ..functions import geo as G
+from ..operators import nearest
 from .registry import Tables, query
 
 TODAY = "1996-06-01"
@@ -96,15 +97,31 @@ def ge02_legs(t: Tables) -> DataFrame:
     return rows.select("event_id", "nxt", F.round("m", 1).alias("metres"), G.leg_mode(F.col("m")).alias("mode"), G.leg_minutes(F.col("m")).alias("minutes"))
 
 
-@query(
-    f"""WITH s AS (SELECT s_suppkey, s_nationkey, {_LAT.format('s_suppkey')} AS lat, {_LNG.format('s_suppkey')} AS lng FROM supplier)
-SELECT c_custkey, s_suppkey AS nearest FROM (SELECT c_custkey, c_nationkey, {_LAT.format('c_custkey')} AS clat, {_LNG.format('c_custkey')} AS clng FROM customer) JOIN s ON c_nationkey = s_nationkey
-QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY round({_METRES.format('clat', 'clng', 'lat', 'lng')}, 3), s_suppkey) = 1"""
-)
+_SPOTS = f"s AS (SELECT s_suppkey, s_nationkey, {_LAT.format('s_suppkey')} AS lat, {_LNG.format('s_suppkey')} AS lng FROM supplier), c AS (SELECT c_custkey, c_nationkey, {_LAT.format('c_custkey')} AS clat, {_LNG.format('c_custkey')} AS clng FROM customer)"
+
+
+def _asked_and_places(t: Tables) -> tuple[DataFrame, DataFrame]:
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    return t.customer.select(c.alias("asked_id"), "c_nationkey", _lat(c).alias("lat"), _lng(c).alias("lng")), t.supplier.select(s.alias("place_id"), F.col("s_nationkey").alias("c_nationkey"), _lat(s).alias("lat"), _lng(s).alias("lng"))
+
+
+@query(f"WITH {_SPOTS} SELECT c_custkey, s_suppkey AS nearest FROM c JOIN s ON c_nationkey = s_nationkey QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY {_METRES.format('clat', 'clng', 'lat', 'lng')}, s_suppkey) = 1")
 def jn12_nearest(t: Tables) -> DataFrame:
-    rows = t.customer.select("c_custkey", F.col("c_nationkey").alias("k")).join(t.supplier.select("s_suppkey", F.col("s_nationkey").alias("k")), "k")
-    far = F.round(G.metres(_lat(F.col("c_custkey")), _lng(F.col("c_custkey")), _lat(F.col("s_suppkey")), _lng(F.col("s_suppkey"))), 3)
-    return rows.groupBy("c_custkey").agg(F.min_by("s_suppkey", F.struct(far, "s_suppkey")).alias("nearest"))
+    """The nearest supplier of each customer in its own nation."""
+    return nearest.nearest(*_asked_and_places(t), 1, ["c_nationkey"]).select(F.col("asked_id").alias("c_custkey"), F.col("place_id").alias("nearest"))
+
+
+@query(f"WITH {_SPOTS}, d AS (SELECT c_custkey, s_suppkey, {_METRES.format('clat', 'clng', 'lat', 'lng')} AS metres FROM c, s) SELECT c_custkey, row_number() OVER (PARTITION BY c_custkey ORDER BY metres, s_suppkey)::INT AS place, s_suppkey, round(metres, 1) AS metres FROM d QUALIFY place <= 3")
+def jn12_three_nearest(t: Tables) -> DataFrame:
+    """The three nearest suppliers of each customer, wherever they are."""
+    found = nearest.nearest(*_asked_and_places(t), 3)
+    return found.select(F.col("asked_id").alias("c_custkey"), F.col("rank").alias("place"), F.col("place_id").alias("s_suppkey"), F.round("metres", 1).alias("metres"))
+
+
+@query(f"WITH {_SPOTS} SELECT c_custkey, s_suppkey, round({_METRES.format('clat', 'clng', 'lat', 'lng')}, 1) AS metres FROM c, s WHERE {_METRES.format('clat', 'clng', 'lat', 'lng')} <= 60000")
+def src09_around(t: Tables) -> DataFrame:
+    """All suppliers around each customer."""
+    return nearest.within(*_asked_and_places(t), 60_000.0).select(F.col("asked_id").alias("c_custkey"), F.col("place_id").alias("s_suppkey"), F.round("metres", 1).alias("metres"))
 
 
 @query(
@@ -206,13 +223,6 @@ def al19_merge_duplicates(t: Tables) -> DataFrame:
     return t.lineitem.join(moved, "l_partkey").groupBy("kept").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("l_suppkey").alias("suppliers"))
 
 
-@query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey <> b.p_partkey AND a.p_brand = b.p_brand AND a.p_size = b.p_size AND contains(a.p_name, split_part(b.p_name, ' ', 1))")
-def jn16_contained_names(t: Tables) -> DataFrame:
-    a = t.part.select(F.col("p_partkey").alias("a"), "p_brand", "p_size", F.col("p_name").alias("a_name"))
-    b = t.part.select(F.col("p_partkey").alias("b"), "p_brand", "p_size", F.split_part(F.col("p_name"), F.lit(" "), F.lit(1)).alias("b_name"))
-    return a.join(b, ["p_brand", "p_size"]).where((F.col("a") != F.col("b")) & F.col("a_name").contains(F.col("b_name"))).select("a", "b")
-
-
 @query(
     """WITH p AS (SELECT l.doc_id, lang, quality, CASE WHEN n_chars > 300 THEN 1 ELSE 0 END AS guess FROM labels l JOIN documents d ON l.doc_id = d.doc_id)
 SELECT lang, count(*) AS judged, round(count_if(guess = 1 AND quality = 1) / nullif(count_if(quality = 1), 0), 6) AS recall, round(count_if(guess = 1 AND quality = 1) / nullif(count_if(guess = 1), 0), 6) AS precision FROM p GROUP BY 1"""

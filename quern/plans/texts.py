@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.runs import COPY_SHARE
-from ..operators import quotes, reposts
+from ..operators import naming, phrases, quotes, reposts
 from ..storage import saved
 from .registry import Tables, query
 
@@ -157,14 +157,17 @@ def dd14_gram_jaccard(t: Tables) -> DataFrame:
     return reposts.covered_pairs(_items(t)).select("id", "other", F.round("jaccard", 6).alias("jaccard"), F.round("containment", 6).alias("containment"))
 
 
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 @query(
-    """WITH f AS (SELECT doc_id, source, text, greatest(strpos(text, 'idiot') - 1, 0) AS "at" FROM documents WHERE contains(text, 'idiot') OR contains(source, 'idiot') ORDER BY doc_id DESC LIMIT 50)
+    f"""WITH f AS (SELECT doc_id, text, greatest(strpos(text, 'Idiot') - 1, 0) AS "at" FROM documents WHERE contains({_FOLD.format("text")}, 'idiot') OR contains({_FOLD.format("source")}, 'idiot') ORDER BY doc_id DESC LIMIT 50)
 SELECT doc_id, "at", CASE WHEN "at" > 40 THEN '…' ELSE '' END || substr(text, greatest(0, "at" - 40) + 1, least(length(text), "at" + 40) - greatest(0, "at" - 40)) || CASE WHEN "at" + 40 < length(text) THEN '…' ELSE '' END AS snippet FROM f"""
 )
-def fl03_documents_containing(t: Tables, phrase: str = "idiot", limit: int = 50) -> DataFrame:
-    """The newest documents with the phrase in their text or source, with its place and the text around it."""
-    found = t.documents.where(F.col("text").contains(phrase) | F.col("source").contains(phrase)).orderBy(F.desc("doc_id")).limit(limit)
-    found = found.withColumn("at", F.greatest(F.lit(0), F.instr("text", phrase) - 1))
+def fl03_documents_containing(t: Tables, phrase: str = " Idiot ", limit: int = 50) -> DataFrame:
+    """The newest documents with the phrase in their text or source, whatever the case of its ASCII letters, with its place and the text around it."""
+    index = phrases.build_index(t.documents, "doc_id", ["text", "source"])
+    found = phrases.containing(index, t.documents, phrase, limit)
     return found.select("doc_id", F.col("at").cast("long").alias("at"), T.snippet(F.col("text"), F.col("at")).alias("snippet"))
 
 
@@ -191,16 +194,16 @@ def ql01_quote_places(t: Tables) -> DataFrame:
     return found.select(F.col("quote_id").alias("item_id"), "doc_id", "verdict", F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"))
 
 
-_CLAIMS = """SELECT doc_id, i, quote, body FROM (SELECT doc_id, body, i, CASE i WHEN 0 THEN substr(body, 4, 40) WHEN 1 THEN translate(substr(body, 10, 30), ' ', '') WHEN 2 THEN substr(body, 1, 5) WHEN 3 THEN 'not in ' || doc_id ELSE ' ' || substr(body, 2, 20) || ' ' END AS quote FROM b, range(5) AS u(i))"""
+_CLAIMS = """SELECT doc_id, i, quote, body FROM (SELECT doc_id, body, i, CASE i WHEN 0 THEN substr(body, 4, 40) WHEN 1 THEN translate(substr(body, 10, 30), ' ', '') WHEN 2 THEN substr(body, 1, 5) WHEN 3 THEN 'not in ' || doc_id ELSE chr(9) || substr(body, 2, 20) || chr(10) END AS quote FROM b, range(5) AS u(i))"""
 
 
 def _claims(t: Tables) -> DataFrame:
-    """Five claims on each document, whose quotes are of it, of it without blanks, too short, of nowhere, and of it between blanks."""
+    """Five claims on each document, whose quotes are of it, of it without blanks, too short, of nowhere, and of it between a tab and a line end."""
     body = T.normal_body(F.col("text"))
     rows = t.documents.select("doc_id", body.alias("body"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"))
     quote = (
         F.when(F.col("i") == 0, F.substring("body", 4, 40)).when(F.col("i") == 1, F.translate(F.substring("body", 10, 30), " ", "")).when(F.col("i") == 2, F.substring("body", 1, 5))
-        .when(F.col("i") == 3, F.concat(F.lit("not in "), F.col("doc_id"))).otherwise(F.concat(F.lit(" "), F.substring("body", 2, 20), F.lit(" ")))
+        .when(F.col("i") == 3, F.concat(F.lit("not in "), F.col("doc_id"))).otherwise(F.concat(F.lit("\t"), F.substring("body", 2, 20), F.lit("\n")))
     )
     return rows.select("doc_id", F.col("i").cast("long").alias("i"), quote.alias("quote"))
 
@@ -208,7 +211,7 @@ def _claims(t: Tables) -> DataFrame:
 _BODIES = f"b AS (SELECT doc_id, {_BODY.format('text')} AS body FROM documents)".replace("'\\n'", "chr(10)").replace("E'\\n\\n'", "chr(10) || chr(10)")
 _STRIP = "regexp_replace(quote, '^[\\s\\p{Z}\\x1c-\\x1f\\x85]+|[\\s\\p{Z}\\x1c-\\x1f\\x85]+$', '', 'g')"
 _CHECKED = f"""WITH {_BODIES}, c AS (SELECT *, {_STRIP} AS q FROM ({_CLAIMS})), l AS (SELECT *, {_LOOSE_OF.format('q')} AS lq, {_LOOSE_OF.format('body')} AS lb FROM c),
-v AS (SELECT doc_id, i, quote, CASE WHEN length(q) < 6 THEN 'too_short' WHEN contains(body, q) THEN 'exact' WHEN lq <> '' AND contains(lb, lq) THEN 'loose' ELSE 'missing' END AS verdict FROM l)"""
+v AS (SELECT doc_id, i, quote, q, lq, lb, body, CASE WHEN length(q) < 6 THEN 'too_short' WHEN contains(body, q) THEN 'exact' WHEN lq <> '' AND contains(lb, lq) THEN 'loose' ELSE 'missing' END AS verdict FROM l)"""
 
 
 @query(_CHECKED + " SELECT doc_id, count(*) AS candidates, count_if(verdict IN ('exact', 'loose'))::BIGINT AS accepted, count_if(verdict = 'loose')::BIGINT AS loose, count_if(verdict NOT IN ('exact', 'loose'))::BIGINT AS dropped, round(count_if(verdict NOT IN ('exact', 'loose')) / count(*), 6) AS drop_ratio FROM v GROUP BY 1")
@@ -216,10 +219,26 @@ def ql02_verified_claims(t: Tables) -> DataFrame:
     return quotes.verification_counts(quotes.verified(_claims(t), t.documents))
 
 
-@query(_CHECKED + " SELECT doc_id, i, quote, verdict FROM v WHERE verdict IN ('exact', 'loose')")
+@query(
+    _CHECKED
+    + f""", k AS (SELECT *, CASE WHEN verdict = 'loose' THEN list_filter(range(1, length(body) + 1), lambda i: NOT contains({_MARKS}, substr(body, i, 1))) END AS kept FROM v WHERE verdict IN ('exact', 'loose'))
+SELECT doc_id, i, quote, verdict, (CASE WHEN verdict = 'exact' THEN strpos(body, q) - 1 ELSE kept[strpos(lb, lq)] - 1 END)::INT AS char_start, (CASE WHEN verdict = 'exact' THEN strpos(body, q) - 1 + length(q) ELSE kept[strpos(lb, lq) + length(lq) - 1] END)::INT AS char_end FROM k"""
+)
 def ql04_gold_quotes(t: Tables) -> DataFrame:
-    """Labels whose quote stands in their document, exactly or loosely; others are turned away."""
-    return quotes.verified(_claims(t), t.documents).where("accepted").select("doc_id", "i", "quote", "verdict")
+    """Labels whose quote stands in their document, exactly or loosely, with its place; others are turned away."""
+    return quotes.verified(_claims(t), t.documents).where("accepted").select("doc_id", "i", "quote", "verdict", "char_start", "char_end")
+
+
+@query(
+    """WITH n AS (SELECT DISTINCT w AS name FROM (SELECT unnest(string_split_regex(text, '[^A-Za-z]+')) AS w FROM conversations) WHERE length(w) >= 5), d AS (SELECT doc_id, concat_ws(' ', source, text, lang) AS x FROM documents),
+c AS (SELECT doc_id, name, ((length(x) - length(replace(x, name, ''))) // length(name))::BIGINT AS n FROM d JOIN n ON contains(x, name))
+SELECT doc_id, name, n FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, name) = 1"""
+)
+def ql05_most_named(t: Tables) -> DataFrame:
+    """The name that occurs most often in the title, text and context of each document; names are all words of five letters or more of the conversations."""
+    names = t.conversations.select(F.explode(F.split("text", "[^A-Za-z]+")).alias("name")).where("length(name) >= 5").distinct()
+    texts = t.documents.select(F.col("doc_id").alias("id"), F.concat_ws(" ", "source", "text", "lang").alias("text"))
+    return naming.most_named(texts, names).select(F.col("id").alias("doc_id"), "name", "n")
 
 
 @query("SELECT doc_id, n_name, (length(u) - length(replace(u, w, ''))) // length(w) AS n FROM (SELECT doc_id, upper(text) AS u, n_name, left(n_name, 3) AS w FROM documents, nation) WHERE contains(u, w) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY (length(u) - length(replace(u, w, ''))) // length(w) DESC, n_name) = 1")

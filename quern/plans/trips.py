@@ -144,4 +144,5 @@ def ru17_roadbook_problems(t: Tables) -> DataFrame:
     trips = spans.select("trip", F.when(F.col("trip") % 3 == 0, F.lit("2024-01-01").cast("date")).otherwise(F.col("first")).alias("start"), F.when(F.col("trip") % 4 == 0, F.lit("2024-01-31").cast("date")).otherwise(F.col("last")).alias("end"), F.when(F.col("trip") % 5 == 0, 1).otherwise(0).alias("external"))
     trips = trips.unionByName(t.spark.createDataFrame([(-1, None, None, 0)], "trip long, start date, end date, external int"))
     bookings = spans.select("trip", F.concat(F.lit("b"), F.col("trip").cast("string")).alias("name"), F.when(F.col("trip") % 2 > 0, F.array(F.lit("web"))).otherwise(F.array().cast("array<string>")).alias("channels"), F.when(F.col("trip") % 3 != 1, F.col("first")).alias("visit_date"))
+    bookings = bookings.unionByName(t.spark.createDataFrame([(-1, "nowhere", [], None)], bookings.schema))
     return R.trip_problems(trips, days, items, bookings)

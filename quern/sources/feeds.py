@@ -13,7 +13,7 @@ WEATHER = {
     0: "晴", 1: "少云", 2: "多云", 3: "阴", 45: "雾", 48: "冻雾", 51: "小毛毛雨", 53: "毛毛雨", 55: "大毛毛雨", 56: "冻毛毛雨", 57: "强冻毛毛雨", 61: "小雨", 63: "中雨", 65: "大雨",
     66: "冻雨", 67: "强冻雨", 71: "小雪", 73: "中雪", 75: "大雪", 77: "米雪", 80: "小阵雨", 81: "阵雨", 82: "强阵雨", 85: "小阵雪", 86: "强阵雪", 95: "雷阵雨", 96: "雷阵雨伴小冰雹", 99: "雷阵雨伴冰雹",
 }
-BAD_WEATHER = "[雨雪冰雹雾沙尘霾雷]"
+BAD_WEATHER = ("雨", "雪", "冰雹", "雾", "沙尘", "霾", "雷")
 #: Days that forecasts and ticket sales reach ahead, and for which a list of stations is fresh.
 FORECAST_DAYS, SALE_DAYS, STATION_DAYS = 16, 14, 30
 #: Places in a ticket row, of seats by name, and of all that tell whether there is any ticket.
@@ -30,14 +30,16 @@ def weather_text(code: Column) -> Column:
 
 
 def is_bad_outdoors(day: Column, night: Column) -> Column:
-    return F.coalesce(day.rlike(BAD_WEATHER), F.lit(False)) | F.coalesce(night.rlike(BAD_WEATHER), F.lit(False))
+    marks = "|".join(BAD_WEATHER)
+    return F.coalesce(day.rlike(marks), F.lit(False)) | F.coalesce(night.rlike(marks), F.lit(False))
 
 
 def _text(raw: Column, path: str) -> Column:
-    """A value as text: lists are joined, and what is empty is null."""
-    found = F.get_json_object(raw, path)
-    listed = F.array_join(F.from_json(found, "array<string>"), "")
-    return F.nullif(F.trim(F.when(found.startswith("["), listed).otherwise(found)), F.lit(""))
+    """A value as text: a list's texts are joined, other values are as they stand, and what is empty is null. The value's own type decides, not how its text begins."""
+    value = F.try_variant_get(F.try_parse_json(raw), path, "variant")
+    listed = F.array_join(F.try_variant_get(F.try_parse_json(raw), path, "array<string>"), "")
+    plain = F.try_variant_get(F.try_parse_json(raw), path, "string")
+    return F.nullif(F.trim(F.when(F.schema_of_variant(value).startswith("ARRAY"), listed).otherwise(plain)), F.lit(""))
 
 
 def places(rows: DataFrame, raw: str = "raw") -> DataFrame:
