@@ -198,8 +198,8 @@ def al13_most_alike(t: Tables) -> DataFrame:
 _CATALOGUE = {"claim": ["poi_id", "from_id", "to_id"], "item": ["poi_id"], "rule": ["poi_id"], "poi": ["parent_id"]}
 _MERGE = """k AS (SELECT count(*) AS parts FROM part), poi AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'B' ELSE 'X' END || p_partkey AS poi_id, p_name || ' ' || p_type || ' ' || (p_size % 10) AS name, CASE WHEN p_partkey % 3 = 0 THEN '110000' END AS typecode, CASE WHEN p_size > 25 THEN p_brand END AS address, CASE WHEN p_retailprice > 1000 THEN p_retailprice END AS rating,
  CASE WHEN p_partkey % 5 = 0 THEN CASE WHEN p_partkey * 7 % parts % 2 = 0 THEN 'B' ELSE 'X' END || (p_partkey * 7 % parts) END AS parent_id FROM part, k),
-id AS (SELECT poi_id, substr(poi_id, 2)::BIGINT AS n FROM poi), claim AS (SELECT l_orderkey, l_linenumber, a.poi_id, b.poi_id AS from_id, c.poi_id AS to_id FROM lineitem, k, id a, id b, id c WHERE a.n = l_partkey AND b.n = l_partkey * 3 % parts + 1 AND c.n = l_suppkey),
-item AS (SELECT event_id, poi_id FROM events, k, id WHERE n = event_id % parts + 1), rule AS (SELECT o_orderkey, poi_id FROM orders, k, id WHERE n = o_custkey % parts + 1),
+id AS (SELECT poi_id, substr(poi_id, 2)::BIGINT AS n FROM poi), claim AS (SELECT l_orderkey, l_linenumber, a.poi_id, b.poi_id AS from_id, c.poi_id AS to_id FROM lineitem, k, id a, id b, id c WHERE a.n = l_partkey AND b.n = l_partkey * 3 % parts AND c.n = l_suppkey),
+item AS (SELECT event_id, poi_id FROM events, k, id WHERE n = event_id % parts), rule AS (SELECT o_orderkey, poi_id FROM orders, k, id WHERE n = o_custkey % parts),
 r AS (SELECT poi_id, 'claim.poi_id' AS reference FROM claim UNION ALL SELECT from_id, 'claim.from_id' FROM claim UNION ALL SELECT to_id, 'claim.to_id' FROM claim UNION ALL SELECT poi_id, 'item.poi_id' FROM item UNION ALL SELECT poi_id, 'rule.poi_id' FROM rule UNION ALL SELECT parent_id, 'poi.parent_id' FROM poi WHERE parent_id IS NOT NULL),
 n AS (SELECT poi_id, count(*) AS refs FROM r GROUP BY 1), g AS (SELECT name, poi_id, coalesce(refs, 0) AS refs, count(*) OVER (PARTITION BY name) AS k, first_value(poi_id) OVER (PARTITION BY name ORDER BY typecode IS NULL, left(poi_id, 1) <> 'B', coalesce(refs, 0) DESC, poi_id) AS kept FROM poi LEFT JOIN n USING (poi_id)),
 mv AS (SELECT poi_id AS old_id, kept AS new_id FROM g WHERE k > 1 AND poi_id <> kept)"""
@@ -215,10 +215,10 @@ def _to_merge(t: Tables) -> tuple[DataFrame, dict[str, DataFrame]]:
         F.when(F.col("p_retailprice") > 1000, F.col("p_retailprice")).alias("rating"), F.when(k % 5 == 0, id_(k * 7 % parts)).alias("parent_id"),
     )
     known = poi.select(F.col("poi_id").alias("known"))
-    claim = t.lineitem.select("l_orderkey", "l_linenumber", id_(F.col("l_partkey")).alias("poi_id"), id_(F.col("l_partkey") * 3 % parts + 1).alias("from_id"), id_(F.col("l_suppkey")).alias("to_id"))
+    claim = t.lineitem.select("l_orderkey", "l_linenumber", id_(F.col("l_partkey")).alias("poi_id"), id_(F.col("l_partkey") * 3 % parts).alias("from_id"), id_(F.col("l_suppkey")).alias("to_id"))
     claim = claim.join(known, F.col("poi_id") == F.col("known"), "left_semi").join(known, F.col("to_id") == F.col("known"), "left_semi")
-    item = t.events.select("event_id", id_(F.col("event_id") % parts + 1).alias("poi_id"))
-    rule = t.orders.select("o_orderkey", id_(F.col("o_custkey") % parts + 1).alias("poi_id"))
+    item = t.events.select("event_id", id_(F.col("event_id") % parts).alias("poi_id"))
+    rule = t.orders.select("o_orderkey", id_(F.col("o_custkey") % parts).alias("poi_id"))
     return poi, {"claim": claim, "item": item, "rule": rule}
 
 
