@@ -25,9 +25,9 @@ WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 12, 12, 8, 8
 CHAR_BUCKETS = 1 << 13
 GRAMS = (3, 4)
 #: Largest vocabulary, and in how many documents of the sample a word or a bucket of n-grams must occur to have an embedding of its own.
-VOCABULARY, LEAST_DOCS = 20_000, 4
-#: Documents of label 0 and 1 that the network is fitted on, and characters of a longer one, from a place drawn at random.
-SAMPLE_DOCS, SAMPLE_CHARS = (1600, 600), (20_000, 100_000)
+VOCABULARY, LEAST_DOCS = 20_000, 3
+#: Documents of label 0 and 1 that the network is fitted on, whole, and characters of all of a label together.
+SAMPLE_DOCS, SAMPLE_CHARS = (1600, 600), (8_000_000, 6_000_000)
 ROUNDS, STEPS, BATCH, RATE, DECAY, DROPPED = 6, 300, 64, 0.01, 0.02, 0.15
 #: Share of the sample by which scores are set so that THRESHOLD parts the labels best.
 HELD_BACK = 0.2
@@ -36,13 +36,13 @@ REMEMBERED, AT_ONCE = 200_000, 1024
 THRESHOLD = 0.3
 
 #: Bytes that part words.
-_BREAKS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+_BREAKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint64)
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased words; digits and ASCII punctuation part them."""
-    return (text or "").lower().encode().translate(_BREAKS).split()
+    """Lower-cased words; ASCII punctuation and spaces part them. Digits belong to them, but digits alone are no word."""
+    return [w for w in (text or "").lower().encode().translate(_BREAKS).split() if not w.isdigit()]
 
 
 def gram_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -345,7 +345,12 @@ def _members(groups: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tupl
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network | float:
-    """Fits the network on at most SAMPLE_DOCS labelled documents of each label, drawn by a hash of their id."""
+    """Fits the network on at most SAMPLE_DOCS labelled documents of each label, drawn by a hash of their id.
+
+    Documents count whole: in the order of the draw those are taken that still fit into SAMPLE_CHARS, so
+    one longer than that is never in the sample. Of rows with one id one is drawn. Null texts, labels and ids have no part in
+    it; without any label every score is 0.
+    """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.when(F.col(label_col) > 0, 1).otherwise(0)).alias("label"))
     marked = marked.withColumn("draw", F.xxhash64(F.col("doc_id").cast("string")))
     sizes = {row["label"]: row["count"] for row in marked.groupBy("label").count().collect()}
@@ -355,18 +360,21 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         drawn = some if drawn is None else drawn.unionByName(some)
     if drawn is None:
         return 0.0
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "doc_id")
-    most = F.when(F.col("label") > 0, SAMPLE_CHARS[1]).otherwise(SAMPLE_CHARS[0])
-    start = F.pmod("draw", F.greatest(F.length("text") - most + 1, F.lit(1))).cast("int") + 1
-    found = rows.withColumn("text", F.substring(F.col("text"), start, most)).orderBy("draw", "text").collect()  # twice SAMPLE_DOCS texts of SAMPLE_CHARS at most
-    taken: Counter = Counter()
-    texts, truth = [], []
-    for row in found:
-        taken[row["label"]] += 1
-        if taken[row["label"]] <= SAMPLE_DOCS[row["label"]]:
-            texts.append(row["text"])
-            truth.append(row["label"])
-    return fit(texts, truth)
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
+    one = texts.join(F.broadcast(drawn), "doc_id").groupBy("label", "draw", "doc_id").agg(F.min(F.struct("digest", F.length("text").alias("chars"))).alias("t"))
+    chosen, taken, chars = [], Counter(), Counter()
+    for row in one.select("label", "draw", "doc_id", "t.digest", "t.chars").orderBy("draw", "digest").collect():  # twice SAMPLE_DOCS rows at most
+        label, more = row["label"], row["chars"]
+        if taken[label] < SAMPLE_DOCS[label] and chars[label] + more <= SAMPLE_CHARS[label]:
+            chosen.append((row["doc_id"], row["digest"], label, len(chosen)))
+            taken[label] += 1
+            chars[label] += more
+    if not chosen:
+        return 0.0
+    kind = docs.schema[id_col].dataType.simpleString()
+    wanted = docs.sparkSession.createDataFrame(chosen, f"doc_id {kind}, digest long, label int, n int")
+    found = texts.join(F.broadcast(wanted), ["doc_id", "digest"]).dropDuplicates(["n"]).orderBy("n").collect()  # SAMPLE_DOCS texts of SAMPLE_CHARS in all
+    return fit([row["text"] for row in found], [row["label"] for row in found])
 
 
 def score(docs: DataFrame, network: Network | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

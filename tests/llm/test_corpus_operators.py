@@ -326,6 +326,10 @@ def test_toxicity(spark, empty):
     assert sum(found[i]["predicted"] == y for i, y in labels if i >= 120) >= 36
     assert [found[i]["score"] for i in (900, 901, 902)] == [0, 0, 0]
     assert toxicity.score(empty, network).count() == 0
+    twice = docs.unionByName(docs).unionByName(docs.withColumn("text", F.concat("text", F.lit(" again"))))  # of repeated ids one text is learned
+    again = by_id(toxicity.score(docs, toxicity.learn(twice, labelled.where("doc_id < 120"))))
+    assert sum(again[i]["predicted"] == y for i, y in labels if i >= 120) >= 36
+    assert toxicity.words_of("Id1ot, 123 z0rg-wretch é4") == [b"id1ot", b"z0rg", b"wretch", "é4".encode()]
     assert toxicity.learn(docs, labelled.where("toxic = 0")) == 0.0 and toxicity.learn(docs, labelled.where("false")) == 0.0
 
 
