@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import trips as R
+from ..operators.store import TableStore
+from ..storage import shared_folder
 from .registry import Tables, query
 
 TODAY = "1996-06-01"
@@ -146,3 +148,38 @@ def ru17_roadbook_problems(t: Tables) -> DataFrame:
     bookings = spans.select("trip", F.concat(F.lit("b"), F.col("trip").cast("string")).alias("name"), F.when(F.col("trip") % 2 > 0, F.array(F.lit("web"))).otherwise(F.array().cast("array<string>")).alias("channels"), F.when(F.col("trip") % 3 != 1, F.col("first")).alias("visit_date"))
     bookings = bookings.unionByName(t.spark.createDataFrame([(-1, "nowhere", [], None)], bookings.schema))
     return R.trip_problems(trips, days, items, bookings)
+
+
+_STORE = """s AS (SELECT o_custkey AS trip, o_orderkey AS stay FROM orders), d AS (SELECT trip, l_linenumber AS day, l_extendedprice AS price FROM s JOIN lineitem ON l_orderkey = stay),
+a AS (SELECT trip, 'stay' AS name, count(*) AS n, 0.0::DOUBLE AS total FROM s GROUP BY 1 UNION ALL SELECT trip, 'day', count(*), 0 FROM d GROUP BY 1
+ UNION ALL SELECT trip, 'transfer', count(*), sum(CASE WHEN trip % 3 = 0 THEN 2 * price ELSE price END) FROM d WHERE trip % 3 > 0 OR day > 1 GROUP BY 1)"""
+
+
+@query(f"WITH {_STORE} SELECT trip, name, n, round(total, 2) AS total FROM a WHERE trip % 7 > 0")
+def snk01_saved_trips(t: Tables) -> DataFrame:
+    """What is left of trips in three tables after all were saved, the transfers of some replaced, and some deleted with all they had."""
+    trip = F.col("o_custkey").alias("owner")
+    stays = t.orders.select(trip, F.col("o_orderkey").alias("stay"))
+    days = t.lineitem.join(stays, F.col("l_orderkey") == F.col("stay")).select("owner", F.col("l_linenumber").cast("long").alias("day"), F.col("l_extendedprice").cast("double").alias("price"))
+    store = TableStore(t.spark, shared_folder(t.spark), "long", {"stay": "stay long", "day": "day long", "transfer": "day long, price double"})
+    store.save(1, {"stay": stays, "day": days.select("owner", "day"), "transfer": days})
+    again = days.where("owner % 3 = 0")
+    store.save(2, {"transfer": again.where("day > 1").withColumn("price", 2 * F.col("price"))}, again.select("owner"))
+    store.delete(3, stays.where("owner % 7 = 0").select("owner"))
+    rows = None
+    for name in store.schemas:
+        total = F.round(F.sum("price"), 2) if name == "transfer" else F.lit(0.0)
+        part = store.read(name).groupBy(F.col("owner").alias("trip")).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), total.alias("total"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+@query(f"WITH {_STORE} SELECT 'stay' AS name, count(*) AS gone FROM s WHERE trip % 7 = 0 UNION ALL SELECT 'day', count(*) FROM d WHERE trip % 7 = 0 UNION ALL SELECT 'transfer', 0")
+def snk04_deleted_trips(t: Tables) -> DataFrame:
+    """How many rows of each table go with deleted trips; transfers aren't stored here."""
+    stays = t.orders.select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("stay"))
+    days = t.lineitem.join(stays, F.col("l_orderkey") == F.col("stay")).select("owner", F.col("l_linenumber").cast("long").alias("day"))
+    store = TableStore(t.spark, shared_folder(t.spark), "long", {"stay": "stay long", "day": "day long", "transfer": "day long, price double"})
+    store.save(1, {"stay": stays, "day": days})
+    store.delete(2, stays.where("owner % 7 = 0").select("owner"))
+    return store.removed_by(2).select("name", F.col("rows").alias("gone"))
