@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import dates as D
 
@@ -87,6 +88,31 @@ def draft_places(visits: DataFrame, rules: DataFrame) -> DataFrame:
     return visits.select("trip", "poi_id").distinct().join(rules.where("status = 'draft'").select("poi_id"), "poi_id", "left_semi")
 
 
+def headline(days: Column, release_time: Column) -> Column:
+    """What to do about a booking, by the days until tickets are released and the time of day. The wording is fixed."""
+    said, timed = days.cast("string"), F.coalesce(release_time, F.lit("")) != ""
+    return (
+        F.when(days.isNull(), "必须提前线上预约——官方未公布放票口径，出行前以官方渠道为准")
+        .when(days < 0, F.concat(F.lit("放票日已过 "), F.abs(days).cast("string"), F.lit(" 天，立刻确认是否还有票")))
+        .when(days == 0, F.concat(F.lit("今天"), F.when(timed, F.concat(F.lit(" "), release_time)).otherwise(""), F.lit(" 放票")))
+        .when(~timed, F.concat(said, F.lit(" 天后可以开始预约"))).otherwise(F.concat(said, F.lit(" 天后放票")))
+    )
+
+
+def alerts(visits: DataFrame, rules: DataFrame, today: Column) -> DataFrame:
+    """trip, place, poi_id, visit_date, release_date, days, urgency, headline, channels of visits (trip, poi_id, visit_date) whose rule asks for booking and was reviewed.
+
+    place numbers a trip's alerts: the one released soonest first, past ones before, those without a day last, equal ones by visit. Rules that
+    are drafts, and places without a rule, raise none.
+    """
+    seen = rules.where("required AND status = 'reviewed'").select("poi_id", "advance_days", "release_time", "channels")
+    release = F.date_sub("visit_date", F.col("advance_days"))
+    rows = visits.join(seen, "poi_id").withColumn("release_date", release).withColumn("days", F.datediff("release_date", today))
+    rows = rows.withColumns({"urgency": D.urgency(F.col("days")), "headline": headline(F.col("days"), F.col("release_time"))})
+    order = Window.partitionBy("trip").orderBy(F.asc_nulls_last("days"), "visit_date", "poi_id")
+    return rows.withColumn("place", F.row_number().over(order)).select("trip", "place", "poi_id", "visit_date", "release_date", "days", "urgency", "headline", "channels")
+
+
 def transfer_advice(minutes: Column, available: Column, km: Column, unknown: Column) -> Column:
     """A struct of mode, why and other: what to take between two cities, the rule that says so, and what else there is."""
 
@@ -108,8 +134,6 @@ def transfers(stays: DataFrame, rail: DataFrame, today: Column, alternatives: in
     Trains are known from today to `window` days ahead. The journey is on the last day of the stay that ends; if it
     takes over 240 minutes or goes by air, on the first day of the next, and trains are looked up anew for that day.
     """
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("trip").orderBy("seq")
     legs = stays.withColumns({"next": F.lead("stay").over(w), "b": F.lead("city").over(w), "next_first": F.lead("first").over(w)}).where("next IS NOT NULL")
     legs = legs.select("trip", "stay", "next", F.col("city").alias("a"), "b", "last", "next_first")

@@ -9,10 +9,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import names as N
 from ..functions.runs import FACT_RUN, FACT_SHARE, overlap
+from ..sources.feeds import is_object, json_objects
 from ..storage import saved
+from .ordering import numbered
 
 #: Likeness of names from which they are one subject, and documents from which metrics mean something.
 SUBJECT_SCORE, READY_DOCS = 0.85, 30
@@ -108,3 +111,51 @@ def edited(labels: DataFrame, edits: DataFrame, columns: list[str]) -> DataFrame
     rows = labels.join(new, "label_id", "left").where(~F.coalesce("gone", F.lit(False)))
     value = lambda c: F.when(F.coalesce(F.array_contains("cleared", c), F.lit(False)), F.lit(None)).otherwise(F.coalesce(f"new_{c}", c)).alias(c)
     return rows.select("label_id", *map(value, columns))
+
+
+#: Fields of a claim in a run's list of accepted ones.
+FIELDS = ("subject_name", "polarity", "text", "quote", "subject_type", "facet")
+
+
+def accepted_items(runs: DataFrame) -> DataFrame:
+    """doc_id, pos and the fields of each claim in the accepted list of a document's latest run that went well.
+
+    runs has run_id, doc_id, status, created_at and accepted, a JSON text. A text that is malformed or no list counts as an
+    empty list, an element that is no object is left out.
+    """
+    latest = runs.where("status = 'ok'").groupBy("doc_id").agg(F.max_by("accepted", F.struct("created_at", "run_id")).alias("accepted"))
+    rows = json_objects(latest, "accepted").where(is_object(F.col("item")))
+    text = lambda name: F.try_variant_get("item", f"$.{name}", "string").alias(name)
+    number = lambda name: F.try_variant_get("item", f"$.{name}", "int").alias(name)
+    return rows.select("doc_id", "pos", *map(text, FIELDS), number("char_start"), number("char_end"))
+
+
+def prediction_pool(runs: DataFrame, tasks: DataFrame, evidence: DataFrame, aligned: DataFrame) -> DataFrame:
+    """doc_id, pos, the fields, char_start, char_end and poi_id of all that was extracted from each document.
+
+    Documents whose latest run lists nothing have what their tasks, then their evidence hold (doc_id, pos, the fields, char_start, char_end), of
+    equal subject, text and place the first. aligned has doc_id, char_start, char_end, quote and poi_id: a claim's place is that
+    of its characters, else that of its quote; of several the first id.
+    """
+    own = accepted_items(runs)
+    columns = ["pos", *FIELDS, "char_start", "char_end"]
+    old = tasks.select("doc_id", F.lit(0).alias("part"), *columns).unionByName(evidence.select("doc_id", F.lit(1).alias("part"), *columns))
+    old = old.join(own.select("doc_id").distinct(), "doc_id", "left_anti")
+    first = F.row_number().over(Window.partitionBy("doc_id", "subject_name", "text", "char_start", "char_end").orderBy("part", "pos"))
+    old = old.withColumn("n", first).where("n = 1").withColumn("pos", (F.row_number().over(Window.partitionBy("doc_id").orderBy("part", "pos")) - 1).cast("int"))
+    rows = own.unionByName(old.select("doc_id", *columns))
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(default)) for c, default in zip(FIELDS, ("", "", "", "", "poi", "other"))})
+    by_place = aligned.where("char_start IS NOT NULL AND char_end IS NOT NULL").groupBy("doc_id", "char_start", "char_end").agg(F.min("poi_id").alias("by_place"))
+    by_quote = aligned.where("quote IS NOT NULL").groupBy("doc_id", "quote").agg(F.min("poi_id").alias("by_quote"))
+    rows = rows.join(by_place, ["doc_id", "char_start", "char_end"], "left").join(by_quote, ["doc_id", "quote"], "left")
+    return rows.select("doc_id", *columns, F.coalesce("by_place", "by_quote").alias("poi_id"))
+
+
+def worklist(docs: DataFrame, labels: DataFrame, runs: DataFrame, gold: DataFrame) -> DataFrame:
+    """doc_id, labelled, accepted, in_gold, place: every document (doc_id, imported_at) with its labels, the claims that its latest good run accepted, null without one, and its turn: those of the gold set first, then by labels, most first, then as imported."""
+    n = labels.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    latest = runs.where("status = 'ok'").groupBy("doc_id").agg(F.max_by("accepted_count", F.struct("created_at", "run_id")).alias("accepted"))
+    marked = gold.select("doc_id").distinct().withColumn("marked", F.lit(True))
+    rows = docs.join(n, "doc_id", "left").join(latest, "doc_id", "left").join(marked, "doc_id", "left")
+    rows = rows.select("doc_id", "imported_at", F.coalesce("n", F.lit(0)).alias("labelled"), "accepted", F.coalesce("marked", F.lit(False)).alias("in_gold"))
+    return numbered(rows, [F.desc("in_gold"), F.desc("labelled"), F.col("imported_at"), F.col("doc_id")]).drop("imported_at")

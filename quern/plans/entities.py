@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import booking
 from ..operators.ordering import numbered
 from .registry import Tables, query
 
@@ -106,14 +107,8 @@ def ru02_alerts(t: Tables) -> DataFrame:
     release = F.when(F.col("o_orderkey") % 11 != 0, F.date_sub(F.to_date("o_orderdate"), (F.col("o_orderkey") % 30).cast("int")))
     rows = t.orders.where("o_orderstatus = 'F' AND o_orderpriority <> '5-LOW'").withColumn("days", F.datediff(release, F.lit(TODAY).cast("date")))
     rows = rows.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    days = F.col("days").cast("string")
     time = F.when(F.col("o_orderkey") % 3 == 0, "20:00").otherwise("")
-    timed = time != ""
-    headline = (
-        F.when(F.col("days").isNull(), "必须提前线上预约——官方未公布放票口径，出行前以官方渠道为准")
-        .when(F.col("days") < 0, F.concat(F.lit("放票日已过 "), F.abs("days").cast("string"), F.lit(" 天，立刻确认是否还有票")))
-        .when(F.col("days") == 0, F.concat(F.lit("今天"), F.when(timed, F.concat(F.lit(" "), time)).otherwise(""), F.lit(" 放票"))).when(~timed, F.concat(days, F.lit(" 天后可以开始预约"))).otherwise(F.concat(days, F.lit(" 天后放票")))
-    )
+    headline = booking.headline(F.col("days"), time)
     return numbered(rows.select("o_orderkey", headline.alias("headline"), "days"), [F.asc_nulls_last("days"), F.col("o_orderkey")]).select("o_orderkey", "headline", "place")
 
 
@@ -128,3 +123,22 @@ def fn_minutes_in_words(t: Tables) -> DataFrame:
     hours, rest = F.floor(m / 60).cast("string"), (m % 60).cast("string")
     said = F.when(m < 60, F.concat(m.cast("string"), F.lit(" 分"))).when(m % 60 == 0, F.concat(hours, F.lit(" 小时"))).otherwise(F.concat(hours, F.lit(" 小时 "), rest, F.lit(" 分")))
     return t.orders.select("o_orderkey", m.alias("minutes"), said.alias("said"))
+
+
+@query(
+    f"""WITH r AS (SELECT p_partkey AS poi_id, p_partkey % 5 > 0 AS required, CASE WHEN p_partkey % 4 > 0 THEN 'reviewed' ELSE 'draft' END AS status, CASE WHEN p_partkey % 7 > 0 THEN (p_partkey % 40)::INT END AS advance, CASE p_partkey % 3 WHEN 0 THEN '20:00' WHEN 1 THEN '' END AS at_time FROM part WHERE p_partkey % 6 > 0),
+v AS (SELECT DISTINCT o_custkey AS trip, l_partkey AS poi_id, o_orderdate::DATE AS visit_date FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+d AS (SELECT trip, v.poi_id, visit_date, visit_date - advance AS release_date, date_diff('day', DATE '{TODAY}', visit_date - advance) AS days, at_time FROM v JOIN r ON r.poi_id = v.poi_id WHERE required AND status = 'reviewed')
+SELECT trip, row_number() OVER (PARTITION BY trip ORDER BY days NULLS LAST, visit_date, poi_id)::INT AS place, poi_id, visit_date::VARCHAR AS visit_date, release_date::VARCHAR AS release_date, days, CASE WHEN days IS NULL THEN 'later' WHEN days < 0 THEN 'overdue' WHEN days = 0 THEN 'today' WHEN days <= 3 THEN 'soon' ELSE 'later' END AS urgency,
+ CASE WHEN days IS NULL THEN '必须提前线上预约——官方未公布放票口径，出行前以官方渠道为准' WHEN days < 0 THEN '放票日已过 ' || abs(days) || ' 天，立刻确认是否还有票' WHEN days = 0 THEN '今天' || CASE WHEN at_time <> '' THEN ' ' || at_time ELSE '' END || ' 放票' WHEN coalesce(at_time, '') = '' THEN days || ' 天后可以开始预约' ELSE days || ' 天后放票' END AS headline FROM d"""
+)
+def ru02_alerts_of_trips(t: Tables) -> DataFrame:
+    """Bookings that trips have to make: their visits by the rules that were reviewed and ask for one."""
+    k = F.col("p_partkey")
+    rules = t.part.where(k % 6 > 0).select(
+        k.alias("poi_id"), (k % 5 > 0).alias("required"), F.when(k % 4 > 0, "reviewed").otherwise("draft").alias("status"), F.when(k % 7 > 0, (k % 40).cast("int")).alias("advance_days"),
+        F.when(k % 3 == 0, "20:00").when(k % 3 == 1, "").alias("release_time"), F.array(F.lit("web")).alias("channels"),
+    )
+    visits = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("trip"), F.col("l_partkey").alias("poi_id"), F.to_date("o_orderdate").alias("visit_date")).distinct()
+    found = booking.alerts(visits, rules, F.lit(TODAY).cast("date"))
+    return found.select("trip", "place", "poi_id", F.col("visit_date").cast("string").alias("visit_date"), F.col("release_date").cast("string").alias("release_date"), F.col("days").cast("long").alias("days"), "urgency", "headline")

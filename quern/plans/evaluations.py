@@ -151,3 +151,41 @@ def kb12_broken_claims(t: Tables) -> DataFrame:
     text = F.when((F.col("o_orderpriority") == "5-LOW") & (F.col("o_custkey") % 7 == 0), " ").otherwise(F.col("o_orderpriority"))
     rows = t.orders.join(lines, "o_orderkey", "left")
     return rows.select(F.col("o_orderkey").alias("id"), C.broken_claim(text, F.col("quotes"), F.col("n"), F.col("s")).alias("code")).where("code IS NOT NULL")
+
+
+def _runs(t: Tables) -> DataFrame:
+    """Two runs of each document: lists with an element that is no object, malformed texts, texts that are no list, empty lists, and runs that failed."""
+    d = F.col("doc_id")
+    item = lambda i, quote: F.concat(F.lit(f'{{"subject_name":"s{i}","polarity":"avoid","text":"t{i}","quote":"{quote}","facet":"queue","char_start":'), (d % 50 + i).cast("string"), F.lit(',"char_end":'), (d % 50 + i + 5).cast("string"), F.lit("}"))
+    good = F.concat(F.lit("["), item(0, "qa"), F.lit(',"x",'), item(1, "qb"), F.lit(',{"quote":"qc"}]'))
+    second = F.when(d % 6 == 0, F.concat(good, F.lit("]"))).when(d % 6 == 1, '{"a":1}').when(d % 6 == 2, "[]").when(d % 6 == 3, good).otherwise("[1]")
+    rows = t.documents.select("doc_id", F.explode(F.array(F.struct(F.lit(1).alias("run_id"), good.alias("accepted")), F.struct(F.lit(2).alias("run_id"), second.alias("accepted")))).alias("r")).select("doc_id", "r.*")
+    return rows.select("run_id", "doc_id", F.when((F.col("run_id") == 2) & (d % 6 == 4), "failed").otherwise("ok").alias("status"), F.lit(0).alias("created_at"), "accepted", F.col("run_id").alias("accepted_count"))
+
+
+_POOL = """g AS (SELECT doc_id, unnest([0, 2, 3]) AS pos FROM documents WHERE doc_id % 6 IN (3, 4)),
+own AS (SELECT doc_id, pos, CASE pos WHEN 0 THEN 's0' WHEN 2 THEN 's1' ELSE '' END AS subject_name, CASE WHEN pos < 3 THEN 'avoid' ELSE '' END AS polarity, CASE pos WHEN 0 THEN 't0' WHEN 2 THEN 't1' ELSE '' END AS text, CASE pos WHEN 0 THEN 'qa' WHEN 2 THEN 'qb' ELSE 'qc' END AS quote, 'poi' AS subject_type, CASE WHEN pos < 3 THEN 'queue' ELSE 'other' END AS facet,
+ CASE WHEN pos < 3 THEN doc_id % 50 + pos // 2 END AS char_start, CASE WHEN pos < 3 THEN doc_id % 50 + pos // 2 + 5 END AS char_end FROM g),
+old AS (SELECT doc_id, i AS pos, 'o' || i AS subject_name, 'highlight' AS polarity, 'old' AS text, 'qb' AS quote, 'city' AS subject_type, 'hours' AS facet, i AS char_start, i + 2 AS char_end FROM documents, range(3) AS u(i) WHERE doc_id % 6 NOT IN (3, 4) AND (i > 0 OR doc_id % 2 = 0)),
+p AS (SELECT * FROM own UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos = 2, pos) - 1, subject_name, polarity, text, quote, subject_type, facet, char_start, char_end FROM old)"""
+
+
+@query(f"WITH {_POOL} SELECT doc_id, pos::INT AS pos, subject_name, polarity, text, quote, subject_type, facet, char_start::INT AS char_start, char_end::INT AS char_end, CASE WHEN char_start = doc_id % 50 AND char_end = doc_id % 50 + 5 THEN 'P' || (doc_id % 7) WHEN quote = 'qb' AND doc_id % 3 = 0 THEN 'Q' END AS poi_id FROM p")
+def ev07_prediction_pool(t: Tables) -> DataFrame:
+    """What was extracted from each document: by its latest good run, else from tasks (claims 0 and 1) and evidence (1 and 2), where both have claim 1."""
+    d = F.col("doc_id")
+    old = lambda a, b: t.documents.select("doc_id", F.explode(F.sequence(F.lit(a), F.lit(b))).alias("pos")).select(
+        "doc_id", "pos", F.concat(F.lit("o"), F.col("pos").cast("string")).alias("subject_name"), F.lit("highlight").alias("polarity"), F.lit("old").alias("text"), F.lit("qb").alias("quote"), F.lit("city").alias("subject_type"), F.lit("hours").alias("facet"), F.col("pos").alias("char_start"), (F.col("pos") + 2).alias("char_end")
+    )
+    by_place = t.documents.select("doc_id", (d % 50).cast("int").alias("char_start"), (d % 50 + 5).cast("int").alias("char_end"), F.lit(None).cast("string").alias("quote"), F.concat(F.lit("P"), (d % 7).cast("string")).alias("poi_id"))
+    by_quote = t.documents.where(d % 3 == 0).select("doc_id", F.lit(None).cast("int").alias("char_start"), F.lit(None).cast("int").alias("char_end"), F.lit("qb").alias("quote"), F.lit("Q").alias("poi_id"))
+    return E.prediction_pool(_runs(t), old(0, 1).where((d % 2 == 0) | (F.col("pos") > 0)), old(1, 2), by_place.unionByName(by_quote))
+
+
+@query(
+    """WITH n AS (SELECT doc_id, count(*) AS labelled FROM labels GROUP BY 1), w AS (SELECT d.doc_id, coalesce(labelled, 0) AS labelled, CASE WHEN d.doc_id % 6 = 4 THEN 1 ELSE 2 END AS accepted, g.doc_id IS NOT NULL AS in_gold, n_chars FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) g ON g.doc_id = d.doc_id)
+SELECT doc_id, labelled, accepted, in_gold, row_number() OVER (ORDER BY in_gold DESC, labelled DESC, n_chars, doc_id) AS place FROM w"""
+)
+def ev09_ordered_worklist(t: Tables) -> DataFrame:
+    """Documents in the order in which they are to be labelled."""
+    return E.worklist(t.documents.select("doc_id", F.col("n_chars").alias("imported_at")), t.labels, _runs(t), t.labels.where("quality = 1"))

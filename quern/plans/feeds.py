@@ -167,3 +167,21 @@ def fl13_more_predicates(t: Tables) -> DataFrame:
     e = F.col("event_id")
     rows = evaluation.ranges_overlap(F.col("value"), F.when(e % 4 > 0, F.col("value") + 5), F.lit(10.0), 20 + e % 9)
     return t.events.select(e.alias("id"), rows.alias("overlaps"), (F.col("event_type") == "view").alias("visible"), S.on_sale(F.to_date("ts"), F.lit("2024-01-10").cast("date")).alias("on_sale"))
+
+
+@query(
+    """WITH c AS (SELECT doc_id, i, CASE doc_id % 5 WHEN 0 THEN 'mall' WHEN 1 THEN 'poi' WHEN 2 THEN 'city' ELSE 'route' END AS subject_type, CASE (doc_id + i) % 4 WHEN 0 THEN 'praise' WHEN 1 THEN 'avoid' ELSE 'highlight' END AS polarity, CASE (doc_id + i) % 3 WHEN 0 THEN 'queue' ELSE 'other' END AS facet, source FROM documents, range(4) AS u(i) WHERE doc_id % 7 > 0 AND doc_id % 11 > 0)
+SELECT doc_id, i AS pos, CASE WHEN i = 3 THEN '' ELSE coalesce(source, '') END AS subject_name, CASE WHEN i = 3 THEN '' ELSE subject_type END AS subject_type, CASE WHEN i = 3 THEN '' ELSE polarity END AS polarity, CASE WHEN i = 3 THEN 'other' ELSE facet END AS facet, CASE WHEN i = 3 THEN '' ELSE 'text ' || i END AS text, CASE WHEN i = 3 THEN '' ELSE ' q ' END AS quote,
+ CASE WHEN i = 3 THEN 'no_object' WHEN subject_type = 'mall' THEN 'subject_type' WHEN polarity = 'praise' THEN 'polarity' END AS reason FROM c"""
+)
+def src19_extracted_claims(t: Tables) -> DataFrame:
+    """Answers made of documents: some malformed, some without a list, and in each list elements of unknown values and one that is no object."""
+    d = F.col("doc_id")
+    kind = F.when(d % 5 == 0, "mall").when(d % 5 == 1, " poi ").when(d % 5 == 2, "city").otherwise("route")
+    claim = lambda i: F.concat(
+        F.lit('{"subject_name":'), F.coalesce(F.concat(F.lit('" '), "source", F.lit('\\t"')), F.lit("null")), F.lit(',"subject_type":"'), kind, F.lit('","polarity":"'), F.when((d + i) % 4 == 0, "praise").when((d + i) % 4 == 1, "avoid").otherwise("highlight"),
+        F.lit('","facet":'), F.when((d + i) % 3 == 0, '"queue"').when((d + i) % 3 == 1, '"weather"').otherwise("7"), F.lit(f',"text":"text {i} ","quote":" q "}}'),
+    )
+    listed = F.concat(F.lit('{"claims":['), F.concat_ws(",", claim(0), claim(1), claim(2), F.when(d % 2 == 0, '"no object"').otherwise("[1]")), F.lit("]}"))
+    raw = F.when(d % 7 == 0, F.concat(listed, F.lit("}"))).when(d % 11 == 0, '{"claims":{"a":1}}').otherwise(listed)
+    return S.extracted_claims(t.documents.select("doc_id", raw.alias("raw"))).withColumn("pos", F.col("pos").cast("long"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import alignment as A
 from ..operators import merging, naming
 from ..storage import saved
+from ..streaming.mentions import replay
 from .registry import Tables, query
 
 _PLACES = """p AS (SELECT p_partkey AS k, p_partkey // 8 AS b, p_partkey % 8 AS v, 'P' || p_partkey AS poi_id, 'hall ' || (p_partkey // 8) AS hall, p_type, p_name, p_size FROM part),
@@ -269,3 +270,22 @@ def al19_merged_rules(t: Tables) -> DataFrame:
 @query(f"WITH {_MERGE} SELECT reference, count(*)::BIGINT AS rows FROM r JOIN mv ON old_id = poi_id GROUP BY 1 UNION ALL SELECT 'merged', count(*) FROM mv".replace("AS rows", 'AS "rows"'))
 def al19_merge_report(t: Tables) -> DataFrame:
     return _merged(t)[2]
+
+
+@query(
+    """WITH e AS (SELECT user_id AS mention_id, epoch_us(ts) // 1000 AS at_ms, event_id, CASE event_id % 5 WHEN 0 THEN 'ask' WHEN 4 THEN CASE event_id % 25 WHEN 4 THEN 'attach' WHEN 9 THEN 'discard' ELSE 'place' END ELSE 'place' END AS what, 'P' || (event_id % 3) AS poi_id, (event_id % 11) / 10.0::DOUBLE AS rank FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY at_ms, event_id) AS k FROM e), a AS (SELECT mention_id, min(k) AS first, min(at_ms) AS asked FROM o WHERE what = 'ask' GROUP BY 1),
+x AS (SELECT o.mention_id, o.k, o.at_ms, p.poi_id, max(p.rank) AS r FROM o JOIN a ON a.mention_id = o.mention_id JOIN o p ON p.mention_id = o.mention_id AND p.what = 'place' AND p.k <= o.k WHERE o.k >= first AND o.what IN ('ask', 'place') GROUP BY 1, 2, 3, 4),
+y AS (SELECT mention_id, k, at_ms, list(r ORDER BY r DESC, poi_id) AS rs, list(poi_id ORDER BY r DESC, poi_id) AS ps FROM x GROUP BY 1, 2, 3),
+s AS (SELECT mention_id, k, at_ms, 'aligned' AS status, ps[1] AS poi_id FROM y WHERE CASE WHEN rs[1] < 0.8::DOUBLE THEN len(rs) = 1 AND rs[1] >= 0.4::DOUBLE ELSE len(rs) = 1 OR round(rs[1] - rs[2], 10) >= 0.08::DOUBLE END
+ UNION ALL SELECT o.mention_id, k, at_ms, CASE what WHEN 'attach' THEN 'resolved' ELSE 'discarded' END, CASE what WHEN 'attach' THEN poi_id END FROM o JOIN a ON a.mention_id = o.mention_id WHERE what IN ('attach', 'discard') AND k > first
+ UNION ALL SELECT mention_id, NULL, asked + 30 * 86400000::BIGINT, 'expired', NULL FROM a),
+f AS (SELECT s.*, first FROM s JOIN a ON a.mention_id = s.mention_id QUALIFY row_number() OVER (PARTITION BY s.mention_id ORDER BY at_ms, status <> 'expired', k) = 1)
+SELECT mention_id, at_ms, status, poi_id FROM f WHERE at_ms <= epoch_ms(TIMESTAMP '2024-03-01') UNION ALL SELECT mention_id, asked, 'parked', NULL FROM a WHERE mention_id NOT IN (SELECT mention_id FROM f WHERE status = 'aligned' AND k = first)"""
+)
+def al13_queue(t: Tables) -> DataFrame:
+    """What becomes of mentions that are asked for, found places for, and decided by hand, up to a day."""
+    e = F.col("event_id")
+    what = F.when(e % 5 == 0, "ask").when(e % 25 == 4, "attach").when(e % 25 == 9, "discard").otherwise("place")
+    rows = t.events.select(F.col("user_id").alias("mention_id"), F.col("ts").cast("timestamp").alias("at"), e.alias("seq"), what.alias("what"), F.concat(F.lit("P"), (e % 3).cast("string")).alias("poi_id"), ((e % 11) / 10).alias("rank"))
+    return replay(rows, "2024-03-01 00:00:00").select("mention_id", F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01', cast(at AS timestamp_ntz))").alias("at_ms"), "status", "poi_id")

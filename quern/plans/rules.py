@@ -38,6 +38,14 @@ def kb04_verify_due(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", _facet().alias("facet"), due.cast("string").alias("due"))
 
 
+@query(f"SELECT o_orderkey, ({_DUE.replace('o_orderdate::DATE', '(CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate::DATE + 40 ELSE o_orderdate::DATE END)')})::VARCHAR AS due FROM orders")
+def kb04_due_again(t: Tables) -> DataFrame:
+    """The day on which claims are to be verified again, counted from when they last were, if they ever were."""
+    seen = F.to_date("o_orderdate")
+    verified = F.when(F.col("o_orderkey") % 4 == 0, F.date_add(seen, 40))
+    return t.orders.select("o_orderkey", D.verify_due(seen, verified, _facet()).cast("string").alias("due"))
+
+
 @query(f"WITH d AS (SELECT o_orderstatus, {_DUE} AS due FROM orders WHERE o_orderstatus <> 'P') SELECT o_orderstatus, count_if(due IS NULL)::BIGINT AS timeless, count_if(due <= DATE '{TODAY}')::BIGINT AS overdue, count_if(due > DATE '{TODAY}' AND due <= DATE '{TODAY}' + 14)::BIGINT AS soon, min(CASE WHEN due > DATE '{TODAY}' THEN due END)::VARCHAR AS next_due FROM d GROUP BY 1")
 def ru09_due_claims(t: Tables) -> DataFrame:
     due, today = F.col("due"), F.lit(TODAY).cast("date")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo as G
+from ..functions import text as T
 
 #: What a weather code means, and marks of weather that is bad outdoors.
 WEATHER = {
@@ -165,3 +166,46 @@ def rail_answers(asked: DataFrame, known: DataFrame, options: DataFrame, today:
     note = F.when(~sold, "not_on_sale").when(F.col("x.a_code").isNull() | F.col("x.b_code").isNull(), "no_station").when(F.coalesce(F.size("x.services"), F.lit(0)) <= 0, "no_train")
     found = rows.groupBy("asked_id").agg(best)
     return found.select("asked_id", note.alias("note"), F.when(note.isNull(), F.col("x.a_code")).alias("a_code"), F.when(note.isNull(), F.col("x.services")).alias("services"))
+
+
+#: What a claim is of, how it is meant, and what it is about.
+SUBJECT_TYPES, POLARITIES = ("poi", "route", "city"), ("avoid", "highlight")
+FACETS = ("queue", "entrance", "hours", "crowd", "photo", "transit", "price_diff", "closure", "other")
+
+
+def whole_json(raw: Column) -> Column:
+    """A JSON text as a variant, null if anything is wrong with it. The parser overlooks what follows a value, so the text must also stand in a list and in an object, where it would be in the way."""
+    alone = lambda a, b: F.try_parse_json(F.concat(F.lit(a), raw, F.lit(b))).isNotNull()
+    return F.when(alone("[", "]") & alone('{"x":', "}"), F.try_parse_json(raw))
+
+
+def _items(raw: Column, path: str) -> Column:
+    """The elements of a list in a JSON text; none if there is no list."""
+    return F.coalesce(F.try_variant_get(whole_json(raw), path, "array<variant>"), F.array().cast("array<variant>"))
+
+
+def is_object(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+
+
+def json_objects(rows: DataFrame, raw: str, path: str = "$") -> DataFrame:
+    """The rows with pos and item, one for each element of the list in their JSON text; texts that are malformed or hold no list there have none."""
+    return rows.select(*[c for c in rows.columns if c != raw], F.posexplode(_items(F.col(raw), path)).alias("pos", "item"))
+
+
+def extracted_claims(answers: DataFrame, raw: str = "raw") -> DataFrame:
+    """The claims in a model's answers, one by one, with reason: why a claim is dropped, null for one that counts.
+
+    An element that is no object, or of unknown subject type or polarity, is dropped without the others; an unknown facet
+    becomes "other". Names and texts lose the white space around them, quotes keep it.
+    """
+    rows = json_objects(answers, raw, "$.claims")
+    field = lambda name: F.coalesce(F.try_variant_get("item", f"$.{name}", "string"), F.lit(""))
+    kept = [c for c in answers.columns if c != raw]
+    facet = T.strip(field("facet"))
+    named = rows.select(
+        *kept, "pos", is_object(F.col("item")).alias("object"), T.strip(field("subject_name")).alias("subject_name"), T.strip(field("subject_type")).alias("subject_type"), T.strip(field("polarity")).alias("polarity"),
+        F.when(facet.isin(*FACETS), facet).otherwise("other").alias("facet"), T.strip(field("text")).alias("text"), field("quote").alias("quote"),
+    )
+    reason = F.when(~F.col("object"), "no_object").when(~F.col("subject_type").isin(*SUBJECT_TYPES), "subject_type").when(~F.col("polarity").isin(*POLARITIES), "polarity")
+    return named.withColumn("reason", reason).drop("object")
