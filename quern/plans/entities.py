@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators import booking
 from ..operators.ordering import numbered
+from ..sources import feeds
 from .registry import Tables, query
 
 TODAY = "1996-06-01"
@@ -58,14 +59,16 @@ def or04_item_order(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("event_type") == "view", seconds, "event_id")).cast("long").alias("place"))
 
 
-@query("SELECT * FROM (VALUES ('西安', '西安', 1), ('西安', '西安南', 2), ('西安', '西安北', 3), ('北京', '北京南', 1), ('北京', '北京西', 2)) v(city, station, place)")
+@query(
+    """WITH s AS (SELECT 'C' || s_suppkey AS code, n_name || CASE s_suppkey % 7 WHEN 0 THEN '' WHEN 1 THEN '南' WHEN 2 THEN '东' WHEN 3 THEN '北' WHEN 4 THEN '西' WHEN 5 THEN '新南' ELSE '机场' END AS name FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+SELECT n_nationkey AS city, code, name, row_number() OVER (PARTITION BY n_nationkey ORDER BY length(name) - length(n_name), CASE substr(name, length(n_name) + 1) WHEN '南' THEN 0 WHEN '东' THEN 1 WHEN '北' THEN 2 WHEN '西' THEN 3 ELSE 9 END, name, code)::INT AS place FROM nation JOIN s ON starts_with(name, n_name)"""
+)
 def or07_station_rank(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("西安", "西安北"), ("西安", "西安南"), ("西安", "西安"), ("北京", "北京西"), ("北京", "北京南")], "city string, station string")
-    side = F.right("station", F.lit(1))
-    # The order of a city's stations after the one that has just its name.
-    rank = F.when(side == "南", 0).when(side == "东", 1).when(side == "北", 2).when(side == "西", 3).otherwise(9)
-    longer = F.length("station") - F.length("city")
-    return rows.select("city", "station", F.row_number().over(Window.partitionBy("city").orderBy(longer, rank, "station")).alias("place"))
+    """Stations made of suppliers, in the order in which they are asked for their nation."""
+    suffix = F.element_at(F.array(*map(F.lit, ("", "南", "东", "北", "西", "新南", "机场"))), (F.col("s_suppkey") % 7 + 1).cast("int"))
+    stations = t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).select(F.concat(F.lit("C"), F.col("s_suppkey").cast("string")).alias("code"), F.concat("n_name", suffix).alias("name"))
+    cities = t.nation.select(F.col("n_nationkey").alias("city"), F.when(F.col("n_nationkey") % 2 == 0, F.concat("n_name", F.lit("市"))).otherwise(F.col("n_name")).alias("name"))
+    return feeds.ranked_stations(cities, stations)
 
 
 @query("SELECT event_id, to_json({'event_id': event_id, 'kind': event_type, 'user': user_id}) AS payload FROM events")

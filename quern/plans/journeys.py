@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators import booking as B
 from ..operators import legs as L
+from ..operators import roadbook
 from .registry import Tables, query
 
 TODAY = "1996-06-01"
@@ -224,3 +225,31 @@ def ge08_meal_candidates(t: Tables) -> DataFrame:
 def ge09_applied_meals(t: Tables) -> DataFrame:
     chosen = L.meal_decisions(_meals(t), _found(t)).where("reason = 'found'").withColumn("address", F.lit("road 1"))
     return L.with_meals(_items(t), chosen).where("kind = 'meal'").select("item_id", F.col("lat").isNotNull().alias("placed"), "written")
+
+
+_BOOK = _ITEMS.replace("CASE WHEN event_type = 'purchase' THEN 'meal' ELSE 'poi' END AS kind,", "CASE WHEN event_type = 'purchase' THEN 'meal' ELSE 'poi' END AS kind, e.user_id, CASE WHEN event_type <> 'purchase' THEN e.event_id % 50 END AS poi_id, o.poi_id AS known,")
+_LEG_MODE = "CASE WHEN {0} <= 1500 THEN 'walk' WHEN {0} <= 6000 THEN 'metro' ELSE 'taxi' END"
+
+
+@query(
+    f"""WITH {_BOOK}, c AS (SELECT l_partkey AS poi_id, count_if(l_returnflag <> 'R')::BIGINT AS highlights, count_if(l_returnflag = 'R')::BIGINT AS avoids FROM lineitem GROUP BY 1),
+b AS (SELECT p_partkey AS poi_id, CASE WHEN p_partkey % 3 > 0 THEN CASE WHEN p_partkey % 5 = 0 THEN '必须提前线上预约，放票口径以官方渠道为准' ELSE '需预约，提前 ' || (p_partkey % 5) || ' 天' || CASE WHEN p_partkey % 2 = 0 THEN ' 20:00' ELSE '' END || '放票' END END AS booking FROM part WHERE p_partkey % 4 <> 1),
+w AS (SELECT l.*, lead(title) OVER w AS to_title, row_number() OVER w AS turn, {_HALF.format("lat", "lng", "to_lat", "to_lng")} AS far FROM l WINDOW w AS (PARTITION BY trip, day ORDER BY minute IS NULL, minute, seq, item_id)),
+x AS (SELECT w.*, to_lat IS NOT NULL AND to_lng IS NOT NULL AND lat IS NOT NULL AND lng IS NOT NULL AS ends, coalesce(highlights, 0) AS highlights, coalesce(avoids, 0) AS avoids, booking, item_id % 7 = 0 AS stored FROM w LEFT JOIN c ON c.poi_id = w.poi_id LEFT JOIN b ON b.poi_id = w.poi_id),
+t AS (SELECT trip, day, turn, concat_ws('|', title, kind, start, highlights, avoids, booking) AS item, to_item IS NOT NULL AS way, kind = 'poi' AND known IS NULL AS warned,
+ CASE WHEN ends THEN concat_ws('|', CASE WHEN stored THEN 'walk' ELSE {_LEG_MODE.format("far")} END, CASE WHEN stored THEN 77 ELSE round_even(far, 0)::BIGINT END, CASE WHEN NOT stored THEN greatest(1, round_even(far / 1000 / CASE WHEN far <= 1500 THEN 4.5::DOUBLE WHEN far <= 6000 THEN 25.0::DOUBLE ELSE 22.0::DOUBLE END * 60, 0)::INT) END, title || '>' || to_title, NOT stored) ELSE '-' END AS leg FROM x)
+SELECT trip, day, count(*) AS n_items, count_if(way)::BIGINT AS n_legs, string_agg(item, chr(10) ORDER BY turn) AS items, coalesce(string_agg(leg, chr(10) ORDER BY turn) FILTER (way), '') AS legs, CASE WHEN trip % 2 = 0 THEN 'rain' END AS weather, count_if(warned)::BIGINT AS warnings FROM t GROUP BY 1, 2"""
+)
+def ru18_roadbook_days(t: Tables) -> DataFrame:
+    """The days of roadbooks, with claims, bookings, stored and estimated ways, and weather; shown as text."""
+    k = F.col("p_partkey")
+    items = _items(t).withColumns({"leg_distance_m": F.when(F.col("item_id") % 7 == 0, 77), "leg_minutes": F.lit(None).cast("int")})
+    poi = _poi(t).withColumns({"name": F.lit(None).cast("string"), "address": F.lit(None).cast("string")})
+    claims = t.lineitem.select(F.col("l_partkey").alias("poi_id"), F.when(F.col("l_returnflag") == "R", "avoid").otherwise("highlight").alias("polarity"), F.lit("").alias("text"))
+    rules = t.part.select(k.alias("poi_id"), F.when(k % 4 == 1, "draft").otherwise("reviewed").alias("status"), (k % 3 > 0).alias("required"), F.when(k % 5 > 0, (k % 5).cast("int")).alias("advance_days"), F.when(k % 2 == 0, "20:00").alias("release_time"))
+    weather = items.where("trip % 2 = 0").select("trip", "day", F.lit("rain").alias("text")).distinct()
+    found = roadbook.assembled(items, poi, claims, rules, weather)
+    shown = F.array_join(F.transform("items", lambda x: F.concat_ws("|", x["title"], x["kind"], x["start_time"], x["highlights"], x["avoids"], x["booking"])), "\n")
+    between = lambda x: F.regexp_replace(x["nav"], "^.*from=[^,]*,[^,]*,(.*)&to=[^,]*,[^,]*,(.*)&mode=.*$", "$1>$2")
+    ways = F.array_join(F.transform("legs", lambda x: F.when(x.isNull(), "-").otherwise(F.concat_ws("|", x["mode"], x["distance_m"], x["minutes"], between(x), x["estimated"].cast("string")))), "\n")
+    return found.select("trip", "day", F.size("items").cast("long").alias("n_items"), F.size("legs").cast("long").alias("n_legs"), shown.alias("items"), ways.alias("legs"), "weather", "warnings")

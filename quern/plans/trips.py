@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import pool
 from ..operators import trips as R
 from ..operators.store import TableStore
 from ..storage import shared_folder
@@ -183,3 +184,51 @@ def snk04_deleted_trips(t: Tables) -> DataFrame:
     store.save(1, {"stay": stays, "day": days})
     store.delete(2, stays.where("owner % 7 = 0").select("owner"))
     return store.removed_by(2).select("name", F.col("rows").alias("gone"))
+
+
+_POOL = """c AS (SELECT l_suppkey % 25 AS city, CASE WHEN l_partkey % 31 > 0 THEN l_partkey % 150 END AS poi_id, l_orderkey * 10 + l_linenumber AS claim_id, CASE l_returnflag WHEN 'R' THEN 'avoid' ELSE 'highlight' END AS polarity, CASE WHEN l_linestatus = 'F' THEN 'high' END AS confidence, l_linenumber AS sources FROM lineitem),
+p AS (SELECT p_partkey AS poi_id, p_name AS name FROM part WHERE p_partkey % 8 > 0), r AS (SELECT p_partkey AS poi_id, p_partkey % 3 > 0 AS required, (p_partkey % 20)::INT AS days, CASE WHEN p_partkey % 2 = 0 THEN '20:00' END AS at_time FROM part WHERE p_partkey % 4 > 1),
+i AS (SELECT user_id AS trip, CASE WHEN event_type = 'purchase' THEN 'meal' ELSE 'poi' END AS kind, CASE WHEN event_id % 9 > 0 THEN event_id % 160 END AS poi_id, 'hall ' || (event_id % 160) AS title, ts::DATE AS date, user_id % 25 AS city FROM events),
+n AS (SELECT city, poi_id, count(*) AS claims, count_if(confidence = 'high')::BIGINT AS sure, count_if(polarity = 'highlight')::BIGINT AS highlights, count_if(polarity = 'avoid')::BIGINT AS avoids FROM c WHERE poi_id IS NOT NULL GROUP BY 1, 2),
+k AS (SELECT n.*, coalesce(name, n.poi_id::VARCHAR) AS name, required, days, at_time, row_number() OVER (PARTITION BY city ORDER BY claims DESC, sure DESC, coalesce(name, n.poi_id::VARCHAR), n.poi_id) AS place FROM n LEFT JOIN p ON p.poi_id = n.poi_id LEFT JOIN r ON r.poi_id = n.poi_id QUALIFY place <= 60)"""
+
+
+def _pool_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Claims, places, rules and items made of lines, parts and events."""
+    k, e = F.col("p_partkey"), F.col("event_id")
+    claims = t.lineitem.select(
+        (F.col("l_suppkey") % 25).alias("city"), F.when(F.col("l_partkey") % 31 > 0, F.col("l_partkey") % 150).alias("poi_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"),
+        F.when(F.col("l_returnflag") == "R", "avoid").otherwise("highlight").alias("polarity"), F.when(F.col("l_linestatus") == "F", "high").alias("confidence"), F.col("l_linenumber").alias("sources"),
+    )
+    places = t.part.where(k % 8 > 0).select(k.alias("poi_id"), F.col("p_name").alias("name"))
+    rules = t.part.select(k.alias("poi_id"), (k % 3 > 0).alias("required"), F.when(k % 4 > 1, "reviewed").otherwise("draft").alias("status"), (k % 20).cast("int").alias("advance_days"), F.when(k % 2 == 0, "20:00").alias("release_time"))
+    items = t.events.select(
+        F.col("user_id").alias("trip"), F.when(F.col("event_type") == "purchase", "meal").otherwise("poi").alias("kind"), F.when(e % 9 > 0, e % 160).alias("poi_id"), F.concat(F.lit("hall "), (e % 160).cast("string")).alias("title"),
+        F.to_date("ts").alias("date"), (F.col("user_id") % 25).alias("city"),
+    )
+    return claims, places, rules, items
+
+
+@query(f"WITH {_POOL}, q AS (SELECT *, row_number() OVER (PARTITION BY poi_id, polarity ORDER BY coalesce(confidence, '') <> 'high', sources DESC, claim_id) AS place, count(*) OVER (PARTITION BY poi_id, polarity) AS n FROM c) SELECT trip, v.poi_id, polarity, place::INT AS place, claim_id, greatest(n - 8, 0) AS others FROM (SELECT DISTINCT trip, poi_id FROM i WHERE kind = 'poi' AND poi_id IS NOT NULL) v JOIN q ON q.poi_id = v.poi_id WHERE place <= 8")
+def tr10_trip_insights(t: Tables) -> DataFrame:
+    """The first claims for and against each place of a trip."""
+    claims, _, _, items = _pool_tables(t)
+    return pool.trip_insights(items, claims)
+
+
+@query(f"WITH {_POOL} SELECT city, place::INT AS place, poi_id, name, claims, sure, highlights, avoids, required AS booking_required, days AS booking_days, at_time AS booking_time FROM k")
+def tr11_city_candidates(t: Tables) -> DataFrame:
+    """Candidates of each city, with what reviewed rules say of their booking."""
+    claims, places, rules, _ = _pool_tables(t)
+    return pool.city_candidates(claims, places, rules)
+
+
+@query(
+    f"""WITH {_POOL}, v AS (SELECT trip, poi_id, title, min(city) AS city FROM i WHERE kind = 'poi' AND poi_id IS NOT NULL GROUP BY 1, 2, 3), w AS (SELECT v.trip, k.poi_id IS NOT NULL AS known, coalesce(required, false) AS required FROM v LEFT JOIN k ON k.city = v.city AND k.poi_id = v.poi_id),
+a AS (SELECT trip, count(*) AS total, count_if(known)::BIGINT AS recommended, count_if(required)::BIGINT AS bookings FROM w GROUP BY 1), u AS (SELECT trip, count_if(kind = 'poi' AND poi_id IS NULL)::BIGINT AS unresolved FROM i GROUP BY 1)
+SELECT trip, coalesce(total, 0) AS total, coalesce(recommended, 0) AS recommended, coalesce(bookings, 0) AS bookings, unresolved, round(recommended / total, 6) AS ratio FROM u LEFT JOIN a USING (trip)"""
+)
+def tr09_trip_coverage(t: Tables) -> DataFrame:
+    """How much of each trip is among the candidates of its city."""
+    claims, places, rules, items = _pool_tables(t)
+    return pool.trip_coverage(items, pool.city_candidates(claims, places, rules))

@@ -209,3 +209,23 @@ def extracted_claims(answers: DataFrame, raw: str = "raw") -> DataFrame:
     )
     reason = F.when(~F.col("object"), "no_object").when(~F.col("subject_type").isin(*SUBJECT_TYPES), "subject_type").when(~F.col("polarity").isin(*POLARITIES), "polarity")
     return named.withColumn("reason", reason).drop("object")
+
+
+#: The order of a city's stations by the side in their names, after the one that has just the city's name; others follow.
+SIDES = ("南", "东", "北", "西")
+
+
+def ranked_stations(cities: DataFrame, stations: DataFrame) -> DataFrame:
+    """city, place, code and name of the stations of each city (city, name), those whose names begin with its name: shorter ones first, then by side, then by name.
+
+    A name and "市" at its end mean the same city. Blank names have no stations. Stations meet cities by the beginnings of their names.
+    """
+    known = cities.select("city", F.regexp_replace(T.strip(F.col("name")), "市$", "").alias("begin")).where("begin <> ''")
+    begins = stations.select("code", "name", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))), lambda i: F.left("name", i))).alias("begin"))
+    rows = begins.join(known, "begin")
+    side = F.substring("name", F.length("begin") + 1, F.length("name"))
+    rank = F.lit(len(SIDES) + 5)
+    for n, mark in reversed(list(enumerate(SIDES))):
+        rank = F.when(side == mark, n).otherwise(rank)
+    order = Window.partitionBy("city").orderBy(F.length("name") - F.length("begin"), rank, "name", "code")
+    return rows.withColumn("place", F.row_number().over(order)).select("city", "place", "code", "name")
