@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -104,9 +105,8 @@ def repeat_filter(hashes: DataFrame, rows: int, max_bits: int = MAX_BITS) -> byt
     return bytes(out)
 
 
-def _with_maybe(hashed: DataFrame, repeated: bytes) -> DataFrame:
+def _with_maybe(hashed: DataFrame, found: Broadcast[bytes]) -> DataFrame:
     """Adds `maybe`: whether all slots of a row were hit twice."""
-    found = hashed.sparkSession.sparkContext.broadcast(repeated)
 
     @pandas_udf("boolean")
     def maybe_repeated(h1: pd.Series, h2: pd.Series) -> pd.Series:
@@ -143,12 +143,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         hashed.withColumn("round", F.pmod(F.xxhash64("h1", F.lit(2)), F.lit(rounds)).cast("int")).write.partitionBy("round").parquet(path)
         table = spark.read.parquet(path)
         parts = [table.where(F.col("round") == n).select(hashed.columns) for n in range(rounds)]
+    if rounds > 1:  # each round's filter is given back before the next one is made
+        done = shared_dir(spark)
+        for n, part in enumerate(parts):
+            found = spark.sparkContext.broadcast(repeat_filter(part, -(-total // rounds), max_bits))
+            _with_maybe(part, found).drop("h1", "h2").write.parquet(f"{done}/done={n}")
+            found.destroy()
+        marked = spark.read.parquet(done).drop("done")
     else:
-        parts = [hashed]
-    marked = None
-    for part in parts:
-        some = _with_maybe(part, repeat_filter(part, -(-total // rounds), max_bits)).drop("h1", "h2")
-        marked = some if marked is None else marked.unionByName(some)
+        marked = _with_maybe(hashed, spark.sparkContext.broadcast(repeat_filter(hashed, total, max_bits))).drop("h1", "h2")
     columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     single = marked.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     again = materialize(marked.where("maybe").drop("maybe"))
