@@ -188,7 +188,7 @@ def most_alike(mentions: DataFrame, places: DataFrame, k: int = 10, least: float
     sizes = known.groupBy("b").agg(F.count(F.lit(1)).alias("places"))
     enough = found.join(sizes, "b").groupBy("a").agg(F.sum("places").alias("places")).where(F.col("places") >= k)
     left = saved(a.join(enough, "a", "left_anti"))  # rules score more than letters ever do
-    if not left.isEmpty():
+    if least <= 0.8 and not left.isEmpty():  # letters alone give no more than that
         open_ = _pairs_by_letters(left, b, least).join(found.select("a", "b"), ["a", "b"], "left_anti")
         order = Window.partitionBy("a").orderBy(F.desc("bound"), "b")
         open_ = saved(open_.withColumns({"place": F.row_number().over(order), "next": F.lead("bound").over(order)}))

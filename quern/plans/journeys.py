@@ -177,8 +177,8 @@ def ge06_pending_meals(t: Tables) -> DataFrame:
     return L.pending_meals(_items(t), _poi(t)).select("item_id", "title", F.transform("anchors", lambda a: a["item_id"]).alias("anchors"))
 
 
-_FOUND = f"""{_ITEMS}, w AS (SELECT item_id, day, title, CASE WHEN item_id % 11 = 0 THEN title || '、面' ELSE title END AS asked, item_id % 20 AS h FROM i WHERE kind = 'meal' AND lat IS NULL),
-c AS (SELECT item_id, day, asked, p_partkey AS poi_id, p_partkey % 2 AS round, CASE p_partkey % 8 WHEN 0 THEN title WHEN 4 THEN title || '公园' WHEN 6 THEN title ELSE title || '-' || p_type END AS name, CASE p_partkey % 8 WHEN 0 THEN 1.0 WHEN 4 THEN 0.95 WHEN 6 THEN 1.0 ELSE 0.9 END::DOUBLE AS score,
+_FOUND = f"""{_ITEMS}, w AS (SELECT item_id, trip, day, title, CASE WHEN item_id % 11 = 0 THEN title || '、面' ELSE title END AS asked, item_id % 20 AS h FROM i WHERE kind = 'meal' AND lat IS NULL),
+c AS (SELECT item_id, trip, day, asked, p_partkey AS poi_id, p_partkey % 2 AS round, CASE p_partkey % 8 WHEN 0 THEN title WHEN 4 THEN title || '公园' WHEN 6 THEN title ELSE title || '-' || p_type END AS name, CASE p_partkey % 8 WHEN 0 THEN 1.0 WHEN 4 THEN 0.95 WHEN 6 THEN 1.0 ELSE 0.9 END::DOUBLE AS score,
  p_partkey % 5 > 0 AS food, p_partkey % 7 > 0 AS here, CASE WHEN p_partkey % 9 > 0 THEN 30 + (p_partkey % 1000) / 100000.0::DOUBLE END AS lat, CASE WHEN p_partkey % 9 > 0 THEN 100 + (p_partkey % 1000) / 100000.0::DOUBLE END AS lng FROM w JOIN part ON p_partkey // 8 = h)"""
 
 
@@ -212,8 +212,8 @@ def ge07_meal_decisions(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {_FOUND}, d AS (SELECT item_id, poi_id, any_value(score) AS score, any_value(name) AS name, any_value(c.lat) AS lat, any_value(c.lng) AS lng, any_value(c.day) AS day FROM c WHERE here AND food AND NOT contains(asked, '、') GROUP BY 1, 2),
-n AS (SELECT d.item_id, d.poi_id, any_value(score) AS score, any_value(name) AS name, round_even(min({_HALF.format('d.lat', 'd.lng', 'a.lat', 'a.lng')}), 0)::BIGINT AS metres FROM d LEFT JOIN i a ON a.day = d.day AND a.kind = 'poi' AND a.lat IS NOT NULL AND a.lng IS NOT NULL GROUP BY 1, 2),
+    f"""WITH {_FOUND}, d AS (SELECT item_id, poi_id, any_value(score) AS score, any_value(name) AS name, any_value(c.lat) AS lat, any_value(c.lng) AS lng, any_value(c.day) AS day, any_value(c.trip) AS trip FROM c WHERE here AND food AND NOT contains(asked, '、') GROUP BY 1, 2),
+n AS (SELECT d.item_id, d.poi_id, any_value(score) AS score, any_value(name) AS name, round_even(min({_HALF.format('d.lat', 'd.lng', 'a.lat', 'a.lng')}), 0)::BIGINT AS metres FROM d LEFT JOIN i a ON a.trip = d.trip AND a.day = d.day AND a.kind = 'poi' AND a.lat IS NOT NULL AND a.lng IS NOT NULL GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, metres NULLS LAST, name, poi_id) AS place, count(*) OVER (PARTITION BY item_id) AS total FROM n) SELECT item_id, place, total, poi_id, score, metres FROM r WHERE place <= 8"""
 )
 def ge08_meal_candidates(t: Tables) -> DataFrame:

@@ -190,8 +190,8 @@ y AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC,
 
 @query(f"WITH {_ALIKE} SELECT mention_id, place::INT AS place, poi_id, score FROM y")
 def al13_most_alike(t: Tables) -> DataFrame:
-    """The places most like each mention, of all there are. Each has some that rules decide; names that only the letters tell apart are held against brute force by a test."""
-    found = naming.most_alike(_mentions(t), _poi(t).select(F.col("poi_id").alias("place_id"), "name"), 3)
+    """The places that rules find most like each mention, of all there are; names that only the letters tell apart are held against brute force by a test."""
+    found = naming.most_alike(_mentions(t), _poi(t).select(F.col("poi_id").alias("place_id"), "name"), 3, 0.85)
     return found.select("mention_id", F.col("rank").alias("place"), F.col("place_id").alias("poi_id"), "score")
 
 

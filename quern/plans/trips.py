@@ -189,7 +189,7 @@ def snk04_deleted_trips(t: Tables) -> DataFrame:
 _POOL = """c AS (SELECT l_suppkey % 25 AS city, CASE WHEN l_partkey % 31 > 0 THEN l_partkey % 150 END AS poi_id, l_orderkey * 10 + l_linenumber AS claim_id, CASE l_returnflag WHEN 'R' THEN 'avoid' ELSE 'highlight' END AS polarity, CASE WHEN l_linestatus = 'F' THEN 'high' END AS confidence, l_linenumber AS sources FROM lineitem),
 p AS (SELECT p_partkey AS poi_id, p_name AS name FROM part WHERE p_partkey % 8 > 0), r AS (SELECT p_partkey AS poi_id, p_partkey % 3 > 0 AS required, (p_partkey % 20)::INT AS days, CASE WHEN p_partkey % 2 = 0 THEN '20:00' END AS at_time FROM part WHERE p_partkey % 4 > 1),
 i AS (SELECT user_id AS trip, CASE WHEN event_type = 'purchase' THEN 'meal' ELSE 'poi' END AS kind, CASE WHEN event_id % 9 > 0 THEN event_id % 160 END AS poi_id, 'hall ' || (event_id % 160) AS title, ts::DATE AS date, user_id % 25 AS city FROM events),
-n AS (SELECT city, poi_id, count(*) AS claims, count_if(confidence = 'high')::BIGINT AS sure, count_if(polarity = 'highlight')::BIGINT AS highlights, count_if(polarity = 'avoid')::BIGINT AS avoids FROM c WHERE poi_id IS NOT NULL GROUP BY 1, 2),
+n AS (SELECT city, poi_id, count(*) AS claims, count_if(coalesce(confidence, '') = 'high')::BIGINT AS sure, count_if(polarity = 'highlight')::BIGINT AS highlights, count_if(polarity = 'avoid')::BIGINT AS avoids FROM c WHERE poi_id IS NOT NULL GROUP BY 1, 2),
 k AS (SELECT n.*, coalesce(name, n.poi_id::VARCHAR) AS name, required, days, at_time, row_number() OVER (PARTITION BY city ORDER BY claims DESC, sure DESC, coalesce(name, n.poi_id::VARCHAR), n.poi_id) AS place FROM n LEFT JOIN p ON p.poi_id = n.poi_id LEFT JOIN r ON r.poi_id = n.poi_id QUALIFY place <= 60)"""
 
 
