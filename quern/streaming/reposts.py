@@ -22,7 +22,7 @@ from ..storage import saved
 #: Bits of a bucket's number; a store keeps those it began with.
 BUCKET_BITS = 8
 
-_GRAMS = "bucket int, new boolean, keys binary, ids binary, batch int"
+_GRAMS = "bucket int, new boolean, keys binary, ids binary, nexts binary, places binary, batch int"
 _GROUPS = "id long, group_id long, batch int"
 _DOCUMENTS = "id long, kind string, original long, coverage double, group_id long, key string, n long, body string, batch int"
 

@@ -140,3 +140,16 @@ def test_conclusion_groups(spark):
         held = spark.createDataFrame(list(known.items()), "id long, group_id long") if known else None
         assert {r["id"]: r["group_id"] for r in reposts.conclusion_groups(matches, held).collect()} == slow_groups(first, known)
     assert reposts.conclusion_groups(reposts.first_matches(rows.where(F.lit(False)))).count() == 0
+
+
+def test_short_shares_of_a_common_line_are_no_candidates(spark, monkeypatch):
+    """A line of 80 characters has 69 grams, but covers 80 places of texts of 500, be its grams few or frequent."""
+    rng = random.Random(4)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    line = own(80)
+    rows = [(i, own(200) + line + own(220)) for i in range(20)] + [(20, own(90) + line), (21, own(20) + line)]
+    items = spark.createDataFrame(rows, "id long, body string")
+    for heat in (64, 2):
+        monkeypatch.setattr(grams, "HEAT", heat)
+        found = {(r["id"], r["other"]) for r in reposts.cover_candidates(items).collect()}
+        assert found == {(21, i) for i in range(21)}
