@@ -6,12 +6,15 @@ char_start and char_end; predictions also text.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import names as N
+from ..functions import text as T
 from ..functions.runs import FACT_RUN, FACT_SHARE, overlap
 from ..sources.feeds import is_object, json_objects
 from ..storage import saved
@@ -26,11 +29,18 @@ def ranges_overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.coalesce((a0 < b1) & (b0 < a1), F.lit(False))
 
 
-def same_subject(poi: Column, name: Column, gold_poi: Column, gold_name: Column) -> Column:
+def _named(rows: DataFrame) -> DataFrame:
+    """Adds name, the subject without white space at either end, empty if it is null, and its stem."""
+    return rows.withColumn("name", T.strip(F.coalesce("subject", F.lit("")))).withColumn("stem", N.stem(F.col("name")))
+
+
+def _same_subject() -> Column:
     """Equal places that are known, or names that a rule finds alike; letters alone never reach the score."""
+    poi, gold_poi = F.col("poi_id"), F.col("g_poi_id")
     known = F.coalesce((poi != "") & (poi == gold_poi), F.lit(False))
-    named = F.coalesce(gold_name, F.lit("")) != ""
-    return known | (named & (F.coalesce(N.rule_score(F.coalesce(name, F.lit("")), gold_name), F.lit(0.0)) >= SUBJECT_SCORE))
+    named = F.coalesce(F.col("g_subject"), F.lit("")) != ""
+    score = N.stripped_score(F.col("name"), F.col("g_name"), F.col("stem"), F.col("g_stem"))
+    return known | (named & (F.coalesce(score, F.lit(0.0)) >= SUBJECT_SCORE))
 
 
 def compared(predictions: DataFrame, golds: DataFrame) -> DataFrame:
@@ -39,14 +49,16 @@ def compared(predictions: DataFrame, golds: DataFrame) -> DataFrame:
     A fact is the same if its ranges overlap, or if runs of FACT_RUN characters of the prediction's quote or
     text cover FACT_SHARE of the shorter side. agrees is null if the gold has no place.
     """
-    gold = golds.select("doc_id", *[F.col(c).alias(f"g_{c}") for c in ("seq", "subject", "polarity", "poi_id", "quote", "char_start", "char_end")])
-    rows = predictions.join(gold, "doc_id")
-    subject = same_subject(F.col("poi_id"), F.col("subject"), F.col("g_poi_id"), F.col("g_subject"))
+    gold = _named(golds).select("doc_id", *[F.col(c).alias(f"g_{c}") for c in ("name", "stem", "seq", "subject", "polarity", "poi_id", "quote", "char_start", "char_end")])
+    rows = _named(predictions).join(gold, "doc_id")
+    subject = _same_subject()
     ranges = ranges_overlap(F.col("char_start"), F.col("char_end"), F.col("g_char_start"), F.col("g_char_end"))
-    early = F.when(F.col("polarity") != F.col("g_polarity"), "polarity").when(~subject, "subject").when(ranges, "hit")
-    rows = saved(rows.withColumn("verdict", early))
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    worded = filled("g_quote") & (filled("quote") | filled("text"))
+    early = F.when(F.col("polarity") != F.col("g_polarity"), "polarity").when(~subject, "subject").when(ranges, "hit").when(~worded, "fact")
+    rows = saved(rows.withColumn("verdict", early).drop("name", "stem", "g_name", "g_stem"))
     open_ = rows.where("verdict IS NULL")
-    like = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(f"{c}_o.coverage") >= FACT_SHARE).otherwise(False)
+    like = lambda c: F.when(filled(c), F.col(f"{c}_o.coverage") >= FACT_SHARE).otherwise(False)
     worded = open_.withColumn("quote_o", overlap(FACT_RUN)("quote", "g_quote")).withColumn("text_o", overlap(FACT_RUN)("text", "g_quote"))
     worded = worded.withColumn("verdict", F.when(like("quote") | like("text"), "hit").otherwise("fact")).drop("quote_o", "text_o")
     gold_poi = F.nullif(F.col("g_poi_id"), F.lit(""))
@@ -54,22 +66,25 @@ def compared(predictions: DataFrame, golds: DataFrame) -> DataFrame:
     return rows.where("verdict IS NOT NULL").unionByName(worded).select("doc_id", F.col("seq").alias("p"), F.col("g_seq").alias("g"), "verdict", agrees.alias("agrees"))
 
 
-def _greedy(group: pd.DataFrame) -> pd.DataFrame:
-    used: set[int] = set()
-    taken: set[int] = set()
-    rows = []
-    for row in group.sort_values(["g", "p"]).itertuples(index=False):
-        if row.g not in taken and row.p not in used:
-            taken.add(row.g)
-            used.add(row.p)
-            rows.append(row)
-    return pd.DataFrame(rows, columns=group.columns)
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    doc, taken, used = None, None, set()
+    for batch in batches:
+        kept = []
+        for at, (d, p, g) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)))):
+            if d != doc:
+                doc, taken, used = d, None, set()
+            if g != taken and p not in used:
+                taken = g
+                used.add(p)
+                kept.append(at)
+        yield batch.take(pa.array(kept, pa.int64()))
 
 
 def paired(found: DataFrame) -> DataFrame:
-    """doc_id, p, g, agrees: golds in their order, each with the first prediction that hits it and is still free. A document's hits are few."""
+    """doc_id, p, g, agrees: golds in their order, each with the first prediction that hits it and is still free. Hits pass in order, so that documents of a few hits cost no more than their rows."""
     hits = found.where("verdict = 'hit'").select(F.col("doc_id"), F.col("p").cast("long"), F.col("g").cast("long"), "agrees")
-    return hits.groupBy("doc_id").applyInPandas(_greedy, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, p long, g long, agrees boolean")
+    hits = hits.repartition("doc_id").sortWithinPartitions("doc_id", "g", "p")
+    return hits.mapInArrow(_greedy, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, p long, g long, agrees boolean")
 
 
 def spurious(predictions: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Answers and runs as JSON texts that can't be relied on, and alerts."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from quern.operators import evaluation
 from quern.sources import feeds as S
 
 TEXTS = ["[1]", '{"a":1}', "[1]]", "[1]}", '{"a":1}}', '{"a":1}]', "", " ", "x", "null", "3", "1,2", "[1][2]", '"s"', "[1", None, '[{"a":"]"}]', ' [1] ']
@@ -39,3 +41,21 @@ def test_claims_one_by_one(spark):
     assert [r["reason"] for r in sorted(rows, key=lambda r: r["pos"])] == [None, "subject_type", "polarity", "no_object", "no_object", "no_object", "no_object", "subject_type"]
     first = min(rows, key=lambda r: r["pos"])
     assert (first["subject_name"], first["facet"], first["text"], first["quote"]) == ("gate", "other", "t", " q ")
+
+
+def test_pairs_of_many_documents_pass_in_order(spark):
+    """Hits go through no group a document, and are paired as golds and predictions follow one another."""
+    rng = random.Random(3)
+    hits = [(d, p, g) for d in range(40) for p in range(6) for g in range(6) if rng.random() < 0.4]
+    want = set()
+    for d in range(40):
+        used = set()
+        for g in range(6):
+            free = [p for x, p, y in hits if (x, y) == (d, g) and p not in used]
+            if free:
+                used.add(min(free))
+                want.add((d, min(free), g))
+    found = spark.createDataFrame([(*x, "hit", True) for x in hits], "doc_id long, p long, g long, verdict string, agrees boolean").repartition(7)
+    out = evaluation.paired(found)
+    assert "InPandas" not in out._jdf.queryExecution().toString()
+    assert {(r["doc_id"], r["p"], r["g"]) for r in out.collect()} == want
