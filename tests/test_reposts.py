@@ -57,6 +57,20 @@ def test_decisive_runs(spark, cell, monkeypatch):
     assert reposts.duplicates(items.limit(0)).count() == 0
 
 
+def test_a_common_line_is_met_once(spark, monkeypatch):
+    rng = random.Random(4)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    line = own(400)
+    bodies = [own(60) + line + own(60) for _ in range(20)] + ["ab" * 90, "zab" + "ab" * 60, line, line + own(50)]
+    items = spark.createDataFrame(list(enumerate(bodies)), "id long, body string")
+    want = {frozenset((i, j)) for i, a in enumerate(bodies) for j, b in enumerate(bodies) if i != j and common_run(a, b, DECISIVE_RUN)}
+    tables, write = [], grams.saved
+    monkeypatch.setattr(grams, "saved", lambda df: tables.append(write(df)) or tables[-1])
+    found = [(r["id"], r["other"]) for r in grams.anchored_pairs(items, 12, DECISIVE_RUN).collect()]
+    assert {frozenset(x) for x in found} == want and len(found) == len(want)
+    assert tables[0].count() < 200  # not a row for each of the line's anchors in each text
+
+
 @pytest.mark.parametrize("heat", [64, 2])
 def test_cover_candidates_lose_no_pair(spark, heat, monkeypatch):
     monkeypatch.setattr(grams, "HEAT", heat)
