@@ -4,7 +4,7 @@ The globe is cut into rings of latitude of one height, and each ring into cells
 that a circle reaches no further than a known number of rings, and in each of them a known range of cells,
 around the poles and across the 180th meridian, too. The nearest places are sought in circles that grow until
 as many are found inside as are asked for; whoever has enough leaves the search, so it ends after as many rounds as the
-farthest answer needs.
+farthest answer needs. Points that coincide are searched for, and measured, once for all of them.
 """
 
 from __future__ import annotations
@@ -72,12 +72,22 @@ def _known(rows: DataFrame) -> DataFrame:
     return rows.where("lat IS NOT NULL AND lng IS NOT NULL AND abs(lat) <= 90")
 
 
-def within(asked: DataFrame, places: DataFrame, metres: float, on: list[str] | None = None) -> DataFrame:
-    """asked_id, place_id, metres: all places within a distance of each point asked for, of those that agree in the columns of `on`.
+def _spots(rows: DataFrame, name: str, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The different points of rows with a number as their `name`, and the rows' own ids with the number of their spot."""
+    spots = saved(rows.select("lat", "lng", *on).distinct().withColumn(name, F.monotonically_increasing_id()))
+    return spots, rows.join(spots.withColumnRenamed(name, "spot"), ["lat", "lng", *on]).select(name, "spot")
+
+
+def within(asked: DataFrame, places: DataFrame, metres: float, on: list[str] | None = None, digits: int | None = None) -> DataFrame:
+    """asked_id, place_id, metres: all places within a distance of each point asked for, of those that agree in the columns of `on`. metres are rounded to so many digits, if any.
 
     asked has asked_id, lat, lng, places place_id, lat, lng. Points without coordinates, or beyond a pole, are nowhere; longitudes go around.
     """
-    return _met(_known(asked), _known(places), metres, on or [])
+    (points, askers), (spots, there) = _spots(_known(asked), "asked_id", on or []), _spots(_known(places), "place_id", on or [])
+    shown = F.col("metres") if digits is None else F.round("metres", digits).alias("metres")
+    met = saved(_met(points, spots, metres, on or []).select(F.col("asked_id").alias("at"), F.col("place_id").alias("spot"), shown))
+    near = met.join(there, "spot").select("at", "place_id", "metres")
+    return askers.withColumnRenamed("spot", "at").join(near, "at").select("asked_id", "place_id", "metres")
 
 
 def _first_metres(places: DataFrame, k: int, on: list[str]) -> float:
@@ -96,7 +106,11 @@ def nearest(asked: DataFrame, places: DataFrame, k: int = 1, on: list[str] | Non
     asked has each asked_id once. A point that has no place to agree with has no rows.
     """
     on = on or []
-    asked, places = saved(_known(asked)), saved(_known(places))
+    kind = asked.schema["asked_id"].dataType.simpleString()
+    asked, askers = _spots(_known(asked), "asked_id", on)
+    # of places that coincide, only the first k can be among the nearest
+    first = Window.partitionBy("lat", "lng", *on).orderBy("place_id")
+    places = saved(_known(places).withColumn("same", F.row_number().over(first)).where(F.col("same") <= k).select("place_id", "lat", "lng", *on))
     there = places.select(*on).groupBy(*on).agg(F.count(F.lit(1)).alias("there")) if on else places.agg(F.count(F.lit(1)).alias("there"))
     left = asked.join(there, on) if on else asked.crossJoin(F.broadcast(there))  # a table of one row
     left = saved(left.where("there > 0").withColumn("want", F.least(F.lit(k), F.col("there"))))
@@ -114,6 +128,5 @@ def nearest(asked: DataFrame, places: DataFrame, k: int = 1, on: list[str] | Non
         if last:
             break
     if done is None:
-        kinds = asked.schema["asked_id"].dataType.simpleString(), places.schema["place_id"].dataType.simpleString()
-        done = asked.sparkSession.createDataFrame([], f"asked_id {kinds[0]}, rank int, place_id {kinds[1]}, metres double")
-    return done
+        return asked.sparkSession.createDataFrame([], f"asked_id {kind}, rank int, place_id {places.schema['place_id'].dataType.simpleString()}, metres double")
+    return askers.join(done.withColumnRenamed("asked_id", "spot"), "spot").select("asked_id", "rank", "place_id", "metres")

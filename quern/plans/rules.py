@@ -129,7 +129,7 @@ def jn12_three_nearest(t: Tables) -> DataFrame:
 @query(f"WITH {_SPOTS} SELECT c_custkey, s_suppkey, round({_METRES.format('clat', 'clng', 'lat', 'lng')}, 1) AS metres FROM c, s WHERE {_METRES.format('clat', 'clng', 'lat', 'lng')} <= 60000")
 def src09_around(t: Tables) -> DataFrame:
     """All suppliers around each customer."""
-    return nearest.within(*_asked_and_places(t), 60_000.0).select(F.col("asked_id").alias("c_custkey"), F.col("place_id").alias("s_suppkey"), F.round("metres", 1).alias("metres"))
+    return nearest.within(*_asked_and_places(t), 60_000.0, digits=1).select(F.col("asked_id").alias("c_custkey"), F.col("place_id").alias("s_suppkey"), "metres")
 
 
 @query(

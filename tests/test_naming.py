@@ -87,6 +87,19 @@ def test_nearest_places(spark, k):
     assert math.isclose(far[99, 2001], far[99, 2002])
 
 
+def test_points_that_coincide_are_measured_once(spark, monkeypatch):
+    asked = [(i, 30.0 + i % 2, 100.0) for i in range(40)]
+    places = [(1000 + i, 30.0 + i % 3, 100.0) for i in range(60)]
+    frames = (spark.createDataFrame(asked, "asked_id long, lat double, lng double"), spark.createDataFrame(places, "place_id long, lat double, lng double"))
+    met, inner = [], nearest._met
+    monkeypatch.setattr(nearest, "_met", lambda *x: met.append(inner(*x).count()) or inner(*x))
+    want = {(i, j, round(G.metres_between(a, b, c, d), 1)) for i, a, b in asked for j, c, d in places if G.metres_between(a, b, c, d) <= 120_000}
+    assert {tuple(r) for r in nearest.within(*frames, 120_000.0, digits=1).collect()} == want and len(want) == 40 * 60 - 20 * 20
+    found = {tuple(r)[:3] for r in nearest.nearest(*frames, 2).collect()}
+    assert found == {(i, n + 1, 1000 + i % 2 + 3 * n) for i, *_ in asked for n in range(2)}
+    assert max(met) <= 2 * 3 * 2
+
+
 def test_phrases(spark, monkeypatch):
     monkeypatch.setattr(phrases, "FEW_TEXTS", 3)
     rng = random.Random(5)
