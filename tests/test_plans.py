@@ -141,6 +141,21 @@ def test_roots_of_chains_and_cycles(spark):
     assert found["x"] == "x" and found["t"] == "x" and found["s"] == "s"
 
 
+def test_ancestors_step_by_step(spark):
+    chain = [(f"c{i}", f"hall {i % 3 if i < 3 else ''}", f"c{i + 1}") for i in range(12)] + [("c12", "hall", None)]
+    rows = [*chain, ("x", "a", "y"), ("y", "ab", "x"), ("t", "b", " x "), ("m", "m", "missing"), ("s", "s", "s"), ("e", "e", "")]
+    poi = spark.createDataFrame(rows, "poi_id string, name string, parent_id string")
+    root = alignment.roots(poi)
+    found = {r["poi_id"]: r["root_id"] for r in root.collect()}
+    assert len(found) == len(rows) and found["c0"] == "c8" and found["c5"] == "c12" and found["m"] == "missing"
+    assert found["x"] == "x" and found["t"] == "x" and found["s"] == "s" and found["e"] == "e"
+    owner = alignment.owners(poi)
+    owned = {r["poi_id"]: r["owner_id"] for r in owner.collect()}
+    assert len(owned) == len(rows) and owned["c0"] == "c0" and owned["c2"] == "c10" and owned["c6"] == "c12" and owned["x"] == "x" and owned["t"] == "t" and owned["m"] == "m"
+    for plan in (root, owner):  # no task holds the joins of several steps
+        assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_body_and_html(spark):
     rows = [("  a \r\nb\t\n\n\n\nc\n\n",), ("",), ("\n\n",), ("a\rb",)]
     got = [r[0] for r in spark.createDataFrame(rows, "x string").select(T.normal_body(F.col("x"))).collect()]
