@@ -35,23 +35,32 @@ def is_bad_outdoors(day: Column, night: Column) -> Column:
     return F.coalesce(day.rlike(marks), F.lit(False)) | F.coalesce(night.rlike(marks), F.lit(False))
 
 
-def _text(raw: Column, path: str) -> Column:
+def _text(parsed: Column, path: str) -> Column:
     """A value as text: a list's texts are joined, other values are as they stand, and what is empty is null. The value's own type decides, not how its text begins."""
-    value = F.try_variant_get(F.try_parse_json(raw), path, "variant")
-    listed = F.array_join(F.try_variant_get(F.try_parse_json(raw), path, "array<string>"), "")
-    plain = F.try_variant_get(F.try_parse_json(raw), path, "string")
+    value = F.try_variant_get(parsed, path, "variant")
+    listed = F.array_join(F.try_variant_get(parsed, path, "array<string>"), "")
+    plain = F.try_variant_get(parsed, path, "string")
     return F.nullif(F.trim(F.when(F.schema_of_variant(value).startswith("ARRAY"), listed).otherwise(plain)), F.lit(""))
 
 
+def _once(rows: DataFrame, *columns: Column) -> DataFrame:
+    """The columns of each row, worked out once, whatever is asked of them later: neither another select nor a condition is merged with a generator."""
+    return rows.select(F.inline(F.array(F.struct(*columns))))
+
+
 def places(rows: DataFrame, raw: str = "raw") -> DataFrame:
     """The places in a map service's answers, one a row; those without id or coordinates are left out."""
-    x = F.col(raw)
-    at = F.split(_text(x, "$.location"), ",", 2)
+    x = F.col("parsed")
+    texts = {
+        "poi_id": "$.id", "named": "$.name", "typecode": "$.typecode", "type_name": "$.type", "adcode": "$.adcode", "address": "$.address", "parent_id": "$.parent", "location": "$.location",
+        "rated": "$.biz_ext.rating", "later": "$.biz_ext.opentime2", "open": "$.biz_ext.opentime", "photo_url": "$.photos[0].url",
+    }
+    read = _once(_once(rows, F.try_parse_json(F.col(raw)).alias("parsed")), *[_text(x, path).alias(name) for name, path in texts.items()])
+    at = F.split("location", ",", 2)
     number = lambda c: c.try_cast("double")
-    found = rows.select(
-        _text(x, "$.id").alias("poi_id"), F.coalesce(_text(x, "$.name"), _text(x, "$.id")).alias("name"), _text(x, "$.typecode").alias("typecode"), _text(x, "$.type").alias("type_name"), _text(x, "$.adcode").alias("adcode"),
-        _text(x, "$.address").alias("address"), _text(x, "$.parent").alias("parent_id"), number(F.get(at, F.lit(1))).alias("lat"), number(F.get(at, F.lit(0))).alias("lng"), number(_text(x, "$.biz_ext.rating")).alias("rating"),
-        F.coalesce(_text(x, "$.biz_ext.opentime2"), _text(x, "$.biz_ext.opentime")).alias("open_time"), _text(x, "$.photos[0].url").alias("photo_url"),
+    found = read.select(
+        "poi_id", F.coalesce("named", "poi_id").alias("name"), "typecode", "type_name", "adcode", "address", "parent_id", number(F.get(at, F.lit(1))).alias("lat"), number(F.get(at, F.lit(0))).alias("lng"),
+        number(F.col("rated")).alias("rating"), F.coalesce("later", "open").alias("open_time"), "photo_url",
     )
     return found.where("poi_id IS NOT NULL AND lat IS NOT NULL AND lng IS NOT NULL")
 

@@ -59,3 +59,11 @@ def test_pairs_of_many_documents_pass_in_order(spark):
     out = evaluation.paired(found)
     assert "InPandas" not in out._jdf.queryExecution().toString()
     assert {(r["doc_id"], r["p"], r["g"]) for r in out.collect()} == want
+
+
+def test_answers_are_parsed_once(spark):
+    raw = ['{"id":"B1","name":"","location":"100.5,30.25","address":["a","b"],"biz_ext":{"rating":"4.5","opentime":"9"},"photos":[{"url":"u"}]}', "{not json", '{"id":"B2","location":[]}', None]
+    found = S.places(spark.createDataFrame([(x,) for x in raw], "raw string"))
+    assert [(r.poi_id, r.name, r.lat, r.lng, r.rating, r.address, r.open_time, r.photo_url) for r in found.collect()] == [("B1", "B1", 30.25, 100.5, 4.5, "ab", "9", "u")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") + plan.count("parseJson") == 1
