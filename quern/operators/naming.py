@@ -1,7 +1,7 @@
 """Names in names, names in texts, and the names most like a mention, all by indexes.
 
 A name holds another only if it has the other's rarest gram, so each name looks for its rarest gram
-alone. Names in texts are found by an automaton of all names at once. The likeness of names comes in two tiers: what
+alone, of half its own characters at least where it has fewer than 48. Names in texts are found by an automaton of all names at once. The likeness of names comes in two tiers: what
 rules decide is found by equal keys, sections and containment; what the letters decide is bounded by the
 letters that both have, and only as many pairs are compared as the bounds leave open.
 """
@@ -21,8 +21,8 @@ from ..functions import names as N
 from ..functions import text as T
 from ..storage import saved, small_batches
 
-#: Characters in a gram of names, and names of a frequent gram in one cell.
-GRAM, CELL = 3, 4096
+#: Characters from which a name may decide by being in another one, characters in grams of names, and names of a frequent gram in one cell.
+GRAM, SIZES, CELL = 3, (1, 2, 3, 6, 12, 24), 4096
 #: Names, and characters of names, in one automaton.
 BLOCK_NAMES, BLOCK_CHARS = 100_000, 4_000_000
 #: Pairs of a mention that are compared by letters for each place wanted at first, and the growth of that number.
@@ -32,30 +32,38 @@ LEAST = 0.40
 
 
 def _grams(name: str, size: int) -> Column:
+    """Hashes of the different grams of a name; pairs that they lead to are compared, so equal hashes do no harm."""
     last = F.length(name) - (size - 1)
-    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(F.col(name), i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.substring(F.col(name), i, F.lit(size)))))).otherwise(F.array().cast("array<bigint>"))
 
 
 def held_names(parts: DataFrame, wholes: DataFrame, least: int = 1) -> DataFrame:
-    """Pairs (part, whole) of names, equal ones among them, of which the whole contains the part, of at least so many characters. Both have `name`, null and empty ones are in nothing."""
+    """Pairs (part, whole) of names, equal ones among them, of which the whole contains the part, of at least so many characters. Both have `name`, null and empty ones are in nothing.
+
+    A part is looked for by grams of the largest size it has, as short ones grow frequent with the number of names.
+    """
     parts, wholes = (x.where("name <> ''").select("name").distinct() for x in (parts, wholes))
-    parts = parts.where(F.length("name") >= least).withColumn("size", F.least(F.length("name"), F.lit(GRAM)))
-    sizes = range(min(least, GRAM), GRAM + 1)
-    held = None
-    for size in sizes:
-        rows = wholes.select(F.col("name").alias("whole"), F.lit(size).alias("size"), F.explode(_grams("name", size)).alias("gram"))
-        held = rows if held is None else held.unionByName(rows)
-    held = saved(held)
+    size = F.lit(SIZES[0])
+    for larger in SIZES[1:]:
+        size = F.when(F.length("name") >= larger, larger).otherwise(size)
+    parts = saved(parts.where(F.length("name") >= least).withColumn("size", size))
+    sizes = sorted(row["size"] for row in parts.select("size").distinct().collect())  # of those in SIZES
+
+    def grams(rows: DataFrame, name: str, size: Column) -> DataFrame:
+        each = [F.transform(_grams("name", n), lambda g: F.struct(F.lit(n).alias("size"), g.alias("gram"))) for n in sizes]
+        empty = F.array().cast("array<struct<size:int,gram:bigint>>")
+        found = F.concat(empty, *[F.when(size == n, x).otherwise(empty) if size is not None else x for n, x in zip(sizes, each)])
+        return rows.select(F.col("name").alias(name), F.explode(found).alias("g")).select(name, "g.size", "g.gram")
+
+    held = grams(wholes, "whole", None)
     heat = held.groupBy("size", "gram").agg(F.count(F.lit(1)).alias("heat"))
-    own = None
-    for size in sizes:
-        rows = parts.where(F.col("size") == size).select(F.col("name").alias("part"), "size", F.explode(_grams("name", size)).alias("gram"))
-        own = rows if own is None else own.unionByName(rows)
+    own = grams(parts, "part", F.col("size"))
     # a gram that no whole has rules the part out
     rarest = own.join(heat, ["size", "gram"], "left").groupBy("part", "size").agg(F.min(F.struct(F.coalesce("heat", F.lit(0)).alias("heat"), "gram")).alias("r")).select("part", "size", "r.gram", "r.heat").where("heat > 0")
-    cells = F.ceil(F.col("heat") / CELL).cast("int")
-    asked = rarest.select("part", "size", "gram", F.explode(F.sequence(F.lit(0), cells - 1)).alias("cell"))
-    dealt = held.join(heat, ["size", "gram"]).select("whole", "size", "gram", F.pmod(F.xxhash64("whole"), cells).cast("int").alias("cell"))
+    rarest = saved(rarest.withColumn("cells", F.ceil(F.col("heat") / CELL).cast("int")))
+    asked = rarest.select("part", "size", "gram", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
+    # only grams that a part is looked for by go on
+    dealt = held.join(rarest.select("size", "gram", "cells").distinct(), ["size", "gram"]).select("whole", "size", "gram", F.pmod(F.xxhash64("whole"), F.col("cells")).cast("int").alias("cell"))
     return asked.join(dealt, ["size", "gram", "cell"]).where(F.col("whole").contains(F.col("part"))).select("part", "whole")
 
 
@@ -184,11 +192,14 @@ def most_alike(mentions: DataFrame, places: DataFrame, k: int = 10, least: float
     asked = saved(mentions.select("mention_id", T.strip(F.col("mention")).alias("a")).where("a <> ''"))
     known = saved(places.select("place_id", "name", T.strip(F.col("name")).alias("b")).where("b <> ''"))
     a, b = asked.select("a").distinct(), known.select("b").distinct()
-    found = saved(_pairs_by_rules(a, b).withColumn("score", N.rule_score(F.col("a"), F.col("b"))).where(F.col("score") >= least))
-    sizes = known.groupBy("b").agg(F.count(F.lit(1)).alias("places"))
-    enough = found.join(sizes, "b").groupBy("a").agg(F.sum("places").alias("places")).where(F.col("places") >= k)
-    left = saved(a.join(enough, "a", "left_anti"))  # rules score more than letters ever do
-    if least <= 0.8 and not left.isEmpty():  # letters alone give no more than that
+    score = N.stripped_score(F.col("a"), F.col("b"), N.stem(F.col("a")), N.stem(F.col("b")))
+    found = saved(_pairs_by_rules(a, b).withColumn("score", score).where(F.col("score") >= least))
+    left = None
+    if least <= 0.8:  # letters alone give no more than that
+        sizes = known.groupBy("b").agg(F.count(F.lit(1)).alias("places"))
+        enough = found.join(sizes, "b").groupBy("a").agg(F.sum("places").alias("places")).where(F.col("places") >= k)
+        left = saved(a.join(enough, "a", "left_anti"))  # rules score more than letters ever do
+    if left is not None and not left.isEmpty():
         open_ = _pairs_by_letters(left, b, least).join(found.select("a", "b"), ["a", "b"], "left_anti")
         order = Window.partitionBy("a").orderBy(F.desc("bound"), "b")
         open_ = saved(open_.withColumns({"place": F.row_number().over(order), "next": F.lead("bound").over(order)}))
@@ -204,6 +215,6 @@ def most_alike(mentions: DataFrame, places: DataFrame, k: int = 10, least: float
             ahead = scored.where(F.col("place") == high).select("a", "next").where("next IS NOT NULL").join(kth, "a", "left").where("kth IS NULL OR next >= kth").select("a")
             open_ = saved(open_.join(ahead, "a", "left_semi"))
             low, high = high, high * GROWTH
-    rows = asked.join(found, "a").join(known, "b")
-    rank = F.row_number().over(Window.partitionBy("mention_id").orderBy(F.desc("score"), "place_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("mention_id", "rank", "place_id", "name", "score")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "place_id"))
+    best = found.join(known, "b").withColumn("rank", rank).where(F.col("rank") <= k)  # the same for all mentions of one name
+    return asked.join(best, "a").select("mention_id", "rank", "place_id", "name", "score")

@@ -28,6 +28,18 @@ def test_names_that_contain_each_other(spark, monkeypatch):
     assert found == sorted((i, j) for i, a in rows for j, b in rows if a and b and i != j and (a in b or b in a))
 
 
+def test_names_are_compared_with_few(spark, monkeypatch):
+    """Numbered names have short grams in common, more of them the more names there are; the pairs that are compared are about those that there are."""
+    kept, inner = [], naming.saved
+    monkeypatch.setattr(naming, "saved", lambda df: kept.append(inner(df)) or kept[-1])
+    names = [f"hall {i}" for i in range(3000)] + [f"hall {i}-gate" for i in range(0, 3000, 2)] + ["ha", "l", "hall 7" * 9]
+    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    found = naming.held_names(rows, rows).count()
+    assert found == sum(a in b for a in names for b in names)
+    compared = [df.agg(F.sum("heat")).first()[0] for df in kept if "heat" in df.columns]
+    assert len(compared) == 1 and compared[0] < 2 * found
+
+
 @pytest.mark.parametrize("block", [100_000, 7])
 def test_names_in_texts(spark, block, monkeypatch):
     monkeypatch.setattr(naming, "BLOCK_NAMES", block)
