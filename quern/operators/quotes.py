@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import text as T
 from ..functions.runs import gram_hashes
@@ -72,20 +74,41 @@ def holders(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     return both.where(F.col("body").contains(F.col("form"))).select("quote_id", "doc_id")
 
 
-def located(rows: DataFrame, quote: str, body: str) -> DataFrame:
-    """Adds verdict, char_start and char_end: exact, loose, too_short or missing, and the half-open range of characters, -1 where there is none.
+@F.pandas_udf(StructType([StructField("char_start", IntegerType()), StructField("char_end", IntegerType())]))
+def _loose_places(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """The range in a text of so many characters that count, from the one with this number on; -1 where the text is null."""
+    marks = np.array([ord(c) for c in T.LOOSE], np.uint32)
+    for bodies, at, size in rows:
+        out = np.full((len(bodies), 2), -1, np.int32)
+        for row, (body, first, n) in enumerate(zip(bodies, at, size)):
+            if body is not None:
+                kept = np.flatnonzero(~np.isin(np.frombuffer(body.encode("utf-32-le"), np.uint32), marks))
+                out[row] = kept[int(first) - 1], kept[int(first + n) - 2] + 1
+        yield pd.DataFrame(out, columns=["char_start", "char_end"])
 
-    A loose match leaves white space and punctuation out of account; its range is that of the text as it stands.
+
+def located(rows: DataFrame, quote: str, body: str, plain: str) -> DataFrame:
+    """The rows without body and plain, with verdict, char_start and char_end: exact, loose, too_short or missing, and the half-open range of characters, -1 where there is none.
+
+    A loose match leaves white space and punctuation out of account; its range is that of the text as it stands. plain is the body without these:
+    it is made once for each document, before the join with its quotes. Only texts of loose matches are taken apart.
     """
+    small_batches(rows.sparkSession)
     text = T.strip(F.col(quote))
-    loose, plain = T.without(text, T.LOOSE), T.without(F.col(body), T.LOOSE)
-    verdict = T.quote_verdict(F.col(quote), F.col(body))
-    counted = F.transform(T.characters(F.col(body)), lambda c, i: F.struct(c.alias("c"), (i + 1).alias("i")))
-    kept = F.transform(F.filter(counted, lambda x: ~F.lit(T.LOOSE).contains(x["c"])), lambda x: x["i"])
-    place, at = F.when(F.col("verdict") == "loose", kept), F.instr(plain, loose)
-    start = F.when(F.col("verdict") == "exact", F.instr(F.col(body), text) - 1).when(F.col("verdict") == "loose", F.element_at(place, at) - 1).otherwise(-1)
-    end = F.when(F.col("verdict") == "exact", F.instr(F.col(body), text) - 1 + F.length(text)).when(F.col("verdict") == "loose", F.element_at(place, at + F.length(loose) - 1)).otherwise(-1)
-    return rows.withColumn("verdict", verdict).withColumns({"char_start": start.cast("int"), "char_end": end.cast("int")})
+    loose = T.without(text, T.LOOSE)
+    verdict = (
+        F.when(F.length(text) < T.MIN_QUOTE_CHARS, "too_short").when(F.col(body).contains(text), "exact")
+        .when((loose != "") & F.col(plain).contains(loose), "loose").otherwise("missing")
+    )
+    rest = [c for c in rows.columns if c not in (body, plain)]
+    at = F.when(F.col("verdict") == "exact", F.instr(F.col(body), text)).when(F.col("verdict") == "loose", F.instr(F.col(plain), loose))
+    found = rows.withColumn("verdict", verdict)
+    found = found.select(*rest, "verdict", at.alias("__at"), F.length(text).alias("__chars"), F.length(loose).alias("__size"), F.when(F.col("verdict") == "loose", F.col(body)).alias("__text"))
+    found = found.withColumn("__place", _loose_places("__text", "__at", "__size"))
+    exact = F.col("verdict") == "exact"
+    start = F.when(exact, F.col("__at") - 1).otherwise(F.col("__place.char_start"))
+    end = F.when(exact, F.col("__at") - 1 + F.col("__chars")).otherwise(F.col("__place.char_end"))
+    return found.select(*rest, "verdict", start.cast("int").alias("char_start"), end.cast("int").alias("char_end"))
 
 
 def quote_places(quotes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -101,7 +124,8 @@ def quote_places(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = candidates(loose, plain)
     if not marks.isEmpty():
         pairs = pairs.unionByName(candidates(marks, docs))
-    placed = located(pairs.join(quotes, "quote_id").join(docs, "doc_id"), "quote", "body").where(usable(F.col("verdict")))
+    both = docs.select("doc_id", "body").withColumn("__plain", T.without(F.col("body"), T.LOOSE))
+    placed = located(pairs.join(quotes, "quote_id").join(both, "doc_id"), "quote", "body", "__plain").where(usable(F.col("verdict")))
     found = saved(placed.select("quote_id", "doc_id", "verdict", "char_start", "char_end"))
     rest = quotes.join(found.select("quote_id").distinct(), "quote_id", "left_anti")
     none = F.when(F.length(T.strip(F.col("quote"))) < T.MIN_QUOTE_CHARS, "too_short").otherwise("missing")
@@ -115,8 +139,8 @@ def usable(verdict: Column) -> Column:
 
 def verified(claims: DataFrame, docs: DataFrame) -> DataFrame:
     """The claims (doc_id, quote and others) with verdict, char_start and char_end in the normal body of their own document, and accepted; a missing document accepts none."""
-    bodies = docs.select("doc_id", T.normal_body(F.col("text")).alias("__body"))
-    rows = located(claims.join(bodies, "doc_id", "left").withColumn("__body", F.coalesce("__body", F.lit(""))), "quote", "__body").drop("__body")
+    bodies = docs.select("doc_id", T.normal_body(F.col("text")).alias("__body")).withColumn("__plain", T.without(F.col("__body"), T.LOOSE))
+    rows = located(claims.join(bodies, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("__body", "__plain")}), "quote", "__body", "__plain")
     return rows.withColumn("accepted", usable(F.col("verdict")))
 
 

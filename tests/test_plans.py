@@ -133,6 +133,18 @@ def test_loose_quotes_are_placed(spark):
     assert found == {1: (1, "loose", 3, 21), 2: (1, "exact", 0, 16), 3: (None, "too_short", -1, -1), 4: (None, "missing", -1, -1)}
 
 
+def test_bodies_are_prepared_once_a_document(spark):
+    docs = spark.createDataFrame([(1, "𝒜 early, before\nnine; queues 𝒜 grow. Go"), (2, None)], "doc_id long, text string")
+    claims = spark.createDataFrame([(1, 0, "queues grow"), (1, 1, "early before nine"), (1, 2, "\tqueues 𝒜 grow\n"), (1, 3, "nine queues 𝒜 grow Go"), (2, 4, "not in it"), (9, 5, "no document"), (1, 6, "Go"), (1, 7, None)], "doc_id long, i long, quote string")
+    checked = quotes.verified(claims, docs)
+    found = {r["i"]: (r["verdict"], r["char_start"], r["char_end"], r["accepted"]) for r in checked.collect()}
+    assert found == {0: ("missing", -1, -1, False), 1: ("loose", 2, 20, True), 2: ("exact", 22, 35, True), 3: ("loose", 16, 39, True), 4: ("missing", -1, -1, False), 5: ("missing", -1, -1, False), 6: ("too_short", -1, -1, False), 7: ("missing", -1, -1, False)}
+    above, _, below = checked.where("accepted")._jdf.queryExecution().optimizedPlan().toString().partition("Join")
+    assert "lambda" not in above and "translate(__body" not in above and "translate(__body" in below
+    above, _, below = QUERIES["ql04_gold_quotes"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString().partition("Generate explode")
+    assert "regexp_replace" in below.split("Relation")[0]  # the normal body is made before there are five claims of it
+
+
 def test_roots_of_chains_and_cycles(spark):
     chain = [(f"c{i}", f"c{i + 1}") for i in range(12)] + [("c12", None)]
     rows = [*chain, ("x", "y"), ("y", "x"), ("t", "x"), ("m", "missing"), ("s", "s")]
