@@ -106,10 +106,11 @@ def repost_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def first_matches(keys: DataFrame) -> DataFrame:
-    """doc, other, share: for each document of LEAST_KEYS keys the first other one, by id, that has KEY_SHARE of its keys. keys has doc and key, each pair once.
+    """doc, other, share: for each document of LEAST_KEYS different keys the first other one, by id, that has KEY_SHARE of its keys. keys has doc and key.
 
-    A document may leave out its most frequent keys, one fewer than the other must have.
+    A document may leave out its most frequent keys, one fewer than the other must have. Keys may be long, so half of their SHA-256 stands for them from the start.
     """
+    keys = saved(keys.select("doc", F.substring(F.unhex(F.sha2("key", 256)), 1, 16).alias("key")).distinct())
     heat = keys.groupBy("key").agg(F.count(F.lit(1)).alias("heat")).where("heat > 1")
     sizes = keys.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_KEYS)
     must = F.ceil(F.col("n") * F.lit(str(KEY_SHARE)).cast("decimal(3,2)"))

@@ -38,10 +38,15 @@ _MARKS = "' ' || chr(9) || chr(13) || chr(10) || '　，。、；：！？“”
 _KEYS = f"SELECT DISTINCT doc_id AS doc, translate(lang || '|' || line, {_MARKS}, '') AS key FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''"
 
 
-def _conclusions(t: Tables) -> DataFrame:
-    """doc and key of the conclusions of a document: its lines, each with its subject, without marks."""
+def _lines(t: Tables) -> DataFrame:
+    """doc and key of the lines of a document, each with its subject, without marks."""
     lines = t.documents.select(F.col("doc_id").alias("doc"), "lang", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
-    return lines.select("doc", T.without(F.concat("lang", F.lit("|"), "line"), T.LOOSE).alias("key")).distinct()
+    return lines.select("doc", T.without(F.concat("lang", F.lit("|"), "line"), T.LOOSE).alias("key"))
+
+
+def _conclusions(t: Tables) -> DataFrame:
+    """The conclusions of a document: its lines, each once."""
+    return _lines(t).distinct()
 
 
 @query(f"SELECT doc, key, length(key) AS key_chars FROM ({_KEYS})")
@@ -60,7 +65,7 @@ def dd12_conclusion_profiles(t: Tables) -> DataFrame:
 SELECT p.doc, other, round_even(shared / n, 4) AS share FROM p JOIN n ON p.doc = n.doc WHERE shared * 10 >= n * 8 QUALIFY row_number() OVER (PARTITION BY p.doc ORDER BY other) = 1"""
 )
 def dd13_first_match_by_keys(t: Tables) -> DataFrame:
-    return reposts.first_matches(_conclusions(t))
+    return reposts.first_matches(_lines(t))
 
 
 @query(
@@ -72,7 +77,7 @@ SELECT g.doc, group_id, share FROM g JOIN f ON f.doc = g.doc UNION ALL SELECT DI
 )
 def dd13_conclusion_groups(t: Tables) -> DataFrame:
     """Each document that matches another one, or is matched, with the group it comes to in the order of ids."""
-    return reposts.conclusion_groups(reposts.first_matches(_conclusions(t))).withColumnRenamed("id", "doc")
+    return reposts.conclusion_groups(reposts.first_matches(_lines(t))).withColumnRenamed("id", "doc")
 
 
 def _items(t: Tables) -> DataFrame:

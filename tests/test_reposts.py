@@ -156,6 +156,15 @@ def test_conclusion_groups(spark):
     assert reposts.conclusion_groups(reposts.first_matches(rows.where(F.lit(False)))).count() == 0
 
 
+def test_long_keys_are_not_sent(spark, monkeypatch):
+    kept, inner = [], reposts.saved
+    monkeypatch.setattr(reposts, "saved", lambda df: kept.append(inner(df)) or kept[-1])
+    rows = [(d, f"{'k' * 2000}{i}") for d, n in ((1, 5), (2, 5), (3, 4), (4, 3)) for i in range(n)] + [(5, f"k{i}") for i in range(5)] + [(6, None)]
+    found = reposts.first_matches(spark.createDataFrame(rows + rows[:7], "doc long, key string"))
+    assert {tuple(r) for r in found.collect()} == {(1, 2, 1.0), (2, 1, 1.0), (3, 1, 1.0)}
+    assert kept and all(df.where(F.length("key") > 16).isEmpty() for df in kept)
+
+
 def test_short_shares_of_a_common_line_are_no_candidates(spark, monkeypatch):
     """A line of 80 characters has 69 grams, but covers 80 places of texts of 500, be its grams few or frequent."""
     rng = random.Random(4)
