@@ -1,17 +1,16 @@
 """Names in names, names in texts, and the names most like a mention, all by indexes.
 
 A name holds another only if it has the other's rarest gram, so each name looks for its rarest gram
-alone, of half its own characters at least where it has fewer than 48. Names in texts are found by an automaton of all names at once. The likeness of names comes in two tiers: what
+alone, of half its own characters at least where it has fewer than 48. Names in texts are found all at once, by hashes of their beginnings. The likeness of names comes in two tiers: what
 rules decide is found by equal keys, sections and containment; what the letters decide is bounded by the
 letters that both have, and only as many pairs are compared as the bounds leave open.
 """
 
 from __future__ import annotations
 
-import functools
-import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +22,8 @@ from ..storage import saved, small_batches
 
 #: Characters from which a name may decide by being in another one, characters in grams of names, and names of a frequent gram in one cell.
 GRAM, SIZES, CELL = 3, (1, 2, 3, 6, 12, 24), 4096
-#: Names, and characters of names, in one automaton.
-BLOCK_NAMES, BLOCK_CHARS = 100_000, 4_000_000
+#: Names, and characters of names, that are looked for in one pass, characters of texts that are searched together, and the base of hashes of their parts.
+BLOCK_NAMES, BLOCK_CHARS, SEARCHED_CHARS, BASE = 1_000_000, 10_000_000, 500_000, np.uint64(0x5851F42D4C957F2D)
 #: Pairs of a mention that are compared by letters for each place wanted at first, and the growth of that number.
 TRIED, GROWTH = 16, 8
 #: Least likeness of a candidate: that at which a sole one is still accepted.
@@ -75,37 +74,112 @@ def containing_each_other(names: DataFrame) -> DataFrame:
     return own.join(both, "a").join(names.select(F.col("id").alias("other"), F.col("name").alias("b")), "b").where("id <> other").select("id", "other")
 
 
-@functools.lru_cache(maxsize=2)
-def _automaton(packed: bytes):
-    return pickle.loads(packed)
-
-
-def _counter(packed):
+def _at(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of hashes in a table of bits, whose size is a power of two."""
+    return (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (8 * len(bits)).bit_length() + 1)
+
+
+def _bits(h: np.ndarray) -> np.ndarray:
+    bits = np.zeros(1 << max(3, (2 * len(h)).bit_length()), np.uint8)  # 16 bits or more for each hash
+    at = _at(h, bits)
+    np.bitwise_or.at(bits, at >> np.uint64(3), np.left_shift(1, at & np.uint64(7)).astype(np.uint8))
+    return bits
+
+
+def _may(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = _at(h, bits)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _levels(names: list[str]):
+    """The names, longest first, their sizes, characters and where these begin, for each number of characters: bits of the beginnings of longer names, bits, hashes and numbers of the names of this length, and the names' places in order."""
+    names = sorted(names, key=len, reverse=True)
+    sizes = np.array([len(n) for n in names], np.int64)
+    codes, first = _codes("".join(names)), np.cumsum(sizes) - sizes
+    h, levels = np.zeros(len(names), np.uint64), []
+    for size in range(1, int(sizes[0]) + 1):
+        n, longer = (int(np.searchsorted(-sizes, -x, "right")) for x in (size, size + 1))
+        h = h[:n] * BASE + codes[first[:n] + size - 1]
+        order = longer + np.argsort(h[longer:])
+        more = _bits(np.unique(h[:longer])) if size >= 4 else None  # most texts have all beginnings that are shorter
+        levels.append((more, _bits(h[order]) if len(order) else None, h[order], order))
+    place = np.empty(len(names), np.int64)
+    place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+    return pa.array(names, pa.string()), sizes, codes, first, levels, place
+
+
+def _occurrences(codes: np.ndarray, known) -> tuple[np.ndarray, np.ndarray]:
+    """The places in a text at which names stand, and the numbers of these: all places go on together, a character at a time, while a name may begin there."""
+    own, first, levels = known[2:5]
+    places, numbers = [], []
+    at, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+    for size, (more, ends, hashes, order) in enumerate(levels, 1):
+        n = int(np.searchsorted(at, len(codes) - size, "right"))
+        at, h = at[:n], h[:n]
+        if not n:
+            break
+        h = h * BASE + codes[at + (size - 1)]
+        if ends is not None:
+            some = np.flatnonzero(_may(h, ends))
+            met = np.searchsorted(hashes, h[some])
+            same = hashes[np.minimum(met, len(hashes) - 1)] == h[some]
+            place, number = at[some[same]], order[met[same]]
+            for i in range(size):
+                same = codes[place + i] == own[first[number] + i]
+                place, number = place[same], number[same]
+            places.append(place)
+            numbers.append(number)
+        if more is not None:
+            going = _may(h, more)
+            at, h = at[going], h[going]
+    empty = np.empty(0, np.int64)
+    return np.concatenate([empty, *places]), np.concatenate([empty, *numbers])
+
+
+def _counted(texts: list[str], known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number of the name, and count. Texts are searched as one, with a mark between them that no name has."""
+    names, sizes = known[:2]
+    lengths = np.array([len(t) + 1 for t in texts])
+    mark = np.array([0x110000], np.uint32)
+    places, numbers = _occurrences(np.concatenate([x for t in texts for x in (_codes(t), mark)]), known)
+    rows = np.searchsorted(np.cumsum(lengths), places, "right")
+    key = rows * len(names) + numbers
+    order = np.lexsort((places, key))
+    key, places = key[order], places[order]
+    found, counts = np.unique(key, return_counts=True)
+    overlap = (key[1:] == key[:-1]) & (np.diff(places) < sizes[key[1:] % len(names)])
+    for k in np.unique(key[1:][overlap]):
+        counts[np.searchsorted(found, k)] = texts[k // len(names)].count(names[int(k % len(names))].as_py())
+    return found // len(names), found % len(names), counts
+
+
+def _counter(packed, best: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(packed.value)
+        known = packed.value
         for batch in batches:
-            rows, names, counts = [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                found: dict[str, list[int]] = {}  # of each name, how often, and where its last occurrence ended
-                for end, name in automaton.iter(text or ""):
-                    seen = found.setdefault(name, [0, -1])
-                    if end - len(name) >= seen[1]:
-                        seen[0], seen[1] = seen[0] + 1, end
-                rows += [row] * len(found)
-                names += found
-                counts += [n for n, _ in found.values()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=["id", "name", "n"])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            part = np.cumsum([len(t) for t in texts]) // SEARCHED_CHARS
+            for n in np.unique(part):
+                own = np.flatnonzero(part == n)
+                rows, numbers, counts = _counted([texts[i] for i in own], known)
+                if best:
+                    order = np.lexsort((known[5][numbers], -counts, rows))
+                    order = order[np.unique(rows[order], return_index=True)[1]]
+                    rows, numbers, counts = rows[order], numbers[order], counts[order]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own[rows])), known[0].take(pa.array(numbers)), pa.array(counts, pa.int64())], names=["id", "name", "n"])
 
     return run
 
 
-def names_in_texts(texts: DataFrame, names: DataFrame) -> DataFrame:
+def names_in_texts(texts: DataFrame, names: DataFrame, best: bool = False) -> DataFrame:
     """id, name, n: how often each name occurs in each text, occurrences that overlap counted once, from the left; those that occur. texts has id and text, names name.
 
-    Empty and null names are nowhere. Names are taken in blocks of bounded size, each with a pass over the texts.
+    Empty and null names are nowhere. With best, only the most frequent name of each pass is given for a text, of equals the first in order. Names are taken in blocks of bounded size, each with a pass over the texts.
     """
-    import ahocorasick
-
     spark = texts.sparkSession
     small_batches(spark)
     known = saved(names.where("name <> ''").select("name").distinct())
@@ -114,14 +188,10 @@ def names_in_texts(texts: DataFrame, names: DataFrame) -> DataFrame:
     kind = texts.schema["id"].dataType.simpleString()
     out = None
     for block in range(blocks):
-        automaton = ahocorasick.Automaton()
-        for row in known.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block).toLocalIterator():
-            automaton.add_word(row["name"], row["name"])
-        if not len(automaton):
+        own = [row["name"] for row in known.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block).toLocalIterator()]
+        if not own:
             continue
-        automaton.make_automaton()
-        packed = spark.sparkContext.broadcast(pickle.dumps(automaton))
-        found = texts.select("id", "text").mapInArrow(_counter(packed), f"id {kind}, name string, n long")
+        found = texts.select("id", "text").mapInArrow(_counter(spark.sparkContext.broadcast(_levels(own)), best), f"id {kind}, name string, n long")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], f"id {kind}, name string, n long")
 
@@ -129,7 +199,7 @@ def names_in_texts(texts: DataFrame, names: DataFrame) -> DataFrame:
 def most_named(texts: DataFrame, names: DataFrame) -> DataFrame:
     """id, name, n: the name that occurs most often in each text, of equals the first in order; texts that have none are left out."""
     best = F.min_by(F.struct("name", "n"), F.struct(-F.col("n"), "name")).alias("best")
-    return names_in_texts(texts, names).groupBy("id").agg(best).select("id", "best.name", "best.n")
+    return names_in_texts(texts, names, best=True).groupBy("id").agg(best).select("id", "best.name", "best.n")
 
 
 def _sections(name: Column) -> Column:

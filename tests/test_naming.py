@@ -54,6 +54,17 @@ def test_names_in_texts(spark, block, monkeypatch):
     assert naming.names_in_texts(frames[0], frames[1].limit(0)).count() == 0
 
 
+def test_many_names_take_one_pass(spark, monkeypatch):
+    """The texts are read once, however the names grow, and only the best name of a text leaves a task."""
+    names = spark.range(150_000).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"))
+    texts = spark.createDataFrame([(1, "n12 n149999 n149999n149999"), (2, "𝒜n7𝒜n6"), (3, "none"), (4, None)], "id long, text string")
+    found = naming.most_named(texts, names)
+    assert {tuple(r) for r in found.collect()} == {(1, "n1", 4), (2, "n6", 1)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert naming.names_in_texts(texts, names).where("id = 1").count() == 7
+    assert naming.names_in_texts(texts, names, best=True).count() == 2
+
+
 def test_most_alike(spark, monkeypatch):
     monkeypatch.setattr(naming, "TRIED", 1)
     monkeypatch.setattr(naming, "GROWTH", 2)
