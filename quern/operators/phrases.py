@@ -1,7 +1,7 @@
 """Search for phrases in texts by an index of their grams, whatever the case of ASCII letters.
 
 The index holds, for each gram of GRAM characters, the ids of the texts that have it, in folders by the gram's hash
-and in its order within, and how many they are. A search looks at the counts of the phrase's grams, reads the
+and in its order within, a row for each batch of texts, and how many they are. A search looks at the counts of the phrase's grams, reads the
 folders of its rarest ones only, and compares the phrase itself with the texts that have all of these.
 """
 
@@ -21,24 +21,23 @@ from ..storage import shared_folder, small_batches
 #: Characters in a gram, folders of an index, grams of a phrase that are looked up, and texts that are asked for by their ids.
 GRAM, BUCKETS, RAREST, FEW_TEXTS = 3, 64, 4, 1000
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-
-def folded(text: Column) -> Column:
+def _folded(text: str | None) -> str:
     """The text with A to Z in lower case; other letters stay as they are."""
-    return F.translate(text, _UPPER, _LOWER)
-
-
-def _bucket(gram: Column) -> Column:
-    return F.pmod(F.shiftright(gram, 40), F.lit(BUCKETS)).cast("int")
+    return (text or "").encode().lower().decode()
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each gram of a batch of texts with the ids of those that have it."""
     for batch in batches:
         texts = zip(*[column.to_pylist() for column in batch.columns[1:]])
-        found = [np.unique(np.concatenate([gram_hashes(x or "", GRAM) for x in row])) for row in texts]
+        found = [np.unique(np.concatenate([gram_hashes(_folded(x), GRAM) for x in row])) for row in texts]
         rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], names=["id", "gram"])
+        every = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
+        order = np.argsort(every, kind="stable")
+        grams, first = np.unique(every[order], return_index=True)
+        ids = pa.ListArray.from_arrays(pa.array(np.append(first, len(every)), pa.int32()), batch.column(0).take(pa.array(rows[order])))
+        yield pa.RecordBatch.from_arrays([pa.array((grams >> 40) % BUCKETS, pa.int32()), pa.array(grams), ids], names=["bucket", "gram", "ids"])
 
 
 @dataclass
@@ -56,29 +55,27 @@ def build_index(docs: DataFrame, id_col: str, text_cols: list[str], path: str |
     small_batches(spark)
     path = path or shared_folder(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), *[folded(F.col(c)).alias(f"text{n}") for n, c in enumerate(text_cols)])
-    found = rows.mapInArrow(_grams, f"id {kind}, gram long").withColumn("bucket", _bucket(F.col("gram")))
-    found.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "gram", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
-    counts = spark.read.parquet(f"{path}/postings").groupBy("bucket", "gram").agg(F.count(F.lit(1)).alias("texts"))
+    rows = docs.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"text{n}") for n, c in enumerate(text_cols)])
+    found = rows.mapInArrow(_grams, f"bucket int, gram long, ids array<{kind}>")
+    found.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/postings")
+    counts = spark.read.parquet(f"{path}/postings").groupBy("bucket", "gram").agg(F.sum(F.size("ids")).alias("texts"))
     counts.sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/counts")
     return PhraseIndex(path, id_col, text_cols)
 
 
 def _has(docs: DataFrame, index: PhraseIndex, phrase: str) -> Column:
+    # such a pattern takes ASCII letters alone as equal in either case, and the text needn't be written anew
+    pattern = "(?i)" + "".join(c if c.isalnum() or not c.isascii() else "\\" + c for c in phrase)
     found = F.lit(False)
     for c in index.text_cols:
-        found = found | F.coalesce(folded(F.col(c)).contains(_lower(phrase)), F.lit(False))
+        found = found | F.coalesce(F.col(c).rlike(pattern), F.lit(False))
     return found
 
 
-def _lower(phrase: str) -> str:
-    return phrase.translate(str.maketrans(_UPPER, _LOWER))
-
-
 def candidate_ids(index: PhraseIndex, docs: DataFrame, phrase: str) -> DataFrame | None:
     """Ids of texts that have the phrase's rarest grams, all that hold the phrase among them; None if it is shorter than a gram."""
     spark = docs.sparkSession
-    grams = np.unique(gram_hashes(_lower(phrase), GRAM)).view(np.int64).tolist()
+    grams = np.unique(gram_hashes(_folded(phrase), GRAM)).view(np.int64).tolist()
     if not grams:
         return None
 
@@ -89,7 +86,7 @@ def candidate_ids(index: PhraseIndex, docs: DataFrame, phrase: str) -> DataFrame
 
     counts = {row["gram"]: row["texts"] for row in some("counts", grams).select("gram", "texts").collect()}  # one for each of the phrase's grams
     rarest = sorted(grams, key=lambda g: counts.get(g, 0))[:RAREST]
-    return some("postings", rarest).groupBy("id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(rarest)).select("id")
+    return some("postings", rarest).select("gram", F.explode("ids").alias("id")).groupBy("id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(rarest)).select("id")
 
 
 def containing(index: PhraseIndex, docs: DataFrame, phrase: str, limit: int = 50) -> DataFrame:

@@ -140,6 +140,17 @@ def test_phrases(spark, monkeypatch):
     assert "PartitionFilters: [isnotnull(bucket" in scan or "PartitionFilters: [bucket" in scan  # a share of the folders is read
 
 
+def test_an_index_has_a_row_for_a_gram_of_many_texts(spark):
+    rows = [(i, "Old mill ÀK \u212a" if i % 2 else "old.*\\E[mill] àk" if i % 4 else None) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    index = phrases.build_index(docs, "doc_id", ["text"])
+    grams = {t.encode().lower().decode()[i : i + 3] for _, t in rows if t for i in range(len(t) - 2)}
+    assert spark.read.parquet(f"{index.path}/postings").count() == len(grams)
+    assert spark.read.parquet(f"{index.path}/counts").agg(F.max("texts")).first()[0] == 150
+    for phrase, count in ((".*\\e[M", 50), ("LL àk", 0), ("ll Àk", 100), ("k k", 0), ("k \u212a", 100), ("d.*m", 0), ("MILL", 150), ("_", 0)):
+        assert phrases.containing(index, docs, phrase, 1000).count() == count, phrase
+
+
 def test_merges_follow_chains(spark):
     kind = "poi_id string, name string, typecode string, type_name string, address string, rating double, open_time string, photo_url string, raw string, parent_id string"
     rows = [("X1", "gate", None, None, "a1", 4.0, None, None, None, "B9"), ("B2", "gate", None, None, None, None, "late", None, None, "X1"), ("B3", "gate", "11", None, None, None, None, None, None, "X1"), ("B9", "hall", None, None, None, None, None, None, None, "B2"), ("B8", None, None, None, None, None, None, None, None, "B8")]
