@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quern.functions.runs import DECISIVE_RUN
-from quern.operators import grams, reposts
+from quern.functions.runs import DECISIVE_RUN, measure
+from quern.operators import blocks, grams, reposts
 from quern.streaming.reposts import absorb, import_reposts, imported
 
 
@@ -176,3 +176,30 @@ def test_short_shares_of_a_common_line_are_no_candidates(spark, monkeypatch):
         monkeypatch.setattr(grams, "HEAT", heat)
         found = {(r["id"], r["other"]) for r in reposts.cover_candidates(items).collect()}
         assert found == {(21, i) for i in range(21)}
+
+
+@pytest.mark.parametrize("told", [64, 1])
+def test_pairs_by_blocks(spark, told, monkeypatch):
+    """Blocks against blocks give what each pair gives by itself; what is saved and sent has a row for a text or a block, not for a pair."""
+    monkeypatch.setattr(blocks, "BLOCK_CHARS", 1500)
+    monkeypatch.setattr(blocks, "BUCKET_GRAMS", 4000)
+    monkeypatch.setattr(blocks, "TOLD", told)
+    kept, inner = [], blocks.saved
+    monkeypatch.setattr(blocks, "saved", lambda df: kept.append(inner(df)) or kept[-1])
+    rng = random.Random(6)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    line = own(70)
+    made = [squashed(t) for t in texts(8, 3)] + [own(200) + line + own(k) for k in range(30)] + [own(9) + line, line + own(9) + line, line[40:] + own(4) + line[:36], "x" * 90, "x" * 200, own(12), "é" + line + "𝔘"]
+    bodies = {b: i for i, b in enumerate(made)}
+    want = {}
+    for a, i in bodies.items():
+        for b, j in bodies.items():
+            if len(a) >= 12 and (len(a), -i) < (len(b), -j):
+                found = measure(a, b)
+                if found[0] >= 0.6:
+                    want[i, j] = (len(a), len(b), *found)
+    items = spark.createDataFrame([(i, b) for b, i in bodies.items()], "id long, body string")
+    found = reposts.covered_pairs(items).collect()
+    assert {(r["id"], r["other"]): tuple(r)[2:] for r in found} == want and len(found) == len(want) > 100
+    assert len(kept) == 1 and kept[0].count() <= len(bodies) and kept[0].where("size(blocks) > 1").count() > 3
+    assert reposts.covered_pairs(items.limit(0)).count() == 0
