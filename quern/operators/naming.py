@@ -39,7 +39,8 @@ def _grams(name: str, size: int) -> Column:
 def held_names(parts: DataFrame, wholes: DataFrame, least: int = 1) -> DataFrame:
     """Pairs (part, whole) of names, equal ones among them, of which the whole contains the part, of at least so many characters. Both have `name`, null and empty ones are in nothing.
 
-    A part is looked for by grams of the largest size it has, as short ones grow frequent with the number of names.
+    A part is looked for by grams of the largest size it has, as short ones grow frequent with the number of names. Tables are sent to one another by key: names that
+    are small in a file are large when they are read, so none of them may be judged by its file and gathered in the driver.
     """
     parts, wholes = (x.where("name <> ''").select("name").distinct() for x in (parts, wholes))
     size = F.lit(SIZES[0])
@@ -58,12 +59,12 @@ def held_names(parts: DataFrame, wholes: DataFrame, least: int = 1) -> DataFrame
     heat = held.groupBy("size", "gram").agg(F.count(F.lit(1)).alias("heat"))
     own = grams(parts, "part", F.col("size"))
     # a gram that no whole has rules the part out
-    rarest = own.join(heat, ["size", "gram"], "left").groupBy("part", "size").agg(F.min(F.struct(F.coalesce("heat", F.lit(0)).alias("heat"), "gram")).alias("r")).select("part", "size", "r.gram", "r.heat").where("heat > 0")
+    rarest = own.join(heat.hint("merge"), ["size", "gram"], "left").groupBy("part", "size").agg(F.min(F.struct(F.coalesce("heat", F.lit(0)).alias("heat"), "gram")).alias("r")).select("part", "size", "r.gram", "r.heat").where("heat > 0")
     rarest = saved(rarest.withColumn("cells", F.ceil(F.col("heat") / CELL).cast("int")))
     asked = rarest.select("part", "size", "gram", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
     # only grams that a part is looked for by go on
-    dealt = held.join(rarest.select("size", "gram", "cells").distinct(), ["size", "gram"]).select("whole", "size", "gram", F.pmod(F.xxhash64("whole"), F.col("cells")).cast("int").alias("cell"))
-    return asked.join(dealt, ["size", "gram", "cell"]).where(F.col("whole").contains(F.col("part"))).select("part", "whole")
+    dealt = held.join(rarest.select("size", "gram", "cells").distinct().hint("merge"), ["size", "gram"]).select("whole", "size", "gram", F.pmod(F.xxhash64("whole"), F.col("cells")).cast("int").alias("cell"))
+    return asked.join(dealt.hint("merge"), ["size", "gram", "cell"]).where(F.col("whole").contains(F.col("part"))).select("part", "whole")
 
 
 def containing_each_other(names: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def containing_each_other(names: DataFrame) -> DataFrame:
     pairs = held_names(names, names)
     both = pairs.select(F.col("part").alias("a"), F.col("whole").alias("b")).union(pairs.select("whole", "part")).distinct()
     own = names.select(F.col("id"), F.col("name").alias("a"))
-    return own.join(both, "a").join(names.select(F.col("id").alias("other"), F.col("name").alias("b")), "b").where("id <> other").select("id", "other")
+    return own.join(both.hint("merge"), "a").join(names.select(F.col("id").alias("other"), F.col("name").alias("b")).hint("merge"), "b").where("id <> other").select("id", "other")
 
 
 def _at(h: np.ndarray, bits: np.ndarray) -> np.ndarray:

@@ -163,3 +163,14 @@ def test_merges_follow_chains(spark):
     assert {r["reference"]: r["rows"] for r in report.collect()} == {"claim.poi_id": 2, "claim.to_id": 1, "poi.parent_id": 3, "merged": 2}
     chain = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "c"), ("d", "a")], "poi_id string, survivor_id string")
     assert {tuple(r) for r in merging.remap(chain).collect()} == {("a", "c"), ("b", "c"), ("d", "c")}
+
+
+def test_names_are_not_gathered_in_the_driver(spark):
+    """A table of names that is small in a file may be large in the driver, so none is broadcast."""
+    names = spark.createDataFrame([(f"P{n}", f"hall {n // 3}" + "-annex" * (n % 3)) for n in range(300)], "id string, name string")
+    found = naming.containing_each_other(names)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = [(r["id"], r["name"]) for r in names.collect()]
+    want = {(a, b) for a, x in rows for b, y in rows if a != b and (x in y or y in x)}
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
