@@ -203,3 +203,27 @@ def test_pairs_by_blocks(spark, told, monkeypatch):
     assert {(r["id"], r["other"]): tuple(r)[2:] for r in found} == want and len(found) == len(want) > 100
     assert len(kept) == 1 and kept[0].count() <= len(bodies) and kept[0].where("size(blocks) > 1").count() > 3
     assert reposts.covered_pairs(items.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("few, room", [(4096, 1 << 26), (2, 40)])
+def test_pairs_of_runs_and_cover_meet_in_cells(spark, few, room, monkeypatch):
+    """A pair is made in one cell, whatever it was found by: pairs are neither joined nor told apart by a shuffle."""
+    for name, value in (("CELL", 8), ("MOST_GROUPS", 5), ("FEW_PAIRS", few), ("CELL_BYTES", room)):
+        monkeypatch.setattr(grams, name, value)
+    rng = random.Random(12)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    line, other = own(60), own(45)
+    made = [squashed(t) for t in texts(11, 3)] + [own(rng.choice((0, 60))) + line + own(60) for _ in range(25)] + [other + own(9), "x" + other, line + own(5), own(20), own(25)]
+    bodies = {b: i for i, b in enumerate(made)}
+    items = spark.createDataFrame([(i, b) for b, i in bodies.items()], "id long, body string")
+    ordered = [(i, len(a), j, len(b)) for a, i in bodies.items() for b, j in bodies.items() if (len(a), -i) < (len(b), -j)]
+    covered = rng.sample(ordered, 60)
+    named = {i: b for b, i in bodies.items()}
+    cover = {(i, j) for i, _, j, _ in covered}
+    want = {(i, j, (i, j) in cover, common_run(named[i], named[j], DECISIVE_RUN)) for i, _, j, _ in ordered}
+    found = grams.anchored_pairs(items, 12, DECISIVE_RUN, spark.createDataFrame(covered, "id long, n long, other long, m long"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    rows = [tuple(r) for r in found.collect()]
+    assert set(rows) == {x for x in want if x[2] or x[3]} and len(rows) == len(set(rows))
+    assert {x[2:] for x in rows} == {(True, True), (True, False), (False, True)}
